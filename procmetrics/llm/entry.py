@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from procmetrics.llm import exact_dedup, secrets, simhash
+from procmetrics.llm import exact_dedup, ngram_lm, secrets, simhash, token_store
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
+    "op3_token_store": token_store.op3_token_store,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_simhash": simhash.op7_simhash,
+    "op8_ngram_lm": ngram_lm.op8_ngram_lm,
 }
 
 ORACLE = {"op5_exact_dedup": exact_dedup.ORACLE}
