@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from procmetrics.llm import exact_dedup, ngram_lm, secrets, simhash, token_store
+from procmetrics.llm import byte_bpe, exact_dedup, ngram_lm, secrets, simhash, token_store
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_simhash": simhash.op7_simhash,
     "op8_ngram_lm": ngram_lm.op8_ngram_lm,
+    "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
 
 ORACLE = {"op5_exact_dedup": exact_dedup.ORACLE}
