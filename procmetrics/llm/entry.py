@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from procmetrics.llm import byte_bpe, exact_dedup, ngram_lm, secrets, simhash, token_store
+from procmetrics.llm import byte_bpe, exact_dedup, ngram_lm, packing, secrets, simhash, token_store, topk
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op3_token_store": token_store.op3_token_store,
+    "op4_topk": topk.op4_topk,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_simhash": simhash.op7_simhash,
     "op8_ngram_lm": ngram_lm.op8_ngram_lm,
+    "op9_packing": packing.op9_packing,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
 
-ORACLE = {"op5_exact_dedup": exact_dedup.ORACLE}
+ORACLE = {"op4_topk": topk.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
