@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from procmetrics.llm import byte_bpe, exact_dedup, ngram_lm, packing, secrets, simhash, token_store, topk
+from procmetrics.llm import byte_bpe, exact_dedup, language_id, ngram_lm, packing, secrets, simhash, token_store, topk, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_token_store": token_store.op3_token_store,
     "op4_topk": topk.op4_topk,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_language_id": language_id.op6_language_id,
     "op7_simhash": simhash.op7_simhash,
     "op8_ngram_lm": ngram_lm.op8_ngram_lm,
     "op9_packing": packing.op9_packing,
