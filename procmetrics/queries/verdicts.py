@@ -26,7 +26,7 @@ def _summary(v: Views) -> DataFrame:
     return out.withColumns({"critical_coverage": covered, "latency_increase": F.lit(0.05)})
 
 
-_SUMMARY = f"""(SELECT host_name, sb AS baseline, sc AS candidate, (sb - sc) / sb AS cardinality_reduction, nb / {MINUTES} AS baseline_dpm, nc / {MINUTES} AS candidate_dpm, (nb - nc) / nb AS cost_reduction, cc / cb AS critical_coverage, 0.05 AS latency_increase FROM
+_SUMMARY = f"""(SELECT host_name, sb AS baseline, sc AS candidate, (sb - sc) / nullif(sb, 0) AS cardinality_reduction, nb / {MINUTES} AS baseline_dpm, nc / {MINUTES} AS candidate_dpm, (nb - nc) / nullif(nb, 0) AS cost_reduction, cc / nullif(cb, 0) AS critical_coverage, 0.05 AS latency_increase FROM
     (SELECT host_name, count(DISTINCT CASE WHEN variant = 'baseline' THEN (pid, metric) END) AS sb, count(DISTINCT CASE WHEN variant = 'candidate' THEN (pid, metric) END) AS sc, count(*) FILTER (variant = 'baseline') AS nb, count(*) FILTER (variant = 'candidate') AS nc,
     count(DISTINCT CASE WHEN variant = 'baseline' AND regexp_matches(exe, '{CRITICAL}') THEN exe END) AS cb, count(DISTINCT CASE WHEN variant = 'candidate' AND regexp_matches(exe, '{CRITICAL}') THEN exe END) AS cc
     FROM variants WHERE NOT (variant = 'candidate' AND exe = 'kafka' AND host_name IN ('host-1', 'host-4')) GROUP BY 1))"""
@@ -37,13 +37,13 @@ def _(v):
     return _summary(v).select("host_name", "baseline", "candidate", *[X.round6(F.col(c)).alias(c) for c in ("cardinality_reduction", "baseline_dpm", "cost_reduction", "critical_coverage")])
 
 
-@query("e1_success", f"SELECT host_name, cardinality_reduction >= 0.4 AS cardinality_ok, critical_coverage >= 1 AS critical_ok, cost_reduction >= 0.45 AS cost_ok, cardinality_reduction >= 0.4 AND critical_coverage >= 1 AND cost_reduction >= 0.45 AS success FROM {_SUMMARY}")
+@query("e1_success", f"SELECT host_name, coalesce(cardinality_reduction >= 0.4, false) AS cardinality_ok, coalesce(critical_coverage >= 1, false) AS critical_ok, coalesce(cost_reduction >= 0.45, false) AS cost_ok, coalesce(cardinality_reduction >= 0.4, false) AND coalesce(critical_coverage >= 1, false) AND coalesce(cost_reduction >= 0.45, false) AS success FROM {_SUMMARY}")
 def _(v):
     c = {"min_cardinality_reduction": 0.4, "max_critical_process_loss": 0.0, "max_latency_increase": 0.1, "min_cost_reduction": 0.45}
     return E.evaluate_success(_summary(v), c).select("host_name", "cardinality_ok", "critical_ok", "cost_ok", "success")
 
 
-@query("e2_health", f"SELECT host_name, CASE WHEN critical_coverage < 1 OR cardinality_reduction <= 0 THEN 'failing' WHEN cardinality_reduction > 0.4 THEN 'healthy' ELSE 'attention' END AS health FROM {_SUMMARY}")
+@query("e2_health", f"SELECT host_name, CASE WHEN coalesce(critical_coverage < 1, false) OR NOT coalesce(cardinality_reduction > 0, false) THEN 'failing' WHEN cardinality_reduction > 0.4 AND critical_coverage IS NOT NULL THEN 'healthy' ELSE 'attention' END AS health FROM {_SUMMARY}")
 def _(v):
     return E.health(_summary(v)).select("host_name", "health")
 
@@ -62,7 +62,7 @@ def _(v):
     return E.findings(_summary(v), "host_name").select("host_name", "type", "severity")
 
 
-@query("e5_kpi_report", f"SELECT host_name, kpi, round(value, 6) AS value, target, value >= target AS met FROM (SELECT host_name, unnest(['cardinality_reduction', 'critical_coverage', 'cost_reduction']) AS kpi, unnest([cardinality_reduction, critical_coverage, cost_reduction]) AS value, CAST(unnest([0.5, 1.0, 0.4]) AS DOUBLE) AS target FROM {_SUMMARY})")
+@query("e5_kpi_report", f"SELECT host_name, kpi, round(value, 6) AS value, target, coalesce(value >= target, false) AS met FROM (SELECT host_name, unnest(['cardinality_reduction', 'critical_coverage', 'cost_reduction']) AS kpi, unnest([cardinality_reduction, critical_coverage, cost_reduction]) AS value, CAST(unnest([0.5, 1.0, 0.4]) AS DOUBLE) AS target FROM {_SUMMARY})")
 def _(v):
     return E.kpi_report(_summary(v), "host_name").withColumn("value", X.round6(F.col("value")))
 
