@@ -198,8 +198,8 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def learn(docs: DataFrame, per_label: int = PER_LABEL) -> Model:
     """A model of the documents outside fold 2 of 4 that have a language."""
-    known = docs.select("doc_id", "text", "lang").where(fold(F.col("doc_id"), 4) != 2)
-    return train(labelled_sample(known, "doc_id", "text", "lang", per_label))
+    known = docs.select("doc_id", "lang").where(fold(F.col("doc_id"), 4) != 2)
+    return train(labelled_sample(known, docs, "doc_id", "text", "lang", per_label))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

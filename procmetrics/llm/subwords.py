@@ -15,7 +15,7 @@ def word_ngrams(words: pa.Array, sizes: tuple[int, ...], buckets: int) -> tuple[
     marked = [b"<%b>" % w for w in words.cast(pa.binary()).to_pylist()]
     text = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
     lengths = np.fromiter(map(len, marked), np.int64, len(marked))
-    word = np.repeat(np.arange(len(marked)), lengths)
+    word = np.repeat(np.arange(len(marked), dtype=np.int32), lengths)
     room = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(text))
     rolled = np.zeros(len(text), np.uint64)
     of_word, of_bucket = [], []
@@ -27,10 +27,10 @@ def word_ngrams(words: pa.Array, sizes: tuple[int, ...], buckets: int) -> tuple[
             fits = np.flatnonzero(room[: len(rolled)] >= n)
             mixed = rolled[fits]
             mixed = (mixed ^ (mixed >> np.uint64(31))) * _FACTOR
-            of_word.append(word[fits].astype(np.int32))
-            of_bucket.append((mixed >> np.uint64(40)).astype(np.int64) % buckets)
+            of_word.append(word[fits])
+            of_bucket.append(((mixed >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32))
     if not of_word:
-        return np.array([], np.int32), np.array([], np.int64)
+        return np.array([], np.int32), np.array([], np.int32)
     return np.concatenate(of_word), np.concatenate(of_bucket)
 
 
@@ -40,14 +40,14 @@ def mean_over_ngrams(word: np.ndarray, values: np.ndarray, n_words: int) -> np.n
     return np.bincount(word, weights=values, minlength=n_words) / np.maximum(counts, 1)
 
 
-def labelled_sample(df: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int) -> list[tuple[str, object]]:
-    """At most per_label (text, label) for each non-null label, the rows of least hashed id; whole texts.
+def labelled_sample(labels: DataFrame, docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int) -> list[tuple[str, object]]:
+    """At most per_label (text, label) for each non-null label of labels, the rows of least hashed id; whole texts from docs.
 
     Only ids and labels are ranked; the chosen ids, at most per_label for each label, are the broadcast side of the join that fetches texts.
     """
     order = Window.partitionBy(label_col).orderBy(F.xxhash64(id_col), id_col)
-    ids = df.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, label_col).distinct()
+    ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, label_col).distinct()
     chosen = ids.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_label).select(F.col(id_col).alias("chosen_id"), F.col(label_col).alias("chosen_label"))
-    texts = df.select(F.col(id_col).alias("own_id"), F.col(text_col).cast("string").alias("own_text"))
+    texts = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).cast("string").alias("own_text"))
     found = texts.join(F.broadcast(chosen), F.col("own_id") == F.col("chosen_id")).select("own_id", "own_text", "chosen_label").dropDuplicates(["own_id", "chosen_label"])
     return [(r["own_text"] or "", r["chosen_label"]) for r in found.orderBy("own_id", "chosen_label").collect()]

@@ -6,15 +6,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procmetrics.llm.common import documents, fold, offsets_of, split_words, text_slices
 from procmetrics.llm.subwords import labelled_sample, mean_over_ngrams, word_ngrams
 
-SIZES, BUCKETS, DIMS, WINDOW = (3, 4, 5), 1 << 17, 8, 8
+SIZES, BUCKETS, DIMS, WINDOW = (3, 4, 5), 1 << 17, 8, 2
 #: The bound of the training sample: so many documents of each label.
-PER_LABEL = 1500
+PER_LABEL = 1000
 
 
 @dataclass
@@ -48,23 +49,56 @@ def _top(means: np.ndarray, made: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(sample: list[tuple[str, int]], epochs: int = 12, rate: float = 0.3, seed: int = 1) -> Model:
-    """Learns embeddings and softmax together from (text, 0 or 1).
+def train(sample: list[tuple[str, int]], folds: int = 3, **how) -> Model:
+    """A model of (text, 0 or 1), its line fitted to scores of texts that the scoring part had not seen, fold by fold.
 
-    A few words make a text toxic, and an average over a long text would drown them; so the bag that is averaged is a window of
-    words. In each round a toxic text teaches by its window of highest score, a clean text by its highest and one other. The first
-    round's scores are the log odds of the n-grams. Without both labels the model gives 0 for every text.
+    Without both labels the model gives 0 for every text.
     """
     labels = np.array([int(y) for _, y in sample])
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(BUCKETS, np.float32), 0.0, -20.0)
+    of = np.empty(len(labels), np.int64)
+    for y in (0, 1):  # as many of each label in each fold
+        of[labels == y] = np.arange(int((labels == y).sum())) % folds
+    unseen = np.zeros(len(labels))
+    if min(np.bincount(labels)) >= 2 * folds:
+        for k in range(folds):
+            margin = fit([sample[n] for n in np.flatnonzero(of != k)], **how)
+            mine = np.flatnonzero(of == k)
+            unseen[mine] = _tops(margin, pa.array([sample[n][0] for n in mine], pa.string()))
+        margin = fit(sample, **how)
+    else:
+        margin = fit(sample, **how)
+        unseen = _tops(margin, pa.array([t for t, _ in sample], pa.string()))
+    return Model(margin.astype(np.float32), *_line(unseen, labels))
+
+
+def _tops(margin: np.ndarray, texts: pa.Array) -> np.ndarray:
+    """The highest window margin of each text; 0 for a text without words."""
+    words, counts = split_words(texts)
+    coded = words.dictionary_encode()
+    word, bucket = word_ngrams(coded.dictionary, SIZES, BUCKETS)
+    value = mean_over_ngrams(word, margin[bucket], len(coded.dictionary))
+    means, _, made = window_means(value[coded.indices.to_numpy()] if len(words) else np.array([]), counts)
+    return _top(means, made)
+
+
+def fit(sample: list[tuple[str, int]], epochs: int = 12, rate: float = 0.3, seed: int = 1) -> np.ndarray:
+    """Learns embeddings and softmax together; gives the margin of each n-gram.
+
+    A few words make a text toxic, and an average over a long text would drown them; so the bag that is averaged is a window of
+    words. In each round a toxic text teaches by its window of highest score, a clean text by its highest and one other. The first
+    round's scores are the log odds of the n-grams.
+    """
+    labels = np.array([int(y) for _, y in sample])
     random = np.random.default_rng(seed)
     words, counts = split_words(pa.array([t for t, _ in sample], pa.string()))
     coded = words.dictionary_encode()
     codes, n_words = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
     word, bucket = word_ngrams(coded.dictionary, SIZES, BUCKETS)
-    order = np.argsort(word, kind="stable")
+    order = np.argsort(word, kind="stable").astype(np.int32)
     word, bucket = word[order], bucket[order]
+    del order, words
     grams = np.bincount(word, minlength=n_words)
     gram_at = offsets_of(grams)
 
@@ -118,13 +152,11 @@ def train(sample: list[tuple[str, int]], epochs: int = 12, rate: float = 0.3, se
             bias -= rate * p.sum(axis=0) / np.sqrt(g_bias)
         margin = vectors @ (softmax[:, 1] - softmax[:, 0])
 
-    means, _, made = window_means(mean_over_ngrams(word, margin[bucket], n_words)[codes], counts)
-    slope, shift = _line(_top(means, made), labels)
-    return Model(margin.astype(np.float32), slope, shift)
+    return margin
 
 
 def _line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression of the labels on the top window's margin, by Newton steps with a light ridge."""
+    """Logistic regression of the labels on the top window's margin; Newton steps with a light ridge."""
     scale = x.std() or 1.0
     z = np.stack([x / scale, np.ones(len(x))], axis=1)
     w = np.zeros(2)
@@ -136,13 +168,9 @@ def _line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def score_slice(model: Model, texts: pa.Array) -> np.ndarray:
-    words, counts = split_words(texts)
-    coded = words.dictionary_encode()
-    word, bucket = word_ngrams(coded.dictionary, SIZES, BUCKETS)
-    value = mean_over_ngrams(word, model.margin[bucket], len(coded.dictionary))
-    means, _, made = window_means(value[coded.indices.to_numpy()] if len(words) else np.array([]), counts)
-    logit = model.slope * _top(means, made) + model.bias
-    return 1 / (1 + np.exp(-np.clip(np.where(made > 0, logit, min(model.bias, 0.0)), -40, 40)))
+    logit = model.slope * _tops(model.margin, texts) + model.bias
+    empty = ~pc.match_substring_regex(pc.fill_null(texts, ""), r"[^\x20\x09-\x0D]").to_numpy(zero_copy_only=False)
+    return 1 / (1 + np.exp(-np.clip(np.where(empty, min(model.bias, 0.0), logit), -40, 40)))
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,6 +190,6 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(True))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = docs.select("doc_id", "text").where(~held_out).join(labels, "doc_id")
-    model = train(labelled_sample(known, "doc_id", "text", "toxic", PER_LABEL))
+    known = docs.select("doc_id").where(~held_out).join(labels, "doc_id")
+    model = train(labelled_sample(known, docs, "doc_id", "text", "toxic", PER_LABEL))
     return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
