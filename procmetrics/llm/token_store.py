@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from procmetrics.llm.common import documents, offsets_of, shared_dir, split_word
 #: Of the cache of encoded words in each worker: two generations of so many words at most.
 CACHE_WORDS = 200_000
 #: Chunk edges: a cut after an id whose rolling hash over the last WINDOW ids has its low MASK_BITS bits zero; lengths between MIN and MAX.
-WINDOW, MASK_BITS, MIN_CHUNK, MAX_CHUNK = 16, 9, 128, 4096
+WINDOW, MASK_BITS, MIN_CHUNK, MAX_CHUNK = 16, 10, 256, 8192
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -54,14 +55,19 @@ class WordEncoder:
         self.old: dict[str, bytes] = {}
 
     def _ids(self, word: str) -> bytes:
-        """Ids of one word between white space, piece by piece; the model is asked in its byte alphabet."""
+        """Ids of one word between white space, piece by piece. Pieces that are themselves known words aren't encoded again."""
         if word.isascii() and word.isalpha():
             return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-        found = []
+        found = b""
         for piece in self._PLAIN.findall(word):
-            written = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_BYTE_ALPHABET)
-            found += [t.id for t in self.model.tokenize(written)]
-        return array("I", found).tobytes()
+            known = self.young.get(piece) if piece != word else None
+            if known is None:  # the model is asked in its byte alphabet
+                written = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_BYTE_ALPHABET)
+                known = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+                if len(piece) > 1:
+                    self.young[piece] = known
+            found += known
+        return found
 
     def _learn(self, words: list[str]) -> list[bytes]:
         if len(self.young) > CACHE_WORDS:
@@ -209,32 +215,30 @@ def _starts(spark: SparkSession, store: str) -> DataFrame:
     return read_recipes(spark, store).join(F.broadcast(before), "part").select("*", (F.col("before") + within).alias("start"))
 
 
-def _gf2_times(matrix: list[int], vector: int) -> int:
-    total, k = 0, 0
-    while vector:
-        if vector & 1:
-            total ^= matrix[k]
-        vector >>= 1
-        k += 1
-    return total
-
-
-def crc32_shift(n_bytes: int, _powers: list[list[int]] = []) -> list[int]:  # noqa: B006
-    """The matrix that carries a CRC-32 over n_bytes zero bytes; crc(a + b) = shift(len b) * crc(a) xor crc(b)."""
-    if not _powers:
-        one = [0xEDB88320, *(1 << k for k in range(31))]  # one zero bit
-        for _ in range(3):
-            one = [_gf2_times(one, c) for c in one]
-        _powers.append(one)
-    out, k = [1 << i for i in range(32)], 0
-    while n_bytes:
-        if len(_powers) <= k:
-            _powers.append([_gf2_times(_powers[-1], c) for c in _powers[-1]])
-        if n_bytes & 1:
-            out = [_gf2_times(_powers[k], c) for c in out]
-        n_bytes >>= 1
-        k += 1
-    return out
+def _zero_bytes(power: int, _made: list[np.ndarray] = []) -> np.ndarray:  # noqa: B006
+    """Four tables of 256 that carry a CRC-32 over 2^power zero bytes: its bytes are looked up and joined by exclusive or."""
+    one_byte = np.arange(256, dtype=np.uint32)
+    if not _made:
+        low = one_byte.copy()
+        for _ in range(8):
+            low = np.where(low & 1, (low >> 1) ^ np.uint32(0xEDB88320), low >> 1).astype(np.uint32)
+        _made.append(np.stack([low, *(one_byte << np.uint32(8 * k) for k in range(3))]))
+    while len(_made) <= power:
+        _made.append(np.stack([_carried(_made[-1], row) for row in _made[-1]]))
+    return _made[power]
+
+
+def _carried(tables: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    return tables[0][crc & 255] ^ tables[1][(crc >> 8) & 255] ^ tables[2][(crc >> 16) & 255] ^ tables[3][crc >> 24]
+
+
+def crc32_joined(crc: np.ndarray, then: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
+    """CRC-32 of texts from those of their first parts and of the rest, which has n_bytes; for many texts at once."""
+    crc = crc.astype(np.uint32)
+    for power in range(int(n_bytes.max(initial=0)).bit_length()):
+        mine = (n_bytes >> power & 1).astype(bool)
+        crc[mine] = _carried(_zero_bytes(power), crc[mine])
+    return crc ^ then.astype(np.uint32)
 
 
 def read_chunks(spark: SparkSession, store: str) -> DataFrame:
@@ -264,24 +268,21 @@ def read_back(spark: SparkSession, store: str) -> DataFrame:
     lists = facts.groupBy("part", "place").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "crc", "intact"))).alias("chunks"))
 
     def run(batches):
-        shifts: dict[int, list[int]] = {}
         for batch in batches:
-            crcs, counts, good = [], [], []
-            for chunks, root, addresses in zip(*(batch.column(c).to_pylist() for c in ("chunks", "root", "addresses")), strict=True):
-                crc = n = 0
-                fine = merkle_root(addresses) == root
-                for chunk in chunks or []:
-                    if not chunk["intact"]:
-                        fine = False
-                        continue
-                    size = chunk["n"] * 4
-                    if size not in shifts:
-                        shifts[size] = crc32_shift(size)
-                    crc, n = _gf2_times(shifts[size], crc) ^ chunk["crc"], n + chunk["n"]
-                crcs.append(crc)
-                counts.append(n)
-                good.append(fine)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("start"), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64()), pa.array(good)], names=["id", "start", "n_tokens", "ids_crc32", "verified"])
+            lists = batch.column("chunks")
+            edge = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+            chunks = lists.flatten()
+            n, part, intact = (pc.fill_null(chunks.field(c).cast(pa.int64()), 0).to_numpy(zero_copy_only=False) for c in ("n", "crc", "intact"))
+            size, crc = np.diff(edge), np.zeros(batch.num_rows, np.uint32)
+            for k in range(int(size.max(initial=0))):
+                on = np.flatnonzero(size > k)
+                at = edge[on] + k
+                crc[on] = crc32_joined(crc[on], part[at], 4 * n[at])
+            total = offsets_of(n)
+            whole = offsets_of(intact)
+            roots = zip(batch.column("root").to_pylist(), batch.column("addresses").to_pylist(), strict=True)
+            good = np.array([merkle_root(leaves) == root for root, leaves in roots], bool) & (whole[edge[1:]] - whole[edge[:-1]] == size)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("start"), pa.array(total[edge[1:]] - total[edge[:-1]]), pa.array(crc.astype(np.int64)), pa.array(good)], names=["id", "start", "n_tokens", "ids_crc32", "verified"])
 
     kind = recipes.schema["id"].dataType.simpleString()
     joined = recipes.join(lists, ["part", "place"], "left").select("id", "start", "root", "addresses", "chunks")
