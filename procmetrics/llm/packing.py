@@ -116,7 +116,7 @@ def pack(df: DataFrame, length: Column, capacities: tuple[int, ...] = CAPACITIES
     spark = df.sparkSession
     path = shared_dir(spark, "packing")
     kind = df.schema[id_col].dataType.simpleString()
-    rows = pieces(df, length, max(capacities), id_col)
+    rows = cut(pieces(df, length, max(capacities), id_col), f"{path}/lengths")  # else sampling for the ranges would count all texts twice
 
     def number(batches):
         """The rank of each piece among those of its length in this partition."""
