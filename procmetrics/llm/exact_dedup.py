@@ -33,7 +33,7 @@ def identities(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
     path = shared_dir(spark, "naming")
     rows = df.select(F.col(id_col), ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("norm"))
     pieces = rows.select(F.explode(_blocks(F.col("norm"), block)).alias("block"))
-    names = _named(pieces.groupBy("block").agg(F.count("*").alias("n")), ["block"], f"{path}/names", F.xxhash64("block").alias("h"), F.lit(0).alias("clash"))
+    names = _named(pieces.groupBy("block").agg(F.count("*").alias("n")), ["block"], f"{path}/names", F.xxhash64("block").alias("h"))
     table = cut(
         rows.select(
             F.monotonically_increasing_id().alias("rid"), id_col, F.sha2(F.col("norm"), 256).alias("text_sha256"), F.transform(_blocks(F.col("norm"), block), lambda b: F.xxhash64(b)).alias("hashes")
@@ -43,17 +43,18 @@ def identities(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
     at = table.select("rid", F.size("hashes").alias("n"), F.posexplode("hashes").alias("pos", "h"))
     clashes = names.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
     if not clashes.isEmpty():
-        return _by_text(rows, table, block, path)
+        return _by_text(rows, id_col, block, path)
     state = cut(at.join(names, "h").select("rid", "n", "pos", "name"), f"{path}/state0")
-    return _climb(table, state, path)
+    return _climb(table.drop("hashes"), state, path)
 
 
-def _by_text(rows: DataFrame, table: DataFrame, block: int, path: str) -> DataFrame:
-    """Level 0 with blocks joined by their text, for corpora in which two blocks share a hash."""
-    numbered = rows.select(F.monotonically_increasing_id().alias("rid"), "norm")
-    at = cut(numbered.select("rid", F.size(_blocks(F.col("norm"), block)).alias("n"), F.posexplode(_blocks(F.col("norm"), block)).alias("pos", "block")), f"{path}/at")
+def _by_text(rows: DataFrame, id_col: str, block: int, path: str) -> DataFrame:
+    """Level 0 with blocks joined by their text, for corpora in which two blocks share a hash. Rows are numbered once, in a file."""
+    numbered = cut(rows.select(F.monotonically_increasing_id().alias("rid"), id_col, "norm"), f"{path}/numbered")
+    at = numbered.select("rid", F.size(_blocks(F.col("norm"), block)).alias("n"), F.posexplode(_blocks(F.col("norm"), block)).alias("pos", "block"))
     names = _named(at.groupBy("block").agg(F.count("*").alias("k")), ["block"], f"{path}/text_names", "block")
-    return _climb(table, cut(at.join(names, "block").select("rid", "n", "pos", "name"), f"{path}/state0"), path)
+    table = numbered.select("rid", id_col, F.sha2("norm", 256).alias("text_sha256"))
+    return _climb(table, cut(at.join(names, "block").select("rid", "n", "pos", "name"), f"{path}/text_state0"), path)
 
 
 def _climb(table: DataFrame, state: DataFrame, path: str) -> DataFrame:
@@ -70,7 +71,7 @@ def _climb(table: DataFrame, state: DataFrame, path: str) -> DataFrame:
         names = _named(pairs.select("a", "b").distinct(), ["a", "b"], f"{path}/names{level}", "a", "b")
         state = cut(pairs.join(names, ["a", "b"]).select("rid", F.floor((F.col("n") + 1) / 2).cast("int").alias("n"), F.col("half").alias("pos"), "name"), f"{path}/state{level}")
         done = done.unionByName(state.where("n = 1").select("rid", F.lit(level).alias("level"), "name"))
-    return table.drop("hashes").join(done, "rid")
+    return table.join(done, "rid")
 
 
 def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -81,6 +82,7 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     named = identities(df, id_col, text_col, block)
     groups = named.groupBy("level", "name").agg(F.max(id_col).alias("keep_id"), F.max_by("rid", F.struct(id_col, "rid")).alias("keep_rid"), F.count("*").alias("group_size"))
+    groups = cut(groups, shared_dir(df.sparkSession, "groups"))  # read from files, so that a hot group's rows may be split in the join
     return named.join(groups, ["level", "name"]).select(id_col, "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256")
 
 
