@@ -106,8 +106,17 @@ def scan(df: DataFrame, ledger: str, version: str = VERSION, path_col: str = "do
     paths are kept. Other columns are not read. Blobs known to the ledger aren't scanned again.
     """
     update_ledger(df, ledger, version, text_col)
-    seen = open_ledger(df.sparkSession, ledger).where(F.col("rule_version") == version).select("blob", "findings").dropDuplicates(["blob"])
-    return blob_ids(df, path_col, text_col).join(seen, "blob").select("path", "blob", "findings")
+    return _with_findings(blob_ids(df, path_col, text_col), ledger, version).select("path", "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
+
+
+def _with_findings(rows: DataFrame, ledger: str, version: str) -> DataFrame:
+    """Rows with a blob, beside its findings; null where the ledger has none.
+
+    Only blobs with findings are joined, from a table of their own, so that the rows of a blob of many copies may be split.
+    """
+    known = open_ledger(rows.sparkSession, ledger).where((F.col("rule_version") == version) & (F.size("findings") > 0))
+    hits = cut(known.select("blob", "findings").dropDuplicates(["blob"]), shared_dir(rows.sparkSession, "hits"))
+    return rows.join(hits, "blob", "left")
 
 
 def spans_text(findings: Column) -> Column:
@@ -133,9 +142,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     spark = docs.sparkSession
     path = shared_dir(spark, "ledger")
     update_ledger(docs, f"{path}/ledger")
-    hits = open_ledger(spark, f"{path}/ledger").where(F.size("findings") > 0).dropDuplicates(["blob"])
-    hits = cut(hits.select("blob", F.transform("findings", lambda f: F.struct(f["start"].alias("s"), f["end"].alias("e"))).alias("spans")), f"{path}/hits")
-    keyed = docs.withColumn("blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).join(hits, "blob", "left")
+    keyed = docs.withColumn("blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    keyed = _with_findings(keyed, f"{path}/ledger", VERSION).withColumn("spans", F.transform("findings", lambda f: F.struct(f["start"].alias("s"), f["end"].alias("e"))))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     piece = lambda acc, s: F.struct(
         F.when(s["s"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["s"] - acc["at"]), F.lit(mark))).alias("out"), F.greatest(acc["at"], s["e"]).alias("at")
