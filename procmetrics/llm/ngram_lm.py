@@ -303,7 +303,7 @@ class Scorer:
         total, share, preceding = (np.empty(len(keys)) for _ in range(3))
         total[order], share[order], preceding[order] = self._gather(self.stats, keys[order], {"total": 0, "share": 1, "before": 0})
         alone = model.spare / (words + 1)
-        lower = alone + ((preceding - _discount(preceding, model.word_discounts)) / model.pairs if model.pairs else 0)
+        lower = alone + (preceding - _discount(preceding, model.word_discounts)) / max(1, model.pairs)
 
         pairs = mix(ids[before] << np.uint64(32) | ids[tokens])
         distinct, where = np.unique(pairs, return_inverse=True)
