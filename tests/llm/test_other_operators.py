@@ -121,3 +121,36 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.packing_stage(spark, clean, sf)
     assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in clean.collect()}
     assert exact_dedup.BLOCK == 4096
+
+
+def test_near_stage_links_every_pair_at_least_080_alike(spark, monkeypatch):
+    import corpus_pipeline
+
+    from procmetrics.llm import near_copies
+
+    rng = random.Random(5)
+    common = " ".join(f"same{k}" for k in range(30))
+    texts = [None, "", "one", "ONE", "a b c d e", "a b c d f"]
+    for _ in range(25):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([12, 60, 200]))]
+        for edits in (0, 1, 1, 2, 3, 5, 8):
+            copy = list(words)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = f"w{rng.randrange(10**6)}"
+            texts.append(" ".join(copy) + (f" {common}" if rng.random() < 0.5 else ""))
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    for sample in (1, 16):  # all texts and few tell which shingles are common
+        monkeypatch.setattr(near_copies, "SAMPLE", sample)
+        assert sorted(r["doc_id"] for r in corpus_pipeline.near_stage(spark, docs, "").collect()) == sorted(set(root))
+    assert len(set(root)) > 30
+    assert corpus_pipeline.near_stage(spark, docs.limit(0), "").count() == 0
