@@ -209,12 +209,16 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(True)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, least_share: float = 0.35) -> DataFrame:
+def keep_known(docs: DataFrame, least_share: float = 0.0) -> DataFrame:
     """The documents with letters of which one language has at least the given share of the words; all their columns.
 
-    The verdict is joined back on id and text hash, so repeated ids with different texts are judged one by one.
+    By default any share will do, so that texts mixed of many languages stay. If no language could be learned, as where no row outside
+    fold 2 has one, every document with a letter stays. The verdict is joined back on id and text hash, so repeated ids with different texts are judged one by one.
     """
+    model = learn(docs)
+    if not model.labels:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     sha = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
     keyed = docs.withColumn("verdict_key", sha)
-    found = predict(keyed, learn(docs), id_col="verdict_key").where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_share))
+    found = predict(keyed, model, id_col="verdict_key").where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_share))
     return keyed.join(found.select("verdict_key").distinct(), "verdict_key", "left_semi").select(*docs.columns)

@@ -191,6 +191,31 @@ def test_language_edges(spark):
     assert language_id.keep_known(nothing(spark)).count() == 0
 
 
+def test_keep_known_without_labels_and_with_mixed_texts(spark):
+    import corpus_pipeline
+
+    kind = nothing(spark).schema
+    ids = {held: [k for k in range(60) if (zlib.crc32(str(k).encode()) % 4 == 2) == held] for held in (True, False)}
+    odd = [(None, "no id", None, None, None), (100, None, "en", "s", 1), (101, "", "en", "s", 1), (102, "12 -- 3", "en", "s", 1), (103, "été 7", None, "s", None)]
+    unlabelled = [(k, f"text {k}", None, "s", 1) for k in ids[False][:4]]
+    only_held_out = [(k, f"text {k}", "en", "s", 1) for k in ids[True][:4]]
+    for rows in (unlabelled, only_held_out, unlabelled + only_held_out):
+        got = corpus_pipeline.language_stage(spark, spark.createDataFrame(rows + odd, kind), "").collect()
+        assert sorted(r["text"] for r in got) == sorted([r[1] for r in rows] + ["no id", "été 7"])
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) between 200 and 2000").toPandas()
+    by = {lang: [t.split() for t in part["text"].head(40)] for lang, part in docs.groupby("lang")}
+    assert len(by) >= 3
+    names, mixed = sorted(by), []
+    for k in range(40):  # passages of 12 words, of three and more languages by turns
+        used = names if k % 2 else [n for j, n in enumerate(names) if j != k // 2 % len(names)]
+        mixed.append(" ".join(" ".join(by[n][k % len(by[n])][:12]) for n in used))
+    start = int(docs["doc_id"].max()) + 1
+    rows = [(int(r.doc_id), r.text, r.lang, "s", 1) for r in docs.groupby("lang").head(40).itertuples()] + [(start + k, t, None, None, None) for k, t in enumerate(mixed)]
+    got = corpus_pipeline.language_stage(spark, spark.createDataFrame(rows, kind), "")
+    assert got.where(F.col("doc_id") >= start).count() == len(mixed)
+
+
 # 7
 def plain_fingerprint(text):
     w = (text or "").encode().lower().split()
