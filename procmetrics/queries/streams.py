@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from procmetrics import streaming as T
 from procmetrics.queries import query
@@ -28,7 +30,7 @@ def _stream(v: Views) -> DataFrame:
     )
 
 
-def _finish(v: Views, df: DataFrame, mode: str = "append") -> DataFrame:
+def _finish(v: Views, df: DataFrame, mode: str = "append", extra: Sequence[str] = ()) -> DataFrame:
     """Runs the stream over all there is and reads what it wrote."""
     path = _folder(v)
     if mode == "append":
@@ -36,7 +38,14 @@ def _finish(v: Views, df: DataFrame, mode: str = "append") -> DataFrame:
     else:
         query_ = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(lambda b, n: b.withColumn("_batch", F.lit(n)).write.mode("append").parquet(f"{path}/out")).start()
     query_.awaitTermination()
-    return v.spark.read.schema(df.schema).parquet(f"{path}/out")
+    return v.spark.read.schema(StructType([*df.schema.fields, *[StructField(c, IntegerType()) for c in extra]])).parquet(f"{path}/out")
+
+
+def _windows(v: Views, df: DataFrame, keys: list[str]) -> DataFrame:
+    """Every window of an aggregation, also those still open when the stream ends: update mode gives all versions, the last one stays."""
+    out = _finish(v, df, "update", ["_batch"])
+    newest = out.groupBy("window", *keys).agg(F.max_by(F.struct(*df.columns), "_batch").alias("r"))
+    return newest.select("r.*")
 
 
 _DAY = f"CAST(floor(epoch(ts) / {DAY}) AS BIGINT) * {DAY}"
@@ -56,13 +65,13 @@ def _(v):
 
 @query("t2_stream_cardinality_approx")
 def _(v):
-    out = _finish(v, T.stream_cardinality(T.with_lateness(_stream(v), "1 day"), "1 day"))
+    out = _windows(v, T.stream_cardinality(T.with_lateness(_stream(v), "1 day"), "1 day"), ["variant"])
     return out.select(F.unix_seconds("window.start").alias("day"), "variant", "series")
 
 
 @query("t3_stream_cost")
 def _(v):
-    out = _finish(v, T.stream_cost(T.with_lateness(_stream(v), "1 day"), length="2 days", slide="1 day", seconds=2 * DAY))
+    out = _windows(v, T.stream_cost(T.with_lateness(_stream(v), "1 day"), length="2 days", slide="1 day", seconds=2 * DAY), ["variant"])
     return out.select(F.unix_seconds("window.start").alias("start"), "variant", "bytes", F.round("hourly_cost", 9).alias("hourly_cost"))
 
 
@@ -83,7 +92,7 @@ def _(v):
 
 @query("t8_stream_compare")
 def _(v):
-    out = _finish(v, T.stream_compare(T.with_lateness(_stream(v), "1 day"), "1 day", ["metric"]))
+    out = _windows(v, T.stream_compare(T.with_lateness(_stream(v), "1 day"), "1 day", ["metric"]), ["metric"])
     return out.select(F.unix_seconds("window.start").alias("day"), "metric", "baseline", "candidate", "difference")
 
 
@@ -112,9 +121,11 @@ def _(v):
 @query("t12_stream_top_k")
 def _(v):
     path = _folder(v)
-    sink = lambda b, n: b.write.mode("append").parquet(f"{path}/top")
+    sink = lambda b, n: b.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{path}/top")
     T.stream_top_k(T.with_lateness(_stream(v), "1 day"), 2, "10 days", sink, f"{path}/state").awaitTermination()
-    return v.spark.read.schema("window struct<start:timestamp,end:timestamp>, host_name string, pid long, total long, place int").parquet(f"{path}/top").select(F.unix_seconds("window.start").alias("start"), "host_name", "pid", "total", "place")
+    out = v.spark.read.schema("window struct<start:timestamp,end:timestamp>, host_name string, pid long, total long, place int, batch int").parquet(f"{path}/top")
+    last = out.groupBy("window", "host_name", "place").agg(F.max_by(F.struct("pid", "total"), "batch").alias("r")).select("window", "host_name", "r.*", "place")
+    return last.select(F.unix_seconds("window.start").alias("start"), "host_name", "pid", "total", "place")
 
 
 def _rocksdb(v: Views) -> None:

@@ -118,7 +118,7 @@ def stream_enrich(df: DataFrame, hosts: DataFrame, attribute: str, table: Mappin
     return route(detect_resource(df, hosts), attribute, table, default)
 
 
-def start_export(df: DataFrame, sinks: Mapping[str, Callable[[DataFrame, int], None]], checkpoint: str, every: str | None = None) -> StreamingQuery:
+def start_export(df: DataFrame, sinks: Mapping[str, Callable[[DataFrame, int], None]], checkpoint: str, every: str | None = None, mode: str = "append") -> StreamingQuery:
     """Each micro-batch to every sink; the batch number lets a sink write once. Without a period all that is there is processed, then it ends."""
 
     def send(batch: DataFrame, number: int) -> None:
@@ -127,7 +127,7 @@ def start_export(df: DataFrame, sinks: Mapping[str, Callable[[DataFrame, int], N
             sink(batch, number)
         batch.unpersist()
 
-    writer = df.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint)
+    writer = df.writeStream.outputMode(mode).foreachBatch(send).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
@@ -139,7 +139,10 @@ def update_feed(df: DataFrame, metrics: Sequence[str] = ()) -> DataFrame:
 
 
 def stream_top_k(df: DataFrame, k: int, window: str, sink: Callable[[DataFrame, int], None], checkpoint: str, by: Sequence[str] = ("host_name",), name: str = "pid") -> StreamingQuery:
-    """Totals of each window, ranked in each micro-batch, since streams have no ranking windows."""
+    """Totals of each window, ranked in each micro-batch, since streams have no ranking windows.
+
+    Each micro-batch has all windows, open ones too (complete mode), so a window's places of the last one hold.
+    """
     from pyspark.sql import Window
 
     totals = df.groupBy(F.window("ts", window), *by, name).agg(F.sum("value").alias("total"))
@@ -148,4 +151,4 @@ def stream_top_k(df: DataFrame, k: int, window: str, sink: Callable[[DataFrame,
         place = F.row_number().over(Window.partitionBy("window", *by).orderBy(F.desc("total"), name))
         sink(batch.withColumn("place", place).where(F.col("place") <= k), number)
 
-    return start_export(totals, {"top": rank}, checkpoint)
+    return start_export(totals, {"top": rank}, checkpoint, mode="complete")

@@ -207,3 +207,27 @@ def test_stream_delta_equals_batch(spark):
     got = {(r["pid"], r["metric"], r["at"], r["value"]) for r in QUERIES["t5_stream_delta"](spark, sf).collect()}
     batch = W.cumulative_to_delta(Views(spark, sf).raw).where(F.col("gap_seconds").isNotNull())
     assert got == {(r["pid"], r["metric"], r["at"], float(r["value"])) for r in batch.select("pid", "metric", F.unix_micros("ts").alias("at"), "value").collect()}
+
+
+def test_windowed_streams_equal_batch(spark):
+    from pyspark.sql import Window
+
+    from procmetrics import streaming as T
+    from procmetrics.queries import QUERIES
+    from procmetrics.queries.views import DAY, Views
+
+    sf = "/root/testdata/sf0.001"
+    raw = Views(spark, sf).raw.withColumn("variant", F.when(F.col("pid") % 2 == 0, "baseline").otherwise("candidate"))
+    start = F.unix_seconds("window.start")
+    totals = raw.groupBy(F.window("ts", "10 days"), "host_name", "pid").agg(F.sum("value").alias("total"))
+    ranked = totals.withColumn("place", F.row_number().over(Window.partitionBy("window", "host_name").orderBy(F.desc("total"), "pid"))).where("place <= 2")
+    want = {
+        "t2_stream_cardinality_approx": T.stream_cardinality(raw, "1 day").select(start.alias("day"), "variant", "series"),
+        "t3_stream_cost": T.stream_cost(raw, length="2 days", slide="1 day", seconds=2 * DAY).select(start.alias("start"), "variant", "bytes", F.round("hourly_cost", 9).alias("hourly_cost")),
+        "t8_stream_compare": T.stream_compare(raw, "1 day", ["metric"]).select(start.alias("day"), "metric", "baseline", "candidate", "difference"),
+        "t12_stream_top_k": ranked.select(start.alias("start"), "host_name", "pid", "total", "place"),
+    }
+    for name, batch in want.items():
+        got = QUERIES[name](spark, sf)
+        assert got.columns == batch.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect())), name
