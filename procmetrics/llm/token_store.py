@@ -49,7 +49,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -318,7 +317,6 @@ def whole_text_ids(path: str, texts: Iterator[str]) -> list[list[int]]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return [e.ids for e in tokenizer.encode_batch(list(texts), add_special_tokens=False)]
 
 

@@ -116,6 +116,19 @@ def test_token_store_round_trip(spark, docs):
         start += len(own)
 
 
+def test_token_store_special_tokens_as_the_library_has_them(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, store = public_tokenizers.path("word_bpe_49k.json"), f"{shared_dir(spark, 'store')}/s"
+    texts = ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "A <|ENDOFTEXT|> b <|StartOfText|>", "a <|endoftext| > b"]
+    token_store.write_store(frame(spark, texts), store, path)
+    ids = {r["id"]: r["ids"] for r in token_store.read_ids(spark, store).collect()}
+    library = Tokenizer.from_file(path)
+    assert [ids[k][:-1] for k in range(len(texts))] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 49407 in ids[0][:-1] and ids[1][0] == 49406
+
+
 def test_token_store_chunks_are_shared(spark):
     import public_tokenizers
 
