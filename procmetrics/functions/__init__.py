@@ -85,6 +85,11 @@ def duration_interval(x: str | Column) -> Column:
     return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), duration_seconds(x).cast("decimal(18,6)"))
 
 
+def now() -> Column:
+    """The time at which the query runs, the same for all its rows."""
+    return F.current_timestamp()
+
+
 def rfc3339(x: str | Column) -> Column:
     return F.to_timestamp(_c(x))
 
@@ -111,6 +116,11 @@ def keep_keys(labels: str | Column, regex: str) -> Column:
     return F.map_filter(_c(labels), lambda k, _: k.rlike(regex))
 
 
+def json_text(*columns: str | Column) -> Column:
+    """The columns as one JSON object; absent values are left out."""
+    return F.to_json(F.struct(*columns))
+
+
 def hash_bucket(key: str | Column, seed: int = 22) -> Column:
     """0 to 9999 from the md5 of 'seed:key': the same for a key everywhere and in every engine."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), _c(key).cast("string"))), 1, 8), 16, 10).cast("long") % 10000

@@ -20,7 +20,9 @@ DATAPOINT = T.StructType(
     ]
 )
 
-SERIES = ("pid", "metric")
+#: A pid is known by its host alone, so the host is part of the identity of a process and of a series.
+PROCESS = ("host_name", "pid")
+SERIES = ("host_name", "pid", "metric")
 COUNTERS = ("process.cpu.time", "process.disk.io")
 
 # The seven process metrics.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procmetrics.functions import any_of, eq, gt, hash_bucket, ilike, is_in, lt, ne, pick
-from procmetrics.model import bucket
+from procmetrics.model import PROCESS, bucket
 from procmetrics.operators.transforms import host_facts, small
 
 
@@ -41,14 +41,19 @@ def keep_high_consumers(df: DataFrame, cpu: float, memory: float, seconds: int)
     """All points of a process in a bucket where its CPU or memory passes the bound."""
     at = df.withColumn("bucket", bucket("ts", seconds))
     high = (eq("metric", "process.cpu.utilization") & gt("value", cpu)) | (eq("metric", "process.memory.physical") & gt("value", memory))
-    return at.join(at.where(high).select("pid", "bucket").distinct(), ["pid", "bucket"], "left_semi").drop("bucket")
+    return at.join(at.where(high).select(*PROCESS, "bucket").distinct(), [*PROCESS, "bucket"], "left_semi").drop("bucket")
 
 
-def adaptive_filter(df: DataFrame, cpu_hi: float, n_hi: int, cpu_lo: float, seconds: int) -> DataFrame:
-    """On a busy host low-priority rows go; on a crowded host low-priority rows of little CPU go."""
+def adaptive_conditions(cpu_hi: float, n_hi: int, cpu_lo: float) -> list[Column]:
+    """What the adaptive filter drops: low-priority rows of a busy host; low-priority rows of little CPU of a crowded host."""
     low = eq("priority", "low")
     quiet = low & eq("metric", "process.cpu.utilization") & lt("value", cpu_lo)
-    return filter_datapoints(host_facts(df, seconds), [low & gt("host_cpu", cpu_hi), quiet & gt("host_processes", n_hi)], "drop")
+    return [low & gt("host_cpu", cpu_hi), quiet & gt("host_processes", n_hi)]
+
+
+def adaptive_filter(df: DataFrame, cpu_hi: float, n_hi: int, cpu_lo: float, seconds: int, scrape: int = 10) -> DataFrame:
+    """On a busy host low-priority rows go; on a crowded host low-priority rows of little CPU go. scrape: seconds between scrapes."""
+    return filter_datapoints(host_facts(df, seconds, scrape), adaptive_conditions(cpu_hi, n_hi, cpu_lo), "drop")
 
 
 def drop_old_low(df: DataFrame, seconds: float = 300) -> DataFrame:

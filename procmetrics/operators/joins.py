@@ -22,17 +22,16 @@ def vector_match(left: DataFrame, right: DataFrame, on: Sequence[str] | None = N
 def asof_eval(samples: DataFrame, keys: Sequence[str], start: str, end: str, step: int, lookback: int, value: str = "value") -> DataFrame:
     """(keys, step, value): at each step the latest sample at or before it, not older than the lookback (all in seconds).
 
-    Samples and steps lie in one sorted union, so no range join is needed. A series meets only steps within its own reach.
+    A sample holds for the steps from its own time on until the next sample of its series or the end of the lookback; so each row
+    that is made is a row of the result, and no range join is needed. Of samples of one second the smallest value holds.
     """
     origin, last = (F.unix_seconds(F.lit(x).cast("timestamp")) for x in (start, end))
     second = samples.select(*keys, F.unix_seconds("ts").alias("at"), F.col(value).alias("value"))
-    up = origin + F.ceil((F.col("at") - origin) / step) * step
-    reach = second.select(*keys, F.explode(F.filter(F.sequence(F.greatest(up, origin), F.greatest(F.col("at") + lookback, up, origin), F.lit(step)), lambda s: (s >= origin) & (s <= last))).alias("at")).distinct()
-    grid = reach.select(*keys, "at", F.lit(1).alias("is_step"), F.lit(None).cast(second.schema["value"].dataType).alias("value"), F.lit(None).cast("long").alias("sample_at"))
-    both = second.select(*keys, "at", F.lit(0).alias("is_step"), "value", F.col("at").alias("sample_at")).unionByName(grid)
-    w = Window.partitionBy(*keys).orderBy("at", "is_step").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.select(*keys, "at", "is_step", F.last("value", True).over(w).alias("value"), F.last("sample_at", True).over(w).alias("sample_at"))
-    return found.where((F.col("is_step") == 1) & (F.col("at") - F.col("sample_at") <= lookback)).select(*keys, F.col("at").alias("step"), "value")
+    following = F.lead("at").over(Window.partitionBy(*keys).orderBy("at", F.desc_nulls_last("value")))
+    first = origin + F.ceil(F.greatest(F.col("at") - origin, F.lit(0)) / step) * step
+    until = F.least(F.col("at") + lookback, last, F.coalesce(F.col("next_at") - 1, last))
+    held = second.withColumn("next_at", following).withColumns({"_first": first, "_until": until}).where("_first <= _until")
+    return held.select(*keys, F.explode(F.sequence("_first", "_until", F.lit(step).cast("long"))).alias("step"), "value")
 
 
 def match_patterns(df: DataFrame, patterns: DataFrame, name: str = "exe", pattern: str = "pattern") -> DataFrame:
@@ -42,11 +41,20 @@ def match_patterns(df: DataFrame, patterns: DataFrame, name: str = "exe", patter
     return df.join(hits, df[name] == hits._name).drop("_name")
 
 
-def attribute_to_experiment(df: DataFrame, experiments: DataFrame, key: str = "host_name") -> DataFrame:
-    """Datapoints beside the experiments active on their host at that time; an open experiment has no end."""
-    e = experiments.select(F.col("id").alias("experiment_id"), F.col(key).alias("_key"), "started_at", "completed_at")
+def attribute_to_experiment(df: DataFrame, experiments: DataFrame, key: str = "host_name", slot: int = 86400) -> DataFrame:
+    """Datapoints beside the experiments active on their host at that time; an open experiment has no end.
+
+    Host and slot of time (so many seconds) are the join key: an experiment stands in each slot that it touches, from the first to the
+    last that has any datapoint, so few points meet experiments of other times.
+    """
+    number = lambda at: F.floor(F.unix_micros(at) / (slot * 1_000_000))
+    reach = df.agg(F.min(number("ts")).alias("_from"), F.max(number("ts")).alias("_to"))  # one row
+    e = experiments.select(F.col("id").alias("experiment_id"), F.col(key).alias("_key"), "started_at", "completed_at").crossJoin(F.broadcast(reach))
+    begin, end = F.greatest(number("started_at"), "_from"), F.least(F.coalesce(number("completed_at"), F.col("_to")), F.col("_to"))
+    slots = e.withColumns({"_begin": begin, "_end": end}).where("_begin <= _end").withColumn("_slot", F.explode(F.sequence("_begin", "_end")))
     active = (F.col("ts") >= F.col("started_at")) & (F.col("completed_at").isNull() | (F.col("ts") <= F.col("completed_at")))
-    return df.join(e, (df[key] == F.col("_key")) & active).drop("_key", "started_at", "completed_at")
+    met = df.withColumn("_at", number("ts")).join(slots, (df[key] == F.col("_key")) & (F.col("_at") == F.col("_slot")) & active)
+    return met.drop("_key", "_at", "_slot", "_begin", "_end", "_from", "_to", "started_at", "completed_at")
 
 
 def critical_kept(baseline: DataFrame, candidate: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -53,10 +53,14 @@ def _ranked(df: DataFrame, metric: str, by: Sequence[str], name: str, agg=F.sum)
     return totals.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("total"), name)))
 
 
+def best_names(df: DataFrame, metric: str, k: int, by: Sequence[str], name: str = "pid") -> DataFrame:
+    """(by, name) of the k largest totals of the metric in each group; ties go to the smaller name."""
+    return _ranked(df, metric, by, name).where(F.col("place") <= k).select(*by, name)
+
+
 def top_k(df: DataFrame, metric: str, k: int, by: Sequence[str], name: str = "pid") -> DataFrame:
     """All points of the k names of largest total of the metric in each group. Totals are made before ranking, and few names are joined back."""
-    best = _ranked(df, metric, by, name).where(F.col("place") <= k).select(*by, name)
-    return df.join(best, [*by, name], "left_semi")
+    return df.join(best_names(df, metric, k, by, name), [*by, name], "left_semi")
 
 
 def top_k_with_rest(df: DataFrame, metric: str, k: int, by: Sequence[str], name: str = "pid") -> DataFrame:

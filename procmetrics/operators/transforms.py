@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procmetrics.functions import eq, gt, matches
+from procmetrics.functions import now as now_
 from procmetrics.model import CATEGORY_RULES, MEDIUM_MEMORY, PRIORITY_RULES, bucket
 
 Step = Callable[[DataFrame], DataFrame]
@@ -118,9 +119,10 @@ def tag_environment(df: DataFrame, rules: Mapping[str, str], source: str = "host
     return apply_statements(df, [("environment", label, matches(source, pattern)) for label, pattern in rules.items()])
 
 
-def process_age(df: DataFrame, now: str, created_ns: str = "create_time_ns") -> DataFrame:
-    """Seconds since creation; now is a parameter, so that results repeat."""
-    return df.withColumn("age_seconds", F.unix_seconds(F.lit(now).cast("timestamp")) - F.col(created_ns) / 1e9)
+def process_age(df: DataFrame, now: str | None = None, created_ns: str = "create_time_ns") -> DataFrame:
+    """Seconds from creation to the given time, so that results repeat, or to the time of the query."""
+    at = now_() if now is None else F.lit(now).cast("timestamp")
+    return df.withColumn("age_seconds", F.unix_micros(at) / 1e6 - F.col(created_ns) / 1e9)
 
 
 def alias_metrics(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
@@ -128,14 +130,17 @@ def alias_metrics(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     return df.withColumn("metric", F.coalesce(F.try_element_at(table, F.col("metric")), F.col("metric")))
 
 
-def host_facts(df: DataFrame, seconds: int, cpu: str = "process.cpu.utilization") -> DataFrame:
-    """Summed CPU and number of processes of the host in the bucket, beside each datapoint.
+def host_facts(df: DataFrame, seconds: int, scrape: int = 10, cpu: str = "process.cpu.utilization") -> DataFrame:
+    """The host's CPU and number of processes in the bucket, beside each datapoint.
 
-    The facts are aggregated first and joined, so a busy host's points need not meet in one task.
+    CPU is a gauge: it is summed over the processes of a scrape (so many seconds), then averaged over the scrapes of the bucket. The
+    facts are aggregated first, by process and scrape, and joined, so a busy host's points need not meet in one task.
     """
     at = df.withColumn("bucket", bucket("ts", seconds))
-    facts = at.groupBy("host_name", "bucket").agg(F.sum(F.when(F.col("metric") == cpu, F.col("value"))).alias("host_cpu"), F.count_distinct("pid").alias("host_processes"))
-    return at.join(facts, ["host_name", "bucket"], "left")
+    used = F.sum(F.when(F.col("metric") == cpu, F.col("value")))
+    scrapes = at.groupBy("host_name", "bucket", bucket("ts", scrape).alias("scrape")).agg(used.alias("used")).groupBy("host_name", "bucket").agg(F.avg("used").alias("host_cpu"))
+    crowd = at.select("host_name", "bucket", "pid").distinct().groupBy("host_name", "bucket").agg(F.count("pid").alias("host_processes"))
+    return at.join(crowd.join(scrapes, ["host_name", "bucket"], "left"), ["host_name", "bucket"], "left")
 
 
 def with_metric_value(df: DataFrame, metric: str, keys: Sequence[str], seconds: int, name: str) -> DataFrame:

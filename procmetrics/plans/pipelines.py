@@ -4,28 +4,35 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procmetrics.functions import eq
-from procmetrics.operators.aggregates import cardinality, groupby_attrs
-from procmetrics.operators.filters import adaptive_filter, keep_important, split_aggregate
-from procmetrics.operators.ranking import top_k
+from procmetrics.functions import any_of, eq, is_in
+from procmetrics.model import PROCESS, bucket
+from procmetrics.operators.aggregates import groupby_attrs
+from procmetrics.operators.filters import adaptive_conditions, adaptive_filter, keep_important, split_aggregate
+from procmetrics.operators.ranking import best_names, top_k
 from procmetrics.operators.series import cumulative_to_delta
-from procmetrics.operators.transforms import classify_category, classify_priority, detect_resource, pipeline, rename_aggregated, set_attrs, with_metric_value
+from procmetrics.operators.transforms import classify_category, classify_priority, detect_resource, host_facts, pipeline, rename_aggregated, set_attrs, with_metric_value
 
+#: Seconds without a point after which a counter counts as new.
+MAX_STALENESS = 600
 
-def baseline_v1(df: DataFrame, hosts: DataFrame | None = None, experiment: str = "exp-00000000", max_staleness: int | None = None) -> DataFrame:
-    """Deltas, host facts where absent, experiment id."""
+
+def baseline_v1(
+    df: DataFrame, hosts: DataFrame | None = None, experiment: str | Column = "exp-00000000", variant: str | Column = "baseline", node: str | Column | None = None, max_staleness: int | None = MAX_STALENESS
+) -> DataFrame:
+    """Deltas, host facts where absent; experiment and variant where absent, the node always (the host's name, if no other is given)."""
     steps = [partial(cumulative_to_delta, max_staleness=max_staleness)]
     if hosts is not None:
         steps.append(partial(detect_resource, hosts=hosts))
-    return pipeline(df, [*steps, partial(set_attrs, attrs={"experiment_id": (experiment, "upsert")})])
+    attrs = {"experiment_id": (experiment, "insert"), "variant": (variant, "insert"), "node_name": (F.col("host_name") if node is None else node, "upsert")}
+    return pipeline(df, [*steps, partial(set_attrs, attrs=attrs)])
 
 
 def with_priority(df: DataFrame, seconds: int) -> DataFrame:
     """Priority by name, and by the process's memory in the bucket."""
-    return classify_priority(with_metric_value(df, "process.memory.physical", ["pid"], seconds, "memory_value"))
+    return classify_priority(with_metric_value(df, "process.memory.physical", PROCESS, seconds, "memory_value"))
 
 
 def priority_filter_v1(df: DataFrame, seconds: int = 60, **baseline) -> DataFrame:
@@ -39,34 +46,46 @@ def aggregated_v1(df: DataFrame, seconds: int = 60, **baseline) -> DataFrame:
     """
     marked = pipeline(df, [partial(baseline_v1, **baseline), partial(with_priority, seconds=seconds), classify_category])
     own, low = split_aggregate(marked)
-    rolled = groupby_attrs(low, ["host_name", "category", "owner", "experiment_id"], seconds).withColumn("exe", F.lit(None).cast("string"))
+    rolled = groupby_attrs(low, ["host_name", "category", "owner", "experiment_id", "variant", "node_name"], seconds).withColumn("exe", F.lit(None).cast("string"))
     rolled = rename_aggregated(rolled).withColumns({"ts": F.timestamp_seconds(F.col("bucket") * seconds), "aggregate": F.lit("true"), "priority": F.lit("low")}).drop("bucket")
     return own.unionByName(rolled, allowMissingColumns=True)
 
 
 def topk_v1(df: DataFrame, k: int = 20, seconds: int = 60, **baseline) -> DataFrame:
     """The k processes of most CPU on each host and in each bucket."""
-    from procmetrics.model import bucket
-
     at = baseline_v1(df, **baseline).withColumn("bucket", bucket("ts", seconds))
     return top_k(at, "process.cpu.time", k, ["host_name", "bucket"]).drop("bucket")
 
 
-def adaptive_filter_v1(df: DataFrame, cpu_hi: float, n_hi: int, cpu_lo: float, seconds: int = 60, **baseline) -> DataFrame:
-    return adaptive_filter(with_priority(baseline_v1(df, **baseline), seconds), cpu_hi, n_hi, cpu_lo, seconds)
+def adaptive_filter_v1(df: DataFrame, cpu_hi: float = 0.8, n_hi: int = 500, cpu_lo: float = 0.01, seconds: int = 60, scrape: int = 10, **baseline) -> DataFrame:
+    return adaptive_filter(with_priority(baseline_v1(df, **baseline), seconds), cpu_hi, n_hi, cpu_lo, seconds, scrape)
 
 
 # Expected reduction in percent, least and most.
 EXPECTED = {"baseline_v1": (0, 0), "priority_filter_v1": (60, 70), "aggregated_v1": (50, 60), "topk_v1": (40, 50), "adaptive_filter_v1": (0, 100)}
 
 
-def catalog_report(df: DataFrame, pipelines: dict) -> DataFrame:
-    """(pipeline, series, reduction, expected_min, expected_max) of every pipeline over the same input. A series here is host, pid, name and metric."""
-    out = None
-    for name, step in pipelines.items():
-        low, high = EXPECTED[name]
-        one = cardinality(df.transform(step).select("host_name", "pid", "exe", "metric").withColumn("pipeline", F.lit(name)), ["pipeline"], series=("host_name", "pid", "exe", "metric"))
-        one = one.withColumns({"expected_min": F.lit(low), "expected_max": F.lit(high)})
-        out = one if out is None else out.unionByName(one)
+def catalog_report(df: DataFrame, seconds: int = 60, k: int = 20, cpu_hi: float = 0.8, n_hi: int = 500, cpu_lo: float = 0.01, scrape: int = 10, **baseline) -> DataFrame:
+    """(pipeline, series, reduction, expected_min, expected_max) of all five pipelines over the same input. A series here is host, pid, name and metric.
+
+    The steps that the pipelines share run once: each row says which pipelines keep it, and under which series, and meets each
+    series once for each pipeline.
+    """
+    marked = host_facts(classify_category(with_priority(baseline_v1(df, **baseline), seconds)), seconds, scrape)
+    best = best_names(marked, "process.cpu.time", k, ["host_name", "bucket"]).withColumn("_top", F.lit(True))
+    rows = marked.join(best, ["host_name", "bucket", "pid"], "left")
+    own = F.struct("host_name", "pid", "exe", "metric")
+    rolled = F.struct("host_name", F.lit(None).cast("long").alias("pid"), F.concat(F.lit("aggregated_"), "category").alias("exe"), "metric")
+    dropped = any_of([F.coalesce(c, F.lit(False)) for c in adaptive_conditions(cpu_hi, n_hi, cpu_lo)])
+    kept = {
+        "baseline_v1": own,
+        "priority_filter_v1": F.when(is_in("priority", ["critical", "high", "medium"]), own),
+        "aggregated_v1": F.when(eq("aggregate", "true"), rolled).otherwise(own),
+        "topk_v1": F.when(F.coalesce("_top", F.lit(False)), own),
+        "adaptive_filter_v1": F.when(~dropped, own),
+    }
+    of = lambda n: F.struct(F.lit(n).alias("pipeline"), kept[n].alias("s"), *[F.lit(x).alias(c) for c, x in zip(("expected_min", "expected_max"), EXPECTED[n], strict=True)])
+    series = rows.select(F.explode(F.array(*[of(n) for n in kept])).alias("r")).select("r.*").where(F.col("s").isNotNull()).distinct()
+    out = series.groupBy("pipeline", "expected_min", "expected_max").agg(F.count("*").alias("series"))
     base = out.where(eq("pipeline", "baseline_v1")).select(F.col("series").alias("_base"))
     return out.crossJoin(F.broadcast(base)).select("pipeline", "series", F.try_divide((F.col("_base") - F.col("series")).cast("double"), F.col("_base")).alias("reduction"), "expected_min", "expected_max")

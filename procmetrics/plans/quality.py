@@ -62,24 +62,29 @@ def check_ids(df: DataFrame, column: str = "id", pattern: str = "^exp-[a-z0-9]{8
 def rate_limit_breaches(df: DataFrame, limits: DataFrame, seconds: int = 60, anchor: str = "clock") -> DataFrame:
     """(user_id, endpoint, window_start, requests, max_requests) with more requests than allowed; windows start on the clock.
 
-    With anchor='first' a user's window starts at the first request after the one before has run out; a step at a time, one
-    user and endpoint in a task.
+    With anchor='first' a user's window starts at the first request after the one before has run out. Each start depends on the one
+    before, so requests are first counted by second; the seconds of a user and endpoint then pass in order, a batch at a time, and
+    only the running window is kept.
     """
     second = df.select("user_id", "endpoint", F.unix_seconds("ts").alias("at"))
     if anchor == "first":
 
-        def windows(pdf):
-            pdf = pdf.sort_values("at")
-            starts, last = [], None
-            for at in pdf["at"]:
-                last = at if last is None or at >= last + seconds else last
-                starts.append(last)
-            return pdf.assign(window_start=starts)[["user_id", "endpoint", "window_start"]]
-
-        placed = second.groupBy("user_id", "endpoint").applyInPandas(windows, "user_id long, endpoint string, window_start long")
+        def windows(batches):
+            user = endpoint = start = None
+            for pdf in batches:
+                starts = []
+                for u, e, at in zip(pdf["user_id"], pdf["endpoint"], pdf["at"], strict=True):
+                    if (u, e) != (user, endpoint) or at >= start + seconds:
+                        user, endpoint, start = u, e, at
+                    starts.append(start)
+                yield pdf.assign(window_start=starts)[["user_id", "endpoint", "window_start", "n"]]
+
+        counted = second.groupBy("user_id", "endpoint", "at").agg(F.count("*").alias("n"))
+        sorted_ = counted.repartition("user_id", "endpoint").sortWithinPartitions("user_id", "endpoint", "at")
+        placed = sorted_.mapInPandas(windows, "user_id long, endpoint string, window_start long, n long")
     else:
-        placed = second.withColumn("window_start", (F.floor(F.col("at") / seconds) * seconds).cast("long"))
-    counts = placed.groupBy("user_id", "endpoint", "window_start").agg(F.count("*").alias("requests"))
+        placed = second.withColumns({"window_start": (F.floor(F.col("at") / seconds) * seconds).cast("long"), "n": F.lit(1)})
+    counts = placed.groupBy("user_id", "endpoint", "window_start").agg(F.sum("n").alias("requests"))
     return counts.join(small(limits), "endpoint").where(F.col("requests") > F.col("max_requests")).select("user_id", "endpoint", "window_start", "requests", "max_requests")
 
 

@@ -29,9 +29,9 @@ def _(v):
     return L.page_after(v.experiments, "created_at", "id", (F.lit("1996-06-01 00:00:00").cast("timestamp"), "exp-5"), 25).select("id")
 
 
-@query("l3_sort_by", "SELECT id, name FROM experiments ORDER BY name, cents DESC, id LIMIT 50")
+@query("l3_sort_by", "SELECT id, name FROM experiments ORDER BY name, cents DESC, id")
 def _(v):
-    return L.sort_by(v.experiments, "name:asc,cents:desc,id").select("id", "name").limit(50)
+    return L.sort_by(v.experiments, "name:asc,cents:desc,id").select("id", "name")
 
 
 _NEXT = "SELECT *, lead(phase) OVER w AS next_phase, lead(created_at) OVER w AS next_at FROM experiment_events WINDOW w AS (PARTITION BY experiment_id ORDER BY created_at, seq)"
@@ -106,7 +106,13 @@ def _(v):
     return Q.rate_limit_breaches(v.request_log, limits, DAY)
 
 
-@query("dq5_rate_limit_first")
+@query(
+    "dq5_rate_limit_first",
+    f"""WITH RECURSIVE r AS (SELECT user_id, endpoint, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM request_log WHERE endpoint IN ('view', 'click')),
+    w(user_id, endpoint, s) AS (SELECT user_id, endpoint, min(t) FROM r GROUP BY 1, 2 UNION ALL SELECT w.user_id, w.endpoint, min(r.t) FROM w JOIN r ON r.user_id = w.user_id AND r.endpoint = w.endpoint AND r.t >= w.s + {DAY} GROUP BY w.user_id, w.endpoint, w.s)
+    SELECT w.user_id, w.endpoint, w.s AS window_start, count(*) AS requests, max(CASE w.endpoint WHEN 'view' THEN 1 ELSE 2 END) AS max_requests FROM w JOIN r ON r.user_id = w.user_id AND r.endpoint = w.endpoint AND r.t >= w.s AND r.t < w.s + {DAY}
+    GROUP BY 1, 2, 3 HAVING count(*) > max(CASE w.endpoint WHEN 'view' THEN 1 ELSE 2 END)""",
+)
 def _(v):
     limits = v.spark.createDataFrame([("view", 1), ("click", 2)], "endpoint string, max_requests int")
     return Q.rate_limit_breaches(v.request_log, limits, DAY, anchor="first")
@@ -117,6 +123,7 @@ def _(v):
     return Q.indistinct_variants(v.variants, ["host_name", "exe"], ["pid", "metric"])
 
 
-@query("x_duration_interval")
+@query("x_duration_interval", "SELECT id, format('INTERVAL ''{} {:02d}:{:02d}:00'' DAY TO SECOND', m // 1440, m // 60 % 24, m % 60) AS duration FROM (SELECT id, key % 50 * CASE WHEN key % 2 = 0 THEN 60 ELSE 1 END AS m FROM experiments)")
 def _(v):
-    return v.experiments.select("id", X.duration_interval(F.lit("30m")).cast("string").alias("duration"))
+    text = F.concat((F.col("key") % 50).cast("string"), F.when(F.col("key") % 2 == 0, "h").otherwise("m"))
+    return v.experiments.select("id", X.duration_interval(text).cast("string").alias("duration"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from procmetrics import functions as X
 from procmetrics import sources as S
-from procmetrics.model import CRITICAL, bucket
+from procmetrics.model import CRITICAL, bucket, series_id
 from procmetrics.operators import aggregates as A
 from procmetrics.operators import filters as K
 from procmetrics.operators import joins as J
@@ -17,7 +15,7 @@ from procmetrics.operators import series as W
 from procmetrics.operators import transforms as P
 from procmetrics.plans import pipelines as N
 from procmetrics.queries import query
-from procmetrics.queries.views import BLOCK, DAY
+from procmetrics.queries.views import BLOCK, DAY, STALE
 
 D = "datapoints"
 ROW = "point_id, pid, metric, value"
@@ -30,9 +28,18 @@ def micros():
 
 
 # sources and sinks
-@query("s1_read_datapoints", "SELECT epoch_us(ts) AS at, point_id, host_name, pid, exe, owner, metric, value, k FROM datapoints")
+@query("s1_read_datapoints", "SELECT epoch_us(ts) AS at, host_name, pid, exe, owner, metric, value / 1.0 AS value, k FROM datapoints")
+def _(v):
+    path = v.folder("datapoints")
+    v.datapoints.withColumn("value", F.col("value").cast("double")).write.parquet(path)
+    return S.read_datapoints(v.spark, path).select(micros(), "host_name", "pid", "exe", "owner", "metric", "value", X.pick("attrs", "k").alias("k"))
+
+
+@query("s1_read_json", "SELECT host_name, metric, count(*) AS n, sum(value) / 1.0 AS value FROM raw GROUP BY 1, 2")
 def _(v):
-    return v.datapoints.select(micros(), "point_id", "host_name", "pid", "exe", "owner", "metric", "value", X.pick("attrs", "k").alias("k"))
+    path = v.folder("json")
+    v.raw.write.json(path)
+    return S.read_datapoints(v.spark, path, fmt="json").groupBy("host_name", "metric").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
 
 
 @query("s2_scrape_select", "SELECT point_id, exe FROM raw WHERE regexp_matches(exe, '^(?:.*s.*)$') AND NOT regexp_matches(exe, '^(?:ssh.*|slack)$')")
@@ -75,21 +82,27 @@ def _(v):
     return S.relabel(_labels(v), rules).select("point_id", *[X.pick("labels", k).alias(k) for k in ("app", "owner", "address")])
 
 
-@query("s7_exposition", "SELECT 'process_events_total' AS metric, owner, value / 1.0 AS value, point_id FROM raw")
+@query("s7_exposition", "SELECT 'process_events_total' AS metric, 'a, \"' || owner || '\"} \\' AS owner, value / 1.0 AS value, point_id FROM raw")
 def _(v):
-    line = F.format_string('process_events_total{owner="%s",id="%d"} %d', "owner", "point_id", "value")
-    got = S.parse_exposition(v.raw.select(line.alias("value")))
-    return got.select("metric", X.pick("labels", "owner").alias("owner"), "value", X.pick("labels", "id").cast("long").alias("point_id"))
+    line = F.concat(F.lit('process_events_total{owner="a, \\"'), "owner", F.lit('\\"} \\\\",id="'), F.col("point_id").cast("string"), F.lit('",} '), F.col("value").cast("string"))
+    path = v.folder("exposition")
+    v.raw.select(F.explode(F.array(F.lit("# TYPE process_events_total counter"), line)).alias("value")).write.text(path)
+    return S.read_exposition(v.spark, path).select("metric", X.pick("labels", "owner").alias("owner"), "value", X.pick("labels", "id").cast("long").alias("point_id"))
 
 
 @query("s9_hosts", "SELECT * FROM hosts")
 def _(v):
-    return v.hosts
+    path = v.folder("hosts")
+    v.hosts.write.parquet(path)
+    return S.read_hosts(v.spark, path)
 
 
-@query("k1_export_dates", "SELECT variant, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, count(*) AS n FROM variants GROUP BY ALL")
+@query("k1_export_dates", "SELECT variant, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, count(*) AS n, CAST(sum(value) AS BIGINT) AS value FROM variants GROUP BY ALL")
 def _(v):
-    return v.variants.groupBy("variant", F.to_date("ts").cast("string").alias("date")).agg(F.count("*").alias("n"))
+    path = v.folder("export")
+    S.write_datapoints(v.variants, path)
+    read = v.spark.read.schema("value long, variant string, date date").parquet(path)
+    return read.groupBy("variant", F.col("date").cast("string").alias("date")).agg(F.count("*").alias("n"), F.sum("value").alias("value"))
 
 
 @query("k2_to_prometheus", "SELECT point_id, 'px_' || replace(metric, '.', '_') AS name, host_name, k, 'eu' AS zone, value FROM raw")
@@ -110,7 +123,9 @@ def _(v):
 
 @query("k5_month_key", "SELECT CAST(year(created_at) * 100 + month(created_at) AS INTEGER) AS month_key, count(*) AS n FROM experiment_events GROUP BY 1")
 def _(v):
-    return S.with_month_key(v.experiment_events, "created_at").groupBy("month_key").agg(F.count("*").alias("n"))
+    path = v.folder("log")
+    S.write_log(v.experiment_events, "created_at", path)
+    return v.spark.read.schema("month_key int").parquet(path).groupBy("month_key").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -119,7 +134,7 @@ def _(v):
     round(avg(CASE WHEN metric = 'process.memory.physical' THEN value END), 6) AS "memoryResidentSizeBytes", round(sum(CASE WHEN metric = 'process.disk.io' THEN value END) / {BLOCK}.0, 6) AS "ioBytesPerSecond" FROM base GROUP BY 1, 2, 3, 4""",
 )
 def _(v):
-    out = S.to_vendor_schema(N.baseline_v1(v.datapoints), BLOCK)
+    out = S.to_vendor_schema(v.base, BLOCK)
     return out.withColumns({c: X.round6(F.col(c)) for c in S.VENDOR_METRICS.values()})
 
 
@@ -147,12 +162,12 @@ def _(v):
 
 @query("p4_classify_priority", "SELECT point_id, priority FROM prioritised")
 def _(v):
-    return N.with_priority(N.baseline_v1(v.datapoints), BLOCK).select("point_id", "priority")
+    return v.prioritised.select("point_id", "priority")
 
 
 @query("p5_classify_category", "SELECT point_id, category, aggregate FROM categorised")
 def _(v):
-    return P.classify_category(N.with_priority(N.baseline_v1(v.datapoints), BLOCK)).select("point_id", "category", "aggregate")
+    return v.categorised.select("point_id", "category", "aggregate")
 
 
 @query("p6_process_group", "SELECT point_id, CASE WHEN starts_with(exe, 'chrome') THEN 'chrome' WHEN starts_with(exe, 'firefox') THEN 'firefox' ELSE exe END AS process_group FROM raw")
@@ -167,7 +182,7 @@ def _(v):
 
 @query("p8_rename_aggregated", "SELECT point_id, CASE WHEN category IS NOT NULL THEN 'aggregated_' || category ELSE exe END AS exe FROM categorised")
 def _(v):
-    return P.rename_aggregated(P.classify_category(N.with_priority(N.baseline_v1(v.datapoints), BLOCK))).select("point_id", "exe")
+    return P.rename_aggregated(v.categorised).select("point_id", "exe")
 
 
 @query("p9_tag_environment", "SELECT point_id, CASE WHEN regexp_matches(host_name, '^host-[0-2]') THEN 'production' WHEN regexp_matches(host_name, '^host-') THEN 'other' END AS environment FROM raw")
@@ -180,12 +195,17 @@ def _(v):
     return P.process_age(v.raw.withColumn("create_time_ns", F.unix_micros("ts") * 1000), "2024-02-01 00:00:00").select("point_id", X.round6(F.col("age_seconds")).alias("age_seconds"))
 
 
-_SCORE = "SELECT exe, 0.7 * count(DISTINCT (pid, metric)) / sum(count(DISTINCT (pid, metric))) OVER () + 0.3 * count(*) / sum(count(*)) OVER () AS s FROM raw GROUP BY exe"
+@query("x7_age_now", "SELECT point_id, true AS old FROM raw")
+def _(v):
+    return P.process_age(v.raw.withColumn("create_time_ns", F.unix_micros("ts") * 1000)).select("point_id", X.gt("age_seconds", 86400).alias("old"))
+
+
+_SCORE = "SELECT exe, 0.7 * count(DISTINCT (host_name, pid, metric)) / sum(count(DISTINCT (host_name, pid, metric))) OVER () + 0.3 * count(*) / sum(count(*)) OVER () AS s FROM raw GROUP BY exe"
 
 
 @query("p11_cost_score", f"SELECT exe, round(s, 6) AS cost_score FROM ({_SCORE})")
 def _(v):
-    return P.cost_score(v.raw, F.struct("pid", "metric")).withColumn("cost_score", X.round6(F.col("cost_score")))
+    return P.cost_score(v.raw, F.struct("host_name", "pid", "metric")).withColumn("cost_score", X.round6(F.col("cost_score")))
 
 
 @query("p12_alias_metrics", "SELECT point_id, CASE metric WHEN 'process.memory.physical' THEN 'process.memory.physical_usage' ELSE metric END AS metric FROM raw")
@@ -193,12 +213,16 @@ def _(v):
     return P.alias_metrics(v.raw, {"process.memory.physical": "process.memory.physical_usage", "process.memory.virtual": "process.memory.virtual_usage"}).select("point_id", "metric")
 
 
-_FACTS = f"SELECT *, CAST(sum(CASE WHEN metric = 'process.cpu.utilization' THEN value END) OVER w AS BIGINT) AS host_cpu, (SELECT count(DISTINCT pid) FROM prioritised q WHERE q.host_name = p.host_name AND CAST(floor(epoch(q.ts) / {BLOCK}) AS BIGINT) = CAST(floor(epoch(p.ts) / {BLOCK}) AS BIGINT)) AS host_processes FROM prioritised p WINDOW w AS (PARTITION BY host_name, CAST(floor(epoch(ts) / {BLOCK}) AS BIGINT))"
+_BLOCK = f"CAST(floor(epoch(ts) / {BLOCK}) AS BIGINT)"
+# CPU of the host: summed over the processes of a scrape (a day here), averaged over the scrapes of a block
+_FACTS = f"""SELECT q.*, host_cpu, host_processes FROM (SELECT *, {_BLOCK} AS block FROM categorised) q JOIN
+    (SELECT host_name, {_BLOCK} AS block, count(DISTINCT pid) AS host_processes FROM base GROUP BY 1, 2) n USING (host_name, block) LEFT JOIN
+    (SELECT host_name, block, avg(used) AS host_cpu FROM (SELECT host_name, {_BLOCK} AS block, CAST(floor(epoch(ts) / {DAY}) AS BIGINT) AS scrape, sum(CASE WHEN metric = 'process.cpu.utilization' THEN value END) AS used FROM base GROUP BY 1, 2, 3) GROUP BY 1, 2) c USING (host_name, block)"""
 
 
-@query("p13_host_facts", f"SELECT point_id, host_cpu, host_processes FROM ({_FACTS})")
+@query("p13_host_facts", f"SELECT point_id, round(host_cpu, 6) AS host_cpu, host_processes FROM ({_FACTS})")
 def _(v):
-    return P.host_facts(N.with_priority(N.baseline_v1(v.datapoints), BLOCK), BLOCK).select("point_id", "host_cpu", "host_processes")
+    return P.host_facts(v.prioritised, BLOCK, DAY).select("point_id", X.round6(F.col("host_cpu")).alias("host_cpu"), "host_processes")
 
 
 @query("p14_pipeline", f"SELECT {ROW} FROM raw WHERE metric <> 'process.threads' AND owner = 'root'")
@@ -219,12 +243,12 @@ def _(v):
 
 @query("f3_keep_important", "SELECT point_id, priority FROM prioritised WHERE priority <> 'low'")
 def _(v):
-    return K.keep_important(N.with_priority(N.baseline_v1(v.datapoints), BLOCK)).select("point_id", "priority")
+    return K.keep_important(v.prioritised).select("point_id", "priority")
 
 
 @query("f4_split_aggregate", "SELECT point_id, CASE WHEN aggregate = 'true' THEN 'aggregated' ELSE 'individual' END AS branch FROM categorised")
 def _(v):
-    own, low = K.split_aggregate(P.classify_category(N.with_priority(N.baseline_v1(v.datapoints), BLOCK)))
+    own, low = K.split_aggregate(v.categorised)
     return own.select("point_id", F.lit("individual").alias("branch")).unionByName(low.select("point_id", F.lit("aggregated").alias("branch")))
 
 
@@ -233,25 +257,30 @@ def _(v):
     return K.drop_low_consumers(v.raw, {"process.cpu.utilization": 1000, "process.threads": 2000}).select("point_id")
 
 
-@query("f6_high_consumers", f"SELECT point_id FROM base WHERE (pid, CAST(floor(epoch(ts) / {BLOCK}) AS BIGINT)) IN (SELECT (pid, CAST(floor(epoch(ts) / {BLOCK}) AS BIGINT)) FROM base WHERE (metric = 'process.cpu.utilization' AND value > 15000) OR (metric = 'process.memory.physical' AND value > 150000000))")
+@query("f6_high_consumers", f"SELECT point_id FROM base WHERE (host_name, pid, CAST(floor(epoch(ts) / {BLOCK}) AS BIGINT)) IN (SELECT (host_name, pid, CAST(floor(epoch(ts) / {BLOCK}) AS BIGINT)) FROM base WHERE (metric = 'process.cpu.utilization' AND value > 15000) OR (metric = 'process.memory.physical' AND value > 150000000))")
 def _(v):
-    return K.keep_high_consumers(N.baseline_v1(v.datapoints), 15000, 150_000_000, BLOCK).select("point_id")
+    return K.keep_high_consumers(v.base, 15000, 150_000_000, BLOCK).select("point_id")
+
+
+#: Both rules bite: a busy host, and a crowded one with rows of little CPU.
+_ADAPTIVE = {"cpu_hi": 27000, "n_hi": 15, "cpu_lo": 5000}
+_DROPPED = f"coalesce(priority = 'low' AND host_cpu > {_ADAPTIVE['cpu_hi']}, false) OR (priority = 'low' AND metric = 'process.cpu.utilization' AND value < {_ADAPTIVE['cpu_lo']} AND host_processes > {_ADAPTIVE['n_hi']})"
 
 
-@query("f7_adaptive_filter", f"SELECT point_id FROM ({_FACTS}) WHERE NOT (coalesce(priority = 'low' AND host_cpu > 300000, false) OR (priority = 'low' AND metric = 'process.cpu.utilization' AND value < 5000 AND host_processes > 20))")
+@query("f7_adaptive_filter", f"SELECT point_id FROM ({_FACTS}) WHERE NOT ({_DROPPED})")
 def _(v):
-    return K.adaptive_filter(N.with_priority(N.baseline_v1(v.datapoints), BLOCK), 300000, 20, 5000, BLOCK).select("point_id")
+    return K.adaptive_filter(v.prioritised, seconds=BLOCK, scrape=DAY, **_ADAPTIVE).select("point_id")
 
 
 @query("f8_drop_old_low", "SELECT point_id FROM prioritised WHERE NOT (epoch(TIMESTAMP '2024-02-01') - epoch_us(ts) / 1e6 > 864000 AND priority = 'low')")
 def _(v):
-    aged = P.process_age(N.with_priority(N.baseline_v1(v.datapoints), BLOCK).withColumn("create_time_ns", F.unix_micros("ts") * 1000), "2024-02-01 00:00:00")
+    aged = P.process_age(v.prioritised.withColumn("create_time_ns", F.unix_micros("ts") * 1000), "2024-02-01 00:00:00")
     return K.drop_old_low(aged, 864000).select("point_id")
 
 
 @query("f9_drop_cheap", f"SELECT point_id FROM raw JOIN ({_SCORE}) USING (exe) WHERE s >= 0.05")
 def _(v):
-    return K.drop_cheap(v.raw, P.cost_score(v.raw, F.struct("pid", "metric")), 0.05).select("point_id")
+    return K.drop_cheap(v.raw, P.cost_score(v.raw, F.struct("host_name", "pid", "metric")), 0.05).select("point_id")
 
 
 @query("f10_protect_critical", "SELECT point_id FROM raw WHERE value > 10000 OR exe IN ('postgres', 'kafka')")
@@ -269,7 +298,7 @@ def _(v):
 
 @query("f12_sample_by_priority", f"SELECT point_id FROM prioritised WHERE {_HASH.format('point_id')} < CASE priority WHEN 'low' THEN 500 WHEN 'medium' THEN 5000 ELSE 10000 END")
 def _(v):
-    return K.sample_by_priority(N.with_priority(N.baseline_v1(v.datapoints), BLOCK), {"low": 5, "medium": 50}, "point_id").select("point_id")
+    return K.sample_by_priority(v.prioritised, {"low": 5, "medium": 50}, "point_id").select("point_id")
 
 
 @query("f13_route", "SELECT point_id, unnest(CASE owner WHEN 'root' THEN ['hot', 'audit'] WHEN 'app' THEN ['hot'] ELSE ['cold'] END) AS route FROM raw")
@@ -319,7 +348,7 @@ def _(v):
 
 
 # joins
-_CARD = "SELECT host_name, variant, count(DISTINCT (pid, metric)) AS series FROM variants GROUP BY 1, 2"
+_CARD = "SELECT host_name, variant, count(DISTINCT (host_name, pid, metric)) AS series FROM variants GROUP BY 1, 2"
 
 
 def _card(v):
@@ -350,7 +379,7 @@ def _(v):
 
 @query("j4_metric_value", "SELECT point_id, coalesce(memory_value, -1) AS memory_value FROM prioritised")
 def _(v):
-    return P.with_metric_value(N.baseline_v1(v.datapoints), "process.memory.physical", ["pid"], BLOCK, "memory_value").select("point_id", F.coalesce("memory_value", F.lit(-1)).alias("memory_value"))
+    return P.with_metric_value(v.base, "process.memory.physical", ["host_name", "pid"], BLOCK, "memory_value").select("point_id", F.coalesce("memory_value", F.lit(-1)).alias("memory_value"))
 
 
 @query("j5_dimension", "SELECT region, count(*) AS n FROM raw JOIN hosts USING (host_name) GROUP BY 1")
@@ -365,12 +394,12 @@ def _(v):
 
 @query(
     "j7_asof_eval",
-    f"""SELECT pid, metric, step, value FROM (SELECT s.pid, s.metric, g.step, s.value, row_number() OVER (PARTITION BY s.pid, s.metric, g.step ORDER BY floor(epoch(s.ts)) DESC, s.value) AS n
-    FROM raw s JOIN (SELECT CAST(epoch(TIMESTAMP '2024-01-02') AS BIGINT) + i * {DAY} AS step FROM range(0, 20) t(i)) g ON floor(epoch(s.ts)) <= g.step AND g.step - floor(epoch(s.ts)) <= {2 * DAY}) WHERE n = 1""",
+    f"""SELECT host_name, pid, metric, step, value FROM (SELECT s.host_name, s.pid, s.metric, g.step, s.value, row_number() OVER (PARTITION BY s.host_name, s.pid, s.metric, g.step ORDER BY floor(epoch(s.ts)) DESC, s.value) AS n
+    FROM raw s JOIN (SELECT CAST(epoch(TIMESTAMP '2024-01-01') AS BIGINT) + i * {DAY} AS step FROM range(0, 33) t(i)) g ON floor(epoch(s.ts)) <= g.step AND g.step - floor(epoch(s.ts)) <= {2 * DAY}) WHERE n = 1""",
 )
 def _(v):
-    out = J.asof_eval(v.raw, ["pid", "metric"], "2024-01-02", "2024-01-21", DAY, 2 * DAY)
-    return out.select("pid", "metric", F.col("step").cast("long").alias("step"), "value")
+    out = J.asof_eval(v.raw, ["host_name", "pid", "metric"], "2024-01-01", "2024-02-02", DAY, 2 * DAY)
+    return out.select("host_name", "pid", "metric", F.col("step").cast("long").alias("step"), "value")
 
 
 @query("j8_match_patterns", "SELECT point_id, pattern FROM raw JOIN (VALUES ('^k'), ('a$'), ('s')) p(pattern) ON regexp_matches(exe, pattern)")
@@ -378,24 +407,25 @@ def _(v):
     return J.match_patterns(v.raw, v.spark.createDataFrame([("^k",), ("a$",), ("s",)], "pattern string")).select("point_id", "pattern")
 
 
-_RUNS = "SELECT id, 'host-' || (key % 7) AS host_name, started_at - INTERVAL 7 YEAR + to_days(CAST(key % 3000 AS INTEGER)) AS started_at, completed_at - INTERVAL 7 YEAR + to_days(CAST(key % 3000 AS INTEGER)) AS completed_at FROM experiments WHERE key < 400"
+_RUNS = """SELECT id, 'host-' || (key % 7) AS host_name, TIMESTAMP '2024-01-01' + to_days(CAST(key % 25 AS INTEGER)) AS s, CASE WHEN status <> 'running' THEN TIMESTAMP '2024-01-03' + to_days(CAST(key % 25 AS INTEGER)) END AS e FROM experiments"""
 
 
-@query("j9_active_experiment", "SELECT point_id, id AS experiment_id FROM raw JOIN (SELECT id, 'host-' || (key % 7) AS host_name, TIMESTAMP '2024-01-01' + to_days(CAST(key % 25 AS INTEGER)) AS s, CASE WHEN status <> 'running' THEN TIMESTAMP '2024-01-03' + to_days(CAST(key % 25 AS INTEGER)) END AS e FROM experiments WHERE key < 100) x ON raw.host_name = x.host_name AND ts >= s AND (e IS NULL OR ts <= e)")
+@query("j9_active_experiment", f"SELECT point_id, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM raw JOIN ({_RUNS}) x ON raw.host_name = x.host_name AND ts >= s AND (e IS NULL OR ts <= e) GROUP BY 1")
 def _(v):
     day = lambda d: F.lit(d).cast("timestamp") + F.make_dt_interval((F.col("key") % 25).cast("int"))
-    e = v.experiments.where("key < 100").select("id", F.concat(F.lit("host-"), F.col("key") % 7).alias("host_name"), day("2024-01-01").alias("started_at"), F.when(F.col("status") != "running", day("2024-01-03")).alias("completed_at"))
-    return J.attribute_to_experiment(v.raw, e).select("point_id", "experiment_id")
+    e = v.experiments.select("id", F.concat(F.lit("host-"), F.col("key") % 7).alias("host_name"), day("2024-01-01").alias("started_at"), F.when(F.col("status") != "running", day("2024-01-03")).alias("completed_at"))
+    met = J.attribute_to_experiment(v.raw.select("point_id", "host_name", "ts"), e)
+    return met.groupBy("point_id").agg(F.count("*").alias("n"), F.min("experiment_id").alias("first_id"), F.max("experiment_id").alias("last_id"))
 
 
-@query("j10_critical_kept", "SELECT DISTINCT pid, exe FROM variants WHERE variant = 'baseline' AND (pid, exe) IN (SELECT (pid, exe) FROM variants WHERE variant = 'candidate')")
+@query("j10_critical_kept", "SELECT DISTINCT host_name, pid, exe FROM variants WHERE variant = 'baseline' AND (host_name, pid, exe) IN (SELECT (host_name, pid, exe) FROM variants WHERE variant = 'candidate')")
 def _(v):
-    return J.critical_kept(*_split(v.variants), ["pid", "exe"])
+    return J.critical_kept(*_split(v.variants), ["host_name", "pid", "exe"])
 
 
-@query("j10_critical_lost", "SELECT DISTINCT pid, exe FROM variants WHERE variant = 'baseline' AND (pid, exe) NOT IN (SELECT (pid, exe) FROM variants WHERE variant = 'candidate')")
+@query("j10_critical_lost", "SELECT DISTINCT host_name, pid, exe FROM variants WHERE variant = 'baseline' AND (host_name, pid, exe) NOT IN (SELECT (host_name, pid, exe) FROM variants WHERE variant = 'candidate')")
 def _(v):
-    return J.critical_lost(*_split(v.variants), ["pid", "exe"])
+    return J.critical_lost(*_split(v.variants), ["host_name", "pid", "exe"])
 
 
 @query("j11_orphans", "SELECT experiment_id, seq FROM experiment_events WHERE experiment_id NOT IN (SELECT id FROM experiments WHERE status <> 'failed')")
@@ -432,7 +462,7 @@ def _(v):
     return A.cardinality(v.variants, ["host_name", "variant"], approx=True)
 
 
-_RED = "SELECT host_name, count(DISTINCT CASE WHEN variant = 'baseline' THEN (pid, metric) END) AS baseline, count(DISTINCT CASE WHEN variant = 'candidate' THEN (pid, metric) END) AS candidate FROM variants GROUP BY 1"
+_RED = "SELECT host_name, count(DISTINCT CASE WHEN variant = 'baseline' THEN (host_name, pid, metric) END) AS baseline, count(DISTINCT CASE WHEN variant = 'candidate' THEN (host_name, pid, metric) END) AS candidate FROM variants GROUP BY 1"
 
 
 @query("a2_cardinality_reduction", f"SELECT host_name, baseline, candidate, round((baseline - candidate) / baseline, 6) AS reduction FROM ({_RED})")
@@ -440,7 +470,7 @@ def _(v):
     return A.cardinality_reduction(v.variants, ["host_name"]).withColumn("reduction", X.round6(F.col("reduction")))
 
 
-@query("a3_flow_counts", "SELECT host_name, accepted, processes, coalesce(sent, 0) AS sent, coalesce(series, 0) AS series, accepted - coalesce(sent, 0) AS refused FROM (SELECT host_name, count(*) AS accepted, count(DISTINCT pid) AS processes FROM base GROUP BY 1) LEFT JOIN (SELECT host_name, count(*) AS sent, count(DISTINCT (pid, metric)) AS series FROM prioritised WHERE priority <> 'low' GROUP BY 1) USING (host_name)")
+@query("a3_flow_counts", "SELECT host_name, accepted, processes, coalesce(sent, 0) AS sent, coalesce(series, 0) AS series, accepted - coalesce(sent, 0) AS refused FROM (SELECT host_name, count(*) AS accepted, count(DISTINCT (host_name, pid)) AS processes FROM base GROUP BY 1) LEFT JOIN (SELECT host_name, count(*) AS sent, count(DISTINCT (host_name, pid, metric)) AS series FROM prioritised WHERE priority <> 'low' GROUP BY 1) USING (host_name)")
 def _(v):
     return A.flow_counts(*_split(v.variants), ["host_name"])
 
@@ -496,7 +526,7 @@ def _(v):
 
 @query("a11_groupby_attrs", f"SELECT host_name, category, owner, metric, CAST(floor(epoch(ts) / {BLOCK}) AS BIGINT) AS bucket, CAST(sum(value) AS BIGINT) AS value FROM categorised WHERE priority = 'low' GROUP BY ALL")
 def _(v):
-    _, low = K.split_aggregate(P.classify_category(N.with_priority(N.baseline_v1(v.datapoints), BLOCK)))
+    _, low = K.split_aggregate(v.categorised)
     return A.groupby_attrs(low, ["host_name", "category", "owner"], BLOCK)
 
 
@@ -536,7 +566,7 @@ def _(v):
     return A.label_cardinality(P.set_map_attrs(v.raw, {"exe": (F.col("exe"), "upsert")}))
 
 
-@query("a15_contribution", "SELECT exe, count(DISTINCT (pid, metric)) AS series, round(count(DISTINCT (pid, metric)) / sum(count(DISTINCT (pid, metric))) OVER (), 6) AS share FROM raw GROUP BY 1")
+@query("a15_contribution", "SELECT exe, count(DISTINCT (host_name, pid, metric)) AS series, round(count(DISTINCT (host_name, pid, metric)) / sum(count(DISTINCT (host_name, pid, metric))) OVER (), 6) AS share FROM raw GROUP BY 1")
 def _(v):
     return A.cardinality_contribution(v.raw, "exe").withColumn("share", X.round6(F.col("share")))
 
@@ -550,8 +580,8 @@ for _mode, _sql in (("rollup", "ROLLUP (host_name, owner)"), ("cube", "CUBE (hos
 
 @query(
     "a17_churn",
-    f"""WITH a AS (SELECT DISTINCT pid, CAST(floor(epoch(ts) / {DAY}) AS BIGINT) AS bucket FROM raw), l AS (SELECT pid, min(bucket) AS f, max(bucket) AS t FROM a GROUP BY 1)
-    SELECT bucket, count(*) AS active, count(*) FILTER (f = bucket) AS started, count(*) FILTER (t = bucket) AS ended, round(count(*) FILTER (f = bucket) / count(*), 6) AS churn FROM a JOIN l USING (pid) GROUP BY 1""",
+    f"""WITH a AS (SELECT DISTINCT host_name, pid, CAST(floor(epoch(ts) / {DAY}) AS BIGINT) AS bucket FROM raw), l AS (SELECT host_name, pid, min(bucket) AS f, max(bucket) AS t FROM a GROUP BY 1, 2)
+    SELECT bucket, count(*) AS active, count(*) FILTER (f = bucket) AS started, count(*) FILTER (t = bucket) AS ended, round(count(*) FILTER (f = bucket) / count(*), 6) AS churn FROM a JOIN l USING (host_name, pid) GROUP BY 1""",
 )
 def _(v):
     return A.process_churn(v.raw, DAY).withColumn("churn", X.round6(F.col("churn")))
@@ -572,14 +602,14 @@ def _(v):
     return out.withColumn("p", A.welch_p("t", "dof"))
 
 
-@query("a19_pipeline_counts", f"SELECT host_name, count(DISTINCT CASE WHEN priority <> 'low' THEN pid END) AS kept_processes, count(DISTINCT CASE WHEN priority = 'low' THEN category END) AS aggregated_groups FROM categorised GROUP BY 1")
+@query("a19_pipeline_counts", f"SELECT host_name, count(DISTINCT CASE WHEN priority <> 'low' THEN (host_name, pid) END) AS kept_processes, count(DISTINCT CASE WHEN priority = 'low' THEN category END) AS aggregated_groups FROM categorised GROUP BY 1")
 def _(v):
-    return A.pipeline_counts(N.aggregated_v1(v.datapoints, BLOCK), ["host_name"])
+    return A.pipeline_counts(N.aggregated_v1(v.datapoints, BLOCK, max_staleness=STALE), ["host_name"])
 
 
 @query("a20_overhead", "SELECT host_name, round(sum(CASE WHEN metric = 'process.cpu.time' THEN value END)::DOUBLE / 2592000, 6) AS cpu_rate, round(avg(CASE WHEN metric = 'process.memory.physical' THEN value END), 4) AS memory_mean, max(CASE WHEN metric = 'process.memory.physical' THEN value END) AS memory_max, round(max(CASE WHEN metric = 'process.memory.physical' THEN value END) / 2e8, 6) AS memory_ratio FROM base GROUP BY 1")
 def _(v):
-    out = A.collector_overhead(N.baseline_v1(v.datapoints), ["host_name"], 2e8, 2592000)
+    out = A.collector_overhead(v.base, ["host_name"], 2e8, 2592000)
     return out.withColumns({"cpu_rate": X.round6(F.col("cpu_rate")), "memory_mean": F.round("memory_mean", 4), "memory_ratio": X.round6(F.col("memory_ratio"))})
 
 
@@ -611,24 +641,24 @@ def _(v):
 # series
 @query("w1_delta", "SELECT point_id, metric, value FROM base")
 def _(v):
-    return W.cumulative_to_delta(v.datapoints).select("point_id", "metric", "value")
+    return W.cumulative_to_delta(v.datapoints, max_staleness=STALE).select("point_id", "metric", "value")
 
 
 @query(
     "w1_delta_reset_value",
-    f"""SELECT point_id, CASE WHEN NOT c THEN value WHEN value >= pv THEN value - pv ELSE value END AS value FROM (SELECT *, metric IN ('process.cpu.time', 'process.disk.io') AS c, lag(value) OVER w AS pv, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS gap FROM datapoints WINDOW w AS (PARTITION BY pid, metric ORDER BY ts, point_id))
+    f"""SELECT point_id, CASE WHEN NOT c THEN value WHEN value >= pv THEN value - pv ELSE value END AS value FROM (SELECT *, metric IN ('process.cpu.time', 'process.disk.io') AS c, lag(value) OVER w AS pv, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS gap FROM datapoints WINDOW w AS (PARTITION BY host_name, pid, metric ORDER BY ts, point_id))
     WHERE NOT c OR (pv IS NOT NULL AND gap <= {3 * DAY * 1000000})""",
 )
 def _(v):
     return W.cumulative_to_delta(v.datapoints, max_staleness=3 * DAY, reset="value").select("point_id", "value")
 
 
-_RANGE = f"OVER (PARTITION BY pid, metric ORDER BY epoch_us(ts) RANGE BETWEEN {5 * DAY * 1000000 - 1} PRECEDING AND CURRENT ROW)"
+_RANGE = f"OVER (PARTITION BY host_name, pid, metric ORDER BY epoch_us(ts) RANGE BETWEEN {5 * DAY * 1000000 - 1} PRECEDING AND CURRENT ROW)"
 
 
 @query("w2_rate", f"SELECT point_id, CAST(sum(value) {_RANGE} AS BIGINT) AS increase, round(sum(value) {_RANGE}::DOUBLE / {5 * DAY}, 6) AS rate FROM base WHERE metric = 'process.cpu.time'")
 def _(v):
-    d = W.cumulative_to_delta(v.datapoints.where(X.eq("metric", "process.cpu.time")))
+    d = W.cumulative_to_delta(v.datapoints.where(X.eq("metric", "process.cpu.time")), max_staleness=STALE)
     return W.rate(d, 5 * DAY).select("point_id", "increase", X.round6(F.col("rate")).alias("rate"))
 
 
@@ -640,7 +670,7 @@ def _(v):
 
 @query("w4_cpu_avg", f"SELECT point_id, round(avg(value / gap) {_RANGE}, 6) AS cpu_avg FROM base WHERE metric = 'process.cpu.time' AND gap > 0")
 def _(v):
-    return W.generate_cpu_avg(W.cumulative_to_delta(v.datapoints), 5 * DAY).select("point_id", X.round6(F.col("cpu_avg")).alias("cpu_avg"))
+    return W.generate_cpu_avg(W.cumulative_to_delta(v.datapoints, max_staleness=STALE), 5 * DAY).select("point_id", X.round6(F.col("cpu_avg")).alias("cpu_avg"))
 
 
 _STEPS = f"SELECT host_name, CAST(floor(epoch(ts) / {DAY}) AS BIGINT) * {DAY} AS step, count(*) AS n FROM raw GROUP BY 1, 2"
@@ -658,9 +688,9 @@ def _(v):
     return W.alert_for(_steps(v), F.col("n") > 45, 2 * DAY, DAY, ["host_name"]).select("host_name", "step", "state")
 
 
-@query("w7_latest_by", "SELECT pid, metric, arg_max(value, (ts, point_id)) AS value FROM raw GROUP BY 1, 2")
+@query("w7_latest_by", "SELECT host_name, pid, metric, arg_max(value, (ts, point_id)) AS value FROM raw GROUP BY 1, 2, 3")
 def _(v):
-    return L.latest_by(v.raw.select("pid", "metric", "ts", "point_id", "value"), ["pid", "metric"], ["ts", "point_id"]).select("pid", "metric", "value")
+    return L.latest_by(v.raw.select("host_name", "pid", "metric", "ts", "point_id", "value"), ["host_name", "pid", "metric"], ["ts", "point_id"]).select("host_name", "pid", "metric", "value")
 
 
 @query("w9_stable_for", f"SELECT host_name, step, min(CASE WHEN n > 35 THEN 1 ELSE 0 END) OVER (PARTITION BY host_name ORDER BY step RANGE BETWEEN {3 * DAY} PRECEDING AND CURRENT ROW) = 1 AND step - min(step) OVER (PARTITION BY host_name) >= {3 * DAY} AS stable FROM ({_STEPS})")
@@ -668,7 +698,7 @@ def _(v):
     return W.stable_for(_steps(v), F.col("n") > 35, 3 * DAY, ["host_name"]).select("host_name", "step", "stable")
 
 
-@query("w10_resample", f"SELECT pid, metric, CAST(floor(epoch(ts) / {DAY}) AS BIGINT) * {DAY} AS bucket_start, round(avg(value), 6) AS value FROM raw GROUP BY 1, 2, 3")
+@query("w10_resample", f"SELECT host_name, pid, metric, CAST(floor(epoch(ts) / {DAY}) AS BIGINT) * {DAY} AS bucket_start, round(avg(value), 6) AS value FROM raw GROUP BY 1, 2, 3, 4")
 def _(v):
     return W.resample(v.raw, DAY).withColumn("value", X.round6(F.col("value")))
 
@@ -702,9 +732,9 @@ def _(v):
     return v.variants.groupBy("variant", "metric").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
 
 
-@query("u3_process_set_diff", "SELECT pid, CASE WHEN bool_or(variant = 'baseline') AND bool_or(variant = 'candidate') THEN 'kept' WHEN bool_or(variant = 'baseline') THEN 'lost' ELSE 'new' END AS state FROM variants WHERE variant = 'baseline' OR pid % 5 > 0 GROUP BY 1")
+@query("u3_process_set_diff", "SELECT host_name, pid, CASE WHEN bool_or(variant = 'baseline') AND bool_or(variant = 'candidate') THEN 'kept' WHEN bool_or(variant = 'baseline') THEN 'lost' ELSE 'new' END AS state FROM variants WHERE variant = 'baseline' OR pid % 5 > 0 GROUP BY 1, 2")
 def _(v):
-    return L.process_set_diff(v.variants.where((F.col("variant") == "baseline") | (F.col("pid") % 5 > 0)), ["pid"])
+    return L.process_set_diff(v.variants.where((F.col("variant") == "baseline") | (F.col("pid") % 5 > 0)), ["host_name", "pid"])
 
 
 @query("u4_distinct_series", "SELECT DISTINCT metric, exe, owner FROM raw")
@@ -713,14 +743,20 @@ def _(v):
 
 
 # pipelines
-@query("n1_baseline_v1", f"SELECT {ROW}, region FROM base LEFT JOIN hosts USING (host_name)")
+@query("n1_baseline_v1", f"SELECT {ROW}, region, CASE WHEN pid % 2 = 0 THEN 'own' ELSE 'exp-1' END AS experiment_id, 'baseline' AS variant, host_name AS node_name FROM base LEFT JOIN hosts USING (host_name)")
 def _(v):
-    return N.baseline_v1(v.datapoints, v.hosts).select(*row, "region")
+    tagged = v.datapoints.withColumns({"experiment_id": F.when(F.col("pid") % 2 == 0, "own"), "node_name": F.lit("old")})
+    return N.baseline_v1(tagged, v.hosts, experiment="exp-1", max_staleness=STALE).select(*row, "region", "experiment_id", "variant", "node_name")
+
+
+@query("n1_default_staleness", "SELECT point_id, value FROM base WHERE metric NOT IN ('process.cpu.time', 'process.disk.io') OR gap <= 600")
+def _(v):
+    return N.baseline_v1(v.datapoints).select("point_id", "value")
 
 
 @query("n2_priority_filter_v1", f"SELECT {ROW}, priority FROM prioritised WHERE priority <> 'low'")
 def _(v):
-    return N.priority_filter_v1(v.datapoints, BLOCK).select(*row, "priority")
+    return N.priority_filter_v1(v.datapoints, BLOCK, max_staleness=STALE).select(*row, "priority")
 
 
 _AGG = f"""SELECT host_name, exe, owner, metric, epoch_us(ts) AS at, pid, value FROM categorised WHERE priority <> 'low' UNION ALL
@@ -729,36 +765,41 @@ _AGG = f"""SELECT host_name, exe, owner, metric, epoch_us(ts) AS at, pid, value
 
 @query("n3_aggregated_v1", _AGG)
 def _(v):
-    return N.aggregated_v1(v.datapoints, BLOCK).fillna(-1, ["pid"]).select("host_name", "exe", "owner", "metric", micros(), "pid", "value")
+    return N.aggregated_v1(v.datapoints, BLOCK, max_staleness=STALE).fillna(-1, ["pid"]).select("host_name", "exe", "owner", "metric", micros(), "pid", "value")
 
 
 @query("u1_union_branches", f"SELECT exe, count(*) AS n FROM ({_AGG}) GROUP BY 1")
 def _(v):
-    return N.aggregated_v1(v.datapoints, BLOCK).groupBy("exe").agg(F.count("*").alias("n"))
+    return N.aggregated_v1(v.datapoints, BLOCK, max_staleness=STALE).groupBy("exe").agg(F.count("*").alias("n"))
 
 
-@query(
-    "n4_topk_v1",
-    f"""SELECT point_id FROM (SELECT *, CAST(floor(epoch(ts) / {BLOCK}) AS BIGINT) AS b FROM base) WHERE (host_name, b, pid) IN (SELECT (host_name, b, pid) FROM (SELECT host_name, b, pid, row_number() OVER (PARTITION BY host_name, b ORDER BY total DESC, pid) AS n FROM
-    (SELECT host_name, CAST(floor(epoch(ts) / {BLOCK}) AS BIGINT) AS b, pid, sum(value) AS total FROM base WHERE metric = 'process.cpu.time' GROUP BY 1, 2, 3)) WHERE n <= 5)""",
-)
+_TOP = f"""SELECT * FROM (SELECT *, {_BLOCK} AS b FROM base) WHERE (host_name, b, pid) IN (SELECT (host_name, b, pid) FROM (SELECT host_name, b, pid, row_number() OVER (PARTITION BY host_name, b ORDER BY total DESC, pid) AS n FROM
+    (SELECT host_name, {_BLOCK} AS b, pid, sum(value) AS total FROM base WHERE metric = 'process.cpu.time' GROUP BY 1, 2, 3)) WHERE n <= 5)"""
+
+
+@query("n4_topk_v1", f"SELECT point_id FROM ({_TOP})")
 def _(v):
-    return N.topk_v1(v.datapoints, 5, BLOCK).select("point_id")
+    return N.topk_v1(v.datapoints, 5, BLOCK, max_staleness=STALE).select("point_id")
 
 
-@query("n5_adaptive_filter_v1", f"SELECT point_id FROM ({_FACTS}) WHERE NOT coalesce(priority = 'low' AND host_cpu > 300000, false)")
+@query("n5_adaptive_filter_v1", f"SELECT point_id FROM ({_FACTS}) WHERE NOT ({_DROPPED})")
 def _(v):
-    return N.adaptive_filter_v1(v.datapoints, 300000, 10**9, 0, BLOCK).select("point_id")
+    return N.adaptive_filter_v1(v.datapoints, seconds=BLOCK, scrape=DAY, max_staleness=STALE, **_ADAPTIVE).select("point_id")
+
+
+_SERIES = "count(DISTINCT (host_name, pid, exe, metric))"
 
 
 @query(
     "n6_catalog_report",
-    f"""WITH s AS (SELECT 'baseline_v1' AS pipeline, count(DISTINCT (host_name, pid, exe, metric)) AS series FROM base UNION ALL SELECT 'priority_filter_v1', count(DISTINCT (host_name, pid, exe, metric)) FROM prioritised WHERE priority <> 'low' UNION ALL
-    SELECT 'aggregated_v1', count(*) FROM (SELECT DISTINCT host_name, pid, exe, metric FROM ({_AGG}))) SELECT pipeline, series, round(((SELECT series FROM s WHERE pipeline = 'baseline_v1') - series) / (SELECT series FROM s WHERE pipeline = 'baseline_v1'), 6) AS reduction FROM s""",
+    f"""WITH s AS (SELECT 'baseline_v1' AS pipeline, {_SERIES} AS series FROM base UNION ALL SELECT 'priority_filter_v1', {_SERIES} FROM prioritised WHERE priority <> 'low' UNION ALL
+    SELECT 'aggregated_v1', count(*) FROM (SELECT DISTINCT host_name, pid, exe, metric FROM ({_AGG})) UNION ALL SELECT 'topk_v1', {_SERIES} FROM ({_TOP}) UNION ALL SELECT 'adaptive_filter_v1', {_SERIES} FROM ({_FACTS}) WHERE NOT ({_DROPPED}))
+    SELECT pipeline, series, round(((SELECT series FROM s WHERE pipeline = 'baseline_v1') - series) / (SELECT series FROM s WHERE pipeline = 'baseline_v1'), 6) AS reduction,
+    CASE pipeline WHEN 'priority_filter_v1' THEN 60 WHEN 'aggregated_v1' THEN 50 WHEN 'topk_v1' THEN 40 ELSE 0 END AS expected_min, CASE pipeline WHEN 'baseline_v1' THEN 0 WHEN 'priority_filter_v1' THEN 70 WHEN 'aggregated_v1' THEN 60 WHEN 'topk_v1' THEN 50 ELSE 100 END AS expected_max FROM s""",
 )
 def _(v):
-    report = N.catalog_report(v.datapoints, {"baseline_v1": N.baseline_v1, "priority_filter_v1": partial(N.priority_filter_v1, seconds=BLOCK), "aggregated_v1": partial(N.aggregated_v1, seconds=BLOCK)})
-    return report.select("pipeline", "series", X.round6(F.col("reduction")).alias("reduction"))
+    report = N.catalog_report(v.datapoints, BLOCK, 5, scrape=DAY, max_staleness=STALE, **_ADAPTIVE)
+    return report.withColumn("reduction", X.round6(F.col("reduction")))
 
 
 # scalar functions
@@ -787,6 +828,14 @@ def _(v):
     return v.experiments.select("id", F.unix_micros(X.rfc3339(F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"))).alias("parsed"))
 
 
-@query("x_json_output")
+@query("x13_series_id", "SELECT host_name, count(DISTINCT (metric, k, owner)) AS series FROM raw GROUP BY 1")
+def _(v):
+    entry = lambda name, value: (F.lit(name), F.col(value) if value != "k" else X.pick("attrs", "k"))
+    ways = [F.create_map(*entry("k", "k"), *entry("owner", "owner")), F.create_map(*entry("owner", "owner"), *entry("k", "k"))]
+    both = v.raw.withColumn("attrs", F.when(F.col("point_id") % 2 == 0, ways[0]).otherwise(ways[1]))  # the same labels in two key orders
+    return A.cardinality(both.withColumn("series_id", series_id()), ["host_name"], series=["series_id"])
+
+
+@query("x_json_output", """SELECT id, '{"id":"' || id || '","owner":"' || owner || '","status":"' || status || '"}' AS json FROM experiments""")
 def _(v):
-    return v.experiments.select("id", F.to_json(F.struct("id", "owner", "status")).alias("json"))
+    return v.experiments.select("id", X.json_text("id", "owner", "status").alias("json"))

@@ -13,7 +13,7 @@ from procmetrics.plans import alerts as AL
 from procmetrics.plans import experiments as E
 from procmetrics.queries import query
 from procmetrics.queries.metrics import _FOR
-from procmetrics.queries.views import BLOCK, DAY, Views
+from procmetrics.queries.views import BLOCK, DAY, STALE, Views
 
 MINUTES = 43200.0
 
@@ -27,7 +27,7 @@ def _summary(v: Views) -> DataFrame:
 
 
 _SUMMARY = f"""(SELECT host_name, sb AS baseline, sc AS candidate, (sb - sc) / nullif(sb, 0) AS cardinality_reduction, nb / {MINUTES} AS baseline_dpm, nc / {MINUTES} AS candidate_dpm, (nb - nc) / nullif(nb, 0) AS cost_reduction, cc / nullif(cb, 0) AS critical_coverage, 0.05 AS latency_increase FROM
-    (SELECT host_name, count(DISTINCT CASE WHEN variant = 'baseline' THEN (pid, metric) END) AS sb, count(DISTINCT CASE WHEN variant = 'candidate' THEN (pid, metric) END) AS sc, count(*) FILTER (variant = 'baseline') AS nb, count(*) FILTER (variant = 'candidate') AS nc,
+    (SELECT host_name, count(DISTINCT CASE WHEN variant = 'baseline' THEN (host_name, pid, metric) END) AS sb, count(DISTINCT CASE WHEN variant = 'candidate' THEN (host_name, pid, metric) END) AS sc, count(*) FILTER (variant = 'baseline') AS nb, count(*) FILTER (variant = 'candidate') AS nc,
     count(DISTINCT CASE WHEN variant = 'baseline' AND regexp_matches(exe, '{CRITICAL}') THEN exe END) AS cb, count(DISTINCT CASE WHEN variant = 'candidate' AND regexp_matches(exe, '{CRITICAL}') THEN exe END) AS cc
     FROM variants WHERE NOT (variant = 'candidate' AND exe = 'kafka' AND host_name IN ('host-1', 'host-4')) GROUP BY 1))"""
 
@@ -92,7 +92,7 @@ def _step(df: DataFrame) -> DataFrame:
     return df.withColumn("step", bucket("ts", DAY) * DAY)
 
 
-@query("al1_cardinality", _alert(f"SELECT *, series > 25 AS active FROM (SELECT host_name, {_DAY} AS step, count(DISTINCT (pid, metric)) AS series FROM raw GROUP BY 1, 2)", "host_name", DAY))
+@query("al1_cardinality", _alert(f"SELECT *, series > 25 AS active FROM (SELECT host_name, {_DAY} AS step, count(DISTINCT (host_name, pid, metric)) AS series FROM raw GROUP BY 1, 2)", "host_name", DAY))
 def _(v):
     return AL.alert_cardinality(A.cardinality(_step(v.raw), ["host_name", "step"]), ["host_name"], DAY, 25, DAY).select("host_name", "step", "state")
 
@@ -140,7 +140,7 @@ def _(v):
     return AL.render_alert(m, ["Collector ", F.col("host_name"), " is using ", X.percent_text(F.col("m") / 2e8), " of its memory limit"]).select("host_name", "message")
 
 
-@query("al6_rate", f"SELECT point_id, round(sum(value) OVER (PARTITION BY pid, metric ORDER BY epoch_us(ts) RANGE BETWEEN {BLOCK * 1000000 - 1} PRECEDING AND CURRENT ROW)::DOUBLE / {BLOCK}, 6) AS rate FROM base WHERE metric = 'process.disk.io'")
+@query("al6_rate", f"SELECT point_id, round(sum(value) OVER (PARTITION BY host_name, pid, metric ORDER BY epoch_us(ts) RANGE BETWEEN {BLOCK * 1000000 - 1} PRECEDING AND CURRENT ROW)::DOUBLE / {BLOCK}, 6) AS rate FROM base WHERE metric = 'process.disk.io'")
 def _(v):
-    d = cumulative_to_delta(v.datapoints.where(X.eq("metric", "process.disk.io")))
+    d = cumulative_to_delta(v.datapoints.where(X.eq("metric", "process.disk.io")), max_staleness=STALE)
     return rate(d, BLOCK).select("point_id", X.round6(F.col("rate")).alias("rate"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +18,8 @@ PHASE_OF = ["pending", "generating", "deploying", "running", "analyzing", "compl
 ACTION_OF = ["update", "delete", "promote", "view"]
 DAY = 86400
 BLOCK = 10 * DAY
+#: Points of a series are a day or so apart, so counters may be older here than in the pipelines' default.
+STALE = 5 * DAY
 
 
 def _pick(names: list[str], index) -> F.Column:
@@ -28,6 +32,11 @@ class Views:
         # the given tables have times without zone
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
+    def folder(self, name: str) -> str:
+        """A new path below spark.checkpoint.dir, which all executors share; a temporary one where that is unset, as in tests."""
+        base = self.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
+        return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
@@ -36,11 +45,11 @@ class Views:
         e = self.table("events")
         metric = F.coalesce(*[F.when(F.col("event_type") == t, m) for t, m in METRIC_OF.items()])
         d = e.select(
-            F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("point_id"), F.concat(F.lit("host-"), F.col("user_id") % 7).alias("host_name"), F.col("user_id").alias("pid"),
+            F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("point_id"), F.concat(F.lit("host-"), F.col("user_id") % 7).alias("host_name"), F.expr("user_id div 7").alias("pid"),
             _pick(NAMES, F.col("user_id") % 20).alias("exe"), _pick(OWNERS, F.col("user_id") % 3).alias("owner"), metric.alias("metric"), F.round(F.col("value") * 100).cast("long").alias("c"),
             F.create_map(F.lit("k"), F.get_json_object("props", "$.k")).alias("attrs"),
         )
-        w = Window.partitionBy("pid", "metric", F.floor(F.unix_seconds("ts") / BLOCK)).orderBy("ts", "point_id").rowsBetween(Window.unboundedPreceding, 0)
+        w = Window.partitionBy("host_name", "pid", "metric", F.floor(F.unix_seconds("ts") / BLOCK)).orderBy("ts", "point_id").rowsBetween(Window.unboundedPreceding, 0)
         counter = F.col("metric").isin("process.cpu.time", "process.disk.io")
         value = F.when(counter, F.sum("c").over(w)).when(F.col("metric") == "process.memory.physical", F.col("c") * 10000).otherwise(F.col("c"))
         return d.withColumn("value", value).drop("c")
@@ -51,7 +60,7 @@ class Views:
         e = self.table("events")
         metric = F.coalesce(*[F.when(F.col("event_type") == t, m) for t, m in METRIC_OF.items()])
         return e.select(
-            F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("point_id"), F.concat(F.lit("host-"), F.col("user_id") % 7).alias("host_name"), F.col("user_id").alias("pid"), _pick(NAMES, F.col("user_id") % 20).alias("exe"),
+            F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("point_id"), F.concat(F.lit("host-"), F.col("user_id") % 7).alias("host_name"), F.expr("user_id div 7").alias("pid"), _pick(NAMES, F.col("user_id") % 20).alias("exe"),
             _pick(OWNERS, F.col("user_id") % 3).alias("owner"), metric.alias("metric"), F.round(F.col("value") * 100).cast("long").alias("value"), F.create_map(F.lit("k"), F.get_json_object("props", "$.k")).alias("attrs"),
         )
 
@@ -92,6 +101,25 @@ class Views:
             _pick(NAMES, F.col("l_partkey") % 20).alias("exe"), _pick(OWNERS, F.col("l_partkey") % 3).alias("owner"), metric.alias("metric"), F.col("l_quantity").cast("long").alias("value"), F.create_map(F.lit("k"), F.col("l_returnflag")).alias("attrs"),
         )
 
+    @cached_property
+    def base(self) -> DataFrame:
+        """Datapoints through the baseline pipeline."""
+        from procmetrics.plans.pipelines import baseline_v1
+
+        return baseline_v1(self.datapoints, max_staleness=STALE)
+
+    @cached_property
+    def prioritised(self) -> DataFrame:
+        from procmetrics.plans.pipelines import with_priority
+
+        return with_priority(self.base, BLOCK)
+
+    @cached_property
+    def categorised(self) -> DataFrame:
+        from procmetrics.operators.transforms import classify_category
+
+        return classify_category(self.prioritised)
+
     @cached_property
     def variants(self) -> DataFrame:
         """Datapoints through the baseline and the priority filter."""
@@ -100,7 +128,7 @@ class Views:
         from procmetrics.operators.ranking import run_variants
         from procmetrics.plans.pipelines import baseline_v1, priority_filter_v1
 
-        return run_variants(self.datapoints, {"baseline": baseline_v1, "candidate": partial(priority_filter_v1, seconds=BLOCK)})
+        return run_variants(self.datapoints, {"baseline": partial(baseline_v1, max_staleness=STALE), "candidate": partial(priority_filter_v1, seconds=BLOCK, max_staleness=STALE)})
 
 
 def _list(names: list[str]) -> str:
@@ -108,13 +136,13 @@ def _list(names: list[str]) -> str:
 
 
 _METRIC = "CASE event_type " + " ".join(f"WHEN '{t}' THEN '{m}'" for t, m in METRIC_OF.items()) + " END"
-_BASE = f"ts, event_id AS point_id, 'host-' || (user_id % 7) AS host_name, user_id AS pid, {_list(NAMES)}[user_id % 20 + 1] AS exe, {_list(OWNERS)}[user_id % 3 + 1] AS owner, {_METRIC} AS metric"
+_BASE = f"ts, event_id AS point_id, 'host-' || (user_id % 7) AS host_name, user_id // 7 AS pid, {_list(NAMES)}[user_id % 20 + 1] AS exe, {_list(OWNERS)}[user_id % 3 + 1] AS owner, {_METRIC} AS metric"
 
 #: Each view and the views that it reads.
 SQL_VIEWS = {
     "raw": f"SELECT {_BASE}, CAST(round(value * 100) AS BIGINT) AS value, json_extract_string(props, '$.k') AS k FROM events",
     "datapoints": f"""SELECT ts, point_id, host_name, pid, exe, owner, metric, k, CASE WHEN metric IN ('process.cpu.time', 'process.disk.io')
-        THEN CAST(sum(value) OVER (PARTITION BY pid, metric, CAST(floor(epoch(ts) / {BLOCK}) AS BIGINT) ORDER BY ts, point_id ROWS UNBOUNDED PRECEDING) AS BIGINT)
+        THEN CAST(sum(value) OVER (PARTITION BY host_name, pid, metric, CAST(floor(epoch(ts) / {BLOCK}) AS BIGINT) ORDER BY ts, point_id ROWS UNBOUNDED PRECEDING) AS BIGINT)
         WHEN metric = 'process.memory.physical' THEN value * 10000 ELSE value END AS value FROM raw""",
     "hosts": """SELECT host_name, CASE WHEN r % 2 = 0 THEN 'linux' ELSE 'windows' END AS os_type, n AS region, CASE WHEN r < 2 THEN 'prod' ELSE 'dev' END AS environment
         FROM (SELECT 'host-' || (s_suppkey % 7) AS host_name, arg_min(n_name, s_suppkey) AS n, arg_min(n_regionkey, s_suppkey) AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1)""",
@@ -128,11 +156,11 @@ SQL_VIEWS = {
 
 _PRIORITY = "CASE WHEN regexp_matches(exe, '^(systemd|init|kernel)') OR regexp_matches(exe, '^(sshd|chronyd|networkd)') THEN 'high' WHEN regexp_matches(exe, '^(nginx|apache|haproxy|envoy|postgres|mysql|mongodb|redis|elasticsearch|kafka|rabbitmq|nats|kubelet|dockerd|containerd)') THEN 'critical'"
 SQL_VIEWS |= {
-    "base": """SELECT ts, point_id, host_name, pid, exe, owner, metric, k, v AS value, gap FROM (SELECT *, CASE WHEN metric IN ('process.cpu.time', 'process.disk.io') THEN value - lag(value) OVER w ELSE value END AS v,
-        CASE WHEN metric IN ('process.cpu.time', 'process.disk.io') THEN (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 END AS gap FROM datapoints WINDOW w AS (PARTITION BY pid, metric ORDER BY ts, point_id))
-        WHERE metric NOT IN ('process.cpu.time', 'process.disk.io') OR v >= 0""",
+    "base": f"""SELECT ts, point_id, host_name, pid, exe, owner, metric, k, v AS value, gap FROM (SELECT *, CASE WHEN metric IN ('process.cpu.time', 'process.disk.io') THEN value - lag(value) OVER w ELSE value END AS v,
+        CASE WHEN metric IN ('process.cpu.time', 'process.disk.io') THEN (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 END AS gap FROM datapoints WINDOW w AS (PARTITION BY host_name, pid, metric ORDER BY ts, point_id))
+        WHERE metric NOT IN ('process.cpu.time', 'process.disk.io') OR (v >= 0 AND gap <= {STALE})""",
     "prioritised": f"""SELECT *, {_PRIORITY} WHEN regexp_matches(exe, '^(python|java|node|ruby|go)') AND coalesce(memory_value > 100000000, false) THEN 'medium' ELSE 'low' END AS priority
-        FROM (SELECT *, max(CASE WHEN metric = 'process.memory.physical' THEN value END) OVER (PARTITION BY pid, CAST(floor(epoch(ts) / {BLOCK}) AS BIGINT)) AS memory_value FROM base)""",
+        FROM (SELECT *, max(CASE WHEN metric = 'process.memory.physical' THEN value END) OVER (PARTITION BY host_name, pid, CAST(floor(epoch(ts) / {BLOCK}) AS BIGINT)) AS memory_value FROM base)""",
     "categorised": """SELECT *, CASE WHEN priority = 'low' THEN 'true' END AS aggregate, CASE WHEN regexp_matches(exe, '^(grep|sed|awk|find|ls|ps)') THEN 'utilities' WHEN regexp_matches(exe, '^(datadog|newrelic|prometheus)') THEN 'monitoring'
         WHEN regexp_matches(exe, '^(slack|teams|zoom|discord)') THEN 'communication' WHEN regexp_matches(exe, '^(code|idea|eclipse|vim|emacs)') THEN 'dev_tools' WHEN regexp_matches(exe, '^(chrome|firefox|safari|edge)') THEN 'browsers'
         WHEN priority = 'low' THEN 'other' END AS category FROM prioritised""",
@@ -157,4 +185,7 @@ def with_views(sql: str) -> str:
     own = sql.strip()
     if not ctes:
         return own
-    return f"WITH {ctes}, {own[5:]}" if own.upper().startswith("WITH ") else f"WITH {ctes} {own}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if own.upper().startswith(start):
+            return f"{start}{ctes}, {own[len(start):]}"
+    return f"WITH {ctes} {own}"

@@ -88,13 +88,26 @@ def relabel(df: DataFrame, rules: Sequence[Mapping], labels: str = "labels") ->
 
 
 def parse_exposition(lines: DataFrame, column: str = "value") -> DataFrame:
-    """(metric, labels, value) of exposition lines; comments and blank lines give none. Label values hold no comma or quote."""
+    """(metric, labels, value) of exposition lines; comments and blank lines give none.
+
+    Label values stand in quotes and may hold commas, braces and spaces; \\", \\\\ and \\n in them are escapes. Of a repeated label the first holds.
+    """
     line = F.trim(F.col(column))
     rows = lines.where(~line.startswith("#") & (line != ""))
-    pattern = r"^([a-zA-Z_:][a-zA-Z0-9_:]*)(?:\{(.*)\})?\s+(\S+)"
-    body = F.regexp_replace(F.regexp_extract(line, pattern, 2), '"', "")
-    labels = F.when(body == "", F.create_map().cast("map<string,string>")).otherwise(F.str_to_map(body, F.lit(","), F.lit("=")))
-    return rows.select(F.regexp_extract(line, pattern, 1).alias("metric"), labels.alias("labels"), F.regexp_extract(line, pattern, 3).try_cast("double").alias("value")).where(F.col("metric") != "")
+    label = r'([a-zA-Z_][a-zA-Z0-9_]*)\s*=\s*"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
+    pattern = rf"^([a-zA-Z_:][a-zA-Z0-9_:]*)\s*(?:\{{((?:\s*{label}\s*,?)*)\s*\}})?\s*(?<=[\s}}])(\S+)"
+    body = F.regexp_extract(line, pattern, 2)
+    keys, written = (F.regexp_extract_all(body, F.lit(label), F.lit(g)) for g in (1, 2))
+    escapes = (("\\\\", "\0"), ('\\"', '"'), ("\\n", "\n"), ("\0", "\\"))  # no label value holds a zero byte
+
+    def plain(v: Column) -> Column:
+        for old, new in escapes:
+            v = F.replace(v, F.lit(old), F.lit(new))
+        return v
+
+    entries = F.transform(keys, lambda k, i: F.struct(k.alias("k"), plain(F.get(written, i)).alias("v"), (F.array_position(keys, k) == i + 1).alias("first")))
+    labels = F.map_from_entries(F.transform(F.filter(entries, lambda e: e["first"]), lambda e: F.struct(e["k"], e["v"])))
+    return rows.select(F.regexp_extract(line, pattern, 1).alias("metric"), labels.alias("labels"), F.regexp_extract(line, pattern, 5).try_cast("double").alias("value")).where(F.col("metric") != "")
 
 
 def read_exposition(spark: SparkSession, path: str) -> DataFrame:
@@ -108,7 +121,8 @@ def read_hosts(spark: SparkSession, path: str) -> DataFrame:
 def write_datapoints(df: DataFrame, path: str, mode: str = "append", ts: str = "ts") -> None:
     """Compressed Parquet by variant and date, rows of a date together, so that few files are made and dates prune."""
     dated = df.withColumn("date", F.to_date(ts))
-    dated.repartition("variant", "date", F.floor(F.rand(7) * 8)).write.mode(mode).partitionBy("variant", "date").option("compression", "gzip").parquet(path)
+    spread = F.pmod(F.xxhash64(*[f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]), F.lit(8))  # the same when a task runs again
+    dated.repartition("variant", "date", spread).write.mode(mode).partitionBy("variant", "date").option("compression", "gzip").parquet(path)
 
 
 def to_prometheus(df: DataFrame, namespace: str = "", const_labels: Mapping[str, str] | None = None, resource: Sequence[str] = ("host_name",), labels: str = "attrs") -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from procmetrics.model import COUNTERS
+from procmetrics.model import COUNTERS, PROCESS, SERIES
 from procmetrics.operators.filters import route
 from procmetrics.operators.transforms import detect_resource
 
@@ -19,7 +20,7 @@ def with_lateness(df: DataFrame, delay: str = "10 minutes", ts: str = "ts") -> D
     return df.withWatermark(ts, delay)
 
 
-def stream_cardinality(df: DataFrame, window: str, by: Sequence[str] = ("variant",), series: Sequence[str] = ("pid", "metric"), exact: bool = False, approx_error: float = 0.05) -> DataFrame:
+def stream_cardinality(df: DataFrame, window: str, by: Sequence[str] = ("variant",), series: Sequence[str] = SERIES, exact: bool = False, approx_error: float = 0.05) -> DataFrame:
     """Series of each window. exact gives the window's distinct (window, by, series) rows, to be counted after the stream, since one query can't do both."""
     at = df.withColumn("window", F.window("ts", window))
     if exact:
@@ -33,72 +34,155 @@ def stream_cost(df: DataFrame, by: Sequence[str] = ("variant",), size: str = "va
     return summed.withColumn("hourly_cost", F.col("bytes") / seconds * 3600 / 2**30 * price)
 
 
-def process_sessions(df: DataFrame, gap: str, keys: Sequence[str] = ("pid",)) -> DataFrame:
-    """Lifetimes: runs of points less than the gap apart. Works on batches too."""
+def process_sessions(df: DataFrame, gap: str, keys: Sequence[str] = PROCESS) -> DataFrame:
+    """Lifetimes: runs of points less than the gap apart. Works on batches too; a stream gives a lifetime once the watermark has passed its end."""
     out = df.groupBy(*keys, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("points"))
     return out.select(*keys, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "points")
 
 
+def _sorted(rows: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
+    """A key's rows of one micro-batch; maxFilesPerTrigger of the source bounds them."""
+    return pd.concat(list(rows)).sort_values(list(by), kind="stable")
+
+
+def _wake(handle: StatefulProcessorHandle, at: pd.Timestamp | None) -> None:
+    """One timer at most for a key, in whole milliseconds not before the time."""
+    for old in list(handle.listTimers()):
+        handle.deleteTimer(old)
+    if at is not None:
+        handle.registerTimer(-(-at.value // 1_000_000))
+
+
 class _Delta(StatefulProcessor):
+    """The last point of each series is the state. It goes when the watermark is so far that no point can follow within max_staleness."""
+
     def __init__(self, max_staleness: float | None):
         self.max_staleness = max_staleness
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "ts timestamp, value double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        pdf = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        last = self.last.get() if self.last.exists() else None
-        before, value_before = (pd.Timestamp(last[0]), last[1]) if last else (None, None)
-        out = []
-        for ts, value in zip(pdf["ts"], pdf["value"], strict=True):
-            if before is not None and ts < before:
-                continue  # older than what has been used
-            if before is not None and value >= value_before and (self.max_staleness is None or (ts - before).total_seconds() <= self.max_staleness):
-                out.append((key[0], key[1], ts, float(value - value_before)))
-            before, value_before = ts, float(value)
-        self.last.update((before.to_pydatetime(), value_before))
-        yield pd.DataFrame(out, columns=["pid", "metric", "ts", "value"]).astype({"pid": "int64", "value": "float64"})
+        pdf = _sorted(rows, "ts", "value")
+        ts, value = pdf["ts"].to_numpy("datetime64[us]"), pdf["value"].to_numpy("float64")
+        if self.last.exists():
+            at, level = self.last.get()
+            late = ts < np.datetime64(at, "us")  # older than what has been used
+            ts, value = (np.concatenate([[first], rest[~late]]) for first, rest in ((np.datetime64(at, "us"), ts), (level, value)))
+        delta, gap = np.diff(value), np.diff(ts) / np.timedelta64(1, "s")
+        good = np.flatnonzero((delta >= 0) & (True if self.max_staleness is None else gap <= self.max_staleness))
+        last = pd.Timestamp(ts[-1])
+        self.last.update((last.to_pydatetime(), float(value[-1])))
+        if self.max_staleness is not None:
+            _wake(self.handle, last + pd.Timedelta(seconds=self.max_staleness))
+        names = {name: pd.Series([k] * len(good), dtype=kind) for name, k, kind in zip(SERIES, key, (object, "int64", object), strict=True)}
+        yield pd.DataFrame({**names, "ts": ts[1:][good], "value": delta[good]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.last.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
-def stream_delta(df: DataFrame, max_staleness: float | None = 600, metrics: Sequence[str] = COUNTERS) -> DataFrame:
-    """(pid, metric, ts, value): counters to deltas with the last point of each series as state. Needs the RocksDB state store."""
-    points = df.where(F.col("metric").isin(list(metrics))).select("pid", "metric", "ts", F.col("value").cast("double").alias("value"))
-    return points.groupBy("pid", "metric").transformWithStateInPandas(_Delta(max_staleness), "pid long, metric string, ts timestamp, value double", "Append", "None")
+def stream_delta(df: DataFrame, max_staleness: float | None = 600, metrics: Sequence[str] = COUNTERS, delay: str = "10 minutes") -> DataFrame:
+    """(host_name, pid, metric, ts, value): counters to deltas with the last point of each series as state. Needs the RocksDB state store.
+
+    Points later than the delay are dropped. Without max_staleness any later point may still follow, so states stay for ever.
+    """
+    points = df.where(F.col("metric").isin(list(metrics))).select(*SERIES, "ts", F.col("value").cast("double").alias("value"))
+    return with_lateness(points, delay).groupBy(*SERIES).transformWithStateInPandas(_Delta(max_staleness), "host_name string, pid long, metric string, ts timestamp, value double", "Append", "EventTime")
 
 
 class _Alert(StatefulProcessor):
+    """The open run of active points is the state: its start, its last point and whether it has fired.
+
+    A timer waits for what comes without a further point: the run fires when held long enough, and ends a step after its last point.
+    """
+
     def __init__(self, hold: float, step: float):
-        self.hold, self.step = hold, step
+        self.hold, self.step = pd.Timedelta(seconds=hold), pd.Timedelta(seconds=step)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.run = handle.getValueState("run", "since timestamp, last timestamp, state string")
+        self.handle = handle
+        self.run = handle.getValueState("run", "since timestamp, last timestamp, fired boolean")
+
+    def _open(self):
+        if not self.run.exists():
+            return None
+        since, last, fired = self.run.get()
+        return pd.Timestamp(since), pd.Timestamp(last), fired
+
+    def _keep(self, run) -> None:
+        if run is None:
+            self.run.clear()
+            _wake(self.handle, None)
+            return
+        since, last, fired = run
+        self.run.update((since.to_pydatetime(), last.to_pydatetime(), fired))
+        _wake(self.handle, last + self.step if fired else min(since + self.hold, last + self.step))
+
+    def _fire(self, run, until: pd.Timestamp, out: list) -> tuple:
+        since, last, fired = run
+        if not fired and since + self.hold <= until:
+            out.append((since + self.hold, "firing"))
+            fired = True
+        return since, last, fired
+
+    def _end(self, run, at: pd.Timestamp, out: list) -> None:
+        out.append((at, "resolved" if self._fire(run, at, out)[2] else "inactive"))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        since, last, state = self.run.get() if self.run.exists() else (None, None, "inactive")
-        out = []
-        for ts, active in pd.concat(list(rows)).sort_values("ts")[["ts", "active"]].itertuples(index=False):
-            ts = ts.to_pydatetime()
-            gap = last is not None and (ts - last).total_seconds() > self.step
-            since = None if not active else ts if since is None or gap else since
-            new = "pending" if active and (ts - since).total_seconds() < self.hold else "firing" if active else "resolved" if state in ("firing", "resolved") and state == "firing" else "inactive"
-            if new != state:
-                out.append((key[0], ts, new))
-            last, state = ts, new
-        self.run.update((since, last, state))
-        yield pd.DataFrame(out, columns=["series", "ts", "state"])
+        pdf = _sorted(rows, "ts")
+        ts, active = pdf["ts"].reset_index(drop=True), pdf["active"].to_numpy(bool)
+        run, out = self._open(), []
+        # only points where the state can turn are looked at: the first, those after a gap or of another state, and the last
+        turn = np.flatnonzero(np.concatenate([[True], (np.diff(active) != 0) | (np.diff(ts.to_numpy()) > self.step.to_timedelta64())]))
+        for first, last in zip(turn, [*(turn[1:] - 1), len(ts) - 1], strict=True):
+            begin = ts[first]
+            if run is not None and begin - run[1] > self.step:
+                self._end(run, run[1] + self.step, out)
+                run = None
+            if active[first]:
+                if run is None:
+                    out.append((begin, "pending"))
+                    run = (begin, begin, False)
+                run = self._fire((run[0], ts[last], run[2]), ts[last], out)
+            elif run is not None:
+                self._end(run, begin, out)
+                run = None
+        self._keep(run)
+        yield self._rows(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        run, out = self._open(), []
+        if run is not None:
+            passed, end = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms"), run[1] + self.step
+            if passed >= end:
+                self._end(run, end, out)
+                run = None
+            else:
+                run = self._fire(run, end, out)
+            self._keep(run)
+        yield self._rows(key, out)
+
+    def _rows(self, key, out: list) -> pd.DataFrame:
+        return pd.DataFrame({"series": pd.Series([key[0]] * len(out), dtype=object), "ts": pd.Series([t for t, _ in out], dtype="datetime64[ns]"), "state": pd.Series([s for _, s in out], dtype=object)})
 
     def close(self) -> None:
         pass
 
 
-def stream_alerts(df: DataFrame, condition: Column, hold: float, step: float, key: str = "series") -> DataFrame:
-    """(series, ts, state) at each change of state: pending, firing once held long enough, resolved, inactive."""
+def stream_alerts(df: DataFrame, condition: Column, hold: float, step: float, key: str = "series", delay: str = "10 minutes") -> DataFrame:
+    """(series, ts, state) at each change of state: pending, firing once held long enough, then resolved; inactive if it never fired.
+
+    A run ends at a point where the condition is false or absent, or a step after its last point if none follows by then. Times are
+    those of the change, not of the next point. Points later than the delay are dropped. Only open runs are state.
+    """
     rows = df.select(F.col(key).alias("series"), "ts", F.coalesce(condition, F.lit(False)).alias("active"))
-    return rows.groupBy("series").transformWithStateInPandas(_Alert(hold, step), "series string, ts timestamp, state string", "Append", "None")
+    return with_lateness(rows, delay).groupBy("series").transformWithStateInPandas(_Alert(hold, step), "series string, ts timestamp, state string", "Append", "EventTime")
 
 
 def stream_dedup(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -113,19 +197,41 @@ def stream_compare(df: DataFrame, window: str, by: Sequence[str] = (), value: st
     return out.withColumn("difference", F.col("candidate") - F.col("baseline"))
 
 
+def stream_join(baseline: DataFrame, candidate: DataFrame, keys: Sequence[str], within: str, values: Sequence[str] = ("ts", "value")) -> DataFrame:
+    """(keys, baseline_ and candidate_ values) of points of two streams that agree on the keys and lie no further apart than the time within.
+
+    Both streams need a watermark; state goes when no partner can come any more.
+    """
+    side = lambda df, name: df.select(*[F.col(k).alias(f"_{name}_{k}") for k in keys], *[F.col(c).alias(f"{name}_{c}") for c in dict.fromkeys(["ts", *values])])
+    same = " AND ".join(f"_baseline_{k} = _candidate_{k}" for k in keys)
+    near = f"candidate_ts BETWEEN baseline_ts - INTERVAL {within} AND baseline_ts + INTERVAL {within}"
+    out = side(baseline, "baseline").join(side(candidate, "candidate"), F.expr(f"{same} AND {near}"))
+    return out.select(*[F.col(f"_baseline_{k}").alias(k) for k in keys], *[f"{name}_{c}" for name in ("baseline", "candidate") for c in values])
+
+
 def stream_enrich(df: DataFrame, hosts: DataFrame, attribute: str, table: Mapping[str, Sequence[str]], default: Sequence[str]) -> DataFrame:
     """Host facts from a static table, then routes."""
     return route(detect_resource(df, hosts), attribute, table, default)
 
 
+def parquet_sink(path: str, keep: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> Callable[[DataFrame, int], None]:
+    """A sink for start_export. Each micro-batch has a folder of its own, so one that is sent again replaces itself."""
+    return lambda batch, number: keep(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
 def start_export(df: DataFrame, sinks: Mapping[str, Callable[[DataFrame, int], None]], checkpoint: str, every: str | None = None, mode: str = "append") -> StreamingQuery:
-    """Each micro-batch to every sink; the batch number lets a sink write once. Without a period all that is there is processed, then it ends."""
+    """Each micro-batch to every sink. Without a period all that is there is processed, then it ends.
+
+    After a failure a micro-batch comes again with the same number, by which a sink must write once (as parquet_sink does).
+    """
 
     def send(batch: DataFrame, number: int) -> None:
         batch.persist()
-        for sink in sinks.values():
-            sink(batch, number)
-        batch.unpersist()
+        try:
+            for sink in sinks.values():
+                sink(batch, number)
+        finally:
+            batch.unpersist()
 
     writer = df.writeStream.outputMode(mode).foreachBatch(send).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

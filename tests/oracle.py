@@ -52,7 +52,7 @@ if __name__ == "__main__":
             sql = entry.oracle_sql().get(name)
             said = differences(spark, con, name, build, sql, sf_dir) if sql else f"(rows {build(spark, sf_dir).count()})"
         except Exception as e:
-            said = f"{type(e).__name__}: {str(e)[:400]}"
+            said = f"{type(e).__name__}: {(str(e).split('\n\n\tat')[0][-700:] if 'PythonException' in str(e) else str(e)[:400])}"
         if said and not said.startswith("(rows"):
             bad += 1
         if said:
