@@ -1,12 +1,13 @@
-"""Byte-level BPE: higher-order functions fold ranked merges over the bytes of distinct words (operator 10)."""
+"""Byte-level BPE: higher-order functions fold ranked merges over the byte arrays of distinct words (operator 10)."""
 
 from __future__ import annotations
 
 import base64
-import hashlib
+import heapq
 import json
 import re
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +16,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procmetrics.llm.common import documents, offsets_of, shared_dir, text_slices
+from procmetrics.llm.common import cut, documents, offsets_of, shared_dir, text_slices
 from procmetrics.llm.hash_store import HashArrays, edges_of, find, save_arrays, shard_of
 
 BUCKETS = 8192
+#: Words of more bytes are merged by a heap: a fold's steps grow with the length, and each touches the whole array.
+LONG = 512
+#: Shards of the word table for each shuffle partition; several, so that tasks are of like size.
+SPREAD = 4
+#: Words that a task remembers as sent; beyond, it forgets them and the shuffle drops what comes twice.
+SEEN = 1_000_000
+NONE = 2**31 - 1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -31,41 +39,79 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
     """The ranks as one literal: an array of small maps from a piece's hex to its rank, by crc32 of the hex. Its size is the vocabulary's."""
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for piece, rank in ranks.items():
-        name = piece.hex()
+        name = piece.hex().upper()
         buckets[zlib.crc32(name.encode()) % BUCKETS][name] = rank
     return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
 
 
+def _with(value: Column, then) -> Column:
+    """then(value) with value evaluated once; a lambda's argument is the only local name that expressions have."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def encode_words(word: Column, ranks: dict[bytes, int]) -> Column:
     """Ids (array of int) of a binary column of words, each one piece of text between splits.
 
-    The pieces start as single bytes, in hex. Each step finds the adjacent pair of least rank and merges all its places from the left:
-    as a merged piece only enters merges of higher rank, that gives what merging one place at a time gives. A word of n bytes folds
-    n - 1 steps; once nothing merges, the rest are idle. One empty word has no ids.
+    The state is the array of pieces, at first single bytes, and the rank of each adjacent pair. Each step joins the pair of least rank,
+    the leftmost of equals, and looks up the two pairs that this makes. A word of n bytes folds n - 1 steps; once nothing merges,
+    the rest pass the state on. An empty word has no ids.
     """
     table = rank_map(ranks)
-    rank = lambda name: F.get(table, (F.crc32(name) % BUCKETS).cast("int"))[name]
-    start = F.struct(F.regexp_extract_all(F.lower(F.hex(word)), F.lit(".."), F.lit(0)).alias("pieces"), F.lit(True).alias("more"))
+    rank = lambda piece: _with(F.hex(piece), lambda name: F.get(table, (F.crc32(name) % BUCKETS).cast("int"))[name])
+    pair_rank = lambda a, b: F.coalesce(rank(F.concat(a, b)), F.lit(NONE))
+    n = F.octet_length(word)
+    bytes_ = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1)))
+    start = _with(bytes_, lambda p: F.struct(p.alias("p"), F.transform(F.slice(p, 1, F.size(p) - 1), lambda x, i: pair_rank(x, F.get(p, i + 1))).alias("r")))
 
-    def once(value: Column, then) -> Column:
-        """then(value) with value evaluated once; a lambda's argument is the only local name that expressions have."""
-        return F.get(F.transform(F.array(value), then), F.lit(0))
+    def join(p: Column, r: Column, at: Column) -> Column:
+        """The pieces and ranks after the pieces at places at and at + 1 (from 1) are joined."""
+        joined = F.concat(F.get(p, at - 1), F.get(p, at))
+        empty = F.array().cast("array<int>")
 
-    def merge(p: Column, best: Column) -> Column:
-        a, b = F.get(p, best["at"]), F.get(p, best["at"] + 1)
-        text = F.concat(F.lit(" "), F.array_join(p, "  "), F.lit(" "))
-        merged = once(F.struct(a.alias("a"), b.alias("b")), lambda x: F.replace(text, F.concat(F.lit(" "), x["a"], F.lit("  "), x["b"], F.lit(" ")), F.concat(F.lit(" "), x["a"], x["b"], F.lit(" "))))
-        return F.when(best.isNull(), F.struct(p.alias("pieces"), F.lit(False).alias("more"))).otherwise(F.struct(F.split(F.trim(merged), "  ").alias("pieces"), F.lit(True).alias("more")))
+        def renewed(piece: Column) -> Column:
+            left = F.when(at > 1, F.array(pair_rank(F.get(p, at - 2), piece))).otherwise(empty)
+            right = F.when(at + 1 < F.size(p), F.array(pair_rank(piece, F.get(p, at + 1)))).otherwise(empty)
+            pieces = F.concat(F.slice(p, F.lit(1), at - 1), F.array(piece), F.slice(p, at + 2, F.size(p)))
+            return F.struct(pieces.alias("p"), F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(p))).alias("r"))
 
-    def step(state: Column, _: Column) -> Column:
-        p = state["pieces"]
-        pairs = F.transform(F.slice(p, 1, F.size(p) - 1), lambda piece, i: F.struct(rank(F.concat(piece, F.get(p, i + 1))).alias("rank"), i.alias("at")))
-        best = F.array_min(F.filter(pairs, lambda x: x["rank"].isNotNull()))
-        return F.when(~state["more"] | (F.size(p) < 2), state).otherwise(once(best, lambda x: merge(p, x)))
+        return _with(joined, renewed)
 
-    n = F.octet_length(word)
-    folded = F.aggregate(F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>")), start, step)
-    return F.transform(folded["pieces"], rank)
+    def step(state: Column, _: Column) -> Column:
+        p, r = state["p"], state["r"]
+        least = F.array_min(r)
+        return F.when(F.coalesce(least, F.lit(NONE)) == NONE, state).otherwise(_with(F.array_position(r, least).cast("int"), lambda at: join(p, r, at)))
+
+    folded = F.aggregate(F.sequence(F.lit(2), n), start, step)
+    ids = F.transform(folded["p"], rank)
+    return F.when(n == 0, F.array().cast("array<int>")).when(n == 1, F.array(rank(word))).otherwise(ids)
+
+
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same for one long word: pairs wait in a heap by rank and place, and pieces are a linked list."""
+    n = len(word)
+    end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = []
+
+    def offer(i: int) -> None:
+        j = after[i]
+        if j < n and (rank := ranks.get(word[i : end[j]])) is not None:
+            heapq.heappush(heap, (rank, i, end[i], end[j]))
+
+    for i in range(n - 1):
+        offer(i)
+    alive = [True] * n
+    while heap:
+        _, i, middle, stop = heapq.heappop(heap)
+        if not alive[i] or end[i] != middle or after[i] >= n or end[after[i]] != stop:
+            continue
+        j = after[i]
+        alive[j], end[i], after[i] = False, stop, after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        offer(i)
+        if before[i] >= 0:
+            offer(before[i])
+    return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
 class Splitter:
@@ -100,69 +146,92 @@ def _word_batch(split: Splitter, texts: list[str]) -> tuple[pa.DictionaryArray,
     return pa.array(words, pa.string()).dictionary_encode(), np.array(counts, np.int64)
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w, 42) for w in words), np.uint64, len(words))
+class HashClash(ValueError):
+    """Two words share a 64-bit key under the seed in use."""
 
 
-def distinct_words(df: DataFrame, pattern: str, shards: int, text_col: str = "text") -> DataFrame:
-    """(shard, key, word) of the texts, each word once: first within its task, then by a shuffle on the shard of its hash."""
+def _keys(words: list[bytes], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of hash for each word: the key by which it is found, and the check that it is the one."""
+    digest = xxhash.xxh3_128_digest
+    both = np.frombuffer(b"".join(digest(w, seed) for w in words), ">u8").reshape(-1, 2).astype(np.uint64)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
+def distinct_words(df: DataFrame, pattern: str, shards: int, text_col: str = "text", seed: int = 0) -> DataFrame:
+    """(shard, key, word) of the texts, each word once: first within its task, by the word itself, then by a shuffle on its shard."""
 
     def run(batches):
-        split, seen = Splitter(pattern), np.array([], np.uint64)
+        split, seen = Splitter(pattern), set()
         for part in text_slices(batches, "text"):
             coded, _ = _word_batch(split, [t or "" for t in part.column("text").to_pylist()])
-            words = coded.dictionary.cast(pa.binary())
-            keys = _hashes(words.to_pylist())
-            _, there = find(seen, keys)
-            fresh = pa.array(~there)
-            seen = np.sort(np.concatenate([seen, keys[~there]]))
-            yield pa.RecordBatch.from_arrays([pa.array(shard_of(keys, shards)[~there], pa.int32()), pa.array(keys[~there].view(np.int64)), words.filter(fresh)], names=["shard", "key", "word"])
+            fresh = [w for w in coded.dictionary.cast(pa.binary()).to_pylist() if w not in seen]
+            if len(seen) + len(fresh) > SEEN:
+                seen.clear()
+            seen.update(fresh)
+            keys, _ = _keys(fresh, seed)
+            yield pa.RecordBatch.from_arrays([pa.array(shard_of(keys, shards), pa.int32()), pa.array(keys.view(np.int64)), pa.array(fresh, pa.binary())], names=["shard", "key", "word"])
 
     rows = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "shard int, key long, word binary")
-    return rows.repartition(shards, "shard").dropDuplicates(["shard", "key", "word"])
+    return rows.repartition("shard").dropDuplicates(["shard", "key", "word"])
+
 
+def build_words(df: DataFrame, ranks: dict[bytes, int], pattern: str, path: str, text_col: str = "text", seed: int = 0) -> Words:
+    """Encodes every distinct word of df once and writes the sorted arrays of their ids below path.
 
-def build_words(df: DataFrame, ranks: dict[bytes, int], pattern: str, path: str, text_col: str = "text") -> int:
-    """Encodes every distinct word of df once and writes the sorted hash arrays of their ids below path; gives the number of shards."""
-    shards = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    coded = distinct_words(df, pattern, shards, text_col).select("shard", "key", encode_words(F.col("word"), ranks).alias("ids"))
+    Words of up to LONG bytes are folded in Spark, longer ones merged by a heap. Where two words share a key, the table is built
+    again under the next seed. An empty table gives a table without words.
+    """
+    shards = SPREAD * max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    folded = F.when(F.octet_length("word") <= LONG, encode_words(F.col("word"), ranks))
+    coded = distinct_words(df, pattern, shards, text_col, seed).select("shard", "key", "word", folded.alias("ids"))
     kind = np.uint16 if max(ranks.values(), default=0) < 1 << 16 else np.uint32
 
-    def run(batches):
-        table = pa.Table.from_batches(list(batches), pa.schema([("shard", pa.int32()), ("key", pa.int64()), ("ids", pa.list_(pa.int32()))]))
-        shard, keys = table["shard"].to_numpy(), table["key"].to_numpy().view(np.uint64)
-        for k in np.unique(shard):
-            rows = np.flatnonzero(shard == k)
-            rows = rows[np.argsort(keys[rows])]
-            if len(rows) > 1 and (keys[rows[1:]] == keys[rows[:-1]]).any():
-                raise ValueError("two words share a 64-bit hash; take another seed")
-            ids = table["ids"].combine_chunks().take(pa.array(rows))
-            save_arrays(path, str(k), {"key": keys[rows], "start": ids.offsets.to_numpy().astype(np.uint32), "ids": ids.values.to_numpy().astype(kind)})
-            yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([len(rows)], pa.int64())], names=["shard", "n"])
+    def save(key, table):
+        shard = key[0].as_py()
+        table = table.combine_chunks()
+        keys = table["key"].to_numpy().view(np.uint64)
+        rows = np.argsort(keys)
+        keys = keys[rows]
+        size = -1 if len(rows) > 1 and (keys[1:] == keys[:-1]).any() else len(rows)
+        table = table.take(pa.array(rows))
+        words = table["word"].to_pylist()
+        ids = [np.array(merge_long(w, ranks) if i is None else i, kind) for w, i in zip(words, table["ids"].to_pylist(), strict=True)]
+        ends = offsets_of(np.fromiter(map(len, ids), np.int64, len(ids)))
+        save_arrays(path, str(shard), {"key": keys, "check": _keys(words, seed)[1], "start": ends.astype(np.uint32 if ends[-1] < 1 << 32 else np.uint64), "ids": np.concatenate([np.array([], kind), *ids])})
+        return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([size], pa.int64())})
+
+    sizes = {r["shard"]: r["n"] for r in cut(coded.groupBy("shard").applyInArrow(save, "shard int, n long"), f"{path}-sizes").collect()}
+    if any(n < 0 for n in sizes.values()):
+        return build_words(df, ranks, pattern, f"{path}-{seed + 1}", text_col, seed + 1)
+    return Words(path, [sizes.get(k, 0) for k in range(shards)], pattern, seed)
 
-    coded.mapInArrow(run, "shard int, n long").write.mode("overwrite").parquet(f"{path}-sizes")
-    return shards
+
+@dataclass
+class Words:
+    """What a worker needs to open the word table."""
+
+    path: str
+    sizes: list[int]
+    pattern: str
+    seed: int
 
 
 class WordIds:
     """Encodes texts by looking their words up in the mapped arrays."""
 
-    def __init__(self, path: str, shards: int, pattern: str):
-        self.split, self.shards = Splitter(pattern), HashArrays(path, shards).shards
+    def __init__(self, words: Words):
+        self.split, self.shards, self.seed = Splitter(words.pattern), HashArrays(words.path, words.sizes), words.seed
 
     def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words, one after another in a table; begin and end of each word's."""
-        keys = _hashes(words)
+        """Ids of all words, one after another in a table; begin and size of each word's."""
+        keys, checks = _keys(words, self.seed)
         order = np.argsort(keys)
         edge = edges_of(keys[order], len(self.shards))
         begin, size, tables, at = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), [np.array([], np.int32)], 0
-        for k, shard in enumerate(self.shards):
-            mine = order[edge[k] : edge[k + 1]]
-            if not len(mine):
-                continue
-            row, there = find(shard["key"], keys[mine])
-            if not there.all():
+        for k in np.flatnonzero(np.diff(edge)):
+            mine, shard = order[edge[k] : edge[k + 1]], self.shards[k]
+            row, there = find(shard["key"], keys[mine]) if shard else (mine, np.zeros(len(mine), bool))
+            if not there.all() or (shard["check"][row] != checks[mine]).any():
                 raise ValueError("a word is missing from the word table; it must be built from the same texts")
             start = shard["start"][row].astype(np.int64)
             n = shard["start"][row + 1].astype(np.int64) - start
@@ -172,58 +241,45 @@ class WordIds:
             at += ends[-1]
         return np.concatenate(tables), np.stack([begin, size])
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str]) -> pa.ListArray:
         coded, counts = _word_batch(self.split, texts)
         table, (begin, size) = self._ids(coded.dictionary.cast(pa.binary()).to_pylist())
         codes = coded.indices.to_numpy()
         each = size[codes]
         ends = offsets_of(each)
         ids = table[np.arange(ends[-1]) + np.repeat(begin[codes] - ends[:-1], each)]
-        edge = ends[offsets_of(counts)]
-        return [ids[edge[k] : edge[k + 1]] for k in range(len(texts))]
-
+        return pa.ListArray.from_arrays(pa.array(ends[offsets_of(counts)].astype(np.int32)), pa.array(ids, pa.int32()))
 
-def decode(ids: list[int], pieces: list[bytes]) -> bytes:
-    return b"".join(map(pieces.__getitem__, ids))
 
-
-def encode(df: DataFrame, path: str, shards: int, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, ids array<int>) of every row, by the word table below path."""
+def encode(df: DataFrame, words: Words, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, ids array<int>) of every row, by the word table. Null texts count as empty and have no ids; repeated rows stay repeated."""
 
     def run(batches):
-        words = WordIds(path, shards, pattern)
+        table = WordIds(words)
         for part in text_slices(batches, "text"):
-            ids = words.encode([t or "" for t in part.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), table.encode([t or "" for t in part.column("text").to_pylist()])], names=["id", "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
-def digests(df: DataFrame, ranks: dict[bytes, int], path: str, shards: int, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_tokens, ids_sha256, decoded_sha256) of every row: encoded by the word table, then decoded from the ids alone.
-
-    Null texts count as empty and have no ids. Repeated rows stay repeated; an empty table gives an empty result.
-    """
+def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
+    """The bytes of an array of ids: their binary pieces, concatenated in runs and then the runs, so that long arrays stay quick."""
+    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece
+    table = F.from_json(F.lit(json.dumps([base64.b64encode(p).decode() for p in pieces])), "array<binary>")
+    joined = lambda parts, piece: F.aggregate(parts, F.lit(b""), lambda out, x: F.concat(out, piece(x)))
+    run = F.greatest(F.lit(128), F.ceil(F.sqrt(F.size(ids))).cast("int"))
+    starts = F.when(F.size(ids) > 0, F.sequence(F.lit(1), F.size(ids), run)).otherwise(F.array().cast("array<int>"))
+    return joined(F.transform(starts, lambda a: joined(F.slice(ids, a, run), lambda i: F.get(table, i))), lambda part: part)
 
-    def run(batches):
-        words = WordIds(path, shards, pattern)
-        pieces = [b""] * (max(ranks.values(), default=-1) + 1)
-        for piece, rank in ranks.items():
-            pieces[rank] = piece
-        decimals = [str(k) for k in range(len(pieces))]
-        sha = lambda x: hashlib.sha256(x).hexdigest()
-        for part in text_slices(batches, "text"):
-            all_ids = [ids.tolist() for ids in words.encode([t or "" for t in part.column("text").to_pylist()])]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array([len(i) for i in all_ids], pa.int64()), pa.array([sha(" ".join(map(decimals.__getitem__, i)).encode()) for i in all_ids]), pa.array([sha(decode(i, pieces)) for i in all_ids])],
-                names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
 
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+def digests(coded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """Adds n_tokens, ids_sha256 and decoded_sha256 to encoded rows; the last is decoded from the ids alone."""
+    text = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return coded.withColumns({"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(text.cast("binary"), 256), "decoded_sha256": F.sha2(decode(F.col("ids"), ranks), 256)})
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,6 +287,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs, ranks = documents(spark, sf_dir), load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    path = f"{shared_dir(spark, 'byte-bpe')}/words"
-    shards = build_words(docs, ranks, public_tokenizers.PATTERN, path)
-    return digests(docs, ranks, path, shards, public_tokenizers.PATTERN)
+    words = build_words(docs, ranks, public_tokenizers.PATTERN, f"{shared_dir(spark, 'byte-bpe')}/words")
+    return digests(encode(docs, words), ranks).drop("ids")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from procmetrics.llm import byte_bpe, exact_dedup, language_id, ngram_lm, secrets, simhash, token_store, toxicity
 from procmetrics.llm.common import shared_dir
+from procmetrics.llm.hash_store import short_counts, whole_counts
 
 ODD = ["", None, " ", "\n\t", "a", "A", "ÉÀ é", "x" * 9000, "word " * 3000, "tie tie tie", "tie tie tie", "it's 42 — “ok”", "日本語 テスト", "\x1c a\x85b\xa0c", "password = hunter2hunter2"]
 
@@ -280,66 +281,135 @@ def test_simhash_edges(spark):
 
 
 # 8
-def test_language_model_brute_force(spark, docs):
-    texts = [r["text"] for r in docs.orderBy("doc_id").limit(60).collect()] + ["", None, "new unseen words", "the the the"]
-    train = texts[:40]
+def plain_language_model(train):
+    """Interpolated modified Kneser-Ney of order 3 over dictionaries: word lists to (tokens, words, probability of a word after two)."""
     words = lambda t: [*(t or "").encode().lower().split(), b"\n"]
-    uni, pairs = Counter(), Counter()
+    uni, triples = Counter(), Counter()
     for t in train:
-        uni.update(words(t))
-        pairs.update(zip([None, *words(t)], words(t), strict=False))
-    n, v = sum(uni.values()), len(uni)
-    of = lambda counts: [sum(1 for c in counts if c == k) for k in (1, 2, 3, 4)]
-    d2, before, context = ngram_lm.discounts(of(pairs.values())), Counter(), {}
-    for (a, b), c in pairs.items():
-        before[b] += 1
-        context.setdefault(a, []).append(c)
-    d1 = ngram_lm.discounts(of(before.values()))
+        w = words(t)
+        uni.update(w)
+        triples.update(zip([0, 0, *w], [0, *w], w, strict=False))
+    pairs = Counter((b, c) for _, b, c in triples)
+    before = Counter(c for _, c in pairs)
     cut = lambda c, d: (0, *d)[min(c, 3)]
-    spare = sum(cut(c, d1) for c in before.values()) / len(pairs)
-
-    def p(a, b):
-        low = (before[b] - cut(before[b], d1)) / len(pairs) + spare / (v + 1)
-        if a not in context:
-            return low
-        total = sum(context[a])
-        return (pairs[a, b] - cut(pairs[a, b], d2)) / total + sum(cut(c, d2) for c in context[a]) / total * low
-
-    assert abs(sum(p(None, b) for b in uni) + p(None, b"?!") - 1) < 1e-9
+    d3, d2, d1 = (ngram_lm.discounts([sum(1 for c in counts.values() if c == k) for k in (1, 2, 3, 4)]) for counts in (triples, pairs, before))
+    after3, after2 = {}, {}
+    for (a, b, _), c in triples.items():
+        after3.setdefault((a, b), []).append(c)
+    for (b, _), c in pairs.items():
+        after2.setdefault(b, []).append(c)
+    spare = sum(cut(c, d1) for c in before.values()) / max(1, len(pairs)) if pairs else 1.0
+
+    def step(count, seen, d, lower):
+        return (count - cut(count, d)) / sum(seen) + sum(cut(c, d) for c in seen) / sum(seen) * lower if seen else lower
+
+    def p(a, b, c):
+        low = (before[c] - cut(before[c], d1)) / max(1, len(pairs)) + spare / (len(uni) + 1)
+        return step(triples[a, b, c], after3.get((a, b)), d3, step(pairs[b, c], after2.get(b), d2, low))
+
+    return uni, words, p
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_language_model_brute_force(spark, docs, monkeypatch, small):
+    if small:  # many shards, and triples sent on in small lots
+        monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", 300)
+        monkeypatch.setattr(ngram_lm, "PENDING", 500)
+        monkeypatch.setattr(ngram_lm, "SLICE", 4000)
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(60).collect()] + ["", None, "new unseen words", "the the the", "x y " * 400, "x y z"]
+    train = texts[:40] + ["x y " * 400, "x y z", None]
+    uni, words, p = plain_language_model(train)
+    n, v = sum(uni.values()), len(uni)
+    for a, b in ((0, 0), (b"x", b"y"), (b"the", b"the"), (b"?", b"?")):
+        assert abs(sum(p(a, b, c) for c in uni) + p(a, b, b"?!") - 1) < 1e-9
     model = ngram_lm.train(frame(spark, train), shared_dir(spark, "lm"))
     assert (model.tokens, model.words) == (n, v)
     for r in ngram_lm.score(frame(spark, texts), model).collect():
         w = words(texts[r["doc_id"]])
         assert (r["n_tokens"], r["n_known"]) == (len(w), sum(uni[x] > 0 for x in w))
         assert math.isclose(r["base_score"], sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
-        assert math.isclose(r["score"], sum(math.log10(p(a, b)) for a, b in zip([None, *w], w, strict=False)), rel_tol=1e-5)
+        assert math.isclose(r["score"], sum(math.log10(p(a, b, c)) for a, b, c in zip([0, 0, *w], [0, *w], w, strict=False)), rel_tol=1e-9)
 
 
 def test_language_model_edges(spark):
     model = ngram_lm.train(nothing(spark), shared_dir(spark, "lm"))
     got = ngram_lm.score(frame(spark, ["a b", None]), model).collect()
     assert model.tokens == 0 and all(math.isfinite(r["score"]) for r in got)
-    x = np.array([0, 1, 5, (1 << 64) - 1, 12345678901234567890], np.uint64)
-    assert (ngram_lm.unmix(ngram_lm.mix(x)) == x).all()
+    assert ngram_lm.score(nothing(spark), model).count() == 0
+    twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a")], "doc_id long, text string")
+    assert ngram_lm.score(twice, ngram_lm.train(twice, shared_dir(spark, "lm"))).count() == 3
+    big = np.array([0, 3, 254, 255, 256, 1 << 40], np.uint64)
+    assert ngram_lm._unsqueeze_counts(ngram_lm._squeeze_counts(big[::-1].copy())).tolist() == big[::-1].tolist()
+    assert whole_counts(short_counts("c", big), "c", np.array([5, 0, 3])).tolist() == [1 << 40, 0, 255]
+
+
+def test_language_model_misses_a_lost_shard_and_survives_a_hash_clash(spark, monkeypatch):
+    import os
+
+    path = shared_dir(spark, "lm")
+    texts = ["a b c d e f g h"] * 3
+    model = ngram_lm.train(frame(spark, texts), path)
+    want = [r["score"] for r in ngram_lm.score(frame(spark, texts), model).collect()]
+    os.rename(f"{path.removeprefix('file://')}/contexts", f"{path.removeprefix('file://')}/gone")
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        ngram_lm.score(frame(spark, texts), model).collect()
+    calls = []
+    real = ngram_lm._count_words
+
+    def clash_once(*args):
+        calls.append(args[-1])
+        if len(calls) == 1:
+            raise ngram_lm.HashClash
+        return real(*args)
+
+    monkeypatch.setattr(ngram_lm, "_count_words", clash_once)
+    again = ngram_lm.train(frame(spark, texts), shared_dir(spark, "lm"))
+    assert calls == [42, 44] and again.seed == 44
+    assert np.allclose([r["score"] for r in ngram_lm.score(frame(spark, texts), again).collect()], want)
 
 
 # 10
-def test_byte_bpe_like_the_library(spark, docs):
+def own_bpe():
     import public_tokenizers
     import tiktoken
 
     ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    texts = [r["text"] for r in docs.limit(30).collect()] + ODD + ["a" * 700, "  \n\n x", "½²3 ×÷", "<|endoftext|>"]
-    path = f"{shared_dir(spark, 'bpe')}/w"
-    shards = byte_bpe.build_words(frame(spark, texts), ranks, public_tokenizers.PATTERN, path)
-    ids = {r["doc_id"]: r["ids"] for r in byte_bpe.encode(frame(spark, texts), path, shards, public_tokenizers.PATTERN).collect()}
-    pieces = dict(enumerate(sorted(ranks, key=ranks.get)))
+    return ranks, public_tokenizers.PATTERN, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.mark.parametrize("long", [512, 4])
+def test_byte_bpe_like_the_library(spark, docs, monkeypatch, long):
+    monkeypatch.setattr(byte_bpe, "LONG", long)  # of more bytes: by the heap
+    ranks, pattern, own = own_bpe()
+    rng = np.random.default_rng(1)
+    noise = ["".join(map(chr, rng.choice([*range(97, 105), 32, 233, 0x4E2D, 0x1F600], 60))) for _ in range(40)]
+    texts = [r["text"] for r in docs.limit(30).collect()] + ODD + noise + ["a" * 700, "  \n\n x", "½²3 ×÷", "<|endoftext|>", "ab" * 100_000, "".join(map(chr, rng.integers(97, 123, 200_000)))]
+    words = byte_bpe.build_words(frame(spark, texts), ranks, pattern, f"{shared_dir(spark, 'bpe')}/w")
+    got = byte_bpe.digests(byte_bpe.encode(frame(spark, texts), words), ranks).toPandas().set_index("doc_id")
     for k, t in enumerate(texts):
-        assert ids[k] == own.encode_ordinary(t or "")
-        assert b"".join(pieces[i] for i in ids[k]) == (t or "").encode()
-    got = byte_bpe.digests(frame(spark, texts), ranks, path, shards, public_tokenizers.PATTERN).toPandas()
-    assert all(r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest() for r in got.itertuples())
+        ids = own.encode_ordinary(t or "")
+        assert list(got.loc[k, "ids"]) == ids, k
+        assert got.loc[k, "n_tokens"] == len(ids) and got.loc[k, "ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert got.loc[k, "decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+
+
+def test_byte_bpe_edges(spark, monkeypatch):
+    ranks, pattern, own = own_bpe()
+    empty = byte_bpe.build_words(nothing(spark), ranks, pattern, f"{shared_dir(spark, 'bpe')}/w")
+    assert byte_bpe.digests(byte_bpe.encode(nothing(spark), empty), ranks).count() == 0
+    rows = spark.createDataFrame([(1, "same"), (1, "same"), (None, "other")], "doc_id long, text string")
+    assert byte_bpe.encode(rows, byte_bpe.build_words(rows, ranks, pattern, f"{shared_dir(spark, 'bpe')}/w")).count() == 3
+    with pytest.raises(Exception, match="missing from the word table"):
+        byte_bpe.encode(rows, empty).collect()
+
+
+def test_byte_bpe_heap_equals_the_library_on_random_words():
+    ranks, _, own = own_bpe()
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 10, 100, 3000):
+        for alphabet in (b"ab", b"etaoin", bytes(range(256))):
+            word = bytes(rng.choice(list(alphabet), n).tolist())
+            assert byte_bpe.merge_long(word, ranks) == own._encode_single_piece(word)
 
 
 def test_registered_queries_have_whole_results(spark):
