@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import json
 import re
@@ -194,10 +195,11 @@ def build_words(df: DataFrame, ranks: dict[bytes, int], pattern: str, path: str,
         keys = keys[rows]
         size = -1 if len(rows) > 1 and (keys[1:] == keys[:-1]).any() else len(rows)
         table = table.take(pa.array(rows))
-        words = table["word"].to_pylist()
-        ids = [np.array(merge_long(w, ranks) if i is None else i, kind) for w, i in zip(words, table["ids"].to_pylist(), strict=True)]
-        ends = offsets_of(np.fromiter(map(len, ids), np.int64, len(ids)))
-        save_arrays(path, str(shard), {"key": keys, "check": _keys(words, seed)[1], "start": ends.astype(np.uint32 if ends[-1] < 1 << 32 else np.uint64), "ids": np.concatenate([np.array([], kind), *ids])})
+        words, lists = table["word"].to_pylist(), pa.concat_arrays(table["ids"].chunks) if table["ids"].num_chunks else pa.array([], pa.list_(pa.int32()))
+        if lists.null_count:
+            lists = pa.array([merge_long(w, ranks) if i is None else i for w, i in zip(words, lists.to_pylist(), strict=True)], pa.list_(pa.int32()))
+        ends, ids = offsets_of(np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy().astype(kind)
+        save_arrays(path, str(shard), {"key": keys, "check": _keys(words, seed)[1], "start": ends.astype(np.uint32 if ends[-1] < 1 << 32 else np.uint64), "ids": ids})
         return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([size], pa.int64())})
 
     sizes = {r["shard"]: r["n"] for r in cut(coded.groupBy("shard").applyInArrow(save, "shard int, n long"), f"{path}-sizes").collect()}
@@ -264,22 +266,35 @@ def encode(df: DataFrame, words: Words, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
-def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """The bytes of an array of ids: their binary pieces, concatenated in runs and then the runs, so that long arrays stay quick."""
-    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
-    for piece, rank in ranks.items():
-        pieces[rank] = piece
-    table = F.from_json(F.lit(json.dumps([base64.b64encode(p).decode() for p in pieces])), "array<binary>")
-    joined = lambda parts, piece: F.aggregate(parts, F.lit(b""), lambda out, x: F.concat(out, piece(x)))
-    run = F.greatest(F.lit(128), F.ceil(F.sqrt(F.size(ids))).cast("int"))
-    starts = F.when(F.size(ids) > 0, F.sequence(F.lit(1), F.size(ids), run)).otherwise(F.array().cast("array<int>"))
-    return joined(F.transform(starts, lambda a: joined(F.slice(ids, a, run), lambda i: F.get(table, i))), lambda part: part)
+def decode(ids: list[int], pieces: list[bytes]) -> bytes:
+    return b"".join(map(pieces.__getitem__, ids))
+
+
+def digests(df: DataFrame, words: Words, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, n_tokens, ids_sha256, decoded_sha256) of every row: encoded by the word table, then decoded from the ids alone.
+
+    Null texts count as empty and have no ids. Repeated rows stay repeated; an empty table gives an empty result.
+    """
 
+    def run(batches):
+        table = WordIds(words)
+        pieces = [b""] * (max(ranks.values(), default=-1) + 1)
+        for piece, rank in ranks.items():
+            pieces[rank] = piece
+        decimals = [str(k) for k in range(len(pieces))]
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        for part in text_slices(batches, "text"):
+            lists = table.encode([t or "" for t in part.column("text").to_pylist()])
+            edge, flat = lists.offsets.to_pylist(), lists.values.to_numpy().tolist()
+            all_ids = [flat[a:b] for a, b in zip(edge, edge[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("id"), pa.array(np.diff(edge).astype(np.int64)), pa.array([sha(" ".join(map(decimals.__getitem__, i)).encode()) for i in all_ids]), pa.array([sha(decode(i, pieces)) for i in all_ids])],
+                names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
-def digests(coded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """Adds n_tokens, ids_sha256 and decoded_sha256 to encoded rows; the last is decoded from the ids alone."""
-    text = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
-    return coded.withColumns({"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(text.cast("binary"), 256), "decoded_sha256": F.sha2(decode(F.col("ids"), ranks), 256)})
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,4 +303,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, ranks = documents(spark, sf_dir), load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     words = build_words(docs, ranks, public_tokenizers.PATTERN, f"{shared_dir(spark, 'byte-bpe')}/words")
-    return digests(encode(docs, words), ranks).drop("ids")
+    return digests(docs, words, ranks)

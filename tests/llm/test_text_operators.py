@@ -385,7 +385,7 @@ def test_byte_bpe_like_the_library(spark, docs, monkeypatch, long):
     noise = ["".join(map(chr, rng.choice([*range(97, 105), 32, 233, 0x4E2D, 0x1F600], 60))) for _ in range(40)]
     texts = [r["text"] for r in docs.limit(30).collect()] + ODD + noise + ["a" * 700, "  \n\n x", "½²3 ×÷", "<|endoftext|>", "ab" * 100_000, "".join(map(chr, rng.integers(97, 123, 200_000)))]
     words = byte_bpe.build_words(frame(spark, texts), ranks, pattern, f"{shared_dir(spark, 'bpe')}/w")
-    got = byte_bpe.digests(byte_bpe.encode(frame(spark, texts), words), ranks).toPandas().set_index("doc_id")
+    got = byte_bpe.encode(frame(spark, texts), words).join(byte_bpe.digests(frame(spark, texts), words, ranks), "doc_id").toPandas().set_index("doc_id")
     for k, t in enumerate(texts):
         ids = own.encode_ordinary(t or "")
         assert list(got.loc[k, "ids"]) == ids, k
@@ -396,7 +396,7 @@ def test_byte_bpe_like_the_library(spark, docs, monkeypatch, long):
 def test_byte_bpe_edges(spark, monkeypatch):
     ranks, pattern, own = own_bpe()
     empty = byte_bpe.build_words(nothing(spark), ranks, pattern, f"{shared_dir(spark, 'bpe')}/w")
-    assert byte_bpe.digests(byte_bpe.encode(nothing(spark), empty), ranks).count() == 0
+    assert byte_bpe.digests(nothing(spark), empty, ranks).count() == 0
     rows = spark.createDataFrame([(1, "same"), (1, "same"), (None, "other")], "doc_id long, text string")
     assert byte_bpe.encode(rows, byte_bpe.build_words(rows, ranks, pattern, f"{shared_dir(spark, 'bpe')}/w")).count() == 3
     with pytest.raises(Exception, match="missing from the word table"):
