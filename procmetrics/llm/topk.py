@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from procmetrics.llm.common import cut, shared_dir
+from procmetrics.operators.transforms import small
 
-BLOCK, BATCH, GROUP = 1024, 256, 64
-#: Of the blocks of a query, so many of the highest bounds are scored before the others are pruned.
-FIRST = 2
+#: Components in a block, blocks in a group, queries in a batch, batches that meet a group at once. They bound what a task holds.
+CELLS, GROUP, BATCH, TOGETHER = 65536, 64, 256, 16
 
 
 def quantised(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -23,14 +21,21 @@ def quantised(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding")
     return df.where(F.col(id_col).isNotNull() & x.isNotNull() & fine).select(F.col(id_col).cast("long").alias("id"), F.size(vec_col).alias("dims"), F.transform(x, lambda v: F.floor(v * 256)).alias("ints"))
 
 
-def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    return np.frombuffer(column, "<i8").reshape(-1, dims) if dims else np.zeros((0, 0), np.int64)
+def _packed(matrix: np.ndarray) -> bytes:
+    """A matrix of integers in the smallest signed type that holds them, after a byte with its width."""
+    top = max(int(matrix.max(initial=0)), -1 - int(matrix.min(initial=0)))
+    kind = next(k for k in ("<i2", "<i4", "<i8") if top <= np.iinfo(k).max)
+    return bytes([int(kind[2])]) + matrix.astype(kind).tobytes()
+
+
+def _matrix(body: bytes, rows: int, dims: int) -> np.ndarray:
+    return np.frombuffer(body, f"<i{body[0]}", offset=1).astype(np.int64).reshape(rows, dims)
 
 
-def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """(dims, block, ids, matrix, high, low): forward indexes of up to size rows of neighbouring ids, with the extremes of each component.
+def blocks(rows: DataFrame, size: int | None = None) -> DataFrame:
+    """(dims, part, block, ids, matrix): forward indexes of rows of neighbouring ids, up to size of them or CELLS components.
 
-    Rows are sorted by dims and id over ranges; a block never crosses a range, so some are short. ids and matrix are little-endian longs.
+    Rows are sorted by dims and id over ranges; a block never crosses a range, so some are short. ids are little-endian longs.
     """
 
     def run(batches):
@@ -39,16 +44,17 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
         part, made = TaskContext.get().partitionId(), 0
         held: list[tuple[int, np.ndarray, np.ndarray]] = []
 
-        def flush():
+        def flush(whole: bool):
+            """Full blocks of what is held; the rest as well, if whole."""
             nonlocal made, held
-            if held:
-                dims, ids, m = held[0][0], np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
-                for lo in range(0, len(ids), size):
-                    some = m[lo : lo + size]
-                    row = [[dims], [(part << 32) + made], [ids[lo : lo + size].tobytes()], [some.tobytes()], [some.max(axis=0).tobytes()], [some.min(axis=0).tobytes()]]
-                    made += 1
-                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["dims", "block", "ids", "matrix", "high", "low"])
-            held = []
+            dims, ids, m = held[0][0], np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+            n = size or max(1, CELLS // max(1, dims))
+            stop = len(ids) if whole else len(ids) // n * n
+            for lo in range(0, stop, n):
+                row = [[dims], [part], [made], [ids[lo : min(lo + n, stop)].tobytes()], [_packed(m[lo : min(lo + n, stop)])]]
+                made += 1
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["dims", "part", "block", "ids", "matrix"])
+            held = [(dims, ids[stop:], m[stop:])] if stop < len(ids) else []
 
         for batch in batches:
             dims = batch.column("dims").to_numpy()
@@ -56,17 +62,16 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
             for a, b in zip(edge, edge[1:], strict=False):
                 if a == b:
                     continue
-                part_of = batch.slice(a, b - a)
-                m = part_of.column("ints").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(b - a, int(dims[a]))
-                if held and (held[0][0] != dims[a]):
-                    yield from flush()
-                held.append((int(dims[a]), part_of.column("id").to_numpy(), m))
-                if sum(len(h[1]) for h in held) >= size:
-                    yield from flush()
-        yield from flush()
+                some = batch.slice(a, b - a)
+                if held and held[0][0] != dims[a]:
+                    yield from flush(True)
+                held.append((int(dims[a]), some.column("id").to_numpy(), some.column("ints").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(b - a, int(dims[a]))))
+                yield from flush(False)
+        if held:
+            yield from flush(True)
 
     ordered = rows.repartitionByRange("dims", "id").sortWithinPartitions("dims", "id")
-    return ordered.mapInArrow(run, "dims int, block long, ids binary, matrix binary, high binary, low binary")
+    return ordered.mapInArrow(run, "dims int, part int, block long, ids binary, matrix binary")
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -76,111 +81,116 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def _bounds(queries: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+def bounds(queries: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
     """The largest score each query could have in each block: the sum over components of the larger of the two extreme products."""
-    positive, negative = np.maximum(queries, 0), np.minimum(queries, 0)
-    return _product(positive, high) + _product(negative, low)
+    return _product(np.maximum(queries, 0), high) + _product(np.minimum(queries, 0), low)
+
+
+LEAST = np.iinfo(np.int64).min + 1  # the least that can be negated
+
 
+class Leaders:
+    """The k best of each query so far: ids and scores by score down, then id up; places not yet filled have the least score."""
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best of each row: by score down, then id up."""
-    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)
-    return order[:, :k]
+    def __init__(self, queries: int, k: int):
+        self.ids, self.scores = np.full((queries, k), np.iinfo(np.int64).max), np.full((queries, k), LEAST)
 
+    def take(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        all_ids = np.concatenate([self.ids[rows], np.broadcast_to(ids, scores.shape)], axis=1)
+        all_scores = np.concatenate([self.scores[rows], scores], axis=1)
+        order = np.lexsort((all_ids, -all_scores), axis=1)[:, : self.ids.shape[1]]
+        self.ids[rows], self.scores[rows] = np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_scores, order, 1)
 
-def _replicated(queries: DataFrame, groups: DataFrame) -> DataFrame:
-    """Each batch of queries beside each group of block summaries: a join on the group's number, the queries being copied for each."""
-    count = groups.groupBy("dims").agg(F.max("g").alias("last"))
-    copies = queries.join(count, "dims").withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
-    return copies.join(groups, ["dims", "g"])
 
+def search_blocks(q_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[Leaders, np.ndarray]:
+    """The k best of some blocks (ids, matrix) for each query, and how many blocks each query scored.
 
-def search(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK, batch: int = BATCH) -> DataFrame:
+    Each query goes through the blocks from its highest bound down, a block at a time, and stops at the first whose bound lies below its k-th
+    score, be it the one so far or floor, a k-th score from elsewhere. A block of equal bound may hold a smaller id and is scored.
+    """
+    best, scored = Leaders(len(q_ids), k), np.zeros(len(q_ids), np.int64)
+    top = bounds(queries, np.stack([m.max(axis=0) for _, m in found]), np.stack([m.min(axis=0) for _, m in found]))
+    order = np.argsort(-top, axis=1, kind="stable")
+    going = np.arange(len(q_ids))
+    for turn in range(len(found)):
+        block = order[going, turn]
+        need = top[going, block] >= np.maximum(best.scores[going, -1], floor[going])
+        going, block = going[need], block[need]
+        if not len(going):
+            break
+        scored[going] += 1
+        for b in np.unique(block):
+            rows, (ids, matrix) = going[block == b], found[b]
+            scores = _product(queries[rows], matrix)
+            scores[q_ids[rows][:, None] == ids[None]] = LEAST
+            best.take(rows, ids, scores)
+    return best, scored
+
+
+FOUND = "query_id long, batch long, place int, vec_id long, score long, blocks int, scored int"
+
+
+def search(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block: int | None = None, batch: int = BATCH) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of df of highest integer inner product for each row of queries, itself left out.
 
     Ties go to the smaller id; with fewer rows all are given. Vectors of another length than the query's take no part, nor do vectors
     that are null or hold null or non-finite components; an empty table gives an empty result. Repeated ids count as rows of
-    their own, except that a query never finds its own id. Per query: bounds of all blocks from the summaries; the FIRST blocks by
-    bound are scored; of the rest only blocks whose bound reaches the k-th score so far, since a lower bound can't enter.
+    their own, except that a query never finds its own id. Other columns are not read.
+    """
+    found = search_work(df, queries, k, id_col, vec_col, block, batch).where(F.col("vec_id").isNotNull())
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("batch", "place").orderBy(F.desc("score"), "vec_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def search_work(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block: int | None = None, batch: int = BATCH) -> DataFrame:
+    """(query_id, batch, place, vec_id, score, blocks, scored): what each group of blocks gave to each query, and of how many blocks it scored how many.
+
+    vec_id is null where a group gave nothing. Blocks of neighbouring ids are dealt in groups. First each batch of queries goes through
+    one group, which gives every query a k-th score; with that as its floor it goes through the other groups. A task holds one group
+    and TOGETHER batches; queries are copied for each group and a group for each lot of batches, as in any search of all rows.
     """
     spark = df.sparkSession
     path = shared_dir(spark, "topk")
-    candidates = cut(blocks(quantised(df, id_col, vec_col), block), f"{path}/blocks")
-    asked = cut(blocks(quantised(queries, id_col, vec_col), batch).select("dims", F.col("block").alias("batch"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix")), f"{path}/queries")
-    grouped = candidates.groupBy("dims", F.shiftright("block", 32).alias("part"), F.floor(F.col("block") % (1 << 32) / GROUP).alias("run")).agg(F.collect_list(F.struct("block", "high", "low")).alias("summaries"))
-    groups = cut(grouped, f"{path}/groups").withColumn("g", (F.row_number().over(Window.partitionBy("dims").orderBy("part", "run")) - 1).cast("long"))
-
-    def bound(batches: Iterator[pa.RecordBatch]):
-        for rows in batches:
-            for r in rows.to_pylist():
-                dims = r["dims"]
-                q = _matrix(r["q_matrix"], dims)
-                n = len(r["q_ids"]) // 8
-                high, low = (np.concatenate([np.frombuffer(s[x], "<i8")[None] for s in r["summaries"]]) for x in ("high", "low"))
-                top = _bounds(q, high, low) if dims else np.zeros((n, len(r["summaries"])), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["batch"]] * len(r["summaries"])), pa.array([dims] * len(r["summaries"]), pa.int32()), pa.array([s["block"] for s in r["summaries"]]), pa.array([top[:, j].tobytes() for j in range(top.shape[1])])],
-                    names=["batch", "dims", "block", "bounds"],
-                )
-
-    bounds = cut(_replicated(asked, groups).mapInArrow(bound, "batch long, dims int, block long, bounds binary"), f"{path}/bounds")
-
-    def leaders(key, table):
-        top = np.stack([np.frombuffer(b, "<i8") for b in table["bounds"].to_pylist()])
-        block_ids = table["block"].to_numpy()
-        order = np.lexsort((np.broadcast_to(block_ids[:, None], top.shape), -top), axis=0)[:FIRST]
-        wanted = np.zeros(top.shape, bool)
-        np.put_along_axis(wanted, order, True, axis=0)
-        rows = np.flatnonzero(wanted.any(axis=1))
-        return pa.table({"batch": pa.array([key[0].as_py()] * len(rows), pa.int64()), "dims": table["dims"].take(pa.array(rows)), "block": table["block"].take(pa.array(rows)), "wanted": pa.array([wanted[r].tobytes() for r in rows], pa.binary())})
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        def run(batches):
-            for rows in batches:
-                for n in range(rows.num_rows):
-                    r = rows.slice(n, 1).to_pylist()[0]
-                    dims, q_ids, ids = r["dims"], np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["ids"], "<i8")
-                    asked_rows = np.flatnonzero(np.frombuffer(r["wanted"], bool))
-                    q = _matrix(r["q_matrix"], dims)[asked_rows] if dims else np.zeros((len(asked_rows), 0), np.int64)
-                    scores = _product(q, _matrix(r["matrix"], dims)) if dims else np.zeros((len(asked_rows), len(ids)), np.int64)
-                    own = q_ids[asked_rows][:, None] == ids[None]
-                    scores[own] = np.iinfo(np.int64).min + 1  # the least that can be negated
-                    places = _best(ids, scores, k)
-                    best = np.take_along_axis(scores, places, axis=1)
-                    keep = ~np.take_along_axis(own, places, axis=1)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(q_ids[asked_rows], places.shape[1])[keep.ravel()]), pa.array(np.full(int(keep.sum()), r["batch"])), pa.array(np.repeat(asked_rows, places.shape[1])[keep.ravel()].astype(np.int32)), pa.array(ids[places].ravel()[keep.ravel()]), pa.array(best.ravel()[keep.ravel()])],
-                        names=["query_id", "batch", "place", "vec_id", "score"],
-                    )
-
-        with_rows = pairs.join(asked.drop("dims"), "batch").join(candidates.select("block", "ids", "matrix"), "block")
-        return with_rows.select("batch", "dims", "q_ids", "q_matrix", "ids", "matrix", "wanted").mapInArrow(run, "query_id long, batch long, place int, vec_id long, score long")
-
-    first_pairs = cut(bounds.groupBy("batch").applyInArrow(lambda key, table: leaders(key, table), "batch long, dims int, block long, wanted binary"), f"{path}/leaders")
-    first = cut(scored(first_pairs), f"{path}/first")
-    ranked = first.withColumn("n", F.row_number().over(Window.partitionBy("batch", "place").orderBy(F.desc("score"), "vec_id")))
-    kth = ranked.where(F.col("n") == k).groupBy("batch").agg(F.collect_list(F.struct("place", "score")).alias("kth"))
-    rest = bounds.join(kth, "batch", "left").join(first_pairs.select("batch", "block", F.col("wanted").alias("done")), ["batch", "block"], "left")
-
-    def prune(batches):
-        for rows in batches:
-            out = []
-            for r in rows.to_pylist():
-                top = np.frombuffer(r["bounds"], "<i8")
-                least = np.full(len(top), np.iinfo(np.int64).min)
-                for x in r["kth"] or []:
-                    least[x["place"]] = x["score"]
-                wanted = top >= least
-                if r["done"]:
-                    wanted &= ~np.frombuffer(r["done"], bool)
-                if wanted.any():
-                    out.append((r["batch"], r["dims"], r["block"], wanted.tobytes()))
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["batch", "dims", "block", "wanted"])
-
-    other = scored(rest.mapInArrow(prune, "batch long, dims int, block long, wanted binary"))
-    found = first.unionByName(other).withColumn("rank", F.row_number().over(Window.partitionBy("batch", "place").orderBy(F.desc("score"), "vec_id")))
-    return found.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    run = lambda size: F.floor(F.col("block") / size)
+    held = cut(blocks(quantised(df, id_col, vec_col), block).withColumn("run", run(GROUP)), f"{path}/blocks")
+    asked = cut(blocks(quantised(queries, id_col, vec_col), batch).select("dims", F.shiftleft(F.col("part").cast("long"), 32).bitwiseOR(F.col("block")).alias("batch"), F.col("part").alias("q_part"), run(TOGETHER).alias("lot"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix")), f"{path}/queries")
+    numbered = F.row_number().over(Window.partitionBy("dims").orderBy("part", "run")) - 1
+    groups = cut(held.select("dims", "part", "run").distinct().withColumn("g", numbered).withColumn("groups", F.count("*").over(Window.partitionBy("dims"))), f"{path}/groups")  # numbers only
+    lots = cut(asked.select("dims", "q_part", "lot").distinct(), f"{path}/lots")
+    home = F.pmod(F.xxhash64("q_part", "lot"), F.col("groups")) == F.col("g")
+    meets = cut(lots.join(small(groups), "dims").select("dims", "part", "run", "q_part", "lot", home.alias("first")), f"{path}/meets")
+    keys = ["dims", "part", "run", "q_part", "lot"]
+
+    def task(key, left: pa.Table, right: pa.Table):
+        dims = key[0].as_py()
+        found = [(np.frombuffer(i, "<i8"), _matrix(m, len(i) // 8, dims)) for i, m in zip(right["ids"].to_pylist(), right["matrix"].to_pylist(), strict=True)]
+        out = []
+        for r in left.to_pylist():
+            q_ids = np.frombuffer(r["q_ids"], "<i8")
+            floor = np.full(len(q_ids), LEAST)
+            for x in r["floors"] or []:
+                floor[x["place"]] = x["score"]
+            best, scored = search_blocks(q_ids, _matrix(r["q_matrix"], len(q_ids), dims), floor, found, k)
+            rows, place = np.nonzero(best.scores > LEAST)
+            rows = np.concatenate([rows, np.flatnonzero((best.scores <= LEAST).all(axis=1))])
+            none = np.arange(len(rows)) >= len(place)
+            at = np.concatenate([place, np.zeros(len(rows) - len(place), np.int64)])
+            columns = [q_ids[rows], np.full(len(rows), r["batch"]), rows.astype(np.int32), pa.array(best.ids[rows, at], mask=none), pa.array(best.scores[rows, at], mask=none), np.full(len(rows), len(found), np.int32), scored[rows].astype(np.int32)]
+            out.append(pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["query_id", "batch", "place", "vec_id", "score", "blocks", "scored"]))
+        empty = pa.schema([("query_id", pa.int64()), ("batch", pa.int64()), ("place", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64()), ("blocks", pa.int32()), ("scored", pa.int32())])
+        return pa.Table.from_batches(out, empty)
+
+    def through(pairs: DataFrame, questions: DataFrame) -> DataFrame:
+        own = lambda: small(pairs.select(*[F.col(c).alias(c) for c in keys]))  # noqa: E731  (columns of each side's own)
+        left = questions.join(own(), ["dims", "q_part", "lot"]).groupBy(*keys)
+        right = held.join(own(), ["dims", "part", "run"]).groupBy(*keys)
+        return left.cogroup(right).applyInArrow(lambda key, a, b: task(key, a, b), FOUND)
+
+    no_floor = F.lit(None).cast("array<struct<place:int,score:long>>")
+    first = cut(through(meets.where("first"), asked.withColumn("floors", no_floor)), f"{path}/first")
+    kth = first.withColumn("n", F.row_number().over(Window.partitionBy("batch", "place").orderBy(F.desc("score"), "vec_id"))).where((F.col("n") == k) & F.col("vec_id").isNotNull())
+    floors = kth.groupBy("batch").agg(F.collect_list(F.struct("place", "score")).alias("floors"))  # one for each query of a batch
+    return first.unionByName(through(meets.where("NOT first"), asked.join(floors, "batch", "left")))
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
