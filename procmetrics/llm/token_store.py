@@ -16,12 +16,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procmetrics.llm.common import documents, offsets_of, shared_dir, split_words, text_slices
+from procmetrics.llm.common import cut, documents, offsets_of, shared_dir, split_words, text_slices
 
 #: Of the cache of encoded words in each worker: two generations of so many words at most.
 CACHE_WORDS = 200_000
 #: Chunk edges: a cut after an id whose rolling hash over the last WINDOW ids has its low MASK_BITS bits zero; lengths between MIN and MAX.
 WINDOW, MASK_BITS, MIN_CHUNK, MAX_CHUNK = 16, 10, 256, 8192
+#: A node of the tree over the documents has 2^FAN_BITS children at most.
+FAN_BITS = 12
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -160,11 +162,12 @@ def unpack(body: bytes) -> np.ndarray:
 
 
 def write_store(df: DataFrame, store: str, tokenizer: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes the store: chunks (address, body; each once), recipes (id, start, n_tokens, address list) and manifests.
+    """Writes the store: chunks (address, body; each once), recipes (id, n_tokens, address list) and manifests.
 
-    Recipes lie in files by ascending id, ties by text; each has the number of ids before it and the Merkle root over its chunks. The
-    address is the SHA-256 of the ids as 32-bit integers. Null texts count as empty and have only end_id. Rows of a null id come first.
-    One pass encodes; texts are never shuffled.
+    Recipes lie in files by ascending id, ties by text; each has the Merkle root over its chunks, and the manifests go on from there: a tree
+    over the documents of each file, and over the files. The address is the SHA-256 of the ids as 32-bit integers. Null texts count as
+    empty and have only end_id. Repeated rows stay repeated. Rows of a null id come first. An empty table gives an empty store. Other
+    columns are not read. One pass encodes; texts are never shuffled.
     """
     spark = df.sparkSession
 
@@ -197,21 +200,57 @@ def write_store(df: DataFrame, store: str, tokenizer: str, end_id: int | None =
     ordered = staged.select("id", "n_tokens", "addresses", "root").repartitionByRange("id", "root").sortWithinPartitions("id", "root")
     ordered = ordered.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"))
     ordered.write.option("compression", "zstd").parquet(f"{store}/recipes")
-    manifests = read_recipes(spark, store).groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("documents"), F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("place", "root"))), lambda r: F.hex(r["root"]))), 256).alias("root"))
-    manifests.write.option("compression", "zstd").parquet(f"{store}/manifests")
+    leaves = cut(_leaves(read_recipes(spark, store)), f"{store}/leaves")
+    _upper(leaves).write.option("compression", "zstd").parquet(f"{store}/manifests")
 
 
 def read_recipes(spark: SparkSession, store: str) -> DataFrame:
     return spark.read.parquet(f"{store}/recipes")
 
 
+def _node(order: str):
+    """The hash of a node of the manifests' tree: of its children's hashes in order, under a tag of their own."""
+    children = F.transform(F.array_sort(F.collect_list(F.struct(order, "root"))), lambda r: F.hex(r["root"]))
+    return F.unhex(F.sha2(F.unhex(F.concat(F.lit("02"), F.array_join(children, ""))), 256)).alias("root")
+
+
+def _leaves(recipes: DataFrame) -> DataFrame:
+    """(part, leaf, n_tokens, documents, root): FAN documents at most, in order, of each file of recipes."""
+    leaf = F.shiftright(F.col("place").bitwiseAND((1 << 33) - 1), FAN_BITS).alias("leaf")
+    return recipes.groupBy("part", leaf).agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("documents"), _node("place"))
+
+
+def _upper(leaves: DataFrame) -> DataFrame:
+    """(level, part, n_tokens, documents, root) above the leaves: a node for each FAN leaves of a file, one for each file, and one for the store.
+
+    A node has FAN children at most, but for the store's, which has one for each file of recipes; files are as many as the tasks that wrote them.
+    """
+    total = (F.sum("n_tokens").alias("n_tokens"), F.sum("documents").alias("documents"))
+    inner = leaves.groupBy("part", F.shiftright("leaf", FAN_BITS).alias("leaf")).agg(*total, _node("leaf"))
+    files = inner.groupBy("part").agg(*total, _node("leaf"))
+    whole = files.groupBy().agg(*total, _node("part"))
+    return files.select(F.lit("file").alias("level"), "part", "n_tokens", "documents", "root").unionByName(whole.select(F.lit("store").alias("level"), F.lit(-1).alias("part"), "n_tokens", "documents", "root"))
+
+
 def _starts(spark: SparkSession, store: str) -> DataFrame:
-    """Recipes with start, the ids of all documents before: sums within the files, plus the files before (a row for each in the manifests)."""
+    """Recipes with start, the ids of all documents before, and sound: that the tree over the recipes as read is the manifests'.
+
+    Sums run within leaves, over the leaves of a file and over the files, of which each has one row.
+    """
     from pyspark.sql import Window
 
-    before = spark.read.parquet(f"{store}/manifests").select("part", F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("place")) - F.col("n_tokens")
-    return read_recipes(spark, store).join(F.broadcast(before), "part").select("*", (F.col("before") + within).alias("start"))
+    recipes = read_recipes(spark, store).withColumn("leaf", F.shiftright(F.col("place").bitwiseAND((1 << 33) - 1), FAN_BITS))
+    leaves, manifests = spark.read.parquet(f"{store}/leaves"), spark.read.parquet(f"{store}/manifests")
+    again = _leaves(recipes.drop("leaf")).select("part", "leaf", F.col("root").alias("found"))
+    upper = _upper(leaves).select("level", "part", F.col("root").alias("found"))
+    agreed = manifests.join(upper, ["level", "part"], "full").agg(F.coalesce(F.min(F.col("root").eqNullSafe(F.col("found"))), F.lit(True)).alias("upper_sound"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    files = manifests.where("level = 'file'").select("part", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).alias("of_files"))
+    of_leaves = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("leaf")) - F.col("n_tokens")
+    before = leaves.select("part", "leaf", "root", of_leaves.alias("of_leaves")).join(files, "part").join(again, ["part", "leaf"], "left")
+    before = before.crossJoin(F.broadcast(agreed)).select("part", "leaf", (F.col("of_files") + F.col("of_leaves")).alias("before"), (F.col("upper_sound") & F.coalesce(F.col("root") == F.col("found"), F.lit(False))).alias("sound"))
+    within = F.sum("n_tokens").over(Window.partitionBy("part", "leaf").orderBy("place")) - F.col("n_tokens")
+    return recipes.withColumn("within", within).join(before, ["part", "leaf"], "left").select("id", "n_tokens", "addresses", "root", "part", "place", (F.col("before") + F.col("within")).alias("start"), F.coalesce("sound", F.lit(False)).alias("sound"))
 
 
 def _zero_bytes(power: int, _made: list[np.ndarray] = []) -> np.ndarray:  # noqa: B006
@@ -259,7 +298,8 @@ def read_back(spark: SparkSession, store: str) -> DataFrame:
     """(id, start, n_tokens, ids_crc32, verified) of every document from the files.
 
     Chunks are read and hashed once where they lie; documents gather only the lengths and checksums of their chunks, which combine
-    exactly. verified: all chunks are intact and the Merkle root over their addresses is the recipe's.
+    exactly. verified: all chunks are intact, the Merkle root over their addresses is the recipe's, and the tree over the recipes is the
+    manifests'. Repeated rows stay repeated; an empty store gives none.
     """
     recipes = _starts(spark, store)
     used = recipes.select("part", "place", F.posexplode("addresses").alias("pos", "address"))
@@ -280,27 +320,39 @@ def read_back(spark: SparkSession, store: str) -> DataFrame:
             total = offsets_of(n)
             whole = offsets_of(intact)
             roots = zip(batch.column("root").to_pylist(), batch.column("addresses").to_pylist(), strict=True)
-            good = np.array([merkle_root(leaves) == root for root, leaves in roots], bool) & (whole[edge[1:]] - whole[edge[:-1]] == size)
+            sound = batch.column("sound").to_numpy(zero_copy_only=False)
+            good = sound & np.array([merkle_root(leaves) == root for root, leaves in roots], bool) & (whole[edge[1:]] - whole[edge[:-1]] == size)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("start"), pa.array(total[edge[1:]] - total[edge[:-1]]), pa.array(crc.astype(np.int64)), pa.array(good)], names=["id", "start", "n_tokens", "ids_crc32", "verified"])
 
     kind = recipes.schema["id"].dataType.simpleString()
-    joined = recipes.join(lists, ["part", "place"], "left").select("id", "start", "root", "addresses", "chunks")
+    joined = recipes.join(lists, ["part", "place"], "left").select("id", "start", "root", "addresses", "chunks", "sound")
     return joined.mapInArrow(run, f"id {kind}, start long, n_tokens long, ids_crc32 long, verified boolean")
 
 
 def read_ids(spark: SparkSession, store: str) -> DataFrame:
-    """(id, start, ids array<int>): whole documents rebuilt from recipes and chunks."""
+    """(id, start, ids array<int>): whole documents rebuilt from recipes and chunks. A chunk that is lost or changed raises an error, as do recipes that the manifests don't know."""
 
     def run(batches):
         for batch in batches:
-            ids = [np.concatenate([unpack(c["body"]) for c in chunks] or [np.array([], "<u4")]) for chunks in batch.column("chunks").to_pylist()]
+            ids = []
+            for chunks in batch.column("chunks").to_pylist():
+                parts = [np.array([], "<u4")]
+                for c in chunks:
+                    if c["body"] is None:
+                        raise ValueError(f"chunk {c['address'].hex()} is lost")
+                    part = unpack(c["body"])
+                    if hashlib.sha256(part.tobytes()).digest() != c["address"]:
+                        raise ValueError(f"chunk {c['address'].hex()} has changed")
+                    parts.append(part)
+                ids.append(np.concatenate(parts))
             yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("place"), pa.array(ids, pa.list_(pa.int32()))], names=["part", "place", "ids"])
 
     recipes = _starts(spark, store)
-    bodies = recipes.select("part", "place", F.posexplode("addresses").alias("pos", "address")).join(spark.read.parquet(f"{store}/chunks"), "address")
-    lists = bodies.groupBy("part", "place").agg(F.array_sort(F.collect_list(F.struct("pos", "body"))).alias("chunks"))
+    bodies = recipes.select("part", "place", F.posexplode("addresses").alias("pos", "address")).join(spark.read.parquet(f"{store}/chunks"), "address", "left")
+    lists = bodies.groupBy("part", "place").agg(F.array_sort(F.collect_list(F.struct("pos", "address", "body"))).alias("chunks"))
     ids = lists.mapInArrow(run, "part int, place long, ids array<int>")
-    return recipes.select("part", "place", "id", "start").join(ids, ["part", "place"], "left").select("id", "start", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    start = F.when(F.col("sound"), F.col("start")).otherwise(F.raise_error(F.lit("the recipes are not those of the manifests")).cast("long"))
+    return recipes.select("part", "place", "id", start.alias("start")).join(ids, ["part", "place"], "left").select("id", "start", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,7 +361,8 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     store = f"{shared_dir(spark, 'token-store')}/store"
     write_store(documents(spark, sf_dir), store, public_tokenizers.path("word_bpe_49k.json"))
-    return read_back(spark, store).withColumnRenamed("id", "doc_id")
+    sound = F.when(F.col("verified"), F.lit(True)).otherwise(F.raise_error(F.lit("a document of the store is not what was written")).cast("boolean"))
+    return read_back(spark, store).withColumnRenamed("id", "doc_id").withColumn("verified", sound)
 
 
 def whole_text_ids(path: str, texts: Iterator[str]) -> list[list[int]]:
