@@ -1,22 +1,24 @@
-"""Variable-capacity best-fit packing over the histogram of lengths (operator 9).
+"""Variable-capacity best-fit packing of token sequences over the histogram of their lengths (operator 9).
 
 How bins are filled depends only on how many pieces of each length there are. The histogram has at most as many rows as the largest
 capacity, whatever the number of documents; best-fit runs on it with multiplicities, and Spark then places every piece by its rank
-among the pieces of its length.
+among the pieces of its length, brings the pieces of a bin together and writes the bins: their ids, and where each document lies.
 """
 
 from __future__ import annotations
 
 import bisect
+import zlib
 from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from procmetrics.llm.common import cut, documents, shared_dir
+from procmetrics.llm.common import cut, documents, offsets_of, shared_dir, text_slices
+from procmetrics.llm.hash_store import find_between, load_arrays, save_arrays
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: Tokens that opening a bin costs beside its length; so a larger bin costs less a token.
@@ -85,8 +87,8 @@ def best_fit(histogram: dict[int, int], capacities: tuple[int, ...] = CAPACITIES
     return [Group(g.lengths, c - sum(g.lengths), c, g.count) for room in sorted(by_room) for g in by_room[room] for c in [next(c for c in capacities if c >= sum(g.lengths))]]
 
 
-def placements(groups: list[Group]) -> dict[int, np.ndarray]:
-    """For each length an array of rows (first rank, first bin, offset, capacity), by rank: pieces of ranks from first rank on go to bins from first bin on."""
+def placements(groups: list[Group]) -> dict[str, np.ndarray]:
+    """By length (ascending, as runs between starts) and rank: pieces of ranks from the first rank on go to bins from the first bin on, at the offset."""
     out: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
     used: dict[int, int] = defaultdict(int)
     first_bin = 0
@@ -97,78 +99,157 @@ def placements(groups: list[Group]) -> dict[int, np.ndarray]:
             used[length] += group.count
             offset += length
         first_bin += group.count
-    return {length: np.array(rows, np.int64) for length, rows in out.items()}
+    rows = np.array([r for length in sorted(out) for r in out[length]], np.int64).reshape(-1, 4)
+    most = max(out, default=0)
+    start = offsets_of(np.array([len(out.get(length, ())) for length in range(most + 1)], np.int64))
+    return {"start": start, "rank": rows[:, 0].copy(), "bin": rows[:, 1].copy(), "offset": rows[:, 2].copy(), "capacity": rows[:, 3].copy()}
 
 
-def pieces(df: DataFrame, length: Column, largest: int, id_col: str = "doc_id") -> DataFrame:
-    """(id, piece, first, len): documents cut into pieces of at most the largest capacity; a document of no tokens has one piece of 0."""
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(length.cast("long"), F.lit(0)).alias("n"))
-    cuts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(largest).cast("long"))
-    return rows.select("id", F.posexplode(cuts).alias("piece", "first"), "n").select("id", "piece", "first", F.least(F.col("n") - F.col("first"), F.lit(largest)).cast("int").alias("len"))
+def word_ids(end_id: int | None = 1):
+    """Encodes with the 49k word tokenizer; each text, also an empty or null one, ends with end_id."""
+    import public_tokenizers
 
+    from procmetrics.llm.token_store import WordEncoder
 
-def pack(df: DataFrame, length: Column, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, id_col: str = "doc_id") -> DataFrame:
-    """(id_col, piece, first, n_tokens, bin_id, bin_size, bin_offset) for every piece of every document.
+    encoder, tail = WordEncoder(public_tokenizers.path("word_bpe_49k.json")), np.array([] if end_id is None else [end_id], np.uint32)
+    return lambda texts: [np.concatenate([ids, tail]) for ids in encoder.encode([t or "" for t in texts])]
 
-    Pieces without tokens get no bin (nulls). Null lengths count as 0. Repeated ids are documents of their own, placed in an
-    arbitrary order among equals. An empty table gives an empty result.
+
+def pieces(df: DataFrame, tokens, largest: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, piece, first, len, part, local, ids): the ids of each text, cut into pieces of at most the largest capacity.
+
+    ids are little-endian, 16 bits each if all of a piece fit, else 32. local numbers the pieces of a length within their task, part. A text
+    without ids has one piece of none.
     """
-    spark = df.sparkSession
-    path = shared_dir(spark, "packing")
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = cut(pieces(df, length, max(capacities), id_col), f"{path}/lengths")  # else sampling for the ranges would count all texts twice
 
-    def number(batches):
-        """The rank of each piece among those of its length in this partition."""
+    def run(batches):
         from pyspark import TaskContext
 
-        part, seen = TaskContext.get().partitionId(), np.zeros(max(capacities) + 1, np.int64)
-        for batch in batches:
-            size = batch.column("len").to_numpy()
-            order = np.argsort(size, kind="stable")
-            ordered = size[order]
-            first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(size) else np.array([], np.int64)
-            runs = np.diff(np.concatenate([first, [len(size)]]))
-            local = np.empty(len(size), np.int64)
-            local[order] = np.arange(len(size)) - np.repeat(first, runs) + seen[ordered]
-            seen[ordered[first]] += runs
-            columns = [*batch.columns, pa.array(np.full(len(size), part, np.int32)), pa.array(local)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "part", "local"])
-
-    ordered = rows.repartitionByRange("id", "piece").sortWithinPartitions("id", "piece")
-    staged = cut(ordered.mapInArrow(number, f"id {kind}, piece int, first long, len int, part int, local long"), f"{path}/pieces")
-    counts = cut(staged.where("len > 0").groupBy("len", "part").agg(F.count("*").alias("n")), f"{path}/counts")
-    histogram = {r["len"]: r["n"] for r in counts.groupBy("len").agg(F.sum("n").alias("n")).collect()}
-    table = placements(best_fit(histogram, capacities, overhead))
-    before = counts.select("len", "part", (F.sum("n").over(Window.partitionBy("len").orderBy("part")) - F.col("n")).alias("before"))
+        encode, part, seen = tokens(), TaskContext.get().partitionId(), np.zeros(largest + 1, np.int64)
+        for slice_ in text_slices(batches, "text"):
+            owner, piece, first, size, local, bodies = [], [], [], [], [], []
+            for row, ids in enumerate(encode(slice_.column("text").to_pylist())):
+                for k, at in enumerate(range(0, max(len(ids), 1), largest)):
+                    some = ids[at : at + largest]
+                    owner.append(row)
+                    piece.append(k)
+                    first.append(at)
+                    size.append(len(some))
+                    local.append(seen[len(some)])
+                    seen[len(some)] += 1
+                    bodies.append(some.astype("<u2" if not len(some) or some.max() < 1 << 16 else "<u4").tobytes())
+            ints = [pa.array(piece, pa.int32()), pa.array(first, pa.int64()), pa.array(size, pa.int32()), pa.array([part] * len(size), pa.int32()), pa.array(local, pa.int64())]
+            yield pa.RecordBatch.from_arrays([slice_.column("id").take(pa.array(owner, pa.int64())), *ints, pa.array(bodies, pa.binary())], names=["id", "piece", "first", "len", "part", "local", "ids"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, piece int, first long, len int, part int, local long, ids binary")
+
+
+def _unpacked(body: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(body, "<u2" if len(body) == 2 * size else "<u4").astype(np.int32)
+
+
+def pack(df: DataFrame, path: str, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, tokens=word_ids, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes the bins of df's token sequences below path: (bin_id, bin_size, ids, pieces), and the pieces without ids, which have no bin.
+
+    tokens() gives, in a task, the function from a list of texts to their arrays of ids. pieces of a bin are structs (id, piece, first, offset,
+    n_tokens) in the order in which they lie; ids beyond the last are absent, not padded. Null texts count as empty. Repeated ids are
+    documents of their own. An empty table gives no bins. Other columns are not read.
+    """
+    spark, largest = df.sparkSession, max(capacities)
+    rows = cut(pieces(df, tokens, largest, id_col, text_col), f"{path}/pieces")
+    counts = cut(rows.where("len > 0").groupBy("len", "part").agg(F.count("*").alias("n")), f"{path}/counts")
+    histogram = {r["len"]: r["n"] for r in counts.groupBy("len").agg(F.sum("n").alias("n")).collect()}  # a row for each length at most
+    save_arrays(f"{path}/plan", "rules", placements(best_fit(histogram, capacities, overhead)))
+
+    def save(key, table):
+        before = np.zeros(largest + 1, np.int64)
+        before[table["len"].to_numpy()] = table["before"].to_numpy()
+        save_arrays(f"{path}/plan", str(key[0].as_py()), {"before": before})
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32())})
+
+    ranked = counts.select("len", "part", (F.sum("n").over(Window.partitionBy("len").orderBy("part")) - F.col("n")).alias("before"))
+    cut(ranked.groupBy("part").applyInArrow(save, "part int"), f"{path}/parts")
 
     def place(batches):
+        rules, before = load_arrays(f"{path}/plan", "rules"), {}
         for batch in batches:
-            size, rank = batch.column("len").to_numpy(), batch.column("rank").to_pandas().to_numpy()
-            bins, sizes, offsets = (np.full(len(size), -1, np.int64) for _ in range(3))
-            for value in np.unique(size):
-                if value == 0:
-                    continue
-                mine, rule = np.flatnonzero(size == value), table[int(value)]
-                ranks = rank[mine].astype(np.int64)
-                row = rule[np.searchsorted(rule[:, 0], ranks, "right") - 1]
-                bins[mine], offsets[mine], sizes[mine] = row[:, 1] + ranks - row[:, 0], row[:, 2], row[:, 3]
-            empty = size == 0
-            out = [batch.column(c) for c in ("id", "piece", "first", "len")] + [pa.array(bins, mask=empty), pa.array(sizes.astype(np.int32), mask=empty), pa.array(offsets.astype(np.int32), mask=empty)]
-            yield pa.RecordBatch.from_arrays(out, names=["id", "piece", "first", "n_tokens", "bin_id", "bin_size", "bin_offset"])
+            size, part = batch.column("len").to_numpy(), batch.column("part").to_numpy()
+            rank = batch.column("local").to_numpy().copy()
+            for p in np.unique(part):
+                mine = part == p
+                if p not in before:
+                    before[p] = load_arrays(f"{path}/plan", str(p))["before"]
+                rank[mine] += before[p][size[mine]]
+            low, high = rules["start"][size], rules["start"][size + 1]
+            at, there = find_between(rules["rank"], low, high, rank)
+            at = np.where(there, at, at - 1)  # the run that begins at or before the rank
+            columns = [rules["bin"][at] + rank - rules["rank"][at], rules["capacity"][at].astype(np.int32), rules["offset"][at].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "piece", "first", "len", "ids")), *map(pa.array, columns)], names=["id", "piece", "first", "len", "ids", "bin_id", "bin_size", "bin_offset"])
 
-    ranked = staged.join(before, ["len", "part"], "left").select("id", "piece", "first", "len", (F.coalesce("before", F.lit(0)) + F.col("local")).alias("rank"))
-    placed = ranked.mapInArrow(place, f"id {kind}, piece int, first long, n_tokens int, bin_id long, bin_size int, bin_offset int")
-    return placed.withColumnRenamed("id", id_col)
+    kind = df.schema[id_col].dataType.simpleString()
+    placed = rows.where("len > 0").mapInArrow(place, f"id {kind}, piece int, first long, len int, ids binary, bin_id long, bin_size int, bin_offset int")
+    sorted_ = placed.repartition("bin_id").sortWithinPartitions("bin_id", "bin_offset")
 
+    def assemble(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            bins = batch.column("bin_id").to_numpy()
+            last = int(np.searchsorted(bins, bins[-1])) if len(bins) else 0
+            if last:  # all bins before the last one are whole
+                yield _bins([*held, batch.slice(0, last)])
+                held = []
+            elif held and len(bins) and held[-1].column("bin_id")[-1].as_py() != bins[0]:
+                yield _bins(held)
+                held = []
+            held.append(batch.slice(last))
+        if any(b.num_rows for b in held):
+            yield _bins(held)
+
+    struct = f"struct<id:{kind},piece:int,first:bigint,offset:int,n_tokens:int>"
+    sorted_.mapInArrow(assemble, f"bin_id long, bin_size int, ids array<int>, pieces array<{struct}>").write.option("compression", "zstd").parquet(f"{path}/bins")
+    rows.where("len = 0").select("id", "piece", "first").write.parquet(f"{path}/empty")
+
+
+def _bins(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One row for each bin of sorted pieces."""
+    table = pa.Table.from_batches(parts).combine_chunks()
+    column = lambda name: table[name].combine_chunks() if table[name].num_chunks != 1 else table[name].chunk(0)
+    bins, size = column("bin_id").to_numpy(), column("len").to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]]))
+    edge, ends = np.append(first, len(bins)).astype(np.int32), offsets_of(size)
+    ids = np.concatenate([_unpacked(b, n) for b, n in zip(column("ids").to_pylist(), size.tolist(), strict=True)])
+    structs = pa.StructArray.from_arrays([column("id"), column("piece"), column("first"), column("bin_offset"), column("len")], names=["id", "piece", "first", "offset", "n_tokens"])
+    lists = [pa.ListArray.from_arrays(pa.array(ends[edge].astype(np.int32)), pa.array(ids)), pa.ListArray.from_arrays(pa.array(edge), structs)]
+    return pa.RecordBatch.from_arrays([pa.array(bins[first]), column("bin_size").take(pa.array(first)), *lists], names=["bin_id", "bin_size", "ids", "pieces"])
+
+
+def read_bins(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/bins")
+
+
+def read_pieces(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
+    """(id_col, piece, first, n_tokens, bin_id, bin_size, bin_offset, ids_crc32) of every piece, from the bins as written; pieces without ids have no bin."""
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, rows = batch.column("ids")[r].values.to_numpy().astype("<u4"), batch.column("pieces")[r].values
+                offset, size = rows.field("offset").to_numpy(), rows.field("n_tokens").to_numpy()
+                crc = [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(offset.tolist(), size.tolist(), strict=True)]
+                same = [batch.column(c).slice(r, 1).take(pa.array(np.zeros(len(rows), np.int64))) for c in ("bin_id", "bin_size")]
+                yield pa.RecordBatch.from_arrays([rows.field("id"), rows.field("piece"), rows.field("first"), rows.field("n_tokens"), *same, rows.field("offset"), pa.array(crc, pa.int64())], names=["id", "piece", "first", "n_tokens", "bin_id", "bin_size", "bin_offset", "ids_crc32"])
 
-def word_count(text: Column) -> Column:
-    """Words between white space as a stand-in for tokens, and one end; 0 for an empty or null text."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(F.length(trimmed) == 0, F.lit(0)).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+")) + 1)
+    bins, empty = read_bins(spark, path), spark.read.parquet(f"{path}/empty")
+    kind = empty.schema["id"].dataType.simpleString()
+    full = bins.mapInArrow(run, f"id {kind}, piece int, first long, n_tokens int, bin_id long, bin_size int, bin_offset int, ids_crc32 long")
+    none = empty.select("id", "piece", "first", F.lit(0).alias("n_tokens"), *[F.lit(None).cast(t).alias(c) for c, t in (("bin_id", "long"), ("bin_size", "int"), ("bin_offset", "int"))], F.lit(0).cast("long").alias("ids_crc32"))
+    return full.unionByName(none).withColumnRenamed("id", id_col)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bins for all documents."""
-    docs = documents(spark, sf_dir)
-    return pack(docs, word_count(F.col("text")))
+    """All documents encoded, packed, written as bins and read back."""
+    path = shared_dir(spark, "packing")
+    pack(documents(spark, sf_dir), path)
+    return read_pieces(spark, path)
