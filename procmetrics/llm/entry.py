@@ -17,4 +17,4 @@ QUERIES = {
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
 
-ORACLE = {"op4_topk": topk.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
+ORACLE = {"op1_secrets": secrets.ORACLE, "op4_topk": topk.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}

@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from procmetrics.llm.common import cut, documents, shared_dir, text_slices
+from procmetrics.operators.transforms import small
 
 VERSION = "rules-1"
+#: Addresses of new blobs up to this size are sent to all executors, which then fetch those texts only.
+FEW_BYTES = 1 << 20
 #: Kinds in the order in which equal starts are listed; the first three are the base.
 KINDS = ("assign", "access", "hex", "pem", "jwt")
 _ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -92,11 +95,23 @@ def open_ledger(spark: SparkSession, ledger: str) -> DataFrame:
 
 
 def update_ledger(df: DataFrame, ledger: str, version: str = VERSION, text_col: str = "text") -> None:
-    """Scans the blobs of df that the ledger lacks under this rule version, once each, and appends what was found (also nothing)."""
+    """Scans the blobs of df that the ledger lacks under this rule version, once each, and appends what was found (also nothing).
+
+    Addresses alone are held against the ledger. Texts are fetched for new ones only: while these are few, before anything is shuffled.
+    An empty table, or one without new blobs, adds no rows.
+    """
     spark = df.sparkSession
     known = open_ledger(spark, ledger).where(F.col("rule_version") == version).select("blob")
-    fresh = _bodies(df, text_col).groupBy("blob").agg(F.first("body").alias("body")).join(known, "blob", "left_anti")
-    _scan(fresh).withColumn("rule_version", F.lit(version)).write.mode("append").option("compression", "zstd").parquet(ledger)
+    if known.isEmpty():
+        bodies = _bodies(df, text_col)
+    else:
+        fresh = cut(blob_ids(df, text_col, text_col).select("blob").distinct().join(known, "blob", "left_anti"), shared_dir(spark, "fresh"))
+        few = small(fresh, FEW_BYTES)
+        texts = df.select(F.col(text_col).cast("string").alias("text"))
+        address = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+        bodies = _bodies(texts.join(few, address == few["blob"], "left_semi"), "text") if few is not fresh else _bodies(texts, "text").join(fresh, "blob", "left_semi")
+    fresh_bodies = bodies.groupBy("blob").agg(F.first("body").alias("body"))
+    _scan(fresh_bodies).withColumn("rule_version", F.lit(version)).write.mode("append").option("compression", "zstd").parquet(ledger)
 
 
 def scan(df: DataFrame, ledger: str, version: str = VERSION, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,15 +150,17 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """The documents with every span replaced by the mark and n_chars counted anew; documents without secrets are unchanged.
+    """The documents with every span replaced by the mark and n_chars, if there, counted anew; documents without secrets are unchanged.
 
-    Overlapping spans are replaced as one. The text is cut at span edges in one pass over its findings.
+    Overlapping spans are replaced as one. The text is cut at span edges in one pass over its findings. Null texts stay null, empty ones
+    empty; repeated rows stay repeated. Rows travel as one struct, so other columns may have any names. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     path = shared_dir(spark, "ledger")
     update_ledger(docs, f"{path}/ledger")
-    keyed = docs.withColumn("blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    keyed = _with_findings(keyed, f"{path}/ledger", VERSION).withColumn("spans", F.transform("findings", lambda f: F.struct(f["start"].alias("s"), f["end"].alias("e"))))
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    keyed = _with_findings(rows.withColumn("blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))), f"{path}/ledger", VERSION)
+    keyed = keyed.withColumn("spans", F.transform("findings", lambda f: F.struct(f["start"].alias("s"), f["end"].alias("e"))))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     piece = lambda acc, s: F.struct(
         F.when(s["s"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["s"] - acc["at"]), F.lit(mark))).alias("out"), F.greatest(acc["at"], s["e"]).alias("at")
@@ -151,5 +168,31 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     folded = F.aggregate("spans", start, piece)
     rest = F.concat(folded["out"], F.substring(F.col("text"), folded["at"] + 1, F.length("text")))
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(rest)
-    n_chars = F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
-    return keyed.select(*[text.alias(c) if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("spans").isNull(), F.col("row")["n_chars"]).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+    return keyed.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+
+
+_EITHER = "[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]"
+_SQL_KINDS = (
+    ("assign", f"""({_EITHER})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""", "length(regexp_extract(m, '[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6"),
+    ("access", "AKIA[A-Z0-9]+", "length(m) >= 20"),
+    ("hex", "[0-9a-f]+", "length(m) >= 24"),
+    ("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", "true"),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "true"),
+)
+
+
+def _sql_spans(rank: int, kind: str, pattern: str, test: str) -> str:
+    """Matches of one kind: each begins after what stands before it, the matches before and the parts between them."""
+    return f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, s, s + length(m) AS e FROM (SELECT doc_id, m, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s FROM
+    (SELECT doc_id, found, parts, unnest(range(1, len(found) + 1)) AS i, unnest(found) AS m FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS found, string_split_regex(t, '{pattern}') AS parts FROM d))) WHERE {test}"""
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({" UNION ALL ".join(_sql_spans(k, *x) for k, x in enumerate(_SQL_KINDS))}),
+g AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+      string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans FROM f GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+"""
