@@ -92,11 +92,15 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each group of equal texts, with all its columns."""
-    keep = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("keep"), F.col("text_sha256").alias("sha"))
-    hashed = docs.withColumn("sha", F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256))
-    found = hashed.join(keep, F.col("doc_id").eqNullSafe(F.col("keep")) & (hashed.sha == keep.sha), "left_semi")
-    return found.dropDuplicates(["doc_id", "sha"]).select(*docs.columns)
+    """One row of each group of equal texts, that of largest id, with all its columns.
+
+    Null texts count as empty, null ids as smallest; of rows that repeat an id and its text one stays. Rows travel as one struct, so
+    other columns may have any names. An empty table gives an empty one.
+    """
+    keep = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_sha"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.sha2(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), 256).alias("own_sha"))
+    found = rows.join(keep, F.col("own_id").eqNullSafe(F.col("keep_id")) & (F.col("own_sha") == F.col("keep_sha")), "left_semi")
+    return found.dropDuplicates(["own_id", "own_sha"]).select("row.*")
 
 
 ORACLE = f"""

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from procmetrics.llm.common import documents, fold, offsets_of, split_words, text_slices
 from procmetrics.llm.subwords import labelled_sample, mean_over_ngrams, word_ngrams
@@ -79,6 +80,7 @@ def _chains(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def train(sample: list[tuple[str, str]], epochs: int = 4, rate: float = 0.3, chains: int = 6000, seed: int = 1) -> Model:
     """Fits the field to (text, language) by likelihood, with Adagrad.
 
+    chains bounds what is learned from: so many chains of CHAIN words, however large the sample is.
     Texts are of one language; to learn transitions, training chains are put together from runs of words of different texts (16 words
     on average), each word labelled by its text. The lexicon holds words seen twice or more. Ordered input gives the same model.
     """
@@ -155,45 +157,74 @@ def train(sample: list[tuple[str, str]], epochs: int = 4, rate: float = 0.3, cha
     return model
 
 
-def predict_slice(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Share of each label among the lettered words of each text (by summed marginals), and whether there is any."""
+def word_marginals(model: Model, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all texts, how many each text has, whether a word has a letter, and each word's probability of each label."""
     words, counts = split_words(texts)
     k = len(model.labels)
-    share = np.zeros((len(counts), k))
     if not len(words) or not k:
-        return share, np.zeros(len(counts), bool)
+        return words, counts, _lettered(words), np.zeros((len(words), k))
     coded = words.dictionary_encode()
     codes = coded.indices.to_numpy().astype(np.int64)
     value, lettered = emissions(model, coded.dictionary), _lettered(coded.dictionary)
-    chain, place, lengths, text = _chains(codes, counts)
+    chain, place, lengths, _ = _chains(codes, counts)
     scores = np.zeros((len(lengths), CHAIN, k))
     scores[chain, place] = value[codes]
-    marginal = forward_backward(scores, lengths, model.switch, model.start)[0]
-    counted = np.zeros((len(lengths), CHAIN))
-    counted[chain, place] = lettered[codes]
-    total = (marginal * counted[:, :, None]).sum(axis=1)
-    share = np.stack([np.bincount(text, weights=total[:, j], minlength=len(counts)) for j in range(k)], axis=1)
-    any_letter = np.bincount(text, weights=counted.sum(axis=1), minlength=len(counts)) > 0
-    return share / np.maximum(share.sum(axis=1, keepdims=True), 1e-300), any_letter
+    return words, counts, lettered[codes], forward_backward(scores, lengths, model.switch, model.start)[0][chain, place]
+
+
+def predict_slice(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Share of each label among the lettered words of each text (by summed marginals), whether there is any, and how often the likeliest label changes from one such word to the next."""
+    _, counts, lettered, marginal = word_marginals(model, texts)
+    k, text = len(model.labels), np.repeat(np.arange(len(counts)), counts)
+    if not k:
+        return np.zeros((len(counts), 0)), np.zeros(len(counts), bool), np.zeros(len(counts), np.int64)
+    own, of = marginal[lettered], text[lettered]
+    share = np.stack([np.bincount(of, weights=own[:, j], minlength=len(counts)) for j in range(k)], axis=1)
+    best = own.argmax(axis=1)
+    turns = (best[1:] != best[:-1]) & (of[1:] == of[:-1])
+    return share / np.maximum(share.sum(axis=1, keepdims=True), 1e-300), np.bincount(of, minlength=len(counts)) > 0, np.bincount(of[1:][turns], minlength=len(counts))
+
+
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, lang_pred, score): the label that most words of the whole text have, and its share; 'und' and 0 without a letter.
+    """(id_col, lang_pred, score, n_switches): the label that most words of the whole text have, its share, and how often labels change from word to word.
 
-    Null texts count as without a letter, as does everything if nothing could be learned. Repeated rows stay repeated.
+    'und', 0 and 0 without a letter. Null texts count as without a letter, as does everything if nothing could be learned. Repeated
+    rows stay repeated; an empty table gives none. id_col may be any column, also a struct of whole rows.
     """
 
     def run(batches):
         for part in text_slices(batches, "text"):
-            share, lettered = predict_slice(model, part.column("text"))
+            share, lettered, turns = predict_slice(model, part.column("text"))
             best = share.argmax(axis=1) if model.labels else np.zeros(len(share), np.int64)
             names = [model.labels[b] if ok else UNDETERMINED for b, ok in zip(best, lettered, strict=True)]
             score = np.where(lettered, share.max(axis=1, initial=0), 0.0)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], names=["id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64()), pa.array(turns.astype(np.int64))], names=["id", "lang_pred", "score", "n_switches"])
+
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_switches", T.LongType())])
+    return _texts(df, id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def label_words(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, words array<struct<word, label, share>>) of every row: each word of the whole text with its likeliest label and that label's probability.
+
+    Words without a letter have a null label, as all have if nothing could be learned; null and empty texts have no words.
+    """
+
+    def run(batches):
+        for part in text_slices(batches, "text"):
+            words, counts, lettered, marginal = word_marginals(model, part.column("text"))
+            best = marginal.argmax(axis=1) if model.labels else np.zeros(len(words), np.int64)
+            labels = pa.array(np.array([*model.labels, UNDETERMINED], object)[best] if len(words) else [], pa.string(), mask=~(lettered & bool(model.labels)))
+            shares = pa.array(marginal.max(axis=1, initial=0), pa.float64(), mask=~lettered)
+            found = pa.StructArray.from_arrays([words.cast(pa.string()), labels, shares], names=["word", "label", "share"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(offsets_of(counts).astype(np.int32)), found)], names=["id", "words"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return _texts(df, id_col, text_col).mapInArrow(run, f"id {kind}, words array<struct<word:string,label:string,share:double>>").withColumnRenamed("id", id_col)
 
 
 def learn(docs: DataFrame, per_label: int = PER_LABEL) -> Model:
@@ -206,19 +237,18 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents."""
     docs = documents(spark, sf_dir)
     found = predict(docs, learn(docs))
-    return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(True)).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(True)).alias("held_out"), "lang_pred", "score", "n_switches")
 
 
 def keep_known(docs: DataFrame, least_share: float = 0.0) -> DataFrame:
     """The documents with letters of which one language has at least the given share of the words; all their columns.
 
     By default any share will do, so that texts mixed of many languages stay. If no language could be learned, as where no row outside
-    fold 2 has one, every document with a letter stays. The verdict is joined back on id and text hash, so repeated ids with different texts are judged one by one.
+    fold 2 has one, every document with a letter stays. Null and empty texts go; repeated rows stay repeated; nulls in other columns
+    do no harm, and these may have any names, since rows travel as one struct beside their text. An empty table gives an empty one.
     """
     model = learn(docs)
     if not model.labels:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    sha = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
-    keyed = docs.withColumn("verdict_key", sha)
-    found = predict(keyed, model, id_col="verdict_key").where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_share))
-    return keyed.join(found.select("verdict_key").distinct(), "verdict_key", "left_semi").select(*docs.columns)
+    found = predict(docs.select(F.struct("*").alias("row"), F.col("text").alias("text")), model, "row")
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_share)).select("row.*")

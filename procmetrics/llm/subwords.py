@@ -7,6 +7,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from procmetrics.llm.common import cut, shared_dir
+
+#: The bound of a training sample's texts, in bytes.
+MAX_BYTES = 256 << 20
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -40,14 +44,31 @@ def mean_over_ngrams(word: np.ndarray, values: np.ndarray, n_words: int) -> np.n
     return np.bincount(word, weights=values, minlength=n_words) / np.maximum(counts, 1)
 
 
-def labelled_sample(labels: DataFrame, docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int) -> list[tuple[str, object]]:
+def labelled_sample(labels: DataFrame, docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, max_bytes: int = MAX_BYTES) -> list[tuple[str, object]]:
     """At most per_label (text, label) for each non-null label of labels, the rows of least hashed id; whole texts from docs.
 
-    Only ids and labels are ranked; the chosen ids, at most per_label for each label, are the broadcast side of the join that fetches texts.
+    Labels are first counted; only ids whose hash lies below twice the share that is wanted are ranked, so a label of many rows never
+    meets in one task. The chosen ids, at most per_label for each label, are the broadcast side of the join that fetches texts. All
+    labels together take max_bytes of text at most: of each, texts in the order of their hashes while its part of that lasts.
     """
-    order = Window.partitionBy(label_col).orderBy(F.xxhash64(id_col), id_col)
-    ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, label_col).distinct()
-    chosen = ids.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_label).select(F.col(id_col).alias("chosen_id"), F.col(label_col).alias("chosen_label"))
+    ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("chosen_id"), F.col(label_col).alias("chosen_label")).distinct()
+    ids = ids.withColumn("at", F.shiftrightunsigned(F.xxhash64("chosen_id"), 11) / F.lit(2.0**53))
+    counts = {r["chosen_label"]: r["n"] for r in ids.groupBy("chosen_label").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return []
+    share = F.create_map(*[F.lit(x) for label, n in counts.items() for x in (label, min(1.0, (2.0 * per_label + 100) / n))])
+    order = Window.partitionBy("chosen_label").orderBy("at", "chosen_id")
+    chosen = ids.where(F.col("at") < share[F.col("chosen_label")]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_label)
     texts = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).cast("string").alias("own_text"))
-    found = texts.join(F.broadcast(chosen), F.col("own_id") == F.col("chosen_id")).select("own_id", "own_text", "chosen_label").dropDuplicates(["own_id", "chosen_label"])
-    return [(r["own_text"] or "", r["chosen_label"]) for r in found.orderBy("own_id", "chosen_label").collect()]
+    found = texts.join(F.broadcast(chosen), F.col("own_id") == F.col("chosen_id")).dropDuplicates(["own_id", "chosen_label"])
+    found = cut(found.select("own_id", "own_text", "chosen_label", "place", F.coalesce(F.octet_length("own_text"), F.lit(0)).alias("bytes")), shared_dir(docs.sparkSession, "sample"))
+    left, taken = dict.fromkeys(counts, max_bytes // len(counts)), {}
+    for r in sorted(found.select("chosen_label", "place", "bytes").collect(), key=lambda r: (str(r["chosen_label"]), r["place"])):
+        left[r["chosen_label"]] -= r["bytes"]
+        if left[r["chosen_label"]] >= 0:
+            taken[r["chosen_label"]] = r["place"]
+    if not taken:
+        return []
+    last = F.create_map(*[F.lit(x) for pair in taken.items() for x in pair])
+    rows = found.where(F.col("place") <= F.try_element_at(last, F.col("chosen_label"))).select("own_id", "own_text", "chosen_label")
+    return [(r["own_text"] or "", r["chosen_label"]) for r in rows.orderBy("own_id", "chosen_label").collect()]

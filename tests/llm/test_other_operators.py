@@ -1,12 +1,14 @@
 """Top-k, packing, components and the pipeline, against brute force."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from procmetrics.llm import exact_dedup, packing, secrets, simhash, topk
+from procmetrics.llm import packing, secrets, topk
+from procmetrics.llm.common import shared_dir
 from procmetrics.llm.components import connected_components
 
 
@@ -32,6 +34,26 @@ def test_topk_brute_force(spark, block):
     assert got == plain_top(rows, queries, 5)
 
 
+def test_topk_prunes_where_vectors_cluster_by_id(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(0, 2, (20, 8))
+    rows = [(i, [float(x) for x in centres[i // 100] + rng.normal(0, 0.05, 8)]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = list(range(0, 2000, 50))
+    asked = df.where(F.col("vec_id") % 50 == 0)
+    got = {tuple(r) for r in topk.search(df, asked, block=50).select("query_id", "rank", "vec_id", "score").collect()}
+    assert got == plain_top(rows, queries, 5)
+    work = topk.search_work(df, asked, block=50).groupBy("query_id", "batch").agg(F.sum_distinct("blocks").alias("blocks"), F.max("scored").alias("scored")).agg(F.avg(F.col("scored") / F.col("blocks"))).first()[0]
+    assert work < 0.5
+
+
+def test_topk_stops_at_the_kth_score():
+    ids = [np.arange(10) + 10 * b for b in range(6)]
+    found = [(i, np.full((10, 2), 6 - b)) for b, i in enumerate(ids)]
+    best, scored = topk.search_blocks(np.array([-1, 3]), np.array([[1, 1], [1, 0]]), np.array([topk.LEAST, 1000]), found, 5)
+    assert best.ids[0].tolist() == [0, 1, 2, 3, 4] and scored.tolist() == [1, 0]
+
+
 def test_topk_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.search(df, df).count() == 0
@@ -64,18 +86,72 @@ def test_best_fit_on_histograms():
     assert all(sum(g.lengths) > max((c for c in (16, 32, 64, 128) if c < g.capacity), default=0) for g in several)
 
 
-def test_packing_rows(spark):
+@pytest.mark.parametrize("capacities", [(16, 64), (8,)])
+def test_packing_writes_every_id_once(spark, capacities):
+    def toy_tokens():
+        """A text of a number n has n ids that depend on where they stand."""
+        return lambda texts: [np.arange(int(t or 0), dtype=np.uint32) * 7 % 70001 for t in texts]
+
     rng = random.Random(4)
-    sizes = [rng.choice([0, 1, 5, 5, 5, 30, 64, 65, 200, 1000]) for _ in range(400)] + [None]
-    df = spark.createDataFrame([(k, n, "x", 9) for k, n in enumerate(sizes)], "doc_id long, n int, bin_id string, part int")
-    got = packing.pack(df, F.col("n"), (16, 64)).toPandas()
-    assert got.groupby("doc_id")["n_tokens"].sum().to_dict() == {k: n or 0 for k, n in enumerate(sizes)}
+    sizes = [rng.choice([0, 1, 5, 5, 5, 30, 64, 65, 200, 1000]) for _ in range(300)] + [None, 100_000]
+    rows = [(k % 290, None if n is None else str(n), "x", 9) for k, n in enumerate(sizes)]  # some ids repeat
+    df = spark.createDataFrame(rows, "doc_id long, text string, bin_id string, part int")
+    path = shared_dir(spark, "packing")
+    packing.pack(df, path, capacities, tokens=toy_tokens)
+    got = packing.read_pieces(spark, path).toPandas()
+    want = {}
+    for d, n, *_ in rows:
+        want[d] = want.get(d, 0) + int(n or 0)
+    assert got.groupby("doc_id")["n_tokens"].sum().to_dict() == want
     full = got[got["n_tokens"] > 0].sort_values(["bin_id", "bin_offset"])
     assert got[got["n_tokens"] == 0]["bin_id"].isna().all() and full["bin_id"].notna().all()
-    for _, rows in full.groupby("bin_id"):
-        assert rows["bin_size"].nunique() == 1 and rows["n_tokens"].sum() <= rows["bin_size"].iloc[0]
-        assert (rows["bin_offset"].to_numpy() == np.concatenate([[0], rows["n_tokens"].cumsum().to_numpy()[:-1]])).all()
-    assert packing.pack(df.where("doc_id < 0"), F.col("n")).count() == 0
+    for _, part in full.groupby("bin_id"):
+        size = part["bin_size"].iloc[0]
+        assert part["bin_size"].nunique() == 1 and size in capacities and part["n_tokens"].sum() <= size and all(part["n_tokens"].sum() > c for c in capacities if c < size)
+        assert (part["bin_offset"].to_numpy() == np.concatenate([[0], part["n_tokens"].cumsum().to_numpy()[:-1]])).all()
+    for r in full.itertuples():
+        ids = (np.arange(r.first, r.first + r.n_tokens, dtype="<u4") * 7 % 70001).astype("<u4")
+        assert r.ids_crc32 == zlib.crc32(ids.tobytes())
+    bins = packing.read_bins(spark, path).toPandas()
+    assert bins["bin_id"].is_unique and sum(len(i) for i in bins["ids"]) == sum(want.values())
+    empty = shared_dir(spark, "packing")
+    packing.pack(df.limit(0), empty, tokens=toy_tokens)
+    assert packing.read_pieces(spark, empty).count() == 0
+
+
+def least_cost(lengths, capacities, overhead):
+    """Least cost of all ways to share the lengths out over bins, each of the smallest capacity that holds it."""
+    best = [float("inf")]
+
+    def cost(bins):
+        return sum(next(c for c in sorted(capacities) if c >= b) + overhead for b in bins)
+
+    def place(rest, bins):
+        if not rest:
+            best[0] = min(best[0], cost(bins))
+            return
+        for k in range(len(bins)):
+            if bins[k] + rest[0] <= max(capacities):
+                place(rest[1:], [*bins[:k], bins[k] + rest[0], *bins[k + 1 :]])
+        place(rest[1:], [*bins, rest[0]])
+
+    place(lengths, [])
+    return best[0]
+
+
+def test_variable_capacity_against_all_ways_to_pack():
+    rng = random.Random(9)
+    capacities, total, least, single = (8, 16, 32), 0, 0, 0
+    cost = lambda groups: sum(g.count * (g.capacity + 4) for g in groups)
+    for _ in range(60):
+        lengths = [rng.randint(1, 20) for _ in range(rng.randint(1, 7))]
+        histogram = {x: lengths.count(x) for x in set(lengths)}
+        groups = packing.best_fit(histogram, capacities, 4)
+        assert sorted(x for g in groups for x in g.lengths for _ in range(g.count)) == sorted(lengths)
+        mine, best = cost(groups), least_cost(lengths, capacities, 4)
+        assert best <= mine <= 1.8 * best
+        total, least, single = total + mine, least + best, single + sum(g.count * (32 + 4) for g in packing.best_fit(histogram, (32,), 4))
+    assert total <= 1.15 * least and total <= single
 
 
 def test_components(spark):
@@ -98,29 +174,109 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_pipeline_stages(spark):
+def plain_near_kept(rows):
+    """Ids of the least document of each component of texts whose five-word shingle sets are alike by 0.8 or more."""
+    def shingles(text):
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+    holders = {}
+    for k, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(k)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    empty = [k for k, s in enumerate(sets) if not s]
+    pairs = {(a, b) for h in holders.values() if len(h) > 1 for n, a in enumerate(h) for b in h[n + 1 :]} | set(zip(empty, empty[1:], strict=False))
+    for a, b in pairs:
+        if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    kept = {}
+    for k, (d, _) in enumerate(rows):
+        kept[find(k)] = min(d, kept.get(find(k), d))
+    return set(kept.values())
+
+
+def test_pipeline_against_brute_force(spark):
+    """The registered query, stage by stage and as a whole."""
+    import re
+
     import corpus_pipeline
 
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("extra", F.lit(1)).drop("extra")
     sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     known = corpus_pipeline.language_stage(spark, docs, sf)
-    assert known.columns == docs.columns and known.count() >= 0.97 * docs.count()
-    known = known.cache()
-    exact = corpus_pipeline.exact_stage(spark, known, sf)
+    assert known.columns == docs.columns
+    lettered = {r["doc_id"]: r["text"] for r in docs.collect() if re.search(r"[^\W\d_]", r["text"] or "")}
+    assert {r["doc_id"] for r in known.collect()} == set(lettered)
     want = {}
-    for r in known.collect():
-        key = "".join(c.lower() if "A" <= c <= "Z" else c for c in r["text"])
-        want[key] = max(want.get(key, -1), r["doc_id"])
+    for d, t in lettered.items():
+        key = "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+        want[key] = max(want.get(key, -1), d)
+    exact = corpus_pipeline.exact_stage(spark, known, sf)
     assert {r["doc_id"] for r in exact.collect()} == set(want.values())
+    kept = plain_near_kept(sorted((d, lettered[d]) for d in want.values()))
     near = corpus_pipeline.near_stage(spark, exact, sf)
-    groups = simhash.near_duplicates(exact).toPandas()
-    assert {r["doc_id"] for r in near.collect()} == set(groups["component_id"])
+    assert {r["doc_id"] for r in near.collect()} == kept and len(kept) < len(want)
     clean = corpus_pipeline.secrets_stage(spark, near, sf)
-    assert clean.columns == docs.columns and clean.count() == near.count()
-    assert not any(secrets.find_secrets(r["text"]) for r in clean.collect())
-    packed = corpus_pipeline.packing_stage(spark, clean, sf)
-    assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in clean.collect()}
-    assert exact_dedup.BLOCK == 4096
+    assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == kept
+    for r in clean.collect():
+        spans, text, at, out = secrets.find_secrets(lettered[r["doc_id"]]), lettered[r["doc_id"]], 0, ""
+        for s in spans:
+            if s["start"] >= at:
+                out += text[at : s["start"]] + "[SECRET]"
+            at = max(at, s["end"])
+        assert r["text"] == out + text[at:] and r["n_chars"] == (len(r["text"]) if spans else r["n_chars"])
+    got = corpus_pipeline.run(spark, sf).toPandas()
+    ids = packing.word_ids()([r["text"] for r in clean.orderBy("doc_id").collect()])
+    sizes = {r["doc_id"]: len(i) for r, i in zip(clean.orderBy("doc_id").collect(), ids, strict=True)}
+    assert got.groupby("doc_id")["n_tokens"].sum().to_dict() == sizes
+    assert all(part["n_tokens"].sum() <= part["bin_size"].iloc[0] for _, part in got.groupby("bin_id"))
+
+
+CLASHES = ["blob", "spans", "findings", "keep", "sha", "keep_id", "verdict_key", "row", "id", "h", "node", "root", "key", "fp", "own_id", "own_sha", "gone_id", "part", "len", "prefix"]
+
+
+@pytest.mark.parametrize("stage", ["language_stage", "exact_stage", "near_stage", "secrets_stage", "packing_stage"])
+def test_stages_with_nulls_repeats_long_texts_and_clashing_columns(spark, stage):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randrange(10**5)}" for _ in range(150_000))  # about a megabyte
+    rows = [(1, "plain words of one text here", "en", "s", 28), (1, "plain words of one text here", "en", "s", 28), (2, None, None, None, None), (3, "", "en", None, 0), (4, long, "en", "s", len(long)), (None, "no id but words", None, "s", None)]
+    rows += [(1, "the same id with another text", "en", "s", 29), (7, "12 34", "en", "s", 5), (8, "secret = abcdefgh1 in a text", "en", "s", 28), (9, "PLAIN words of one text here", "en", "s", 28)]
+    full = [(*r, *(f"{c}-{k}" for c in CLASHES)) for k, r in enumerate(rows)]
+    docs = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES))
+    out = getattr(corpus_pipeline, stage)(spark, docs, "")
+    empty = getattr(corpus_pipeline, stage)(spark, docs.limit(0), "")
+    assert empty.count() == 0 and empty.columns == out.columns
+    if stage == "packing_stage":
+        got = out.toPandas()
+        assert got["doc_id"].isna().sum() == 1 and set(got["doc_id"].dropna()) == {1, 2, 3, 4, 7, 8, 9}
+        return
+    assert out.columns == docs.columns
+    got = out.collect()
+    source = {r[5]: r for r in full}
+    for r in got:  # every column as it came, but for redacted texts
+        before = source[r["blob"]]
+        changed = stage == "secrets_stage" and before[0] == 8
+        assert tuple(r)[5:] == before[5:] and (changed or tuple(r)[:5] == before[:5])
+    kept = sorted((str(r["doc_id"]), (r["text"] or "")[:9]) for r in got)
+    every = sorted((str(d), (t or "")[:9]) for d, t, *_ in rows)
+    if stage == "language_stage":
+        assert kept == [x for x in every if x[0] not in ("2", "3", "7")]
+    elif stage == "exact_stage":
+        assert kept == [x for x in every if x[0] != "2" and x[1] != "plain wor"]  # of null and empty, and of the copies, the largest id
+    elif stage == "near_stage":
+        assert kept == [x for x in every if x[0] not in ("3", "9")]
+    else:
+        assert len(got) == len(rows) and {r["text"] for r in got if r["doc_id"] == 8} == {"[SECRET] in a text"}
 
 
 def test_near_stage_links_every_pair_at_least_080_alike(spark, monkeypatch):

@@ -7,7 +7,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pytest
 import xxhash
@@ -67,6 +66,26 @@ def test_ledger_scans_each_blob_and_version_once(spark):
     assert secrets.open_ledger(spark, ledger).count() == 5
 
 
+def test_ledger_fetches_texts_of_new_blobs_only(spark, monkeypatch):
+    """Two runs: the second holds addresses against the ledger first, whichever way new texts are then fetched."""
+    old = [f"old text {k} token = abcdef{k}" for k in range(30)]
+    for few in (1 << 20, 0):
+        monkeypatch.setattr(secrets, "FEW_BYTES", few)
+        ledger, packed = f"{shared_dir(spark, 'ledger')}/l", []
+        real = secrets._bodies
+        monkeypatch.setattr(secrets, "_bodies", lambda df, col, real=real: packed.append(df.count()) or real(df, col))
+        secrets.update_ledger(frame(spark, old), ledger)
+        got = secrets.scan(frame(spark, [*old, "new secret=zzzzzzzz", "new secret=zzzzzzzz", "nothing"]), ledger)
+        assert sorted((r["path"], len(r["findings"])) for r in got.collect()) == sorted([(k, 1) for k in range(32)] + [(32, 0)])
+        assert secrets.open_ledger(spark, ledger).count() == 32
+        assert packed == ([30, 3] if few else [30, 33])  # rows whose texts are packed
+        monkeypatch.setattr(secrets, "_bodies", real)
+    assert secrets.scan(nothing(spark), f"{shared_dir(spark, 'ledger')}/e").count() == 0
+    assert secrets.redact(nothing(spark)).count() == 0
+    twice = spark.createDataFrame([(1, "token=abcdefg"), (1, "token=abcdefg"), (None, "x")], "doc_id long, text string")
+    assert secrets.scan(twice, f"{shared_dir(spark, 'ledger')}/t").count() == 3
+
+
 def test_redact(spark):
     text = "é token=abcdefgh and AKIA" + "A" * 16 + " end"
     rows = [(1, text, "en", "s", len(text)), (2, "clean", "en", "s", 5), (3, None, None, None, None), (2, "clean", "en", "s", 5)]
@@ -130,6 +149,58 @@ def test_token_store_special_tokens_as_the_library_has_them(spark):
     assert 49407 in ids[0][:-1] and ids[1][0] == 49406
 
 
+def test_token_store_notices_what_is_lost_or_changed(spark):
+    import shutil
+
+    import public_tokenizers
+
+    path, store = public_tokenizers.path("word_bpe_49k.json"), f"{shared_dir(spark, 'store')}/s"
+    token_store.write_store(frame(spark, [f"text number {k} of a store" for k in range(20)]), store, path)
+    plain = store.removeprefix("file://")
+    chunks = spark.read.parquet(f"{store}/chunks")
+    spoilt = {
+        "lost": chunks.limit(chunks.count() - 1),
+        "changed": chunks.withColumn("body", F.lit(bytearray(token_store.pack(np.array([5, 6, 7]))))),
+    }
+    for what, less in spoilt.items():
+        shutil.copytree(plain, f"{plain}-{what}")
+        less.write.mode("overwrite").parquet(f"{store}-{what}/chunks")
+        assert token_store.read_back(spark, f"{store}-{what}").where("NOT verified").count() >= 1
+        with pytest.raises(Exception, match=what):
+            token_store.read_ids(spark, f"{store}-{what}").collect()
+    shutil.copytree(plain, f"{plain}-recipes")
+    recipes = spark.read.parquet(f"{store}/recipes")
+    recipes.where("id <> 3").write.mode("overwrite").parquet(f"{store}-recipes/recipes")  # a document is gone, the others' own roots are right
+    assert token_store.read_back(spark, f"{store}-recipes").where("verified").count() == 0
+    with pytest.raises(Exception, match="manifests"):
+        token_store.read_ids(spark, f"{store}-recipes").collect()
+    assert token_store.read_back(spark, store).where("NOT verified").count() == 0
+
+
+def test_word_encoder_equals_the_untouched_library_on_random_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), token_store.WordEncoder(path)
+    rng = np.random.default_rng(11)
+    bits = [*map(chr, range(0x00, 0x180)), *"\u0301\u0345ſKİıßẞ", *"日本語テスト\U0001F600\u2028\u3000", "<|endoftext|>", "<|startoftext|>", "'s", "'re", "'LL", " ", " ", "the", "And"]
+    texts = ["".join(rng.choice(np.array(bits, object), rng.integers(0, 40)).tolist()) for _ in range(6000)]
+    got = own.encode(texts)
+    for t, ids in zip(texts, got, strict=True):
+        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
+def test_token_store_repeats_and_null_ids(spark):
+    import public_tokenizers
+
+    store = f"{shared_dir(spark, 'store')}/s"
+    rows = spark.createDataFrame([(5, "same"), (5, "same"), (None, "first"), (1, None)], "doc_id long, text string")
+    token_store.write_store(rows, store, public_tokenizers.path("word_bpe_49k.json"))
+    got = token_store.read_back(spark, store).orderBy("start").collect()
+    assert [r["id"] for r in got] == [None, 1, 5, 5] and [r["start"] for r in got] == list(np.cumsum([0, *[r["n_tokens"] for r in got]])[:-1])
+
+
 def test_token_store_chunks_are_shared(spark):
     import public_tokenizers
 
@@ -178,7 +249,7 @@ def test_language_held_out(spark):
     train = docs[fold != 2].groupby("lang").head(60)
     model = language_id.train(list(zip(train["text"], train["lang"], strict=True)), chains=1500)
     test = docs[fold == 2]
-    share, _ = language_id.predict_slice(model, pa.array(test["text"].tolist()))
+    share, _, _ = language_id.predict_slice(model, pa.array(test["text"].tolist()))
     assert (np.array(model.labels)[share.argmax(axis=1)] == test["lang"].to_numpy()).mean() > 0.93
 
 
@@ -205,6 +276,42 @@ def test_language_edges(spark):
     assert language_id.keep_known(nothing(spark)).count() == 0
 
 
+def test_words_of_mixed_texts_are_labelled_one_by_one(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").toPandas()
+    fold = np.array([zlib.crc32(str(i).encode()) % 4 for i in docs["doc_id"]])
+    train, test = docs[fold != 2].groupby("lang").head(60), docs[fold == 2]
+    model = language_id.train(list(zip(train["text"], train["lang"], strict=True)), chains=1500)
+    by = {lang: [t.split() for t in part["text"]] for lang, part in test.groupby("lang")}
+    names, texts, truth = sorted(by), [], []
+    for k in range(30):  # runs of 15 words of two languages by turns
+        pair = [names[k % len(names)], names[(k + 1) % len(names)]]
+        runs = [(n, by[n][(k + j) % len(by[n])][:15]) for j, n in enumerate(pair * 2)]
+        texts.append(" ".join(w for _, r in runs for w in r))
+        truth.append([n for n, r in runs for _ in r])
+    rows = {r["doc_id"]: r["words"] for r in language_id.label_words(frame(spark, [*texts, None, "", "12 ab 34"]), model).collect()}
+    right = [w["label"] == y for k, ys in enumerate(truth) for w, y in zip(rows[k], ys, strict=True) if w["label"]]
+    assert np.mean(right) > 0.85
+    assert rows[30] == rows[31] == [] and [w["label"] is None for w in rows[32]] == [True, False, True]
+    got = {r["doc_id"]: r for r in language_id.predict(frame(spark, texts), model).collect()}
+    assert all(got[k]["n_switches"] >= 2 for k in range(30))
+    assert all(w["label"] is None for w in language_id.label_words(frame(spark, ["a b"]), language_id.train([])).first()["words"])
+    twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string")
+    assert language_id.predict(twice, model).count() == 3 and language_id.predict(nothing(spark), model).count() == 0
+
+
+def test_sample_is_the_least_hashes_of_each_label_within_its_bytes(spark):
+    from procmetrics.llm.subwords import labelled_sample
+
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.when(F.col("id") % 50 == 0, "rare").when(F.col("id") % 7 > 0, "often").alias("lang"))
+    got = labelled_sample(docs, docs, "doc_id", "text", "lang", 120)
+    rows = docs.withColumn("u", F.shiftrightunsigned(F.xxhash64("doc_id"), 11)).where("lang IS NOT NULL").toPandas()
+    want = {(r.text, r.lang) for _, part in rows.groupby("lang") for r in part.sort_values("u").head(120).itertuples()}
+    assert set(got) == want and len(got) == 220
+    less = labelled_sample(docs, docs, "doc_id", "text", "lang", 120, max_bytes=2000)
+    assert {y for _, y in less} == {"rare", "often"} and sum(len(t) for t, _ in less) <= 2000 and set(less) < want
+    assert labelled_sample(docs.limit(0), docs, "doc_id", "text", "lang", 5) == []
+
+
 def test_keep_known_without_labels_and_with_mixed_texts(spark):
     import corpus_pipeline
 
@@ -412,11 +519,78 @@ def test_byte_bpe_heap_equals_the_library_on_random_words():
             assert byte_bpe.merge_long(word, ranks) == own._encode_single_piece(word)
 
 
-def test_registered_queries_have_whole_results(spark):
+SF = "/root/testdata/sf0.001"
+
+
+def registered(spark, name):
+    from procmetrics.llm.entry import QUERIES
+
+    return QUERIES[name](spark, SF).toPandas()
+
+
+def test_registered_queries_against_brute_force(spark, docs):
+    """The queries as registered: whole tables, production parameters, against the libraries and plain Python."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    order = sorted(texts)
+    got = registered(spark, "op1_secrets").set_index("doc_id")
+    assert all(got.loc[d, "base_sha256"] == hashlib.sha256(",".join(plain_secrets(t)).encode()).hexdigest() for d, t in texts.items()) and len(got) == len(texts)
+
+    library, start = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0
+    got = registered(spark, "op3_token_store").set_index("doc_id")
+    packed = registered(spark, "op9_packing")
+    sizes = packed.groupby("doc_id")["n_tokens"].sum()
+    for d in order:
+        own = np.array([*library.encode(texts[d] or "", add_special_tokens=False).ids, 1], "<u4")
+        assert tuple(got.loc[d, ["start", "n_tokens", "ids_crc32", "verified"]]) == (start, len(own), zlib.crc32(own.tobytes()), True) and sizes[d] == len(own)
+        for r in packed[packed["doc_id"] == d].itertuples():
+            assert r.ids_crc32 == zlib.crc32(own[r.first : r.first + r.n_tokens].tobytes())
+        start += len(own)
+
+    fps = [plain_fingerprint(texts[d]) for d in order]
+    roots = plain_components(fps)
+    got = registered(spark, "op7_simhash").set_index("doc_id")
+    assert all(tuple(got.loc[d, ["fingerprint", "component_id"]]) == (f"{fps[k]:016x}", order[roots[k]]) for k, d in enumerate(order))
+
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in order}
+    uni, words, p = plain_language_model([texts[d] for d in order if not held[d]])
+    n, v = sum(uni.values()), len(uni)
+    got = registered(spark, "op8_ngram_lm").set_index("doc_id")
+    for d in order:
+        w, r = words(texts[d]), got.loc[d]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[d], len(w), sum(uni[x] > 0 for x in w), n)
+        assert math.isclose(r["base_score"], sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
+        assert math.isclose(r["score"], sum(math.log10(p(a, b, c)) for a, b, c in zip([0, 0, *w], [0, *w], w, strict=False)), rel_tol=1e-9)
+
+    _, _, own = own_bpe()
+    got = registered(spark, "op10_byte_bpe").set_index("doc_id")
+    for d in order:
+        ids = own.encode_ordinary(texts[d] or "")
+        assert tuple(got.loc[d, ["n_tokens", "ids_sha256", "decoded_sha256"]]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((texts[d] or "").encode()).hexdigest())
+
+
+def test_registered_queries_beside_their_sql(spark):
+    from oracle import connect, differences
+
+    from procmetrics.llm.entry import ORACLE, QUERIES
+
+    con = connect(SF)
+    for name, sql in ORACLE.items():
+        assert differences(spark, con, name, QUERIES[name], sql, SF) is None
+
+
+def test_registered_classifiers_on_held_out_rows(spark):
     from procmetrics.llm.entry import QUERIES
 
-    n = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
-    for name in ("op1_secrets", "op5_exact_dedup", "op7_simhash"):
-        out = QUERIES[name](spark, "/root/testdata/sf0.001")
-        assert out.count() == n and out.select("doc_id").distinct().count() == n
-    assert isinstance(out.toPandas(), pd.DataFrame)
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet").toPandas().set_index("doc_id") for t in ("documents", "labels"))
+    got = QUERIES["op6_language_id"](spark, sf).toPandas().set_index("doc_id")
+    assert len(got) == len(docs) and list(got["held_out"]) == [zlib.crc32(str(d).encode()) % 4 == 2 for d in got.index]
+    mine = got[got["held_out"]]
+    assert (mine["lang_pred"] == docs.loc[mine.index, "lang"]).mean() > 0.97 and got["score"].between(0, 1).all()
+    got = QUERIES["op2_toxicity"](spark, sf).toPandas().set_index("doc_id")
+    assert len(got) == len(docs) and list(got["held_out"]) == [zlib.crc32(str(d).encode()) % 3 == 1 for d in got.index]
+    mine = got[got["held_out"]].join(labels["toxic"], how="inner")
+    assert (mine.loc[mine["toxic"] == 0, "predicted"]).mean() < 0.03 and (mine.loc[mine["toxic"] == 1, "predicted"]).mean() > 0.5
