@@ -18,6 +18,8 @@ SIZES, BUCKETS, CHAIN = (1, 2, 3, 4), 1 << 16, 64
 #: The bound of the training sample: so many documents of each language.
 PER_LABEL = 300
 UNDETERMINED = "und"
+#: Bytes of text that a task labels at once; the states of all its chains take some 50 times as much memory.
+SLICE = 1 << 20
 
 
 @dataclass
@@ -197,7 +199,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
 
     def run(batches):
-        for part in text_slices(batches, "text"):
+        for part in text_slices(batches, "text", SLICE):
             share, lettered, turns = predict_slice(model, part.column("text"))
             best = share.argmax(axis=1) if model.labels else np.zeros(len(share), np.int64)
             names = [model.labels[b] if ok else UNDETERMINED for b, ok in zip(best, lettered, strict=True)]
@@ -215,7 +217,7 @@ def label_words(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     """
 
     def run(batches):
-        for part in text_slices(batches, "text"):
+        for part in text_slices(batches, "text", SLICE):
             words, counts, lettered, marginal = word_marginals(model, part.column("text"))
             best = marginal.argmax(axis=1) if model.labels else np.zeros(len(words), np.int64)
             labels = pa.array(np.array([*model.labels, UNDETERMINED], object)[best] if len(words) else [], pa.string(), mask=~(lettered & bool(model.labels)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ def _shingle_hashes(words: list[bytes], counts: np.ndarray, size: int) -> tuple[
     """XXH64 of each text's shingles, text by text, and how many each text has."""
     starts = offsets_of(counts)
     digest = xxhash.xxh64_intdigest
-    runs = zip(*(words[k:] for k in range(size)), strict=False)
+    runs = zip(*(islice(words, k, None) for k in range(size)), strict=False)
     hashes = np.fromiter((digest(b" ".join(run), SEED) for run in runs), np.uint64)
     made = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
     out, at = np.empty(int(made.sum()), np.uint64), offsets_of(made)
