@@ -105,14 +105,3 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.col("n_links").cast("long").alias("n_links"))
-
-
-def keep_one(docs: DataFrame, shingle: int = 3, max_distance: int = 3) -> DataFrame:
-    """One document of each near-duplicate component, that of least id (of equal ids, of least text hash), with all its columns.
-
-    Null ids count as smallest. Rows that repeat an id and its text stay together. Other columns may have any names.
-    """
-    keyed = docs.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")).alias("key"), F.col("text").alias("text"))
-    found = near_duplicates(keyed, "key", "text", shingle, max_distance)
-    keep = found.where(F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key.id").alias("keep_id"), F.col("key.h").alias("keep_h")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["keep_id"]) & (F.xxhash64(docs["text"]) == keep["keep_h"]), "left_semi")

@@ -310,3 +310,38 @@ def test_near_stage_links_every_pair_at_least_080_alike(spark, monkeypatch):
         assert sorted(r["doc_id"] for r in corpus_pipeline.near_stage(spark, docs, "").collect()) == sorted(set(root))
     assert len(set(root)) > 30
     assert corpus_pipeline.near_stage(spark, docs.limit(0), "").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_near_stage_links_pairs_whose_common_shingles_come_late_in_one_text_only(spark, seed):
+    """B inside A at exactly 0.8; some of B's shingles are common, and so may come late in A and early in B."""
+    from procmetrics.llm import near_copies
+
+    rng = random.Random(seed)
+    names = iter(rng.sample(range(10**9), 10**5))
+    texts, want = [], []
+    for size, shared in ((30, 4), (30, 8), (60, 10), (90, 16)):
+        words = [f"w{next(names)}" for _ in range(size)]
+        part = rng.sample(words, size * 4 // 5)
+        want.append((len(texts), len(texts) + 1))
+        texts += [words, part]
+        common = rng.sample(part, shared)
+        for k in range(60):  # other texts that share some of these words, and are unlike
+            some = rng.sample(common, rng.randrange(1, shared + 1))
+            texts.append(some + [f"w{next(names)}" for _ in range(rng.choice([20, 40]))])
+    sets = [set(t) for t in texts]
+    root = list(range(len(texts)))
+    for x in range(len(texts)):
+        for y in range(x):
+            if 10 * len(sets[x] & sets[y]) >= 8 * len(sets[x] | sets[y]):
+                root = [min(root[x], root[y]) if r in (root[x], root[y]) else r for r in root]
+    assert all(root[x] == root[y] for x, y in want)
+    keyed = spark.createDataFrame([(k, k, " ".join(t)) for k, t in enumerate(texts)], "id long, h long, text string")
+    path = shared_dir(spark, "near-test")
+    rows = near_copies.cut(near_copies.prefixes(keyed, (np.empty(0, np.int64), np.empty(0, np.int64)), 1, 80), f"{path}/rows")
+    linked = {r["node"]: r["root"] for r in near_copies.near_components(keyed, rows, path, shingle=1).collect()}
+    node = {r["id"]: r["node"] for r in rows.collect()}
+    got = {}
+    for k in range(len(texts)):
+        got.setdefault(linked.get(node[k], node[k]), []).append(k)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(k for k in range(len(texts)) if root[k] == r) for r in set(root))
