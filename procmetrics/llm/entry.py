@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from procmetrics.llm import byte_bpe, exact_dedup, language_id, ngram_lm, packing, secrets, simhash, token_store, topk, toxicity
+from procmetrics.llm import byte_bpe, exact_dedup, fill_middle, language_id, merkle, ngram_lm, packing, secrets, sharding, simhash, token_store, topk, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_ngram_lm": ngram_lm.op8_ngram_lm,
     "op9_packing": packing.op9_packing,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
+    "op11_sharding": sharding.op11_sharding,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_fill_middle": fill_middle.op13_fill_middle,
 }
 
-ORACLE = {"op1_secrets": secrets.ORACLE, "op4_topk": topk.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
+ORACLE = {"op1_secrets": secrets.ORACLE, "op4_topk": topk.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op13_fill_middle": fill_middle.ORACLE}
