@@ -11,15 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from procmetrics.llm.common import documents, fold, offsets_of, split_words, text_slices
+from procmetrics.llm.common import cut, documents, fold, offsets_of, shared_dir, split_words, text_slices
 from procmetrics.llm.subwords import labelled_sample, mean_over_ngrams, word_ngrams
+from procmetrics.operators.transforms import small
 
 SIZES, BUCKETS, CHAIN = (1, 2, 3, 4), 1 << 16, 64
 #: The bound of the training sample: so many documents of each language.
 PER_LABEL = 300
 UNDETERMINED = "und"
-#: Bytes of text that a task labels at once; the states of all its chains take some 50 times as much memory.
-SLICE = 1 << 20
+#: Bytes of text that a task labels at once, and how many of its chains (of one text too); their states take some 10 kB each.
+SLICE, LOT = 1 << 20, 1024
+#: Tables of up to so many bytes as files are broadcast.
+BROADCAST = 8 << 20
 
 
 @dataclass
@@ -169,9 +172,13 @@ def word_marginals(model: Model, texts: pa.Array) -> tuple[pa.Array, np.ndarray,
     codes = coded.indices.to_numpy().astype(np.int64)
     value, lettered = emissions(model, coded.dictionary), _lettered(coded.dictionary)
     chain, place, lengths, _ = _chains(codes, counts)
-    scores = np.zeros((len(lengths), CHAIN, k))
-    scores[chain, place] = value[codes]
-    return words, counts, lettered[codes], forward_backward(scores, lengths, model.switch, model.start)[0][chain, place]
+    ends, marginal = offsets_of(lengths), np.empty((len(codes), k))
+    for lo in range(0, len(lengths), LOT):  # chains don't depend on each other, so a long text is done in parts
+        some = slice(ends[lo], ends[min(lo + LOT, len(lengths))])
+        mine, scores = (chain[some] - lo, place[some]), np.zeros((len(lengths[lo : lo + LOT]), CHAIN, k))
+        scores[mine] = value[codes[some]]
+        marginal[some] = forward_backward(scores, lengths[lo : lo + LOT], model.switch, model.start)[0][mine]
+    return words, counts, lettered[codes], marginal
 
 
 def predict_slice(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -247,10 +254,13 @@ def keep_known(docs: DataFrame, least_share: float = 0.0) -> DataFrame:
 
     By default any share will do, so that texts mixed of many languages stay. If no language could be learned, as where no row outside
     fold 2 has one, every document with a letter stays. Null and empty texts go; repeated rows stay repeated; nulls in other columns
-    do no harm, and these may have any names, since rows travel as one struct beside their text. An empty table gives an empty one.
+    do no harm, and these may have any names. Only ids and texts pass through Python; what goes is joined away, by id and hash of the
+    text, so whole rows aren't shuffled while that is small. An empty table gives an empty one.
     """
     model = learn(docs)
     if not model.labels:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = predict(docs.select(F.struct("*").alias("row"), F.col("text").alias("text")), model, "row")
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_share)).select("row.*")
+    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")).alias("key")
+    found = predict(docs.select(key, F.col("text").alias("text")), model, "key").where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < least_share))
+    gone = small(cut(found.select(F.col("key.id").alias("gone_id"), F.col("key.h").alias("gone_h")).distinct(), shared_dir(docs.sparkSession, "language")), BROADCAST)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_h"]), "left_anti")

@@ -337,6 +337,14 @@ def test_keep_known_without_labels_and_with_mixed_texts(spark):
     assert got.where(F.col("doc_id") >= start).count() == len(mixed)
 
 
+def test_long_texts_are_labelled_in_parts(monkeypatch):
+    model = language_id.train([("der die das und nicht ein", "de"), ("the and of to in is", "en")] * 5, chains=200)
+    texts = pa.array(["the and der die " * 400, None, "", "12 34", "of to nicht ein " * 90])
+    whole = language_id.word_marginals(model, texts)[3]
+    monkeypatch.setattr(language_id, "LOT", 3)
+    assert np.array_equal(whole, language_id.word_marginals(model, texts)[3]) and len(whole) == 1600 + 2 + 360
+
+
 # 7
 def plain_fingerprint(text):
     w = (text or "").encode().lower().split()
