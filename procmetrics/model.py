@@ -20,10 +20,16 @@ DATAPOINT = T.StructType(
     ]
 )
 
+#: The same with the process's command line and its place in the process tree.
+DATAPOINT_TREE = T.StructType([*DATAPOINT.fields[:-1], T.StructField("command_line", T.StringType()), T.StructField("parent_pid", T.LongType()), DATAPOINT.fields[-1]])
+
 #: A pid is known by its host alone, so the host is part of the identity of a process and of a series.
 PROCESS = ("host_name", "pid")
 SERIES = ("host_name", "pid", "metric")
 COUNTERS = ("process.cpu.time", "process.disk.io")
+#: Disk I/O told apart by direction; each is a counter of its own.
+DISK_IO = {"read": "process.disk.io.read", "write": "process.disk.io.write"}
+ALL_COUNTERS = (*COUNTERS, *DISK_IO.values())
 
 # The seven process metrics.
 METRICS = (

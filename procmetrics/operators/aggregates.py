@@ -152,6 +152,27 @@ def attribution(df: DataFrame, dims: Sequence[str], mode: str = "rollup") -> Dat
     return grouped.agg(F.grouping_id().alias("level"), F.count("*").alias("points"), F.sum("value").alias("value"))
 
 
+def attribution_series(df: DataFrame, dims: Sequence[str], mode: str = "rollup", series: Sequence[str] = SERIES, price: float | None = None) -> DataFrame:
+    """(dims, level, series, points, value): distinct series of the dimensions with subtotals, beside points and values; share is of all series.
+
+    A series that has several values of a dimension counts once in each, and once in every subtotal above. Rows are first reduced to one for
+    each dims and series, before the shuffle; only these are laid out for the grouping sets. With a price each series costs that much.
+    Modes are those of attribution. Null dimensions are values of their own, told from subtotals by level.
+    """
+    keys = list(dict.fromkeys([*dims, *series]))
+    leaf = df.groupBy(*keys).agg(F.count("*").alias("points"), F.sum("value").alias("value")).withColumn("_series", F.struct(*series))
+    if mode == "sets":
+        grouped = leaf.groupingSets([[F.col(d)] for d in dims] + [[]], *dims)
+    elif mode in ("rollup", "cube"):
+        grouped = leaf.rollup(*dims) if mode == "rollup" else leaf.cube(*dims)
+    else:
+        raise ValueError(mode)
+    out = grouped.agg(F.grouping_id().alias("level"), F.count_distinct("_series").alias("series"), F.sum("points").alias("points"), F.sum("value").alias("value"))
+    total = F.max(F.when(F.col("level") == (1 << len(dims)) - 1, F.col("series"))).alias("_all")
+    out = out.crossJoin(F.broadcast(out.agg(total))).withColumn("share", F.try_divide(F.col("series").cast("double"), F.col("_all"))).drop("_all")
+    return out if price is None else out.withColumn("cost", F.col("series") * price)
+
+
 def process_churn(df: DataFrame, seconds: int) -> DataFrame:
     """Processes first and last seen in each bucket, and the first as share of those active."""
     at = df.select(*PROCESS, bucket("ts", seconds).alias("bucket")).distinct()

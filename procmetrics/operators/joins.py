@@ -41,6 +41,45 @@ def match_patterns(df: DataFrame, patterns: DataFrame, name: str = "exe", patter
     return df.join(hits, df[name] == hits._name).drop("_name")
 
 
+#: Prefixes of patterns are compared up to this length.
+PREFIX = 16
+_LITERAL = "[A-Za-z0-9_#@/ -]"
+
+
+def pattern_prefixes(patterns: DataFrame, pattern: str = "pattern") -> DataFrame:
+    """(pattern, prefix) for every literal beginning that a match of the pattern must have; one row of a null prefix where none is known.
+
+    ^abc[0-9] begins with abc, ^abc* with ab, ^(abc|de).* with abc or de. A pattern that isn't anchored, or that has other alternatives, may
+    begin with anything.
+    """
+    p = F.col(pattern)
+    run = F.regexp_extract(p, rf"^\^({_LITERAL}+)", 1)
+    optional = F.regexp_extract(p, rf"^\^{_LITERAL}+([*?{{])", 1) != ""
+    run = F.when(optional, F.substring(run, F.lit(1), F.length(run) - 1)).otherwise(run)
+    either = F.regexp_extract(p, rf"^\^\(({_LITERAL}+(?:\|{_LITERAL}+)*)\)(?![*?{{])[^|]*$", 1)
+    found = F.when(either != "", F.split(either, r"\|")).when(~p.contains("|") & (run != ""), F.array(run))
+    cut = F.array_distinct(F.transform(found, lambda x: F.substring(x, 1, PREFIX)))
+    return patterns.select(p.alias("pattern"), F.explode_outer(cut).alias("prefix")).distinct()
+
+
+def match_indexed(df: DataFrame, patterns: DataFrame, name: str = "exe", pattern: str = "pattern") -> DataFrame:
+    """Rows beside every pattern that their name matches, for many patterns.
+
+    Patterns are indexed by their literal beginnings; a distinct name asks for its own beginnings, of the lengths that occur, by
+    equality, and only pairs that meet so are tried. Patterns without a literal beginning, which should be few, are tried with every name.
+    Null names and patterns match nothing; repeated rows stay repeated, repeated patterns count once.
+    """
+    index = pattern_prefixes(patterns.where(F.col(pattern).isNotNull()), pattern)
+    keyed = index.where(F.col("prefix").isNotNull())
+    lengths = keyed.agg(F.collect_set(F.length("prefix")).alias("_lengths"))  # PREFIX at most
+    names = df.select(F.col(name).alias("_name")).where(F.col("_name").isNotNull()).distinct()
+    asked = names.crossJoin(F.broadcast(lengths)).select("_name", F.explode(F.expr("transform(filter(_lengths, n -> n <= length(_name)), n -> substring(_name, 1, n))")).alias("prefix"))
+    hits = asked.join(keyed, "prefix").select("_name", "pattern").distinct().where("_name rlike pattern")
+    others = names.join(small(index.where(F.col("prefix").isNull()).select("pattern")), F.expr("_name rlike pattern"))
+    hits = hits.unionByName(others)
+    return df.join(hits, df[name] == hits._name).drop("_name")
+
+
 def attribute_to_experiment(df: DataFrame, experiments: DataFrame, key: str = "host_name", slot: int = 86400) -> DataFrame:
     """Datapoints beside the experiments active on their host at that time; an open experiment has no end.
 

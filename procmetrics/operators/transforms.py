@@ -130,6 +130,16 @@ def alias_metrics(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     return df.withColumn("metric", F.coalesce(F.try_element_at(table, F.col("metric")), F.col("metric")))
 
 
+def split_metric(df: DataFrame, metric: str, label: str, names: Mapping[str, str], labels: str = "attrs") -> DataFrame:
+    """A metric whose identity depends on a label becomes one metric for each value named, such as reads and writes of disk I/O.
+
+    It is split before deltas are taken, since each value counts on its own. Points of the metric with another value or none keep its name.
+    """
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    split = F.try_element_at(table, F.try_element_at(F.col(labels), F.lit(label)))
+    return df.withColumn("metric", F.when(F.col("metric") == metric, F.coalesce(split, F.col("metric"))).otherwise(F.col("metric")))
+
+
 def host_facts(df: DataFrame, seconds: int, scrape: int = 10, cpu: str = "process.cpu.utilization") -> DataFrame:
     """The host's CPU and number of processes in the bucket, beside each datapoint.
 

@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from procmetrics.queries import control, metrics, streams, verdicts  # noqa: E402, F401
+from procmetrics.queries import control, metrics, stored, streams, verdicts  # noqa: E402, F401

@@ -195,9 +195,15 @@ def _(v):
     return P.process_age(v.raw.withColumn("create_time_ns", F.unix_micros("ts") * 1000), "2024-02-01 00:00:00").select("point_id", X.round6(F.col("age_seconds")).alias("age_seconds"))
 
 
-@query("x7_age_now", "SELECT point_id, true AS old FROM raw")
+@query("x7_age_now", "SELECT point_id, round(epoch(TIMESTAMP '2024-03-01') - epoch_us(ts) / 1e6, 3) AS age, true AS as_long_since FROM raw")
 def _(v):
-    return P.process_age(v.raw.withColumn("create_time_ns", F.unix_micros("ts") * 1000)).select("point_id", X.gt("age_seconds", 86400).alias("old"))
+    """The age at a given time; and whether the age now is greater by the time that has passed since, to some seconds."""
+    import time
+
+    created = v.raw.withColumn("create_time_ns", F.unix_micros("ts") * 1000)
+    both = P.process_age(P.process_age(created, "2024-03-01").withColumnRenamed("age_seconds", "age"))
+    since = time.time() - 1709251200  # of that time
+    return both.select("point_id", F.round("age", 3).alias("age"), (F.abs(F.col("age_seconds") - F.col("age") - since) < 300).alias("as_long_since"))
 
 
 _SCORE = "SELECT exe, 0.7 * count(DISTINCT (host_name, pid, metric)) / sum(count(DISTINCT (host_name, pid, metric))) OVER () + 0.3 * count(*) / sum(count(*)) OVER () AS s FROM raw GROUP BY exe"
@@ -773,13 +779,18 @@ def _(v):
     return N.aggregated_v1(v.datapoints, BLOCK, max_staleness=STALE).groupBy("exe").agg(F.count("*").alias("n"))
 
 
-_TOP = f"""SELECT * FROM (SELECT *, {_BLOCK} AS b FROM base) WHERE (host_name, b, pid) IN (SELECT (host_name, b, pid) FROM (SELECT host_name, b, pid, row_number() OVER (PARTITION BY host_name, b ORDER BY total DESC, pid) AS n FROM
-    (SELECT host_name, {_BLOCK} AS b, pid, sum(value) AS total FROM base WHERE metric = 'process.cpu.time' GROUP BY 1, 2, 3)) WHERE n <= 5)"""
+_USED = f"""SELECT host_name, b, pid, round(arg_max(cpu_avg, (ts, point_id)), 6) AS used FROM (SELECT *, {_BLOCK} AS b, avg(value / gap) {_RANGE} AS cpu_avg FROM base WHERE metric = 'process.cpu.time' AND gap > 0) GROUP BY 1, 2, 3"""
+_TOP = f"""SELECT * FROM (SELECT *, {_BLOCK} AS b FROM base) WHERE (host_name, b, pid) IN (SELECT (host_name, b, pid) FROM (SELECT host_name, b, pid, row_number() OVER (PARTITION BY host_name, b ORDER BY used DESC, pid) AS n FROM ({_USED})) WHERE n <= 5)"""
 
 
 @query("n4_topk_v1", f"SELECT point_id FROM ({_TOP})")
 def _(v):
-    return N.topk_v1(v.datapoints, 5, BLOCK, max_staleness=STALE).select("point_id")
+    return N.topk_v1(v.datapoints, 5, BLOCK, 5 * DAY, max_staleness=STALE).select("point_id")
+
+
+@query("n4_threshold", f"SELECT point_id FROM (SELECT *, {_BLOCK} AS b FROM base) WHERE (host_name, b, pid) IN (SELECT (host_name, b, pid) FROM ({_USED}) WHERE used >= 0.1)")
+def _(v):
+    return N.topk_v1(v.datapoints, seconds=BLOCK, window=5 * DAY, mode="threshold", threshold=0.1, max_staleness=STALE).select("point_id")
 
 
 @query("n5_adaptive_filter_v1", f"SELECT point_id FROM ({_FACTS}) WHERE NOT ({_DROPPED})")
@@ -798,7 +809,7 @@ _SERIES = "count(DISTINCT (host_name, pid, exe, metric))"
     CASE pipeline WHEN 'priority_filter_v1' THEN 60 WHEN 'aggregated_v1' THEN 50 WHEN 'topk_v1' THEN 40 ELSE 0 END AS expected_min, CASE pipeline WHEN 'baseline_v1' THEN 0 WHEN 'priority_filter_v1' THEN 70 WHEN 'aggregated_v1' THEN 60 WHEN 'topk_v1' THEN 50 ELSE 100 END AS expected_max FROM s""",
 )
 def _(v):
-    report = N.catalog_report(v.datapoints, BLOCK, 5, scrape=DAY, max_staleness=STALE, **_ADAPTIVE)
+    report = N.catalog_report(v.datapoints, BLOCK, 5, scrape=DAY, window=5 * DAY, max_staleness=STALE, **_ADAPTIVE)
     return report.withColumn("reduction", X.round6(F.col("reduction")))
 
 

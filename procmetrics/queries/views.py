@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from procmetrics.sources.stored import shared_folder
+
 # Fixed values of the derived views.
 NAMES = ["nginx-worker", "postgres", "redis-server", "kafka", "kubelet", "systemd", "sshd", "python-app", "java", "node-service", "chrome-tab", "firefox", "code", "slack", "datadog-agent", "grep", "cron-job", "envoy", "mysqld", "vim"]
 OWNERS = ["root", "app", "svc"]
@@ -33,9 +33,7 @@ class Views:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def folder(self, name: str) -> str:
-        """A new path below spark.checkpoint.dir, which all executors share; a temporary one where that is unset, as in tests."""
-        base = self.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
-        return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+        return shared_folder(self.spark, name)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")

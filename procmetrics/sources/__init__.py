@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from procmetrics.functions import full_match, label_name, pick
-from procmetrics.model import DATAPOINT, bucket
+from procmetrics.model import DATAPOINT, PROCESS, bucket
 
 
 def read_datapoints(spark: SparkSession, path: str, schema: T.StructType = DATAPOINT, fmt: str = "parquet") -> DataFrame:
@@ -118,10 +118,13 @@ def read_hosts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_datapoints(df: DataFrame, path: str, mode: str = "append", ts: str = "ts") -> None:
-    """Compressed Parquet by variant and date, rows of a date together, so that few files are made and dates prune."""
+def write_datapoints(df: DataFrame, path: str, mode: str = "append", ts: str = "ts", writers: int = 8) -> None:
+    """Compressed Parquet by variant and date, rows of a date together, so that few files are made and dates prune.
+
+    writers is how many tasks, and so files, a variant and date are spread over: about their size by that of a file.
+    """
     dated = df.withColumn("date", F.to_date(ts))
-    spread = F.pmod(F.xxhash64(*[f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]), F.lit(8))  # the same when a task runs again
+    spread = F.pmod(F.xxhash64(*[f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]), F.lit(writers))  # the same when a task runs again
     dated.repartition("variant", "date", spread).write.mode(mode).partitionBy("variant", "date").option("compression", "gzip").parquet(path)
 
 
@@ -173,5 +176,42 @@ def to_vendor_schema(df: DataFrame, seconds: int) -> DataFrame:
     return out.withColumnsRenamed(VENDOR_ATTRIBUTES)
 
 
+# The vendor's names of an entity's attributes and metrics in full.
+VENDOR_ENTITY = {"exe": "processDisplayName", "command_line": "commandLine", "host_name": "hostname", "pid": "processId", "parent_pid": "parentProcessId"}
+VENDOR_GAUGES = {"process.cpu.utilization": "cpuPercent", "process.memory.physical": "memoryResidentSizeBytes"}
+VENDOR_RATES = {"process.disk.io.read": "ioReadBytesPerSecond", "process.disk.io.write": "ioWriteBytesPerSecond"}
+
+
+def to_vendor_entities(df: DataFrame, seconds: int) -> DataFrame:
+    """One row per process and bucket, of deltas with disk I/O told apart by direction (split_metric before cumulative_to_delta).
+
+    Gauges are averaged, I/O is bytes over the bucket's seconds. Name, command line and parent are those of the process's last point in the
+    bucket, so one that changes them stays one entity. What has no point in the bucket is null.
+    """
+    own = lambda m: F.when(F.col("metric") == m, F.col("value"))
+    facts = [c for c in VENDOR_ENTITY if c not in PROCESS]
+    order = F.struct(*[c for c in ("ts", "point_id") if c in df.columns])
+    values = [F.avg(own(m)).alias(n) for m, n in VENDOR_GAUGES.items()] + [(F.sum(own(m)) / seconds).alias(n) for m, n in VENDOR_RATES.items()]
+    out = df.groupBy(*PROCESS, bucket("ts", seconds).alias("bucket")).agg(F.max_by(F.struct(*facts), order).alias("_last"), *values)
+    return out.select(*[(F.col("_last")[c] if c in facts else F.col(c)).alias(n) for c, n in VENDOR_ENTITY.items()], "bucket", *VENDOR_GAUGES.values(), *VENDOR_RATES.values())
+
+
+def parse_variant(df: DataFrame, column: str, fields: Mapping[str, tuple[str, str]], rest: str | None = None) -> DataFrame:
+    """Fields (name: path and type) of a column of JSON of any shape, each null where the path is absent or of another type.
+
+    The text is parsed once, to a variant; text that doesn't begin with a JSON value counts as null. rest keeps the variant itself under that name.
+    """
+    out = df.withColumn("_variant", F.try_parse_json(column))
+    out = out.withColumns({name: F.try_variant_get("_variant", path, kind) for name, (path, kind) in fields.items()})
+    return out.withColumnRenamed("_variant", rest) if rest else out.drop("_variant")
+
+
+def variant_fields(df: DataFrame, column: str) -> DataFrame:
+    """(key, kind, n): which keys the objects of a JSON column have, of which types, and how often. Arrays, scalars and bad JSON have none."""
+    parsed = df.select(F.try_parse_json(column).alias("_v"))
+    fields = parsed.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_v").outer())).where(F.col("key").isNotNull())
+    return fields.groupBy("key", F.schema_of_variant("value").alias("kind")).agg(F.count("*").alias("n"))
+
+
 def stream_datapoints(spark: SparkSession, path: str, schema: T.StructType = DATAPOINT, max_files: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
