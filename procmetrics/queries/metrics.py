@@ -195,7 +195,7 @@ def _(v):
     return P.process_age(v.raw.withColumn("create_time_ns", F.unix_micros("ts") * 1000), "2024-02-01 00:00:00").select("point_id", X.round6(F.col("age_seconds")).alias("age_seconds"))
 
 
-@query("x7_age_now", "SELECT point_id, round(epoch(TIMESTAMP '2024-03-01') - epoch_us(ts) / 1e6, 3) AS age, true AS as_long_since FROM raw")
+@query("x7_age_now", "SELECT point_id, CAST(floor(epoch(TIMESTAMP '2024-03-01') - epoch_us(ts) / 1e6) AS BIGINT) AS age, true AS as_long_since FROM raw")
 def _(v):
     """The age at a given time; and whether the age now is greater by the time that has passed since, to some seconds."""
     import time
@@ -203,7 +203,7 @@ def _(v):
     created = v.raw.withColumn("create_time_ns", F.unix_micros("ts") * 1000)
     both = P.process_age(P.process_age(created, "2024-03-01").withColumnRenamed("age_seconds", "age"))
     since = time.time() - 1709251200  # of that time
-    return both.select("point_id", F.round("age", 3).alias("age"), (F.abs(F.col("age_seconds") - F.col("age") - since) < 300).alias("as_long_since"))
+    return both.select("point_id", F.floor("age").alias("age"), (F.abs(F.col("age_seconds") - F.col("age") - since) < 300).alias("as_long_since"))
 
 
 _SCORE = "SELECT exe, 0.7 * count(DISTINCT (host_name, pid, metric)) / sum(count(DISTINCT (host_name, pid, metric))) OVER () + 0.3 * count(*) / sum(count(*)) OVER () AS s FROM raw GROUP BY exe"

@@ -40,9 +40,12 @@ def process_sessions(df: DataFrame, gap: str, keys: Sequence[str] = PROCESS) ->
     return out.select(*keys, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "points")
 
 
-def _sorted(rows: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
-    """A key's rows of one micro-batch; maxFilesPerTrigger of the source bounds them."""
-    return pd.concat(list(rows)).sort_values(list(by), kind="stable")
+def _sorted(rows: Iterator[pd.DataFrame], *by: str) -> list[np.ndarray]:
+    """These columns of a key's rows of one micro-batch, ordered by them. The rows' other columns and the key go with each batch of Arrow, so a row takes some bytes."""
+    parts = [[pdf[c].to_numpy("datetime64[us]" if c == "ts" else None) for c in by] for pdf in rows]
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    order = np.lexsort(columns[::-1])
+    return [c[order] for c in columns]
 
 
 def _wake(handle: StatefulProcessorHandle, at: pd.Timestamp | None) -> None:
@@ -64,8 +67,7 @@ class _Delta(StatefulProcessor):
         self.last = handle.getValueState("last", "ts timestamp, value double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        pdf = _sorted(rows, "ts", "value")
-        ts, value = pdf["ts"].to_numpy("datetime64[us]"), pdf["value"].to_numpy("float64")
+        ts, _, value = _sorted(rows, "ts", "place", "value")
         if self.last.exists():
             at, level = self.last.get()
             late = ts < np.datetime64(at, "us")  # older than what has been used
@@ -90,9 +92,11 @@ class _Delta(StatefulProcessor):
 def stream_delta(df: DataFrame, max_staleness: float | None = 600, metrics: Sequence[str] = COUNTERS, delay: str = "10 minutes") -> DataFrame:
     """(host_name, pid, metric, ts, value): counters to deltas with the last point of each series as state. Needs the RocksDB state store.
 
-    Points later than the delay are dropped. Without max_staleness any later point may still follow, so states stay for ever.
+    Points later than the delay are dropped. Without max_staleness any later point may still follow, so states stay for ever. Of points of one
+    time the smaller point_id comes first, as in batches; without that column they are ordered by value.
     """
-    points = df.where(F.col("metric").isin(list(metrics))).select(*SERIES, "ts", F.col("value").cast("double").alias("value"))
+    place = (F.col("point_id") if "point_id" in df.columns else F.lit(0)).cast("long").alias("place")
+    points = df.where(F.col("metric").isin(list(metrics))).select(*SERIES, "ts", place, F.col("value").cast("double").alias("value"))
     return with_lateness(points, delay).groupBy(*SERIES).transformWithStateInPandas(_Delta(max_staleness), "host_name string, pid long, metric string, ts timestamp, value double", "Append", "EventTime")
 
 
@@ -135,13 +139,12 @@ class _Alert(StatefulProcessor):
         out.append((at, "resolved" if self._fire(run, at, out)[2] else "inactive"))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        pdf = _sorted(rows, "ts")
-        ts, active = pdf["ts"].reset_index(drop=True), pdf["active"].to_numpy(bool)
+        ts, active = _sorted(rows, "ts", "active")
         run, out = self._open(), []
         # only points where the state can turn are looked at: the first, those after a gap or of another state, and the last
-        turn = np.flatnonzero(np.concatenate([[True], (np.diff(active) != 0) | (np.diff(ts.to_numpy()) > self.step.to_timedelta64())]))
+        turn = np.flatnonzero(np.concatenate([[True], (active[1:] != active[:-1]) | (np.diff(ts) > self.step.to_timedelta64())]))
         for first, last in zip(turn, [*(turn[1:] - 1), len(ts) - 1], strict=True):
-            begin = ts[first]
+            begin, end = pd.Timestamp(ts[first]), pd.Timestamp(ts[last])
             if run is not None and begin - run[1] > self.step:
                 self._end(run, run[1] + self.step, out)
                 run = None
@@ -149,7 +152,7 @@ class _Alert(StatefulProcessor):
                 if run is None:
                     out.append((begin, "pending"))
                     run = (begin, begin, False)
-                run = self._fire((run[0], ts[last], run[2]), ts[last], out)
+                run = self._fire((run[0], end, run[2]), end, out)
             elif run is not None:
                 self._end(run, begin, out)
                 run = None
