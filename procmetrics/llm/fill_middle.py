@@ -139,6 +139,7 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restore("output", "form"), 256).alias("restored_sha256"))
 
 
+# Doubles here, since that is what data frames of pandas make of whole numbers and nulls.
 _SPACE, _TEXT = r"\x20\x09-\x0D", r"[^\x20\x09-\x0D]"
 ORACLE = f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[{_SPACE}]*{_TEXT}+|[{_SPACE}]+') AS units, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
@@ -146,7 +147,7 @@ h AS (SELECT *, len(units) AS n, [CAST('0x' || substr(x, 8 * k + 1, 8) AS BIGINT
 c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS low, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS high,
     CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
 p AS (SELECT *, coalesce(array_to_string(units[1:low], ''), '') AS a, coalesce(array_to_string(units[low + 1:high], ''), '') AS b, coalesce(array_to_string(units[high + 1:], ''), '') AS z FROM c)
-SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a)::DOUBLE END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b)::DOUBLE END AS middle_chars,
     sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || b ELSE '<S>' || z || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(text) AS restored_sha256
 FROM p
 """
