@@ -66,3 +66,10 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def offsets_of(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+
+
+def sql_crc32(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a text's UTF-8 bytes, byte by byte and bit by bit."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    shifts = "list_reduce(list_prepend(xor(a, b), CAST(range(8) AS BIGINT[])), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}), lambda a, b: {shifts}), 4294967295)"

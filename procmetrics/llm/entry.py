@@ -20,4 +20,11 @@ QUERIES = {
     "op13_fill_middle": fill_middle.op13_fill_middle,
 }
 
-ORACLE = {"op1_secrets": secrets.ORACLE, "op4_topk": topk.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op13_fill_middle": fill_middle.ORACLE}
+ORACLE = {
+    "op1_secrets": secrets.ORACLE,
+    "op4_topk": topk.ORACLE,
+    "op5_exact_dedup": exact_dedup.ORACLE,
+    "op11_sharding": sharding.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
+    "op13_fill_middle": fill_middle.ORACLE,
+}

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from procmetrics.llm.common import cut, documents, shared_dir
+from procmetrics.llm.common import cut, documents, shared_dir, sql_crc32
 from procmetrics.operators.transforms import small
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -228,3 +228,31 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, leaf_hash(fields))
     write_manifest(documents(spark, sf_dir), path, claim=tampered)
     return prove(spark, path).select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def _sql_leaf(n_chars: str) -> str:
+    columns = [n_chars if f == "n_chars" else f for f in FIELDS]
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns) + ")"
+
+
+def _sql_tree(name: str, leaves: str, by: str = "") -> str:
+    return f"{name} AS ({leaves} UNION ALL SELECT {by}lv + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY {by}lv, i // 2, n)"
+
+
+def _sql_climb(name: str, start: str, tree: str, same: str) -> str:
+    """From each leaf up: the siblings so far, and what follows from them."""
+    return f"""{name} AS ({start} UNION ALL SELECT p.k, p.lang, p.lv + 1, p.i // 2, (p.n + 1) // 2, p.proof || coalesce(s.h, ''), sha256(CASE WHEN p.i % 2 = 1 THEN s.h || p.f ELSE p.f || coalesce(s.h, '') END)
+    FROM {name} p LEFT JOIN {tree} s ON {same} AND s.lv = p.lv AND s.i = xor(p.i, 1) WHERE p.n > 1)"""
+
+
+ORACLE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, {_sql_leaf("n_chars")} AS leaf, CASE WHEN {sql_crc32("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {_sql_leaf("n_chars + 1")} END AS claim FROM documents),
+l AS (SELECT *, row_number() OVER () AS k, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d),
+{_sql_tree("nodes", "SELECT lang, 0 AS lv, i, n, leaf AS h FROM l", "lang, ")},
+roots AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+{_sql_tree("top", "SELECT 0 AS lv, i, n, h FROM roots")},
+{_sql_climb("paths", "SELECT k, lang, 0 AS lv, i, n, '' AS proof, coalesce(claim, leaf) AS f FROM l", "nodes", "s.lang IS NOT DISTINCT FROM p.lang")},
+{_sql_climb("tops", "SELECT p.k, p.lang, 0 AS lv, r.i, r.n, p.proof, p.f FROM paths p JOIN roots r ON r.lang IS NOT DISTINCT FROM p.lang WHERE p.n = 1", "top", "true")}
+SELECT doc_id, leaf, r.h AS subroot, t.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = t.h AS verified
+FROM l JOIN (SELECT * FROM tops WHERE n = 1) c USING (k) JOIN roots r ON r.lang IS NOT DISTINCT FROM l.lang CROSS JOIN (SELECT h FROM top WHERE n = 1) t
+"""

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from procmetrics.llm.common import cut, documents, shared_dir
+from procmetrics.llm.common import cut, documents, shared_dir, sql_crc32
 from procmetrics.operators.transforms import small
 
 #: Ranges: one for each so many bytes, between these bounds; so boundaries and what is known of ranges stay small on the driver.
@@ -240,7 +240,14 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "shards")
     write_shards(documents(spark, sf_dir), path)
     text = F.coalesce(F.col("row.text"), F.lit(""))
-    rows = read_shards(spark, path).select(
+    return read_shards(spark, path).select(
         F.col("row.doc_id").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
-    return rows
+
+
+# For ids that differ, as those of the given tables do. The absent shard is a double here, as data frames of pandas make it.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size, {sql_crc32("coalesce(text, '')")} AS text_crc32 FROM documents),
+s AS (SELECT *, CAST(least(15, (2 * sum(size) OVER (ORDER BY doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - size) * 16 // (2 * sum(size) OVER ())) AS INTEGER) AS shard FROM d)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST) - 1 AS slot, CAST(NULL AS DOUBLE) AS grown_shard FROM s
+"""
