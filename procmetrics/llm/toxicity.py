@@ -16,6 +16,8 @@ from procmetrics.llm.subwords import labelled_sample, mean_over_ngrams, word_ngr
 SIZES, BUCKETS, DIMS, WINDOW = (3, 4, 5), 1 << 17, 8, 2
 #: The bound of the training sample: so many documents of each label.
 PER_LABEL = 1000
+#: Rows from which on a label weighs about as much as any other in the line.
+EVEN = 100
 
 
 @dataclass
@@ -156,14 +158,19 @@ def fit(sample: list[tuple[str, int]], epochs: int = 12, rate: float = 0.3, seed
 
 
 def _line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression of the labels on the top window's margin; Newton steps with a light ridge."""
+    """Logistic regression of the labels on the top window's margin; Newton steps with a light ridge.
+
+    A label of n rows weighs n / (n + EVEN) in all: labels of many rows the same, since how many the sample has is its bound's doing; labels
+    of few by their rows, since these say little of how scores overlap.
+    """
     scale = x.std() or 1.0
     z = np.stack([x / scale, np.ones(len(x))], axis=1)
-    w = np.zeros(2)
+    w, weight = np.zeros(2), 1 / (np.bincount(y, minlength=2) + EVEN)[y]
+    weight = weight / weight.mean()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        hess = (z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2)
-        w = w - np.clip(np.linalg.solve(hess, z.T @ (p - y) + 1e-2 * w), -3, 3)
+        hess = (z * (weight * p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2)
+        w = w - np.clip(np.linalg.solve(hess, z.T @ (weight * (p - y)) + 1e-2 * w), -3, 3)
     return float(w[0] / scale), float(w[1])
 
 
@@ -174,7 +181,7 @@ def score_slice(model: Model, texts: pa.Array) -> np.ndarray:
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, score) of every row; of the whole text. Null and empty texts have no window and get the bias alone. Repeated rows stay repeated."""
+    """(id_col, score) of every row; of the whole text. Null and empty texts have no window and get the bias alone. Repeated rows stay repeated; an empty table gives none."""
 
     def run(batches):
         for part in text_slices(batches, "text"):
