@@ -12,6 +12,8 @@ from procmetrics.operators.transforms import small
 
 #: Components in a block, blocks in a group, queries in a batch, batches that meet a group at once. They bound what a task holds.
 CELLS, GROUP, BATCH, TOGETHER = 65536, 64, 256, 16
+#: Groups whose extremes one task holds.
+BUNDLE = 4096
 
 
 def quantised(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -33,9 +35,10 @@ def _matrix(body: bytes, rows: int, dims: int) -> np.ndarray:
 
 
 def blocks(rows: DataFrame, size: int | None = None) -> DataFrame:
-    """(dims, part, block, ids, matrix): forward indexes of rows of neighbouring ids, up to size of them or CELLS components.
+    """(dims, part, block, ids, matrix, high, low): forward indexes of rows of neighbouring ids, up to size of them or CELLS components.
 
-    Rows are sorted by dims and id over ranges; a block never crosses a range, so some are short. ids are little-endian longs.
+    Rows are sorted by dims and id over ranges; a block never crosses a range, so some are short. ids are little-endian longs, as are high
+    and low, the extremes of each component.
     """
 
     def run(batches):
@@ -51,9 +54,10 @@ def blocks(rows: DataFrame, size: int | None = None) -> DataFrame:
             n = size or max(1, CELLS // max(1, dims))
             stop = len(ids) if whole else len(ids) // n * n
             for lo in range(0, stop, n):
-                row = [[dims], [part], [made], [ids[lo : min(lo + n, stop)].tobytes()], [_packed(m[lo : min(lo + n, stop)])]]
+                some = m[lo : min(lo + n, stop)]
+                row = [[dims], [part], [made], [ids[lo : min(lo + n, stop)].tobytes()], [_packed(some)], [some.max(axis=0).tobytes()], [some.min(axis=0).tobytes()]]
                 made += 1
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["dims", "part", "block", "ids", "matrix"])
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["dims", "part", "block", "ids", "matrix", "high", "low"])
             held = [(dims, ids[stop:], m[stop:])] if stop < len(ids) else []
 
         for batch in batches:
@@ -71,7 +75,7 @@ def blocks(rows: DataFrame, size: int | None = None) -> DataFrame:
             yield from flush(True)
 
     ordered = rows.repartitionByRange("dims", "id").sortWithinPartitions("dims", "id")
-    return ordered.mapInArrow(run, "dims int, part int, block long, ids binary, matrix binary")
+    return ordered.mapInArrow(run, "dims int, part int, block long, ids binary, matrix binary, high binary, low binary")
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -127,6 +131,70 @@ def search_blocks(q_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, fou
     return best, scored
 
 
+def _stacked(column: pa.ChunkedArray, dims: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<i8").reshape(len(column), dims)
+
+
+def extremes(held: DataFrame) -> DataFrame:
+    """(dims, part, run, high, low) of each group of blocks."""
+
+    def run(key, table):
+        dims = key[0].as_py()
+        high, low = _stacked(table["high"], dims).max(axis=0), _stacked(table["low"], dims).min(axis=0)
+        return pa.table({c: pa.array([k.as_py()], t) for c, k, t in zip(("dims", "part", "run"), key, (pa.int32(), pa.int32(), pa.int64()), strict=True)} | {"high": [high.tobytes()], "low": [low.tobytes()]})
+
+    return held.select("dims", "part", "run", "high", "low").groupBy("dims", "part", "run").applyInArrow(run, "dims int, part int, run long, high binary, low binary")
+
+
+def _floors(row: dict, queries: int) -> np.ndarray:
+    """The k-th score that each query of a batch has from elsewhere."""
+    floor = np.full(queries, LEAST)
+    for x in row["floors"] or []:
+        floor[x["place"]] = x["score"]
+    return floor
+
+
+def _against_extremes(pairs: DataFrame, asked: DataFrame, ends: DataFrame, run, schema: str) -> DataFrame:
+    """run for each lot of queries and bundle of groups: only the groups' extremes travel, not their blocks."""
+    keys = ["dims", "q_part", "lot", "bundle"]
+    named = lambda columns: pairs.select(*[F.col(c).alias(c) for c in columns])  # noqa: E731  (columns of each side's own)
+    left = asked.join(small(named(keys).distinct()), ["dims", "q_part", "lot"]).groupBy(*keys)
+    right = named(pairs.columns).join(ends, ["dims", "part", "run"]).select("dims", "part", "run", "q_part", "lot", "bundle", "high", "low").groupBy(*keys)
+    return left.cogroup(right).applyInArrow(run, schema)
+
+
+def most_promising(pairs: DataFrame, asked: DataFrame, ends: DataFrame) -> DataFrame:
+    """Of the pairs of a lot of queries and a group (dims, part, run, q_part, lot, bundle), those in which some query has its highest bound."""
+
+    def run(key, left, right):
+        dims, out = key[0].as_py(), []
+        high, low = _stacked(right["high"], dims), _stacked(right["low"], dims)
+        for r in left.to_pylist():
+            n = len(r["q_ids"]) // 8
+            bound = bounds(_matrix(r["q_matrix"], n, dims), high, low)
+            found = right.select(["dims", "part", "run", "q_part", "lot"]).take(pa.array(bound.argmax(axis=1)))
+            out.append(found.append_column("batch", pa.array([r["batch"]] * n, pa.int64())).append_column("place", pa.array(np.arange(n, dtype=np.int32))).append_column("bound", pa.array(bound.max(axis=1))))
+        return pa.concat_tables(out)
+
+    each = _against_extremes(pairs, asked, ends, run, "dims int, part int, run long, q_part int, lot long, batch long, place int, bound long")
+    best = each.groupBy("batch", "place").agg(F.max_by(F.struct("dims", "part", "run", "q_part", "lot"), F.struct("bound", "part", "run")).alias("g"))
+    return best.select("g.*").distinct()
+
+
+def worth_searching(pairs: DataFrame, asked: DataFrame, ends: DataFrame) -> DataFrame:
+    """Of the same pairs, those whose bound reaches the floor of some query; the blocks of groups in which no query of a lot can find anything stay where they are."""
+
+    def run(key, left, right):
+        dims, kept = key[0].as_py(), np.zeros(right.num_rows, bool)
+        high, low = _stacked(right["high"], dims), _stacked(right["low"], dims)
+        for r in left.to_pylist():
+            n = len(r["q_ids"]) // 8
+            kept |= (bounds(_matrix(r["q_matrix"], n, dims), high, low) >= _floors(r, n)[:, None]).any(axis=0)
+        return right.filter(pa.array(kept)).select(["dims", "part", "run", "q_part", "lot"])
+
+    return _against_extremes(pairs, asked, ends, run, "dims int, part int, run long, q_part int, lot long")
+
+
 FOUND = "query_id long, batch long, place int, vec_id long, score long, blocks int, scored int"
 
 
@@ -145,9 +213,10 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id"
 def search_work(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block: int | None = None, batch: int = BATCH) -> DataFrame:
     """(query_id, batch, place, vec_id, score, blocks, scored): what each group of blocks gave to each query, and of how many blocks it scored how many.
 
-    vec_id is null where a group gave nothing. Blocks of neighbouring ids are dealt in groups. First each batch of queries goes through
-    one group, which gives every query a k-th score; with that as its floor it goes through the other groups. A task holds one group
-    and TOGETHER batches; queries are copied for each group and a group for each lot of batches, as in any search of all rows.
+    vec_id is null where a group gave nothing. Blocks of neighbouring ids are dealt in groups. First each lot of queries goes through the
+    groups in which one of them has its highest bound, which gives every query a k-th score; with that as its floor it goes through
+    those other groups whose extremes let some query find more. A task holds one group and TOGETHER batches; a group is copied for
+    each lot that needs it.
     """
     spark = df.sparkSession
     path = shared_dir(spark, "topk")
@@ -155,10 +224,10 @@ def search_work(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     held = cut(blocks(quantised(df, id_col, vec_col), block).withColumn("run", run(GROUP)), f"{path}/blocks")
     asked = cut(blocks(quantised(queries, id_col, vec_col), batch).select("dims", F.shiftleft(F.col("part").cast("long"), 32).bitwiseOR(F.col("block")).alias("batch"), F.col("part").alias("q_part"), run(TOGETHER).alias("lot"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix")), f"{path}/queries")
     numbered = F.row_number().over(Window.partitionBy("dims").orderBy("part", "run")) - 1
-    groups = cut(held.select("dims", "part", "run").distinct().withColumn("g", numbered).withColumn("groups", F.count("*").over(Window.partitionBy("dims"))), f"{path}/groups")  # numbers only
+    ends = cut(extremes(held), f"{path}/extremes")
+    groups = cut(ends.select("dims", "part", "run").withColumn("g", numbered), f"{path}/groups")  # numbers only
     lots = cut(asked.select("dims", "q_part", "lot").distinct(), f"{path}/lots")
-    home = F.pmod(F.xxhash64("q_part", "lot"), F.col("groups")) == F.col("g")
-    meets = cut(lots.join(small(groups), "dims").select("dims", "part", "run", "q_part", "lot", home.alias("first")), f"{path}/meets")
+    meets = cut(lots.join(small(groups), "dims").select("dims", "part", "run", "q_part", "lot", F.floor(F.col("g") / BUNDLE).alias("bundle")), f"{path}/meets")
     keys = ["dims", "part", "run", "q_part", "lot"]
 
     def task(key, left: pa.Table, right: pa.Table):
@@ -167,10 +236,7 @@ def search_work(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
         out = []
         for r in left.to_pylist():
             q_ids = np.frombuffer(r["q_ids"], "<i8")
-            floor = np.full(len(q_ids), LEAST)
-            for x in r["floors"] or []:
-                floor[x["place"]] = x["score"]
-            best, scored = search_blocks(q_ids, _matrix(r["q_matrix"], len(q_ids), dims), floor, found, k)
+            best, scored = search_blocks(q_ids, _matrix(r["q_matrix"], len(q_ids), dims), _floors(r, len(q_ids)), found, k)
             rows, place = np.nonzero(best.scores > LEAST)
             rows = np.concatenate([rows, np.flatnonzero((best.scores <= LEAST).all(axis=1))])
             none = np.arange(len(rows)) >= len(place)
@@ -183,14 +249,17 @@ def search_work(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     def through(pairs: DataFrame, questions: DataFrame) -> DataFrame:
         own = lambda: small(pairs.select(*[F.col(c).alias(c) for c in keys]))  # noqa: E731  (columns of each side's own)
         left = questions.join(own(), ["dims", "q_part", "lot"]).groupBy(*keys)
-        right = held.join(own(), ["dims", "part", "run"]).groupBy(*keys)
+        right = held.drop("high", "low").join(own(), ["dims", "part", "run"]).groupBy(*keys)
         return left.cogroup(right).applyInArrow(lambda key, a, b: task(key, a, b), FOUND)
 
     no_floor = F.lit(None).cast("array<struct<place:int,score:long>>")
-    first = cut(through(meets.where("first"), asked.withColumn("floors", no_floor)), f"{path}/first")
+    leading = cut(most_promising(meets, asked, ends), f"{path}/leading")
+    first = cut(through(leading, asked.withColumn("floors", no_floor)), f"{path}/first")
     kth = first.withColumn("n", F.row_number().over(Window.partitionBy("batch", "place").orderBy(F.desc("score"), "vec_id"))).where((F.col("n") == k) & F.col("vec_id").isNotNull())
     floors = kth.groupBy("batch").agg(F.collect_list(F.struct("place", "score")).alias("floors"))  # one for each query of a batch
-    return first.unionByName(through(meets.where("NOT first"), asked.join(floors, "batch", "left")))
+    asked = asked.join(floors, "batch", "left")
+    kept = cut(worth_searching(meets.join(leading, keys, "left_anti").select(*meets.columns), asked, ends), f"{path}/kept")
+    return first.unionByName(through(kept, asked))
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,6 +47,30 @@ def test_topk_prunes_where_vectors_cluster_by_id(spark):
     assert work < 0.5
 
 
+def test_topk_ships_only_groups_that_can_matter(spark, monkeypatch):
+    """Vectors that lie near each other by id: most groups stay where they are, for each lot of queries, and results are whole."""
+    monkeypatch.setattr(topk, "GROUP", 2)
+    monkeypatch.setattr(topk, "TOGETHER", 1)
+    shipped = []
+    real = topk.worth_searching
+
+    def spy(pairs, asked, ends):
+        kept = real(pairs, asked, ends)
+        shipped.append((kept.count(), pairs.count()))
+        return kept
+
+    monkeypatch.setattr(topk, "worth_searching", spy)
+    rng = np.random.default_rng(8)
+    centres = np.eye(20) * 40
+    rows = [(i, [float(x) for x in centres[i // 100] + rng.normal(0, 0.05, 20)]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = list(range(0, 2000, 25))
+    got = {tuple(r) for r in topk.search(df, df.where(F.col("vec_id") % 25 == 0), block=20, batch=4).select("query_id", "rank", "vec_id", "score").collect()}
+    assert got == plain_top(rows, queries, 5)
+    kept, every = shipped[0]
+    assert every > 300 and kept < 0.3 * every
+
+
 def test_topk_stops_at_the_kth_score():
     ids = [np.arange(10) + 10 * b for b in range(6)]
     found = [(i, np.full((10, 2), 6 - b)) for b, i in enumerate(ids)]
