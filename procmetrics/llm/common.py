@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from procmetrics.sources.stored import shared_folder
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -20,9 +22,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, which all executors share; a temporary one where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path below spark.checkpoint.dir, which all executors share. Only a local session, as in tests, may do without that setting."""
+    return shared_folder(spark, name)
 
 
 def cut(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
@@ -41,8 +42,16 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string")) % n
 
 
+def trim() -> None:
+    """Gives back to the system what earlier tasks of this worker have freed; a worker that serves many stages would otherwise keep the most of each."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 3 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about max_bytes of text each, one row at least."""
+    trim()
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes.astype(np.int64))

@@ -126,7 +126,7 @@ def pieces(df: DataFrame, tokens, largest: int, id_col: str = "doc_id", text_col
         from pyspark import TaskContext
 
         encode, part, seen = tokens(), TaskContext.get().partitionId(), np.zeros(largest + 1, np.int64)
-        for slice_ in text_slices(batches, "text"):
+        for slice_ in text_slices(batches, "text", 1 << 20):
             owner, piece, first, size, local, bodies = [], [], [], [], [], []
             for row, ids in enumerate(encode(slice_.column("text").to_pylist())):
                 for k, at in enumerate(range(0, max(len(ids), 1), largest)):
