@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,13 +71,18 @@ def rate_limit_breaches(df: DataFrame, limits: DataFrame, seconds: int = 60, anc
     if anchor == "first":
 
         def windows(batches):
-            user = endpoint = start = None
+            last, start = None, 0
             for pdf in batches:
-                starts = []
-                for u, e, at in zip(pdf["user_id"], pdf["endpoint"], pdf["at"], strict=True):
-                    if (u, e) != (user, endpoint) or at >= start + seconds:
-                        user, endpoint, start = u, e, at
-                    starts.append(start)
+                user, endpoint, at = (pdf[c].to_numpy() for c in ("user_id", "endpoint", "at"))
+                starts = np.empty(len(at), np.int64)
+                edge = [0, *(np.flatnonzero((user[1:] != user[:-1]) | (endpoint[1:] != endpoint[:-1])) + 1).tolist(), len(at)]
+                for k, stop in zip(edge, edge[1:], strict=False):  # a user and endpoint; then from window to window
+                    running = k < stop and (user[k], endpoint[k]) == last
+                    while k < stop:
+                        start, running = start if running else at[k], False
+                        n = k + int(np.searchsorted(at[k:stop], start + seconds))
+                        starts[k:n], k = start, n
+                        last = (user[stop - 1], endpoint[stop - 1])
                 yield pdf.assign(window_start=starts)[["user_id", "endpoint", "window_start", "n"]]
 
         counted = second.groupBy("user_id", "endpoint", "at").agg(F.count("*").alias("n"))

@@ -249,6 +249,54 @@ def test_welch_p_matches_known_value(spark):
     assert abs(r[0]["p"] - 0.07338803) < 1e-6 and abs(r[1]["p"] - 1) < 1e-9
 
 
+def test_welch_p_of_every_registered_row(spark):
+    """Against the t density summed in small steps, whose constant is by the gamma function itself."""
+    import math
+
+    from procmetrics.queries import QUERIES
+
+    rows = QUERIES["a18_welch_p"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) > 3
+    for r in rows:
+        t, n = abs(r["t"]), r["dof"]
+        scale = math.exp(math.lgamma((n + 1) / 2) - math.lgamma(n / 2)) / math.sqrt(n * math.pi)
+        step = t / 100_000
+        inside = sum((1 + (step * (k + 0.5)) ** 2 / n) ** (-(n + 1) / 2) for k in range(100_000)) * step * scale
+        assert abs(r["p"] - (1 - 2 * inside)) < 1e-6
+
+
+@pytest.mark.parametrize("batch", [3, 1000])
+def test_windows_from_the_first_request(spark, batch):
+    import random
+
+    from procmetrics.plans.quality import rate_limit_breaches
+
+    rng, rows = random.Random(batch), []
+    for user in range(6):
+        for endpoint in "ab":
+            at = 1_700_000_000
+            for _ in range(rng.choice([1, 40, 200])):
+                at += rng.choice([0, 0, 1, 5, 59, 60, 61])
+                rows.append((user, endpoint, at))
+    want = []
+    for key in {r[:2] for r in rows}:
+        start, n = None, 0
+        for at in sorted(r[2] for r in rows if r[:2] == key):
+            if start is None or at >= start + 60:
+                want.append([*key, at, 0])
+                start = at
+            want[-1][3] += 1
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)  # windows go on from batch to batch
+    try:
+        df = spark.createDataFrame(rows, "user_id long, endpoint string, at long").select("user_id", "endpoint", F.timestamp_seconds("at").alias("ts"))
+        limits = spark.createDataFrame([("a", 2), ("b", 5)], "endpoint string, max_requests long")
+        got = sorted(tuple(r)[:4] for r in rate_limit_breaches(df, limits, anchor="first").collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == sorted(tuple(w) for w in want if w[3] > {"a": 2, "b": 5}[w[1]])
+
+
 def test_alert_text(spark):
     df = alerts.render_alert(spark.createDataFrame([("x", 0.1234)], "pod string, v double"), ["Pod ", F.col("pod"), ": ", X.percent_text("v")])
     assert df.first()["message"] == "Pod x: 12.34%"
