@@ -17,13 +17,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procmetrics.llm.common import cut, documents, offsets_of, shared_dir, text_slices
+from procmetrics.llm.common import cut, documents, offsets_of, shared_dir, text_slices, word_shards
 from procmetrics.llm.hash_store import HashArrays, edges_of, find, save_arrays, shard_of
 
 BUCKETS = 8192
 #: Words of more bytes are merged by a heap: a fold's steps grow with the length, and each touches the whole array.
 LONG = 512
-#: Shards of the word table for each shuffle partition; several, so that tasks are of like size.
+#: Shards of the word table for each of common.word_shards; several, so that tasks are of like size.
 SPREAD = 4
 #: Words that a task remembers as sent; beyond, it forgets them and the shuffle drops what comes twice.
 SEEN = 1_000_000
@@ -182,7 +182,7 @@ def build_words(df: DataFrame, ranks: dict[bytes, int], pattern: str, path: str,
     Words of up to LONG bytes are folded in Spark, longer ones merged by a heap. Where two words share a key, the table is built
     again under the next seed. An empty table gives a table without words.
     """
-    shards = SPREAD * max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shards = SPREAD * word_shards(df)
     folded = F.when(F.octet_length("word") <= LONG, encode_words(F.col("word"), ranks))
     coded = distinct_words(df, pattern, shards, text_col, seed).select("shard", "key", "word", folded.alias("ids"))
     kind = np.uint16 if max(ranks.values(), default=0) < 1 << 16 else np.uint32
@@ -254,7 +254,7 @@ class WordIds:
 
 
 def encode(df: DataFrame, words: Words, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, ids array<int>) of every row, by the word table. Null texts count as empty and have no ids; repeated rows stay repeated."""
+    """(id_col, ids array<int>) of every row, by the word table. Null texts count as empty and have no ids; repeated rows stay repeated; an empty table gives none."""
 
     def run(batches):
         table = WordIds(words)

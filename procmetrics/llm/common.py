@@ -32,6 +32,19 @@ def cut(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of input for each shard of a table of distinct words, which are far fewer bytes.
+SHARD_BYTES = 1 << 30
+
+
+def word_shards(df: DataFrame) -> int:
+    """Into how many shards df's distinct words go: as many as shuffles have partitions, and more as the input grows, so that a task's shard doesn't.
+
+    The input's size is the optimizer's estimate; where that is unknown it isn't counted.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES if size < 1 << 60 else 0)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. Texts of ASCII alone take the quick built-in."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -220,7 +220,8 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def label_words(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, words array<struct<word, label, share>>) of every row: each word of the whole text with its likeliest label and that label's probability.
 
-    Words without a letter have a null label, as all have if nothing could be learned; null and empty texts have no words.
+    Words without a letter have a null label, as all have if nothing could be learned; null and empty texts have no words. Repeated rows
+    stay repeated; an empty table gives none.
     """
 
     def run(batches):

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procmetrics.llm.common import cut, documents, fold, offsets_of, shared_dir, split_words, text_slices
+from procmetrics.llm.common import cut, documents, fold, offsets_of, shared_dir, split_words, text_slices, word_shards
 from procmetrics.llm.hash_store import HashArrays, by_shard, edges_of, find, find_between, least, load_arrays, save_arrays, shard_of, short_counts, whole_counts
 
 SLICE = 4 << 20
@@ -289,7 +289,7 @@ def train(df: DataFrame, path: str, text_col: str = "text", seed: int = 42) -> M
     """
     spark = df.sparkSession
     texts = df.select(F.col(text_col).cast("string").alias("text"))
-    words_shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    words_shards = word_shards(df)
     try:
         sizes, bases, tokens = _count_words(texts, path, words_shards, seed)
     except HashClash:

@@ -261,3 +261,30 @@ def test_op13(spark):
     got = fill_middle.op13_fill_middle(spark, SF).collect()
     want = {r["doc_id"]: (*(p := plain_middle(r["doc_id"], r["text"]))[:4], h(p[4]), h(r["text"])) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert {r["doc_id"]: tuple(r)[1:] for r in got} == want and {r["form"] for r in got} == {"plain", "psm", "spm"}
+
+
+# all
+@pytest.mark.parametrize("empty", [False, True])
+def test_registered_queries_on_odd_tables(spark, empty):
+    """Nulls in every column, repeated rows, a text of about a megabyte, and extra columns of names that operators use inside; or no row at all."""
+    from procmetrics.llm.entry import QUERIES
+
+    rng = random.Random(12)
+    long = " ".join(f"w{rng.randrange(10**5)}" for _ in range(150_000))
+    rows = [(1, "plain words of one text here"), (1, "plain words of one text here"), (2, None), (3, ""), (4, long), (None, "no id but words"), (5, "secret = abcdefgh1 in a text"), (7, "7 8"), (8, "PLAIN words of one text here")]
+    names = ("row", "id", "tie", "size", "shard", "part", "place", "node", "leaf", "key", "chunk", "output", "form", "by", "claim", "blob", "path", "word", "fp", "h", "score", "label", "rid", "norm", "held_out", "n_tokens", "start", "at")
+    docs = frame(spark, [] if empty else rows, names)
+    base = shared_dir(spark, "odd")
+    docs.write.parquet(f"{base}/documents.parquet")
+    spark.createDataFrame([] if empty else [(1, 1, 0), (4, None, 1), (5, 0, 1), (7, 0, 0), (None, None, None)], "doc_id long, quality long, toxic long").write.parquet(f"{base}/labels.parquet")
+    spark.createDataFrame([] if empty else [(50, [1.0, 2.0], "x"), (51, [0.5, None], "x"), (100, None, "x"), (None, [1.0, 1.0], "x"), (52, [3.0, 1.0], "x")], "vec_id long, embedding array<float>, id string").write.parquet(f"{base}/embeddings.parquet")
+    for name, query in QUERIES.items():
+        got = query(spark, base).collect()
+        if empty:
+            assert got == [], name
+        elif name == "op4_topk":
+            assert [tuple(r) for r in got] == [(50, 1, 52, 256 * 256 * 5)], name
+        elif name == "op9_packing":
+            assert {r["doc_id"] for r in got} == {None, 1, 2, 3, 4, 5, 7, 8}, name
+        else:
+            assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows), name

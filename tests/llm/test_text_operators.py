@@ -602,3 +602,11 @@ def test_registered_classifiers_on_held_out_rows(spark):
     assert len(got) == len(docs) and list(got["held_out"]) == [zlib.crc32(str(d).encode()) % 3 == 1 for d in got.index]
     mine = got[got["held_out"]].join(labels["toxic"], how="inner")
     assert (mine.loc[mine["toxic"] == 0, "predicted"]).mean() < 0.03 and (mine.loc[mine["toxic"] == 1, "predicted"]).mean() > 0.5
+
+
+def test_word_shards_follow_the_input(spark, docs, monkeypatch):
+    from procmetrics.llm import common
+
+    assert common.word_shards(docs) == common.word_shards(frame(spark, ODD)) == 8
+    monkeypatch.setattr(common, "SHARD_BYTES", 1 << 12)
+    assert common.word_shards(docs) > 30
