@@ -62,6 +62,18 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """What is run inside goes to Python so many rows at a time: whole texts in batches of Spark's default size fill JVM and worker by hundreds of MB. The session's own setting is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 3 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about max_bytes of text each, one row at least."""
     trim()

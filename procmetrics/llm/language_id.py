@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from procmetrics.llm.common import cut, documents, fold, offsets_of, shared_dir, split_words, text_slices
+from procmetrics.llm.common import cut, documents, fold, offsets_of, shared_dir, small_batches, split_words, text_slices
 from procmetrics.llm.subwords import labelled_sample, mean_over_ngrams, word_ngrams
 from procmetrics.operators.transforms import small
 
@@ -263,5 +263,7 @@ def keep_known(docs: DataFrame, least_share: float = 0.0) -> DataFrame:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")).alias("key")
     found = predict(docs.select(key, F.col("text").alias("text")), model, "key").where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < least_share))
-    gone = small(cut(found.select(F.col("key.id").alias("gone_id"), F.col("key.h").alias("gone_h")).distinct(), shared_dir(docs.sparkSession, "language")), BROADCAST)
+    with small_batches(docs.sparkSession):
+        gone = cut(found.select(F.col("key.id").alias("gone_id"), F.col("key.h").alias("gone_h")).distinct(), shared_dir(docs.sparkSession, "language"))
+    gone = small(gone, BROADCAST)
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_h"]), "left_anti")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from procmetrics.llm.common import cut, documents, offsets_of, shared_dir, text_slices
+from procmetrics.llm.common import cut, documents, offsets_of, shared_dir, small_batches, text_slices
 from procmetrics.llm.hash_store import find_between, load_arrays, save_arrays
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
@@ -158,7 +158,8 @@ def pack(df: DataFrame, path: str, capacities: tuple[int, ...] = CAPACITIES, ove
     documents of their own. An empty table gives no bins. Other columns are not read.
     """
     spark, largest = df.sparkSession, max(capacities)
-    rows = cut(pieces(df, tokens, largest, id_col, text_col), f"{path}/pieces")
+    with small_batches(spark):
+        rows = cut(pieces(df, tokens, largest, id_col, text_col), f"{path}/pieces")
     counts = cut(rows.where("len > 0").groupBy("len", "part").agg(F.count("*").alias("n")), f"{path}/counts")
     histogram = {r["len"]: r["n"] for r in counts.groupBy("len").agg(F.sum("n").alias("n")).collect()}  # a row for each length at most
     save_arrays(f"{path}/plan", "rules", placements(best_fit(histogram, capacities, overhead)))
@@ -208,7 +209,8 @@ def pack(df: DataFrame, path: str, capacities: tuple[int, ...] = CAPACITIES, ove
             yield _bins(held)
 
     struct = f"struct<id:{kind},piece:int,first:bigint,offset:int,n_tokens:int>"
-    sorted_.mapInArrow(assemble, f"bin_id long, bin_size int, ids array<int>, pieces array<{struct}>").write.option("compression", "zstd").parquet(f"{path}/bins")
+    with small_batches(spark):
+        sorted_.mapInArrow(assemble, f"bin_id long, bin_size int, ids array<int>, pieces array<{struct}>").write.option("compression", "zstd").parquet(f"{path}/bins")
     rows.where("len = 0").select("id", "piece", "first").write.parquet(f"{path}/empty")
 
 
@@ -248,8 +250,15 @@ def read_pieces(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
     return full.unionByName(none).withColumnRenamed("id", id_col)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """The pieces of docs after packing: the bins are written below the shared folder and read back, some hundred at a time, since a bin is large."""
+    spark = docs.sparkSession
+    path = shared_dir(spark, "packing")
+    pack(docs, path)
+    with small_batches(spark, 200):
+        return cut(read_pieces(spark, path), f"{path}/placed")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded, packed, written as bins and read back."""
-    path = shared_dir(spark, "packing")
-    pack(documents(spark, sf_dir), path)
-    return read_pieces(spark, path)
+    return packed(documents(spark, sf_dir))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from procmetrics.llm.common import cut, documents, shared_dir, text_slices
+from procmetrics.llm.common import cut, documents, shared_dir, small_batches, text_slices
 from procmetrics.operators.transforms import small
 
 VERSION = "rules-1"
@@ -111,7 +111,8 @@ def update_ledger(df: DataFrame, ledger: str, version: str = VERSION, text_col:
         address = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
         bodies = _bodies(texts.join(few, address == few["blob"], "left_semi"), "text") if few is not fresh else _bodies(texts, "text").join(fresh, "blob", "left_semi")
     fresh_bodies = bodies.groupBy("blob").agg(F.first("body").alias("body"))
-    _scan(fresh_bodies).withColumn("rule_version", F.lit(version)).write.mode("append").option("compression", "zstd").parquet(ledger)
+    with small_batches(spark):
+        _scan(fresh_bodies).withColumn("rule_version", F.lit(version)).write.mode("append").option("compression", "zstd").parquet(ledger)
 
 
 def scan(df: DataFrame, ledger: str, version: str = VERSION, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
