@@ -32,6 +32,15 @@ def cut(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession, path: str, keep: tuple[str, ...] = ()) -> None:
+    """Deletes what a call has written below a path of its own, but for the tables named, on which its result rests."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in files.listStatus(folder) if files.exists(folder) else ():
+        if found.getPath().getName() not in keep:
+            files.delete(found.getPath(), True)
+
+
 #: Bytes of input for each shard of a table of distinct words, which are far fewer bytes.
 SHARD_BYTES = 1 << 30
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procmetrics.llm.common import cut, shared_dir
+from procmetrics.llm.common import clear, cut, shared_dir
 
 
 def _with_least(neighbours: DataFrame) -> DataFrame:
@@ -32,6 +32,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         turn += 1
         current = cut(stars.where("u <> v").distinct(), f"{path}/{turn}")
         state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        clear(spark, path, (str(turn),))  # a round reads the one before alone
         if state == seen:
             break
         seen = state
