@@ -109,9 +109,9 @@ def word_ids(end_id: int | None = 1):
     """Encodes with the 49k word tokenizer; each text, also an empty or null one, ends with end_id."""
     import public_tokenizers
 
-    from procmetrics.llm.token_store import WordEncoder
+    from procmetrics.llm.token_store import word_encoder
 
-    encoder, tail = WordEncoder(public_tokenizers.path("word_bpe_49k.json")), np.array([] if end_id is None else [end_id], np.uint32)
+    encoder, tail = word_encoder(public_tokenizers.path("word_bpe_49k.json")), np.array([] if end_id is None else [end_id], np.uint32)
     return lambda texts: [np.concatenate([ids, tail]) for ids in encoder.encode([t or "" for t in texts])]
 
 
@@ -126,7 +126,7 @@ def pieces(df: DataFrame, tokens, largest: int, id_col: str = "doc_id", text_col
         from pyspark import TaskContext
 
         encode, part, seen = tokens(), TaskContext.get().partitionId(), np.zeros(largest + 1, np.int64)
-        for slice_ in text_slices(batches, "text", 1 << 20):
+        for slice_ in text_slices(batches, "text"):
             owner, piece, first, size, local, bodies = [], [], [], [], [], []
             for row, ids in enumerate(encode(slice_.column("text").to_pylist())):
                 for k, at in enumerate(range(0, max(len(ids), 1), largest)):
@@ -158,7 +158,7 @@ def pack(df: DataFrame, path: str, capacities: tuple[int, ...] = CAPACITIES, ove
     documents of their own. An empty table gives no bins. Other columns are not read.
     """
     spark, largest = df.sparkSession, max(capacities)
-    with small_batches(spark):
+    with small_batches(spark, 2000):
         rows = cut(pieces(df, tokens, largest, id_col, text_col), f"{path}/pieces")
     counts = cut(rows.where("len > 0").groupBy("len", "part").agg(F.count("*").alias("n")), f"{path}/counts")
     histogram = {r["len"]: r["n"] for r in counts.groupBy("len").agg(F.sum("n").alias("n")).collect()}  # a row for each length at most

@@ -8,6 +8,7 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -112,6 +113,12 @@ class WordEncoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """One for each worker: its tasks needn't read the file again, and go on with the words that earlier ones have met."""
+    return WordEncoder(path)
+
+
 def cut_points(ids: np.ndarray) -> np.ndarray:
     """Ends of the chunks of an id stream, chosen by content: an insertion moves only the edges near it.
 
@@ -172,7 +179,7 @@ def write_store(df: DataFrame, store: str, tokenizer: str, end_id: int | None =
     spark = df.sparkSession
 
     def run(batches):
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         tail = np.array([] if end_id is None else [end_id], np.uint32)
         for part in text_slices(batches, "text"):
             n_tokens, addresses, roots, bodies = [], [], [], []
