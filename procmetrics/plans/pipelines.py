@@ -98,19 +98,19 @@ def catalog_report(df: DataFrame, seconds: int = 60, k: int = 20, cpu_hi: float
     marked = host_facts(classify_category(with_priority(baseline_v1(by_process(df), **baseline), seconds)), seconds, scrape)
     best = busiest(marked, k, window).withColumn("_top", F.lit(True))
     rows = marked.join(best, ["host_name", "bucket", "pid"], "left")
+    dropped = any_of([F.coalesce(c, F.lit(False)) for c in adaptive_conditions(cpu_hi, n_hi, cpu_lo)])
+    flags = {"important": is_in("priority", ["critical", "high", "medium"]), "rolled_up": eq("aggregate", "true"), "top": F.coalesce("_top", F.lit(False)), "adapted": ~dropped}
+    told = rows.select("host_name", "pid", "exe", "metric", "category", *[c.alias(n) for n, c in flags.items()]).distinct()  # as few rows as series before each is laid out for the pipelines
     own = F.struct("host_name", "pid", "exe", "metric")
     rolled = F.struct("host_name", F.lit(None).cast("long").alias("pid"), F.concat(F.lit("aggregated_"), "category").alias("exe"), "metric")
-    dropped = any_of([F.coalesce(c, F.lit(False)) for c in adaptive_conditions(cpu_hi, n_hi, cpu_lo)])
     kept = {
         "baseline_v1": own,
-        "priority_filter_v1": F.when(is_in("priority", ["critical", "high", "medium"]), own),
-        "aggregated_v1": F.when(eq("aggregate", "true"), rolled).otherwise(own),
-        "topk_v1": F.when(F.coalesce("_top", F.lit(False)), own),
-        "adaptive_filter_v1": F.when(~dropped, own),
+        "priority_filter_v1": F.when(F.col("important"), own),
+        "aggregated_v1": F.when(F.col("rolled_up"), rolled).otherwise(own),
+        "topk_v1": F.when(F.col("top"), own),
+        "adaptive_filter_v1": F.when(F.col("adapted"), own),
     }
     of = lambda n: F.struct(F.lit(n).alias("pipeline"), kept[n].alias("s"), *[F.lit(x).alias(c) for c, x in zip(("expected_min", "expected_max"), EXPECTED[n], strict=True)])
-    told = rows.select(*[kept[n].alias(n) for n in kept]).distinct()  # rows meet as few series before each is laid out for the pipelines
-    kept = {n: F.col(n) for n in kept}
     series = told.select(F.explode(F.array(*[of(n) for n in kept])).alias("r")).select("r.*").where(F.col("s").isNotNull()).distinct()
     out = series.groupBy("pipeline", "expected_min", "expected_max").agg(F.count("*").alias("series"))
     base = out.where(eq("pipeline", "baseline_v1")).select(F.col("series").alias("_base"))
