@@ -253,6 +253,8 @@ def search_work(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
         return left.cogroup(right).applyInArrow(lambda key, a, b: task(key, a, b), FOUND)
 
     no_floor = F.lit(None).cast("array<struct<place:int,score:long>>")
+    if groups.where("g > 0").isEmpty():  # one group of each length: there is nothing to choose
+        return through(meets, asked.withColumn("floors", no_floor))
     leading = cut(most_promising(meets, asked, ends), f"{path}/leading")
     first = cut(through(leading, asked.withColumn("floors", no_floor)), f"{path}/first")
     kth = first.withColumn("n", F.row_number().over(Window.partitionBy("batch", "place").orderBy(F.desc("score"), "vec_id"))).where((F.col("n") == k) & F.col("vec_id").isNotNull())
