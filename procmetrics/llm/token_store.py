@@ -53,13 +53,14 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        vocabulary = self.tokenizer.get_vocab()
+        self.ending = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ending[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _ids(self, word: str) -> bytes:
         """Ids of one word between white space, piece by piece. Pieces that are themselves known words aren't encoded again."""
-        if word.isascii() and word.isalpha():
-            return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
         found = b""
         for piece in self._PLAIN.findall(word):
             known = self.young.get(piece) if piece != word else None
@@ -72,15 +73,28 @@ class WordEncoder:
         return found
 
     def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, all of them different. New words of plain letters go to the library as one text; each ends with an id that ends words."""
         if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, {}
-        young, old, out = self.young, self.old, []
-        for word in words:
-            known = young.get(word)
+        young, old = self.young, self.old
+        out: list = [young.get(word) or old.get(word) for word in words]
+        fresh = []
+        for k, (word, known) in enumerate(zip(words, out, strict=True)):
             if known is None:
-                known = old.get(word)
-                young[word] = known = self._ids(word) if known is None else known
-            out.append(known)
+                if word.isascii() and word.isalpha():
+                    fresh.append(k)
+                    continue
+                known = out[k] = self._ids(word)
+            young[word] = known
+        if fresh:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([words[k] for k in fresh])], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ending[ids]) + 1
+            if len(ends) != len(fresh):
+                raise ValueError("the tokenizer doesn't end each word with an id of its own")
+            raw, begin = ids.tobytes(), 0
+            for k, end in zip(fresh, (4 * ends).tolist(), strict=True):
+                young[words[k]] = out[k] = raw[begin:end]
+                begin = end
         return out
 
     def _is_plain(self, text: str) -> bool:
