@@ -141,7 +141,7 @@ def _(v):
 # updates in place
 @query(
     "j13_merge_updates",
-    "SELECT id, coalesce(u.event_type, status) AS status, coalesce(epoch_us(u.at), -1) AS updated_at FROM experiments LEFT JOIN (SELECT experiment_id, arg_max(event_type, (created_at, seq)) AS event_type, max(created_at) AS at FROM experiment_events GROUP BY 1) u ON id = experiment_id",
+    "SELECT id, coalesce(u.event_type, status) AS status, coalesce(epoch_us(u.at), -1) AS updated_at FROM experiments LEFT JOIN (SELECT experiment_id, arg_max(event_type, (created_at, seq, event_type)) AS event_type, max(created_at) AS at FROM experiment_events GROUP BY 1) u ON id = experiment_id",
 )
 def _(v):
     """The stored table after earlier updates, then all of them, then all once more."""

@@ -34,20 +34,22 @@ def merge_updates(
 ) -> list:
     """Takes updates into the stored table at path, and returns the partitions rewritten.
 
-    Of the updates of a key the newest counts, and only if it is newer than the row; it sets columns and order, which the table has. An update
-    of an absent key is left out, as is one without a key. Copy on write: keys and order alone tell which partitions are touched, and
+    Of the updates of a key the newest counts, and only if it is newer than the row; it sets columns and order, which the table has. Of updates
+    of one order, and of an update and a row of one order, that of the greatest columns counts, so neither the order of rows nor the
+    way in which updates are parted into runs matters. An update of an absent key is left out, as is one without a key. Copy on write: keys and order alone tell which partitions are touched, and
     these are read, written aside and put in place as wholes; other partitions' files stay as they are. So a run that fails is run
     again, and a second run with the same updates finds nothing newer and writes nothing. Rows that repeat a key are all updated.
     """
     table = spark.read.parquet(path)
     aside = shared_folder(spark, "merge")
     named = lambda c: F.col(c).alias(f"_new_{c}")
-    newest = latest_by(updates.select(*keys, *columns, *order).dropna(subset=list(keys)), keys, order)
+    newest = latest_by(updates.select(*keys, *columns, *order).dropna(subset=list(keys)), keys, [*order, *columns])
     newest.select(*keys, *[named(c) for c in (*columns, *order)]).write.parquet(f"{aside}/newest")
     newest = small(spark.read.parquet(f"{aside}/newest"))
-    # a row without a time is older than any update
-    newer = F.struct(*[f"_new_{c}" for c in order]) > F.struct(*order)
-    hit = table.select(partition, *keys, *order).join(newest, list(keys)).where(newer)
+    # a row without a time is older than any update, and an update without one is never newer
+    timed = F.struct(*[f"_new_{c}" for c in order]) > F.struct(*[F.lit(None).cast(table.schema[c].dataType).alias(c) for c in order])
+    newer = timed & (F.struct(*[f"_new_{c}" for c in (*order, *columns)]) > F.struct(*order, *columns))
+    hit = table.select(partition, *dict.fromkeys([*keys, *columns, *order])).join(newest, list(keys)).where(newer)
     touched = [r[0] for r in hit.select(partition).distinct().collect()]  # a row for each partition at most
     if not touched:
         return []

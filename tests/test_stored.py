@@ -120,6 +120,21 @@ def test_merge_rewrites_touched_partitions_only(spark):
 
 
 # tables by process
+def test_merge_of_updates_of_one_time_does_not_depend_on_their_order_or_runs(spark):
+    kind = "id string, status string, updated_at timestamp, seq long"
+    update = lambda *statuses: spark.createDataFrame([("x", s, ORIGIN, 1) for s in statuses], kind).coalesce(1)
+    for runs in ([("a", "c", "b")], [("b", "c", "a")], [("c",), ("a", "b")], [("a",), ("c",), ("b",)]):
+        path = stored.shared_folder(spark, "merged")
+        spark.createDataFrame([("x", "old", None, None, 1), ("y", "old", None, None, 1)], f"{kind}, part int").write.partitionBy("part").parquet(path)
+        for run in runs:
+            stored.merge_updates(spark, path, update(*run), "part")
+        assert {r["id"]: r["status"] for r in spark.read.parquet(path).collect()} == {"x": "c", "y": "old"}
+        assert stored.merge_updates(spark, path, update(*runs[0]), "part") == []
+        timeless = spark.createDataFrame([("x", "z", None, None), ("y", "z", None, None)], kind)
+        assert stored.merge_updates(spark, path, timeless, "part") == []
+
+
+
 def test_pipelines_over_a_table_by_process_need_no_shuffle(spark):
     d = Views(spark, SF).datapoints
     table = stored.write_by_process(d, "points_by_process", stored.shared_folder(spark, "by-process"), 8)
