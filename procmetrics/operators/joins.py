@@ -126,8 +126,8 @@ def compare_variants(df: DataFrame, by: Sequence[str], metrics: dict[str, Column
 
 
 def apply_updates(experiments: DataFrame, updates: DataFrame) -> DataFrame:
-    """Experiments with the newest update's status and time; rows without updates as they are."""
-    newest = latest_by(updates, ["id"], ["updated_at", "seq"]).select("id", F.col("status").alias("_status"), F.col("updated_at").alias("_at"))
+    """Experiments with the newest update's status and time; rows without updates as they are. Of updates of one time and seq that of the greatest status counts."""
+    newest = latest_by(updates, ["id"], ["updated_at", "seq", "status"]).select("id", F.col("status").alias("_status"), F.col("updated_at").alias("_at"))
     out = experiments.join(newest, "id", "left").withColumns({"status": F.coalesce("_status", "status"), "updated_at": F.coalesce("_at", "updated_at")})
     return out.drop("_status", "_at")
 

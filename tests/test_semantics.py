@@ -322,3 +322,27 @@ def test_approximate_stream_equals_batch(spark):
     raw = Views(spark, sf).raw.withColumn("variant", F.when(F.col("pid") % 2 == 0, "baseline").otherwise("candidate"))
     batch = T.stream_cardinality(raw, "1 day").select(F.unix_seconds("window.start").alias("day"), "variant", "series")
     assert sorted(map(str, QUERIES["t2_stream_cardinality_approx"](spark, sf).collect())) == sorted(map(str, batch.collect()))
+
+
+@pytest.mark.parametrize("last", ["a", "c"])
+def test_updates_of_one_time_and_seq_have_one_order(spark, last):
+    at = "2024-01-02 00:00:00"
+    rows = [("x", s, at, 1) for s in ("b", *"ca".replace(last, ""), last)]  # max_by alone would keep the one that comes first or last
+    updates = spark.createDataFrame(rows, "id string, status string, at string, seq long").coalesce(1).select("id", "status", F.col("at").cast("timestamp").alias("updated_at"), "seq")
+    table = spark.createDataFrame([("x", "old"), ("y", "old")], "id string, status string").withColumn("updated_at", F.lit(None).cast("timestamp"))
+    assert {r["id"]: r["status"] for r in J.apply_updates(table, updates).collect()} == {"x": "c", "y": "old"}
+
+
+def test_sql_of_updates_leaves_no_tie_to_chance():
+    """With repeated items whose status differs, whatever their order in the table."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    for name in ("j13_apply_updates", "j13_merge_updates"):
+        for flags in ("'A'), ('N'), ('R'", "'R'), ('N'), ('A'"):
+            con = duckdb.connect()
+            con.execute("CREATE TABLE customer AS SELECT 1 AS c_custkey, 'c' AS c_name")
+            con.execute("CREATE TABLE orders AS SELECT 5 AS o_orderkey, 1 AS o_custkey, 'O' AS o_orderstatus, DATE '1996-01-01' AS o_orderdate, '1' AS o_orderpriority, 1.0 AS o_totalprice")
+            con.execute(f"CREATE TABLE lineitem AS SELECT 5 AS l_orderkey, DATE '1996-02-01' AS l_shipdate, 'F' AS l_linestatus, f AS l_returnflag, 1 AS l_linenumber, 7.0 AS l_quantity FROM (VALUES ({flags})) t(f)")
+            assert con.execute(entry.oracle_sql()[name]).fetchall()[0][1] == "FR"
