@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from procmetrics.operators.ranking import latest_by
 from procmetrics.operators.transforms import small
+from procmetrics.sources.stored import shared_folder
 
 
 def vector_match(left: DataFrame, right: DataFrame, on: Sequence[str] | None = None, ignoring: Sequence[str] = ("variant",), how: str = "inner", fill: float | None = None, value: str = "value") -> DataFrame:
@@ -96,6 +97,45 @@ def attribute_to_experiment(df: DataFrame, experiments: DataFrame, key: str = "h
     return met.drop("_key", "_at", "_slot", "_begin", "_end", "_from", "_to", "started_at", "completed_at")
 
 
+def _covering(begin: Column, end: Column, levels: int) -> Column:
+    """The fewest aligned blocks (level, number) that make up the whole numbers from begin to before end: two of each level at most. A block of level k has 2^k numbers."""
+
+    def at(k: Column) -> Column:
+        width = F.call_function("shiftleft", F.lit(1).cast("long"), k)
+        first, stop = (F.call_function("shiftright", x, k) for x in (begin + width - 1, end))
+        block = lambda number: F.struct(k.alias("level"), number.alias("number"))
+        low, high = F.when((first < stop) & (first % 2 == 1), block(first)), F.when((first < stop) & (stop % 2 == 1), block(stop - 1))
+        return F.array_distinct(F.array_compact(F.array(low, high)))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), at))
+
+
+def summarize_active(df: DataFrame, experiments: DataFrame, keys: Sequence[str] = ("point_id",), key: str = "host_name") -> DataFrame:
+    """(keys, n, first_id, last_id): how many experiments are active on the host of a datapoint at its time, and the least and greatest id of them; datapoints without any give no row.
+
+    What attribute_to_experiment counts, without its pairs, which are points times experiments where many are active at once. An experiment
+    stands for its time in two aligned blocks of each power of two at most, counted from the first datapoint in microseconds; blocks are
+    summed up over experiments, and a datapoint asks for the one block of each level that holds it. So work is in proportion to
+    experiments and datapoints, whatever overlaps.
+    """
+    reach = df.agg(F.min(F.unix_micros("ts")).alias("_from"), F.max(F.unix_micros("ts")).alias("_to"))  # one row
+    spans = experiments.where(F.col("started_at").isNotNull()).groupBy(F.col(key).alias("_key"), "started_at", "completed_at")
+    spans = spans.agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id")).crossJoin(F.broadcast(reach))
+    begin, end = F.greatest(F.unix_micros("started_at"), "_from"), F.least(F.coalesce(F.unix_micros("completed_at"), F.col("_to")), F.col("_to"))
+    spans = spans.select("_key", "n", "first_id", "last_id", (begin - F.col("_from")).alias("_begin"), (end - F.col("_from") + 1).alias("_end")).where("_begin < _end")
+    merge = (F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"))
+    blocks = spans.groupBy("_key", "_begin", "_end").agg(*merge).withColumn("_block", F.explode(_covering(F.col("_begin"), F.col("_end"), 62)))
+    path = shared_folder(df.sparkSession, "blocks")
+    blocks.groupBy("_key", F.col("_block.level").alias("_level"), F.col("_block.number").alias("_number")).agg(*merge).write.parquet(path)
+    blocks = df.sparkSession.read.parquet(path)
+    levels = blocks.agg(F.collect_set("_level").alias("_levels"))  # 62 at most
+    at = F.unix_micros("ts") - F.col("_from")
+    asked = df.select(*keys, F.col(key).alias("_own"), "ts").crossJoin(F.broadcast(reach)).crossJoin(F.broadcast(levels))
+    asked = asked.select(*keys, "_own", at.alias("_at"), F.explode("_levels").alias("_asked")).withColumn("_place", F.expr("shiftright(_at, _asked)"))
+    met = asked.join(small(blocks), (F.col("_own") == F.col("_key")) & (F.col("_asked") == F.col("_level")) & (F.col("_place") == F.col("_number")))
+    return met.groupBy(*keys).agg(*merge)
+
+
 def critical_kept(baseline: DataFrame, candidate: DataFrame, keys: Sequence[str]) -> DataFrame:
     return baseline.select(*keys).distinct().join(candidate.select(*keys), list(keys), "left_semi")
 

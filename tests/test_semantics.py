@@ -1,6 +1,7 @@
 """Hand-made frames for the places where a plain reading goes wrong."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -197,6 +198,29 @@ def test_interval_join_by_slots(spark):
     assert got == sorted([(k, "a") for k in range(6)] + [(k, "b") for k in range(30, 100)])
 
 
+def test_active_experiments_are_summed_up_without_pairs(spark):
+    """Against all pairs, with ends inside and outside the points' time, to the microsecond; and with as many pairs as would not end."""
+    rng = random.Random(3)
+    moment = lambda: at(rng.randrange(-3000, 9000)) + dt.timedelta(microseconds=rng.choice([0, 0, 1, 999_999]))
+    points = [(k % 90, rng.choice(["a", "b", None]), rng.choice([None, *[at(rng.randrange(6000)) + dt.timedelta(microseconds=rng.choice([0, 1])) for _ in range(9)]])) for k in range(100)]
+    runs = [(f"e{k}", rng.choice(["a", "b", "c", None]), rng.choice([None, *[moment() for _ in range(9)]]), rng.choice([None, moment(), moment()])) for k in range(60)]
+    runs += [("edge", "a", points[0][2] or at(0), points[0][2] or at(0)), ("twice", "b", at(0), None), ("twice", "b", at(0), None)]
+    want = {}
+    for p, host, t in points:
+        for e, key, start, end in runs:
+            if t is not None and host is not None and host == key and start is not None and start <= t and (end is None or t <= end):
+                want.setdefault(p, []).append(e)
+    df = spark.createDataFrame(points, "point_id long, host_name string, ts timestamp")
+    e = spark.createDataFrame(runs, "id string, host_name string, started_at timestamp, completed_at timestamp")
+    got = {r["point_id"]: (r["n"], r["first_id"], r["last_id"]) for r in J.summarize_active(df, e).collect()}
+    assert got == {p: (len(x), min(x), max(x)) for p, x in want.items()} and len(got) > 20
+    assert J.summarize_active(df.limit(0), e).count() == 0 and J.summarize_active(df, e.limit(0)).count() == 0
+    second = lambda c: F.timestamp_seconds(F.lit(1704067200) + c)
+    many = spark.range(200_000).select("id", F.lit("a").alias("host_name"), second(-F.col("id") % 7000).alias("started_at"), second(F.lit(200_000) + F.col("id")).alias("completed_at"))
+    tried = spark.range(200_000).select(F.col("id").alias("point_id"), F.lit("a").alias("host_name"), second(F.col("id")).alias("ts"))
+    assert J.summarize_active(tried, many).agg(F.sum("n")).first()[0] == 40_000_000_000
+
+
 def test_a_batch_sent_again_replaces_itself(spark):
     import tempfile
 
