@@ -91,7 +91,7 @@ def record(points: DataFrame, rule: Rule, path: str, part: int = 86400, delay: i
     """Brings the rule's stored rows up to date with points, which have a time ts.
 
     part is the length of a partition in seconds, a multiple of the rule's. A part closes once a point lies delay seconds beyond its end;
-    what comes for it later is not taken in. points must hold those of all open parts, and the lookback before. Points without a time are not read. Running again over the same points changes no row, and no
+    what comes for it later is not taken in. points are read twice, so what is dear to make should be stored first. points must hold those of all open parts, and the lookback before. Points without a time are not read. Running again over the same points changes no row, and no
     file of a closed part; without new points or with an empty table nothing is written.
     """
     if part % rule.seconds:

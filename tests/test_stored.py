@@ -49,6 +49,18 @@ RULES = [
 ]
 
 
+def test_recording_makes_its_points_once(spark, monkeypatch):
+    """Each run reads stored points: no later read goes through the pipelines of both variants."""
+    from procmetrics.queries import stored as registered
+
+    seen = []
+    record = R.record
+    monkeypatch.setattr(registered.R, "record", lambda df, *args: (seen.append(plan_of(df)), record(df, *args)))
+    v = Views(spark, SF)
+    assert registered.recorded(v, v.variants, R.reduction_rule(86400), ["host_name", "pid", "metric", "variant", "ts"]).count() > 0
+    assert len(seen) == 3 and not any("Window" in plan or "Exchange" in plan for plan in seen)
+
+
 @pytest.mark.parametrize("rule", RULES, ids=lambda r: r.name)
 def test_two_runs_give_the_rows_of_one(spark, rule):
     whole, path, once = points(spark, 60), stored.shared_folder(spark, "recorded"), stored.shared_folder(spark, "recorded")
