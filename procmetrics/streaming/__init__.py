@@ -201,14 +201,19 @@ def stream_compare(df: DataFrame, window: str, by: Sequence[str] = (), value: st
 
 
 def stream_join(baseline: DataFrame, candidate: DataFrame, keys: Sequence[str], within: str, values: Sequence[str] = ("ts", "value")) -> DataFrame:
-    """(keys, baseline_ and candidate_ values) of points of two streams that agree on the keys and lie no further apart than the time within.
+    """(keys, baseline_ and candidate_ values) of points of two streams that agree on the keys and lie no further apart than the time within (days or less, as 1 HOUR).
 
-    Both streams need a watermark; state goes when no partner can come any more.
+    Both streams need a watermark; state goes when no partner can come any more. Keys and slot of time, twice as long as within, are what
+    state is looked up by: a candidate stands in its own slot, a baseline point in those that its reach touches, two but for edges. So
+    each pair meets once, half of what meets is a result, and the points of one key spread over all partitions.
     """
+    slot = lambda at: F.expr(f"unix_micros({at}) div greatest(2 * unix_micros(timestamp_seconds(0) + INTERVAL {within}), 1)")
     side = lambda df, name: df.select(*[F.col(k).alias(f"_{name}_{k}") for k in keys], *[F.col(c).alias(f"{name}_{c}") for c in dict.fromkeys(["ts", *values])])
-    same = " AND ".join(f"_baseline_{k} = _candidate_{k}" for k in keys)
+    left = side(baseline, "baseline").withColumn("_baseline_slot", F.explode(F.sequence(slot(f"baseline_ts - INTERVAL {within}"), slot(f"baseline_ts + INTERVAL {within}"))))
+    right = side(candidate, "candidate").withColumn("_candidate_slot", slot("candidate_ts"))
+    same = " AND ".join(f"_baseline_{k} = _candidate_{k}" for k in [*keys, "slot"])
     near = f"candidate_ts BETWEEN baseline_ts - INTERVAL {within} AND baseline_ts + INTERVAL {within}"
-    out = side(baseline, "baseline").join(side(candidate, "candidate"), F.expr(f"{same} AND {near}"))
+    out = left.join(right, F.expr(f"{same} AND {near}"))
     return out.select(*[F.col(f"_baseline_{k}").alias(k) for k in keys], *[f"{name}_{c}" for name in ("baseline", "candidate") for c in values])
 
 

@@ -2,12 +2,14 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from procmetrics import functions as X
 from procmetrics import sources as S
+from procmetrics import streaming as T
 from procmetrics.model import series_id
 from procmetrics.operators import aggregates as A
 from procmetrics.operators import filters as K
@@ -16,6 +18,7 @@ from procmetrics.operators import ranking as L
 from procmetrics.operators import series as W
 from procmetrics.operators import transforms as P
 from procmetrics.plans import alerts, experiments, pipelines, quality
+from procmetrics.sources.stored import shared_folder
 
 
 def at(s):
@@ -221,6 +224,26 @@ def test_active_experiments_are_summed_up_without_pairs(spark):
     assert J.summarize_active(tried, many).agg(F.sum("n")).first()[0] == 40_000_000_000
 
 
+def test_streams_meet_by_slots_of_time(spark):
+    """Against all pairs, on and beside the edges of slots; state is looked up by slot too, not by the whole key."""
+    rng = random.Random(5)
+    edges = [at(3600 * k) + dt.timedelta(microseconds=rng.choice([-1, 0, 1])) for k in range(-9, 9)]
+    path, kind = shared_folder(spark, "meet"), "host_name string, ts timestamp, point_id long"
+    rows = {side: [(rng.choice(["a", "b", None]), rng.choice([*edges, None]), k) for k in range(150)] for side in ("baseline", "candidate")}
+    streams = []
+    for side, some in rows.items():
+        spark.createDataFrame(some, kind).write.parquet(f"{path}/{side}")
+        streams.append(T.with_lateness(spark.readStream.schema(kind).parquet(f"{path}/{side}"), "100000 days"))
+    out = T.stream_join(*streams, ["host_name"], "1 HOUR", ["point_id"])
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert re.search(r"_baseline_slot#\d+L? = _candidate_slot", plan)
+    out.writeStream.format("memory").queryName("met").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r["baseline_point_id"], r["candidate_point_id"]) for r in spark.table("met").collect())
+    hour = dt.timedelta(hours=1)
+    want = sorted((b, c) for host, t, b in rows["baseline"] for key, u, c in rows["candidate"] if host is not None and host == key and t is not None and u is not None and abs(t - u) <= hour)
+    assert got == want and len(want) > 300
+
+
 def test_a_batch_sent_again_replaces_itself(spark):
     import tempfile
 
