@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -56,48 +57,76 @@ def _wake(handle: StatefulProcessorHandle, at: pd.Timestamp | None) -> None:
         handle.registerTimer(-(-at.value // 1_000_000))
 
 
+#: How a slot's last points are stored.
+_POINTS = pa.schema([("host_name", pa.string()), ("pid", pa.string()), ("metric", pa.string()), ("ts", pa.timestamp("us")), ("value", pa.float64()), ("place", pa.int64())])
+
+
 class _Delta(StatefulProcessor):
-    """The last point of each series is the state. It goes when the watermark is so far that no point can follow within max_staleness."""
+    """The last points of a slot's series are the state, as one table. A point goes when the watermark is so far that none can follow it within max_staleness."""
 
     def __init__(self, max_staleness: float | None):
         self.max_staleness = max_staleness
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "ts timestamp, value double")
+        self.last = handle.getValueState("last", "points binary")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        ts, _, value = _sorted(rows, "ts", "place", "value")
-        if self.last.exists():
-            at, level = self.last.get()
-            late = ts < np.datetime64(at, "us")  # older than what has been used
-            ts, value = (np.concatenate([[first], rest[~late]]) for first, rest in ((np.datetime64(at, "us"), ts), (level, value)))
-        delta, gap = np.diff(value), np.diff(ts) / np.timedelta64(1, "s")
-        good = np.flatnonzero((delta >= 0) & (True if self.max_staleness is None else gap <= self.max_staleness))
-        last = pd.Timestamp(ts[-1])
-        self.last.update((last.to_pydatetime(), float(value[-1])))
+    def _keep(self, points: pd.DataFrame, timerValues) -> None:  # noqa: N803
         if self.max_staleness is not None:
-            _wake(self.handle, last + pd.Timedelta(seconds=self.max_staleness))
-        names = {name: pd.Series([k] * len(good), dtype=kind) for name, k, kind in zip(SERIES, key, (object, "int64", object), strict=True)}
-        yield pd.DataFrame({**names, "ts": ts[1:][good], "value": delta[good]})
+            stale = np.timedelta64(round(self.max_staleness * 1e6), "us")
+            points = points[points["ts"] + stale >= np.datetime64(timerValues.getCurrentWatermarkInMs(), "ms")]
+            _wake(self.handle, pd.Timestamp(points["ts"].max() + stale) if len(points) else None)
+        if len(points):
+            sink = pa.BufferOutputStream()
+            table = pa.Table.from_pandas(points, schema=_POINTS, preserve_index=False)
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            self.last.update((sink.getvalue().to_pybytes(),))
+        else:
+            self.last.clear()
+
+    def _kept(self) -> pd.DataFrame:
+        return (pa.ipc.open_stream(bytes(self.last.get()[0])).read_all() if self.last.exists() else _POINTS.empty_table()).to_pandas()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        old, new = self._kept(), pd.concat([pdf[[*SERIES, "ts", "value", "place"]] for pdf in rows])
+        points = pd.concat([old, new], ignore_index=True)
+        series = points.groupby(list(SERIES), sort=False, dropna=False).ngroup().to_numpy()
+        ts, used = points["ts"].to_numpy("datetime64[us]"), np.full(len(points), np.datetime64(-(2**62), "us"))
+        used[series[: len(old)]] = ts[: len(old)]
+        fresh = np.flatnonzero(ts >= used[series])  # others are older than what has been used
+        value, place = points["value"].to_numpy(float), points["place"].to_numpy()
+        order = fresh[np.lexsort([value[fresh], place[fresh], ts[fresh], fresh >= len(old), series[fresh]])]
+        points, series, ts = points.iloc[order], series[order], ts[order]
+        delta, gap = np.diff(value[order]), np.diff(ts) / np.timedelta64(1, "s")
+        good = 1 + np.flatnonzero((np.diff(series) == 0) & (delta >= 0) & (True if self.max_staleness is None else gap <= self.max_staleness))
+        self._keep(points[np.append(series[1:] != series[:-1], True)], timerValues)
+        yield points.iloc[good][[*SERIES, "ts"]].assign(value=delta[good - 1])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.last.clear()
+        self._keep(self._kept(), timerValues)
         return iter([])
 
     def close(self) -> None:
         pass
 
 
-def stream_delta(df: DataFrame, max_staleness: float | None = 600, metrics: Sequence[str] = COUNTERS, delay: str = "10 minutes") -> DataFrame:
+def stream_delta(df: DataFrame, max_staleness: float | None = 600, metrics: Sequence[str] = COUNTERS, delay: str = "10 minutes", slots: int = 256) -> DataFrame:
     """(host_name, pid, metric, ts, value): counters to deltas with the last point of each series as state. Needs the RocksDB state store.
 
     Points later than the delay are dropped. Without max_staleness any later point may still follow, so states stay for ever. Of points of one
-    time the smaller point_id comes first, as in batches; without that column they are ordered by value.
+    time the smaller point_id comes first, as in batches; without that column they are ordered by value. Points without a time are left out.
+
+    Series are dealt to so many slots by hash, and each slot is one key of the stream: its points of a micro-batch are worked on as
+    arrays and its states written as one, since a call of the state store for every series costs far more than its points. A task holds a
+    slot's part of a micro-batch; the number of slots stays as it is for the life of a checkpoint.
     """
     place = (F.col("point_id") if "point_id" in df.columns else F.lit(0)).cast("long").alias("place")
-    points = df.where(F.col("metric").isin(list(metrics))).select(*SERIES, "ts", place, F.col("value").cast("double").alias("value"))
-    return with_lateness(points, delay).groupBy(*SERIES).transformWithStateInPandas(_Delta(max_staleness), "host_name string, pid long, metric string, ts timestamp, value double", "Append", "EventTime")
+    points = df.where(F.col("metric").isin(list(metrics)) & F.col("ts").isNotNull()).select(*SERIES, "ts", place, F.col("value").cast("double").alias("value"))
+    # pandas would make floats of numbers among which there is a null
+    points = points.withColumns({"slot": F.pmod(F.xxhash64(*SERIES), F.lit(slots)).cast("int"), "pid": F.col("pid").cast("string")})
+    out = with_lateness(points, delay).groupBy("slot").transformWithStateInPandas(_Delta(max_staleness), "host_name string, pid string, metric string, ts timestamp, value double", "Append", "EventTime")
+    return out.withColumn("pid", F.col("pid").cast("long"))
 
 
 class _Alert(StatefulProcessor):
