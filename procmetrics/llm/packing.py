@@ -23,6 +23,8 @@ from procmetrics.llm.hash_store import find_between, load_arrays, save_arrays
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: Tokens that opening a bin costs beside its length; so a larger bin costs less a token.
 OVERHEAD = 64
+#: Bytes of text that a task encodes at once; larger slices take less time, smaller ones less memory.
+SLICE = 3 << 20
 
 
 @dataclass
@@ -115,7 +117,7 @@ def word_ids(end_id: int | None = 1):
     return lambda texts: [np.concatenate([ids, tail]) for ids in encoder.encode([t or "" for t in texts])]
 
 
-def pieces(df: DataFrame, tokens, largest: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(df: DataFrame, tokens, largest: int, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE) -> DataFrame:
     """(id, piece, first, len, part, local, ids): the ids of each text, cut into pieces of at most the largest capacity.
 
     ids are little-endian, 16 bits each if all of a piece fit, else 32. local numbers the pieces of a length within their task, part. A text
@@ -126,7 +128,7 @@ def pieces(df: DataFrame, tokens, largest: int, id_col: str = "doc_id", text_col
         from pyspark import TaskContext
 
         encode, part, seen = tokens(), TaskContext.get().partitionId(), np.zeros(largest + 1, np.int64)
-        for slice_ in text_slices(batches, "text"):
+        for slice_ in text_slices(batches, "text", slice_bytes):
             owner, piece, first, size, local, bodies = [], [], [], [], [], []
             for row, ids in enumerate(encode(slice_.column("text").to_pylist())):
                 for k, at in enumerate(range(0, max(len(ids), 1), largest)):
@@ -150,8 +152,9 @@ def _unpacked(body: bytes, size: int) -> np.ndarray:
     return np.frombuffer(body, "<u2" if len(body) == 2 * size else "<u4").astype(np.int32)
 
 
-def pack(df: DataFrame, path: str, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, tokens=word_ids, id_col: str = "doc_id", text_col: str = "text") -> None:
+def pack(df: DataFrame, path: str, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, tokens=word_ids, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE) -> None:
     """Writes the bins of df's token sequences below path: (bin_id, bin_size, ids, pieces), and the pieces without ids, which have no bin.
+    ids are written as little-endian bytes; read_bins gives them as arrays.
 
     tokens() gives, in a task, the function from a list of texts to their arrays of ids. pieces of a bin are structs (id, piece, first, offset,
     n_tokens) in the order in which they lie; ids beyond the last are absent, not padded. Null texts count as empty. Repeated ids are
@@ -159,7 +162,7 @@ def pack(df: DataFrame, path: str, capacities: tuple[int, ...] = CAPACITIES, ove
     """
     spark, largest = df.sparkSession, max(capacities)
     with small_batches(spark, 2000):
-        rows = cut(pieces(df, tokens, largest, id_col, text_col), f"{path}/pieces")
+        rows = cut(pieces(df, tokens, largest, id_col, text_col, slice_bytes), f"{path}/pieces")
     counts = cut(rows.where("len > 0").groupBy("len", "part").agg(F.count("*").alias("n")), f"{path}/counts")
     histogram = {r["len"]: r["n"] for r in counts.groupBy("len").agg(F.sum("n").alias("n")).collect()}  # a row for each length at most
     save_arrays(f"{path}/plan", "rules", placements(best_fit(histogram, capacities, overhead)))
@@ -210,25 +213,44 @@ def pack(df: DataFrame, path: str, capacities: tuple[int, ...] = CAPACITIES, ove
 
     struct = f"struct<id:{kind},piece:int,first:bigint,offset:int,n_tokens:int>"
     with small_batches(spark):
-        sorted_.mapInArrow(assemble, f"bin_id long, bin_size int, ids array<int>, pieces array<{struct}>").write.option("compression", "zstd").parquet(f"{path}/bins")
+        sorted_.mapInArrow(assemble, f"bin_id long, bin_size int, ids binary, pieces array<{struct}>").write.option("compression", "zstd").parquet(f"{path}/bins")
     rows.where("len = 0").select("id", "piece", "first").write.parquet(f"{path}/empty")
 
 
 def _bins(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    """One row for each bin of sorted pieces."""
+    """One row for each bin of sorted pieces. Its ids are bytes as those of pieces: 16 bits each, unless some piece needs 32."""
     table = pa.Table.from_batches(parts).combine_chunks()
     column = lambda name: table[name].combine_chunks() if table[name].num_chunks != 1 else table[name].chunk(0)
-    bins, size = column("bin_id").to_numpy(), column("len").to_numpy()
+    bins, size, bodies = column("bin_id").to_numpy(), column("len").to_numpy(), column("ids").to_pylist()
     first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]]))
-    edge, ends = np.append(first, len(bins)).astype(np.int32), offsets_of(size)
-    ids = np.concatenate([_unpacked(b, n) for b, n in zip(column("ids").to_pylist(), size.tolist(), strict=True)])
+    edge = np.append(first, len(bins)).astype(np.int32)
+    wide = np.fromiter(map(len, bodies), np.int64, len(bodies)) > 2 * size
+    for k in np.flatnonzero(np.logical_or.reduceat(wide, first)):  # the narrow pieces of a bin with a wide one
+        for at in range(edge[k], edge[k + 1]):
+            bodies[at] = _unpacked(bodies[at], size[at]).astype("<u4").tobytes()
+    ids = [b"".join(bodies[a:b]) for a, b in zip(edge.tolist(), edge[1:].tolist(), strict=False)]
     structs = pa.StructArray.from_arrays([column("id"), column("piece"), column("first"), column("bin_offset"), column("len")], names=["id", "piece", "first", "offset", "n_tokens"])
-    lists = [pa.ListArray.from_arrays(pa.array(ends[edge].astype(np.int32)), pa.array(ids)), pa.ListArray.from_arrays(pa.array(edge), structs)]
+    lists = [pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(edge), structs)]
     return pa.RecordBatch.from_arrays([pa.array(bins[first]), column("bin_size").take(pa.array(first)), *lists], names=["bin_id", "bin_size", "ids", "pieces"])
 
 
+def _bin(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, pa.StructArray]:
+    """The ids and pieces of a bin as written."""
+    rows = batch.column("pieces")[row].values
+    return _unpacked(batch.column("ids")[row].as_py(), int(rows.field("n_tokens").to_numpy().sum())), rows
+
+
 def read_bins(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/bins")
+    """(bin_id, bin_size, ids array<int>, pieces) of every bin as written."""
+
+    def run(batches):
+        for batch in batches:
+            ids = [_bin(batch, r)[0] for r in range(batch.num_rows)]
+            lists = pa.array(ids, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("bin_id"), batch.column("bin_size"), lists, batch.column("pieces")], names=["bin_id", "bin_size", "ids", "pieces"])
+
+    bins = spark.read.parquet(f"{path}/bins")
+    return bins.mapInArrow(run, f"bin_id long, bin_size int, ids array<int>, pieces {bins.schema['pieces'].dataType.simpleString()}")
 
 
 def read_pieces(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -237,24 +259,25 @@ def read_pieces(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
     def run(batches):
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, rows = batch.column("ids")[r].values.to_numpy().astype("<u4"), batch.column("pieces")[r].values
+                ids, rows = _bin(batch, r)
+                ids = ids.astype("<u4")
                 offset, size = rows.field("offset").to_numpy(), rows.field("n_tokens").to_numpy()
                 crc = [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(offset.tolist(), size.tolist(), strict=True)]
                 same = [batch.column(c).slice(r, 1).take(pa.array(np.zeros(len(rows), np.int64))) for c in ("bin_id", "bin_size")]
                 yield pa.RecordBatch.from_arrays([rows.field("id"), rows.field("piece"), rows.field("first"), rows.field("n_tokens"), *same, rows.field("offset"), pa.array(crc, pa.int64())], names=["id", "piece", "first", "n_tokens", "bin_id", "bin_size", "bin_offset", "ids_crc32"])
 
-    bins, empty = read_bins(spark, path), spark.read.parquet(f"{path}/empty")
+    bins, empty = spark.read.parquet(f"{path}/bins"), spark.read.parquet(f"{path}/empty")
     kind = empty.schema["id"].dataType.simpleString()
     full = bins.mapInArrow(run, f"id {kind}, piece int, first long, n_tokens int, bin_id long, bin_size int, bin_offset int, ids_crc32 long")
     none = empty.select("id", "piece", "first", F.lit(0).alias("n_tokens"), *[F.lit(None).cast(t).alias(c) for c, t in (("bin_id", "long"), ("bin_size", "int"), ("bin_offset", "int"))], F.lit(0).cast("long").alias("ids_crc32"))
     return full.unionByName(none).withColumnRenamed("id", id_col)
 
 
-def packed(docs: DataFrame) -> DataFrame:
+def packed(docs: DataFrame, slice_bytes: int = SLICE) -> DataFrame:
     """The pieces of docs after packing: the bins are written below the shared folder and read back, some hundred at a time, since a bin is large."""
     spark = docs.sparkSession
     path = shared_dir(spark, "packing")
-    pack(docs, path)
+    pack(docs, path, slice_bytes=slice_bytes)
     with small_batches(spark, 200):
         return cut(read_pieces(spark, path), f"{path}/placed")
 

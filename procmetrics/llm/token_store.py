@@ -21,6 +21,8 @@ from procmetrics.llm.common import cut, documents, offsets_of, shared_dir, split
 
 #: Of the cache of encoded words in each worker: two generations of so many words at most.
 CACHE_WORDS = 200_000
+#: New words that the library encodes at once.
+LEARN_WORDS = 16384
 #: Chunk edges: a cut after an id whose rolling hash over the last WINDOW ids has its low MASK_BITS bits zero; lengths between MIN and MAX.
 WINDOW, MASK_BITS, MIN_CHUNK, MAX_CHUNK = 16, 10, 256, 8192
 #: A node of the tree over the documents has 2^FAN_BITS children at most.
@@ -73,7 +75,7 @@ class WordEncoder:
         return found
 
     def _learn(self, words: list[str]) -> list[bytes]:
-        """Ids of each word, all of them different. New words of plain letters go to the library as one text; each ends with an id that ends words."""
+        """Ids of each word, all of them different. New words of plain letters go to the library in texts of LEARN_WORDS, as it takes some hundred bytes for each byte of a text; each ends with an id that ends words."""
         if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
@@ -86,13 +88,14 @@ class WordEncoder:
                     continue
                 known = out[k] = self._ids(word)
             young[word] = known
-        if fresh:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([words[k] for k in fresh])], add_special_tokens=False)[0].ids, np.uint32)
+        for lo in range(0, len(fresh), LEARN_WORDS):
+            some = fresh[lo : lo + LEARN_WORDS]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([words[k] for k in some])], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.ending[ids]) + 1
-            if len(ends) != len(fresh):
+            if len(ends) != len(some):
                 raise ValueError("the tokenizer doesn't end each word with an id of its own")
             raw, begin = ids.tobytes(), 0
-            for k, end in zip(fresh, (4 * ends).tolist(), strict=True):
+            for k, end in zip(some, (4 * ends).tolist(), strict=True):
                 young[words[k]] = out[k] = raw[begin:end]
                 begin = end
         return out

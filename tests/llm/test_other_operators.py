@@ -143,6 +143,34 @@ def test_packing_writes_every_id_once(spark, capacities):
     assert packing.read_pieces(spark, empty).count() == 0
 
 
+def test_bins_are_written_as_bytes_and_new_words_encoded_in_parts(spark, monkeypatch):
+    import public_tokenizers
+
+    from procmetrics.llm import token_store
+
+    docs = spark.createDataFrame([(k, f"some words of text {k} here " * (k % 7)) for k in range(50)], "doc_id long, text string")
+    path = shared_dir(spark, "packing")
+    packing.pack(docs, path)
+    written = spark.read.parquet(f"{path}/bins")
+    assert written.schema["ids"].dataType.simpleString() == "binary"
+    sizes = {r["bin_id"]: len(r["ids"]) for r in written.collect()}
+    assert sizes == {r["bin_id"]: 2 * len(r["ids"]) for r in packing.read_bins(spark, path).collect()}
+    texts, file = [" ".join(f"{a}{b}" for a in "abcdef" for b in "ghij"), "abc"], public_tokenizers.path("word_bpe_49k.json")
+    whole = token_store.WordEncoder(file).encode(texts)
+    monkeypatch.setattr(token_store, "LEARN_WORDS", 5)
+    assert [i.tolist() for i in token_store.WordEncoder(file).encode(texts)] == [i.tolist() for i in whole]
+
+
+def test_packing_stage_takes_smaller_slices(spark, monkeypatch):
+    import corpus_pipeline
+
+    took = []
+    monkeypatch.setattr(packing, "pack", lambda df, path, **rest: took.append(rest["slice_bytes"]))
+    monkeypatch.setattr(packing, "read_pieces", lambda spark, path: spark.range(1))
+    corpus_pipeline.packing_stage(spark, spark.range(1), "")
+    assert took == [1 << 20]
+
+
 def least_cost(lengths, capacities, overhead):
     """Least cost of all ways to share the lengths out over bins, each of the smallest capacity that holds it."""
     best = [float("inf")]
