@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from procmetrics.llm.common import cut, documents, fold, offsets_of, shared_dir, small_batches, split_words, text_slices
+from procmetrics.llm.common import cut, documents, fold, offsets_of, shared_dir, small_batches, split_words, text_slices, trim
 from procmetrics.llm.subwords import labelled_sample, mean_over_ngrams, word_ngrams
 from procmetrics.operators.transforms import small
 
@@ -240,7 +240,10 @@ def label_words(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
 def learn(docs: DataFrame, per_label: int = PER_LABEL) -> Model:
     """A model of the documents outside fold 2 of 4 that have a language."""
     known = docs.select("doc_id", "lang").where(fold(F.col("doc_id"), 4) != 2)
-    return train(labelled_sample(known, docs, "doc_id", "text", "lang", per_label))
+    try:
+        return train(labelled_sample(known, docs, "doc_id", "text", "lang", per_label))
+    finally:
+        trim()  # here of the driver
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -397,3 +397,22 @@ def test_near_stage_links_pairs_whose_common_shingles_come_late_in_one_text_only
     for k in range(len(texts)):
         got.setdefault(linked.get(node[k], node[k]), []).append(k)
     assert sorted(map(sorted, got.values())) == sorted(sorted(k for k in range(len(texts)) if root[k] == r) for r in set(root))
+
+
+def test_near_stage_makes_no_hash_tables_of_nodes_and_no_empty_rounds(spark, monkeypatch):
+    from procmetrics.llm import near_copies
+
+    cut, components, plans, calls = near_copies.cut, near_copies.connected_components, {}, []
+
+    def seen(df, path, *also):
+        plans[path.rsplit("/", 1)[1]] = df._jdf.queryExecution().executedPlan().toString()
+        return cut(df, path, *also)
+
+    monkeypatch.setattr(near_copies, "cut", seen)
+    monkeypatch.setattr(near_copies, "connected_components", lambda links: calls.append(1) or components(links))
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(20)]
+    docs = spark.createDataFrame([*enumerate(texts), (20, texts[4] + " end")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near_copies.keep_one(docs).collect()) == list(range(20))
+    assert "SortMergeJoin" in plans["first"] and not [k for k in ("first", "first_texts") if "Broadcast" in plans[k]]
+    assert len(calls) == 1 and "second_pairs" in plans and "second_sets" not in plans and "round0_sets" not in plans
