@@ -416,3 +416,30 @@ def test_near_stage_makes_no_hash_tables_of_nodes_and_no_empty_rounds(spark, mon
     assert sorted(r["doc_id"] for r in near_copies.keep_one(docs).collect()) == list(range(20))
     assert "SortMergeJoin" in plans["first"] and not [k for k in ("first", "first_texts") if "Broadcast" in plans[k]]
     assert len(calls) == 1 and "second_pairs" in plans and "second_sets" not in plans and "round0_sets" not in plans
+
+
+def test_near_stage_narrows_what_is_shared_and_finds_components_thrice_at_most(spark, monkeypatch):
+    """Texts with a common passage that stay apart, pairs linked by the pivots or only at the end, and chance repeats."""
+    from procmetrics.llm import near_copies
+
+    cut, components, tables, calls = near_copies.cut, near_copies.connected_components, {}, []
+
+    def seen(df, path, *also):
+        out = cut(df, path, *also)
+        if path.rsplit("/", 2)[1] == "met":
+            tables[path.rsplit("/", 1)[1]] = [(r["key"], r["node"]) for r in out.collect()]
+        return out
+
+    monkeypatch.setattr(near_copies, "cut", seen)
+    monkeypatch.setattr(near_copies, "connected_components", lambda links: calls.append(1) or components(links))
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    passage = fresh(30)
+    texts = [[*passage, *fresh(60)] for _ in range(40)]
+    texts += [[*t[:k], "changed", *t[k + 1 :]] for k, t in zip(range(40, 80, 2), texts[:20], strict=True)]
+    texts += [[*words, *fresh(5)] for words in [fresh(5) for _ in range(10)] for _ in range(2)]  # pairs with one shingle in common
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in near_copies.keep_one(docs).collect())
+    assert kept == sorted(plain_near_kept([(k, " ".join(t)) for k, t in enumerate(texts)])) == [*range(40), *range(60, 80)]
+    assert len(calls) <= 3 and {"all", "rich", "first"} <= set(tables)
+    assert len(set(tables["all"]) - set(tables["rich"])) >= 20 and set(tables["first"]) <= set(tables["rich"])
