@@ -132,8 +132,10 @@ def _(v):
 
 @query("t8_stream_join", "SELECT b.host_name, b.metric, b.point_id AS baseline_point_id, c.point_id AS candidate_point_id FROM raw b JOIN raw c ON b.host_name = c.host_name AND b.metric = c.metric AND b.pid % 2 = 0 AND c.pid % 2 = 1 AND abs(epoch_us(b.ts) - epoch_us(c.ts)) <= 3600000000")
 def _(v):
+    """The stream keeps the points of each window; pairs, which grow with the square of points a day, are made where they are read."""
     side = lambda name: T.with_lateness(_stream(v).where(F.col("variant") == name), "1 day")
-    return _finish(v, T.stream_join(side("baseline"), side("candidate"), ["host_name", "metric"], "1 HOUR", ["point_id"]))
+    keys, hour, values = ["host_name", "metric"], 3600, ["point_id"]
+    return T.window_pairs(_windows(v, T.stream_join_windows(side("baseline"), side("candidate"), keys, hour, values), keys), keys, hour, values)
 
 
 @query("t9_stream_enrich", "SELECT point_id, region, unnest(CASE owner WHEN 'root' THEN ['hot', 'audit'] ELSE ['cold'] END) AS route FROM raw JOIN hosts USING (host_name)")

@@ -246,6 +246,35 @@ def stream_join(baseline: DataFrame, candidate: DataFrame, keys: Sequence[str],
     return out.select(*[F.col(f"_baseline_{k}").alias(k) for k in keys], *[f"{name}_{c}" for name in ("baseline", "candidate") for c in values])
 
 
+def stream_join_windows(baseline: DataFrame, candidate: DataFrame, keys: Sequence[str], within: float, values: Sequence[str] = ("ts", "value")) -> DataFrame:
+    """(window, keys, baseline, candidate): the points that stream_join would pair, as lists of each side. A batch that reads them makes the pairs by window_pairs.
+
+    State and output grow with the points, where pairs grow with their square. Windows last three times within (seconds) and begin every
+    two, so a point is in one or two, and two points that are near enough share just one in whose first two thirds the earlier one lies.
+    Both streams need a watermark; a window's state goes when it has passed. The lists of one key and window are one row.
+    """
+    step = max(round(within * 1e6), 1)
+    side = lambda df, name: df.select(*keys, "ts", F.struct(F.unix_micros("ts").alias("_at"), *values).alias(name))
+    both = side(baseline, "baseline").unionByName(side(candidate, "candidate"), allowMissingColumns=True).dropna(subset=["ts", *keys])
+    lists = [F.collect_list(name).alias(name) for name in ("baseline", "candidate")]
+    return both.groupBy(F.window("ts", f"{3 * step} microseconds", f"{2 * step} microseconds"), *keys).agg(*lists)
+
+
+def window_pairs(windows: DataFrame, keys: Sequence[str], within: float, values: Sequence[str] = ("ts", "value")) -> DataFrame:
+    """The rows of stream_join from what stream_join_windows gave, each pair once.
+
+    Pairs are made last, where they are used, so none is shuffled or stored. Baseline points are rows by then, so no task holds a window's
+    pairs, and the points of a large window can be dealt to several tasks.
+    """
+    micros, start = round(within * 1e6), F.unix_micros("window.start")
+    points = windows.select(start.alias("_start"), *keys, F.explode("baseline").alias("b"))
+    lists = windows.select(start.alias("_of_start"), *[F.col(k).alias(f"_of_{k}") for k in keys], "candidate")
+    same = F.expr(" AND ".join(["_start = _of_start", *[f"{k} = _of_{k}" for k in keys]]))
+    near = f"abs(b._at - c._at) <= {micros} AND least(b._at, c._at) < _start + {2 * max(micros, 1)}"
+    pairs = points.join(lists.hint("merge"), same).select("_start", *keys, "b", F.explode("candidate").alias("c")).where(near)
+    return pairs.select(*keys, *[F.col(f"{s}.{c}").alias(f"{name}_{c}") for s, name in (("b", "baseline"), ("c", "candidate")) for c in values])
+
+
 def stream_enrich(df: DataFrame, hosts: DataFrame, attribute: str, table: Mapping[str, Sequence[str]], default: Sequence[str]) -> DataFrame:
     """Host facts from a static table, then routes."""
     return route(detect_resource(df, hosts), attribute, table, default)

@@ -244,6 +244,42 @@ def test_streams_meet_by_slots_of_time(spark):
     assert got == want and len(want) > 300
 
 
+@pytest.mark.parametrize("within", [3600, 0])
+def test_streams_joined_by_windows_give_each_pair_once(spark, within):
+    """Against all pairs, on and beside the edges of windows, in two micro-batches, with nulls and repeated rows; what the stream writes grows with its points, not its pairs."""
+    from procmetrics.queries.streams import _windows
+    from procmetrics.queries.views import Views
+
+    rng = random.Random(6)
+    edges = [at(3600 * k) + dt.timedelta(microseconds=rng.choice([-1, 0, 1])) for k in range(-9, 9)]
+    path, kind = shared_folder(spark, "meet"), "host_name string, ts timestamp, point_id long"
+    rows = {side: [(rng.choice(["a", "b", None]), rng.choice([*edges, None]), k // 2) for k in range(300)] for side in ("baseline", "candidate")}
+    for side, some in rows.items():
+        for half in (some[:150], some[150:]):
+            spark.createDataFrame(half, kind).coalesce(1).write.mode("append").parquet(f"{path}/{side}")
+    streams = [T.with_lateness(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{path}/{side}"), "100000 days") for side in rows]
+    windows = _windows(Views(spark, ""), T.stream_join_windows(*streams, ["host_name"], within, ["point_id"]), ["host_name"])
+    out = T.window_pairs(windows, ["host_name"], within, ["point_id"])
+    got = sorted((r["host_name"], r["baseline_point_id"], r["candidate_point_id"]) for r in out.collect())
+    reach = dt.timedelta(seconds=within)
+    want = sorted((host, b, c) for host, t, b in rows["baseline"] for key, u, c in rows["candidate"] if host is not None and host == key and t is not None and u is not None and abs(t - u) <= reach)
+    assert got == want and len(want) > 300
+    assert windows.select(F.sum(F.size("baseline") + F.size("candidate"))).first()[0] <= 2 * 600
+    assert windows.count() == windows.select("window", "host_name").distinct().count() and windows.where("size(baseline) > 0 AND size(candidate) > 0").count() > 2
+
+
+def test_registered_stream_join_stores_points_not_pairs(spark, tmp_path):
+    """Two hundred points of each side in one hour make 40000 pairs, of which the stream writes not one."""
+    from procmetrics.queries import QUERIES
+
+    events = [(k, at(k), 7 * (k % 2), "error", 1.0, "{}") for k in range(400)]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    out = QUERIES["t8_stream_join"](spark, str(tmp_path))
+    assert out.count() == out.distinct().count() == 200 * 200
+    stored = [spark.read.parquet(f).count() for f in {re.sub("/batch=.*", "", f) for f in out.inputFiles()}]
+    assert sum(stored) <= 2
+
+
 def test_stream_deltas_keep_one_state_for_many_series(spark):
     """Thousands of series in four slots and three runs, against batches: nulls in keys, ties, pids beyond floats, gaps at and over the limit; after the end nothing is kept."""
     from procmetrics.queries.streams import _in_turns, _rocksdb
