@@ -253,10 +253,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(True)).alias("held_out"), "lang_pred", "score", "n_switches")
 
 
-def keep_known(docs: DataFrame, least_share: float = 0.0) -> DataFrame:
-    """The documents with letters of which one language has at least the given share of the words; all their columns.
+def keep_known(docs: DataFrame) -> DataFrame:
+    """The documents for which operator 6 finds a language, so all with letters; all their columns.
 
-    By default any share will do, so that texts mixed of many languages stay. If no language could be learned, as where no row outside
+    Any share of the words will do, so that texts mixed of many languages stay. If no language could be learned, as where no row outside
     fold 2 has one, every document with a letter stays. Null and empty texts go; repeated rows stay repeated; nulls in other columns
     do no harm, and these may have any names. Only ids and texts pass through Python; what goes is joined away, by id and hash of the
     text, so whole rows aren't shuffled while that is small. An empty table gives an empty one.
@@ -265,7 +265,7 @@ def keep_known(docs: DataFrame, least_share: float = 0.0) -> DataFrame:
     if not model.labels:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")).alias("key")
-    found = predict(docs.select(key, F.col("text").alias("text")), model, "key").where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < least_share))
+    found = predict(docs.select(key, F.col("text").alias("text")), model, "key").where(F.col("lang_pred") == UNDETERMINED)
     with small_batches(docs.sparkSession):
         gone = cut(found.select(F.col("key.id").alias("gone_id"), F.col("key.h").alias("gone_h")).distinct(), shared_dir(docs.sparkSession, "language"))
     gone = small(gone, BROADCAST)
