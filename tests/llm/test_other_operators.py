@@ -443,3 +443,44 @@ def test_near_stage_narrows_what_is_shared_and_finds_components_thrice_at_most(s
     assert kept == sorted(plain_near_kept([(k, " ".join(t)) for k, t in enumerate(texts)])) == [*range(40), *range(60, 80)]
     assert len(calls) <= 3 and {"all", "rich", "first"} <= set(tables)
     assert len(set(tables["all"]) - set(tables["rich"])) >= 20 and set(tables["first"]) <= set(tables["rich"])
+
+
+def test_parities_never_differ_in_more_bits_than_the_sets_in_shingles():
+    from procmetrics.llm import near_copies
+
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(-(2**63), 2**63, n)) for n in (1, 40, 150, 150, 2000)]
+    sets += [np.unique(np.concatenate([s[k:], rng.integers(-(2**63), 2**63, k)])) for s in sets for k in (0, 1, 16, 90)] + [np.empty(0, np.int64)]
+    bits = [np.unpackbits(np.array(p, np.int64).view(np.uint8)) for p in near_copies._parities(sets).to_pylist()]
+    assert len(bits) == len(sets) and all(len(b) == 64 * near_copies.LONGS for b in bits)
+    far = 0
+    for a, x in zip(sets, bits, strict=True):
+        for b, y in zip(sets, bits, strict=True):
+            assert (x != y).sum() <= len(np.setxor1d(a, b))
+            far += (x != y).sum() > 40
+    assert far > 100 and near_copies._parities([]).to_pylist() == []
+
+
+def test_near_stage_tells_a_large_group_of_unlike_texts_apart_before_sets_are_made(spark):
+    """Copies of one text that are 0.66 to 0.76 alike, but for a few pairs: of some 30000 pairs that share early shingles few are compared by their sets."""
+    from procmetrics.llm import near_copies
+
+    rng = random.Random(4)
+    words, texts = [f"w{k}" for k in range(150)], []
+    for k in range(240):
+        copy = list(words)
+        for at in rng.sample(range(10, 140, 5), 3):
+            copy[at] = f"own{k}-{at}"
+        texts.append(" ".join(copy))
+        if k % 40 == 0:
+            texts.append(texts[-1] + " and more")
+    keyed = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", F.col("id").alias("h"), "text")
+    path = shared_dir(spark, "near-test")
+    rows = near_copies.cut(near_copies.prefixes(keyed, near_copies.common_shingles(keyed.select("text")), 5, 80), f"{path}/rows")
+    roots = {r["node"]: r["root"] for r in near_copies.near_components(keyed, rows, path).collect()}
+    least = {}
+    for r in rows.collect():
+        root = roots.get(r["node"], r["node"])
+        least[root] = min(r["id"], least.get(root, r["id"]))
+    assert set(least.values()) == plain_near_kept(list(enumerate(texts))) and 200 < len(least) <= 240
+    assert spark.read.parquet(f"{path}/second_pairs").count() < 3000
